@@ -75,3 +75,10 @@ EVENTS_FEED_RENAME = {"ts": PICKUP, "event_type": ZONE}
 # Half-open time range of the events feed (January 2024 holds all rows).
 EVENTS_START = "2024-01-01"
 EVENTS_END = "2024-02-01"
+
+# Harmonised names for the wide union on shared columns.
+WIDE_RENAME = {
+    "ts": PICKUP, "o_orderdate": PICKUP, "l_shipdate": PICKUP,
+    "event_type": ZONE, "o_orderpriority": ZONE, "l_returnflag": ZONE,
+    "value": "amount", "o_totalprice": "amount", "l_extendedprice": "amount",
+}

@@ -94,5 +94,305 @@ ORACLE["hourly_features_row_adjacency"] = q.select(
                                    "is_post_holiday", "lag_1h", "lag_24h", "lag_168h")})
 
 
+# --- sources, cleaning, unification ----------------------------------------
+
+def _feed(table, ts, zone, start="1995-01-01", end="2024-02-01", distinct=True):
+    return f"""
+    SELECT {'DISTINCT' if distinct else ''} {ts} AS pickup_ts, CAST({zone} AS VARCHAR) AS location_id
+    FROM {table}
+    WHERE {ts} >= TIMESTAMP '{start} 00:00:00' AND {ts} < TIMESTAMP '{end} 00:00:00'
+      AND {ts} IS NOT NULL AND {zone} IS NOT NULL"""
+
+
+FEEDS = (("events", "ts", "event_type"), ("orders", "o_orderdate", "o_orderpriority"),
+         ("lineitem", "l_shipdate", "l_returnflag"))
+TRIP_KINDS = {"location_id": "s", "date": "day", "hour": "i"}
+
+
+def _unified(distinct_each: bool) -> str:
+    body = " UNION ALL ".join(_feed(*f, distinct=distinct_each) for f in FEEDS)
+    if not distinct_each:
+        body = f"SELECT DISTINCT * FROM ({body}) u"
+    return f"SELECT location_id, CAST(pickup_ts AS DATE) AS date, hour(pickup_ts) AS hour FROM ({body}) t"
+
+
+ORACLE["unified_trips"] = q.select(_unified(True), TRIP_KINDS)
+ORACLE["unified_trips_global_dedup"] = q.select(_unified(False), TRIP_KINDS)
+
+EXCLUDED = ("103, 104, 198, 211, 216, 225, 226, 228, 229, 230, 231, 232, 233, 234, "
+            "236, 237, 238, 239, 244, 246, 247, 249, 255, 256, 261, 262, 263")
+COST_TRIPS = f"""
+    SELECT DISTINCT pickup_ts, location_id, cost_per_mile FROM (
+      SELECT DISTINCT l_shipdate AS pickup_ts, l_suppkey AS location_id,
+             l_extendedprice / l_quantity AS cost_per_mile
+      FROM lineitem
+      WHERE l_shipdate >= TIMESTAMP '1995-01-01 00:00:00' AND l_shipdate < TIMESTAMP '2002-01-01 00:00:00'
+        AND l_suppkey BETWEEN 1 AND 265 AND l_suppkey NOT IN ({EXCLUDED})
+        AND l_quantity > 0 AND l_extendedprice > 0
+        AND l_extendedprice / l_quantity < 2000.0
+        AND l_shipdate IS NOT NULL AND l_suppkey IS NOT NULL
+    ) c
+"""
+HOURLY_COST = f"""
+    SELECT CAST(pickup_ts AS DATE) AS date, hour(pickup_ts) AS hour, location_id,
+           avg(cost_per_mile) AS avg_cost_per_mile, count(*) AS trips_count
+    FROM ({COST_TRIPS}) t GROUP BY ALL
+"""
+ORACLE["hourly_cost"] = q.select(HOURLY_COST, {"date": "day", "hour": "i", "location_id": "i",
+                                               "avg_cost_per_mile": "d", "trips_count": "i"})
+
+WIDE = " UNION ALL ".join(
+    f"SELECT {ts} AS pickup_ts, {z} AS location_id, {amt} AS amount FROM {t}"
+    for t, ts, z, amt in (("events", "ts", "event_type", "value"),
+                          ("orders", "o_orderdate", "o_orderpriority", "o_totalprice"),
+                          ("lineitem", "l_shipdate", "l_returnflag", "l_extendedprice")))
+ORACLE["wide_feed_duplicates"] = q.select(f"""
+    SELECT sum(c) AS n_rows, count(*) AS distinct_rows, sum(c) - count(*) AS duplicates
+    FROM (SELECT pickup_ts, location_id, amount, count(*) AS c FROM ({WIDE}) w GROUP BY ALL) g
+""", {"n_rows": "i", "distinct_rows": "i", "duplicates": "i"})
+
+ORACLE["orders_out_of_range"] = q.select("""
+    SELECT count(*) FILTER (WHERE o_orderdate < TIMESTAMP '1996-01-01 00:00:00'
+                             OR o_orderdate > TIMESTAMP '2000-12-31 00:00:00') AS n_out_of_range,
+           count(*) AS n_rows, min(o_orderdate) AS min_ts, max(o_orderdate) AS max_ts
+    FROM orders
+""", {"n_out_of_range": "i", "n_rows": "i", "min_ts": "ts", "max_ts": "ts"})
+
+ORACLE["trips_row_count"] = q.select(f"""
+    SELECT count(*) AS n_rows, count(*) > 0 AS non_empty FROM ({TRIPS}) t
+""", {"n_rows": "i", "non_empty": "i"})
+
+# --- profiles ----------------------------------------------------------------
+
+_EV_COLS = (("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"),
+            ("event_type", "string"), ("value", "double"), ("props", "string"))
+ORACLE["events_column_profile"] = q.select(" UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS column_name, '{t}' AS dtype, count(*) FILTER (WHERE {c} IS NULL) "
+    f"AS null_count, count(*) AS n_rows, {len(_EV_COLS)} AS n_columns, "
+    f"round(count(*) FILTER (WHERE {c} IS NULL) * 100.0 / count(*), 2) AS null_pct FROM events"
+    for i, (c, t) in enumerate(_EV_COLS)),
+    {"position": "i", "column_name": "s", "dtype": "s", "null_count": "i", "n_rows": "i",
+     "n_columns": "i", "null_pct": "d"})
+
+ORACLE["weather_null_ratio"] = q.select(f"""
+    SELECT avg(CASE WHEN temp IS NULL THEN 1.0 ELSE 0.0 END) AS null_ratio FROM ({features_sql()}) f
+""", {"null_ratio": "d"})
+
+ORACLE["user_value_counts"] = q.select("""
+    SELECT user_id, count(*) AS n FROM events WHERE user_id IS NOT NULL
+    GROUP BY user_id ORDER BY n DESC, user_id ASC LIMIT 10
+""", {"user_id": "i", "n": "i"})
+
+ORACLE["events_nunique"] = q.select("""
+    SELECT count(DISTINCT user_id) AS nunique_user_id, count(DISTINCT event_type) AS nunique_event_type
+    FROM events
+""", {"nunique_user_id": "i", "nunique_event_type": "i"})
+
+ORACLE["busiest_hours"] = q.select("""
+    SELECT hour(ts) AS hour, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, hour ASC LIMIT 10
+""", {"hour": "i", "n": "i"})
+
+ORACLE["rides_by_hour"] = q.select(f"""
+    SELECT hour, sum(trips_count) AS total_rides FROM ({HOURLY}) h GROUP BY hour
+""", {"hour": "i", "total_rides": "i"})
+
+ORACLE["rides_by_weekday"] = q.select(f"""
+    SELECT isodow(date) - 1 AS day_of_week, sum(trips_count) AS total_rides FROM ({HOURLY}) h GROUP BY 1
+""", {"day_of_week": "i", "total_rides": "i"})
+
+ORACLE["holiday_vs_regular"] = q.select(f"""
+    SELECT is_holiday, avg(daily_total) AS mean_daily_total, count(*) AS n_days FROM (
+      SELECT date, is_holiday, sum(trips_count) AS daily_total FROM ({features_sql()}) f GROUP BY ALL
+    ) d GROUP BY is_holiday
+""", {"is_holiday": "i", "mean_daily_total": "d", "n_days": "i"})
+
+ORACLE["top_cost_zones"] = q.select(f"""
+    SELECT location_id, sum(trips_count) AS total FROM ({HOURLY_COST}) h
+    GROUP BY location_id ORDER BY total DESC, location_id ASC LIMIT 10
+""", {"location_id": "i", "total": "i"})
+
+_SEQ = ("trips_count", "hour_sin", "hour_cos", "dow_sin", "dow_cos", "is_holiday", "month", "is_weekend",
+        "is_month_start", "is_month_end", "day_of_year", "week_of_year", "is_pre_holiday", "is_post_holiday",
+        "lag_1h", "lag_24h", "lag_168h", "roll_168h_mean", "roll_168h_median", "roll_168h_std",
+        "time_idx", "temp", "prcp", "wspd")
+ORACLE["zone_feature_means"] = q.select(
+    f"SELECT location_id, {', '.join(f'avg(CAST({c} AS DOUBLE)) AS {c}' for c in _SEQ)} "
+    f"FROM ({features_sql()}) f GROUP BY location_id",
+    {"location_id": "s", **{c: "d" for c in _SEQ}})
+
+# --- calendar, weather, stations ------------------------------------------------
+
+ORACLE["holiday_calendar"] = q.select(f"""
+    SELECT date, name, CASE WHEN name IN ('New Year''s Day', 'Washington''s Birthday', 'Memorial Day',
+                'Independence Day', 'Labor Day', 'Christmas Day') THEN 1 ELSE 0 END AS in_batch_set
+    FROM (
+      SELECT CAST(d AS DATE) AS date, {q.holiday_name('CAST(d AS DATE)')} AS name
+      FROM (SELECT min(year(o_orderdate)) AS y0, max(year(o_orderdate)) AS y1 FROM orders) b,
+           generate_series(make_date(y0, 1, 1), make_date(y1, 12, 31), INTERVAL 1 DAY) AS g(d)
+    ) x WHERE name IS NOT NULL
+""", {"date": "day", "name": "s", "in_batch_set": "i"})
+
+ORACLE["weather_hourly"] = q.select(WEATHER, {"date": "day", "hour": "i", "temp": "d", "prcp": "d",
+                                              "wspd": "d"})
+
+ORACLE["nearest_station"] = q.select("""
+    SELECT station_id, distance_km FROM (
+      SELECT s_suppkey AS station_id,
+             2 * 6371.0088 * asin(sqrt(pow(sin((radians(40.0 + s_nationkey / 10.0) - radians(40.7128)) / 2), 2)
+               + cos(radians(40.7128)) * cos(radians(40.0 + s_nationkey / 10.0))
+                 * pow(sin((radians(-75.0 + s_acctbal / 5000.0) - radians(-74.0060)) / 2), 2))) AS distance_km
+      FROM supplier
+    ) s ORDER BY distance_km, station_id LIMIT 1
+""", {"station_id": "i", "distance_km": "d"})
+
+ORACLE["feature_sample_head"] = q.select(
+    f"SELECT * FROM ({features_sql()}) f ORDER BY location_id, date, hour LIMIT 15", FEATURE_KINDS)
+
+ORACLE["zone_index"] = q.select(f"""
+    SELECT location_id, dense_rank() OVER (ORDER BY location_id) - 1 AS zone_idx
+    FROM (SELECT DISTINCT location_id FROM ({HOURLY}) h) z
+""", {"location_id": "s", "zone_idx": "i"})
+
+# --- windows, scaler, baselines, metrics -----------------------------------------
+
+ZONES = f"""
+    SELECT *, floor(CAST(n_total AS DOUBLE) * 0.6) AS cut1, floor(CAST(n_total AS DOUBLE) * 0.8) AS cut2
+    FROM (
+      SELECT location_id, n_rows, n_windows,
+             row_number() OVER (ORDER BY location_id) - 1 AS zone_idx,
+             coalesce(sum(n_windows) OVER (ORDER BY location_id ROWS BETWEEN UNBOUNDED PRECEDING
+                                           AND 1 PRECEDING), 0) AS off,
+             sum(n_windows) OVER () AS n_total
+      FROM (SELECT location_id, count(*) AS n_rows, greatest(count(*) - 95, 0) AS n_windows
+            FROM ({HOURLY}) h GROUP BY location_id) z
+    ) z2
+"""
+SERIES = f"""
+    SELECT h.*, row_number() OVER w - 1 AS idx,
+           CAST(lag(trips_count, 1) OVER w AS DOUBLE) AS last_value,
+           CAST(lag(trips_count, 72) OVER w AS DOUBLE) AS value_back,
+           avg(trips_count) OVER (PARTITION BY location_id ORDER BY date, hour
+                                  ROWS BETWEEN 72 PRECEDING AND 1 PRECEDING) AS window_mean
+    FROM ({HOURLY}) h
+    WINDOW w AS (PARTITION BY location_id ORDER BY date, hour)
+"""
+WINDOWS = f"""
+    SELECT CAST(off + idx - 72 AS BIGINT) AS seq_no, s.location_id, zone_idx, idx AS origin,
+           date AS origin_date, hour AS origin_hour,
+           CASE WHEN off + idx - 72 < cut1 THEN 'train' WHEN off + idx - 72 < cut2 THEN 'val'
+                ELSE 'test' END AS split,
+           n_total, cut1, cut2, last_value, value_back, window_mean
+    FROM ({SERIES}) s JOIN ({ZONES}) z ON s.location_id = z.location_id
+    WHERE idx >= 72 AND idx <= n_rows - 24
+"""
+TARGETS = f"""
+    SELECT w.*, t.step, CAST(s.trips_count AS DOUBLE) AS y
+    FROM ({WINDOWS}) w CROSS JOIN range(24) AS t(step)
+    JOIN ({SERIES}) s ON s.location_id = w.location_id AND s.idx = w.origin + t.step
+"""
+ORACLE["sequence_windows"] = q.select(WINDOWS, {
+    "seq_no": "i", "location_id": "s", "zone_idx": "i", "origin": "i", "origin_date": "day",
+    "origin_hour": "i", "split": "s"})
+ORACLE["window_targets"] = q.select(TARGETS, {"seq_no": "i", "step": "i", "y": "d"})
+
+
+def _scaler_sql(where: str = "TRUE") -> str:
+    weighted = f"""
+        SELECT f.*,
+          greatest(least(time_idx + 72, o_hi) - greatest(time_idx + 1, o_lo) + 1, 0) AS w_x,
+          greatest(least(time_idx, o_hi) - greatest(time_idx - 23, o_lo) + 1, 0) AS w_y
+        FROM ({features_sql()}) f JOIN (
+          SELECT location_id, greatest(0 - off, 0) + 72 AS o_lo,
+                 least(cut1 - off, n_windows) + 72 - 1 AS o_hi FROM ({ZONES}) z0) z
+        ON f.location_id = z.location_id
+        WHERE {where}
+    """
+    long = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, CASE WHEN isnan(CAST({c} AS DOUBLE)) THEN NULL ELSE CAST({c} AS DOUBLE) END AS x, "
+        f"w_x AS w FROM wt WHERE w_x > 0" for c in _SEQ)
+    long += " UNION ALL SELECT 'y' AS feature, CAST(trips_count AS DOUBLE) AS x, w_y AS w FROM wt WHERE w_y > 0"
+    return f"""
+    WITH wt AS ({weighted}), lf AS ({long}),
+    m AS (SELECT feature, sum(w) AS n, coalesce(sum(w) FILTER (WHERE x IS NOT NULL), 0) AS n_valid,
+                 coalesce(sum(w * x) / sum(w) FILTER (WHERE x IS NOT NULL), 0.0) AS mean
+          FROM lf GROUP BY feature),
+    d AS (SELECT lf.feature, coalesce(sum(w * pow(x - m.mean, 2)), 0.0) AS m2
+          FROM lf JOIN m ON lf.feature = m.feature GROUP BY lf.feature)
+    SELECT m.feature, n, n_valid, mean,
+           CASE WHEN sqrt(m2 / n) = 0 THEN 1.0 ELSE sqrt(m2 / n) END AS scale
+    FROM m JOIN d ON m.feature = d.feature
+    """
+
+
+SCALER_KINDS = {"feature": "s", "n": "i", "n_valid": "i", "mean": "d", "scale": "d"}
+ORACLE["scaler_params"] = q.select(_scaler_sql(), SCALER_KINDS)
+ORACLE["scaler_params_merged"] = ORACLE["scaler_params"]
+ORACLE["scaled_features"] = q.select(f"""
+    WITH p AS ({_scaler_sql()})
+    SELECT date, hour, location_id,
+      {', '.join(f"(coalesce(CASE WHEN isnan(CAST({c} AS DOUBLE)) THEN NULL ELSE CAST({c} AS DOUBLE) END, "
+                 f"(SELECT mean FROM p WHERE feature = '{c}')) - (SELECT mean FROM p WHERE feature = '{c}')) "
+                 f"/ (SELECT scale FROM p WHERE feature = '{c}') AS {c}" for c in _SEQ)}
+    FROM ({features_sql()}) f
+""", {"date": "day", "hour": "i", "location_id": "s", **{c: "d" for c in _SEQ}})
+
+PREDS = f"""
+    SELECT seq_no, location_id, zone_idx, step, y, n_total, cut2, m.model,
+           CASE m.model WHEN 'Naive' THEN last_value WHEN 'Seasonal' THEN value_back
+                ELSE window_mean END AS p
+    FROM ({TARGETS}) t CROSS JOIN (VALUES ('Naive'), ('Seasonal'), ('MovingAvg')) AS m(model)
+    WHERE split = 'test'
+"""
+ORACLE["baseline_forecasts"] = q.select(PREDS, {"seq_no": "i", "location_id": "s", "step": "i",
+                                                "model": "s", "y": "d", "p": "d"})
+EPS = "2.220446049250313e-16"
+METRICS = f"""
+    WITH st AS (
+      SELECT model, step, count(*) AS n, sum(abs(y - p)) AS sae, sum((y - p) * (y - p)) AS sse,
+             sum(abs(y - p) / greatest(abs(y), {EPS})) AS sape, var_pop(y) * count(*) AS sst
+      FROM ({PREDS}) pr GROUP BY model, step),
+    mm AS (
+      SELECT model, sum(sae) / sum(n) AS mae, sqrt(sum(sse) / sum(n)) AS rmse, sum(sape) / sum(n) AS mape,
+             avg(CASE WHEN sst = 0 THEN (CASE WHEN sse = 0 THEN 1.0 ELSE 0.0 END) ELSE 1.0 - sse / sst END) AS r2
+      FROM st GROUP BY model)
+    SELECT model, mae, rmse, mape, r2, (mae + rmse + mape + (1 - r2)) / 4 AS composite,
+           row_number() OVER (ORDER BY mae, model) AS rank_mae,
+           (max(mae) FILTER (WHERE model = 'Naive') OVER () - mae) / max(mae) FILTER (WHERE model = 'Naive') OVER ()
+             AS mae_gain_vs_naive,
+           (max(rmse) FILTER (WHERE model = 'Naive') OVER () - rmse) / max(rmse) FILTER (WHERE model = 'Naive') OVER ()
+             AS rmse_gain_vs_naive
+    FROM mm
+"""
+ORACLE["baseline_metrics"] = q.select(METRICS, {
+    "model": "s", "mae": "d", "rmse": "d", "mape": "d", "r2": "d", "composite": "d", "rank_mae": "i",
+    "mae_gain_vs_naive": "d", "rmse_gain_vs_naive": "d"})
+
+BY_HOUR = f"""
+    SELECT model, hour_of_day, mae, rmse, mape, r2, (mae + rmse + mape + (1 - r2)) / 4 AS composite FROM (
+      SELECT model, (seq_no - cut2) % 24 AS hour_of_day, avg(abs(y - p)) AS mae, sqrt(avg((y - p) * (y - p))) AS rmse,
+             avg(CASE WHEN y <> 0 THEN abs((y - p) / y) WHEN y = p THEN 'nan'::DOUBLE ELSE 'inf'::DOUBLE END) AS mape,
+             CASE WHEN var_pop(y) * count(*) = 0 THEN (CASE WHEN sum((y - p) * (y - p)) = 0 THEN 1.0 ELSE 0.0 END)
+                  ELSE 1.0 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) END AS r2
+      FROM ({PREDS}) pr
+      WHERE seq_no - cut2 < floor((n_total - cut2) / 24) * 24
+      GROUP BY ALL) x
+"""
+ORACLE["errors_by_hour"] = q.select(BY_HOUR, {"model": "s", "hour_of_day": "i", "mae": "d", "rmse": "d",
+                                              "mape": "d", "r2": "d", "composite": "d"})
+BY_ZONE = f"SELECT model, location_id, avg(abs(y - p)) AS mae FROM ({PREDS}) pr GROUP BY ALL"
+ORACLE["errors_by_zone"] = q.select(BY_ZONE, {"model": "s", "location_id": "s", "mae": "d"})
+ORACLE["error_matrix"] = q.select(
+    f"SELECT model, location_id, step, avg(abs(y - p)) AS mae FROM ({PREDS}) pr GROUP BY ALL",
+    {"model": "s", "location_id": "s", "step": "i", "mae": "d"})
+ORACLE["best_hours"] = q.select(f"""
+    SELECT * FROM (SELECT model, row_number() OVER (PARTITION BY model ORDER BY composite, hour_of_day) AS rank,
+                          hour_of_day, composite FROM ({BY_HOUR}) b) r WHERE rank <= 10
+""", {"model": "s", "rank": "i", "hour_of_day": "i", "composite": "d"})
+ORACLE["best_zones"] = q.select(f"""
+    SELECT * FROM (SELECT model, row_number() OVER (PARTITION BY model ORDER BY mae, location_id) AS rank,
+                          location_id, mae FROM ({BY_ZONE}) b) r WHERE rank <= 10
+""", {"model": "s", "rank": "i", "location_id": "s", "mae": "d"})
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -10,9 +10,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from demandlake import catalog
+from demandlake.functions import calendar as cal
 from demandlake.operators import features as feat
-from demandlake.plans import daily
+from demandlake.operators import metrics, profile, sequences
+from demandlake.operators.hourly import hourly_cost
+from demandlake.plans import daily, experiment
+from demandlake.sources import feeds, sinks, weather, whitelist
 from demandlake.plans.report import report
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +52,214 @@ def q_hourly_features_row(spark: SparkSession, sf_dir: str) -> DataFrame:
                             "is_post_holiday", "lag_1h", "lag_24h", "lag_168h"))
 
 
+# --- sources, cleaning, unification (A, B) --------------------------------
+
+UNIFY_START, UNIFY_END = "1995-01-01", "2024-02-01"
+COST_START, COST_END, COST_CAP = "1995-01-01", "2002-01-01", 2000.0
+
+
+@register("unified_trips")
+def q_unified_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three feeds with different raw schemas -> (location_id, date, hour),
+    per-feed dedup (batch job semantics)."""
+    return report(feeds.unify_trips(spark, catalog.driver_feeds(sf_dir), UNIFY_START, UNIFY_END))
+
+
+@register("unified_trips_global_dedup")
+def q_unified_trips_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(feeds.unify_trips(spark, catalog.driver_feeds(sf_dir), UNIFY_START, UNIFY_END,
+                                    dedup="global"))
+
+
+def _cost_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zones = whitelist.zone_whitelist(spark)
+    return feeds.unify_costs(spark, [catalog.cost_feed(sf_dir)], COST_START, COST_END,
+                             zones=zones, cap=COST_CAP)
+
+
+@register("hourly_cost")
+def q_hourly_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(hourly_cost(_cost_trips(spark, sf_dir)))
+
+
+@register("wide_feed_duplicates")
+def q_wide_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Union on the shared columns after harmonising names (A7), then the
+    full-row duplicate count (B4)."""
+    frames = [catalog.load(spark, sf_dir, t) for t in ("events", "orders", "lineitem")]
+    wide = feeds.union_on_common_columns(frames, catalog.WIDE_RENAME)
+    return report(profile.duplicate_count(wide))
+
+
+@register("orders_out_of_range")
+def q_out_of_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(profile.out_of_range(catalog.load(spark, sf_dir, "orders"), "o_orderdate",
+                                       "1996-01-01", "2000-12-31"))
+
+
+@register("trips_row_count")
+def q_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(profile.row_count(daily.clean_trips(spark, sf_dir)))
+
+
+# --- profiles and exploratory aggregates (C) ------------------------------
+
+@register("events_column_profile")
+def q_column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(profile.column_profile(catalog.load(spark, sf_dir, "events")))
+
+
+@register("weather_null_ratio")
+def q_null_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(profile.null_ratio(daily.feature_table(spark, sf_dir), "temp"))
+
+
+@register("user_value_counts")
+def q_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(profile.value_counts(catalog.load(spark, sf_dir, "events"), "user_id", 10))
+
+
+@register("events_nunique")
+def q_nunique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(profile.n_unique(catalog.load(spark, sf_dir, "events"), ["user_id", "event_type"]))
+
+
+@register("busiest_hours")
+def q_busiest_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(profile.busiest_hours(catalog.load(spark, sf_dir, "events"), "ts", 10))
+
+
+@register("rides_by_hour")
+def q_rides_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(profile.total_by(daily.hourly(spark, sf_dir), "hour", name="total_rides"))
+
+
+@register("rides_by_weekday")
+def q_rides_by_weekday(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = daily.hourly(spark, sf_dir).withColumn("day_of_week", F.weekday("date"))
+    return report(profile.total_by(h, "day_of_week", name="total_rides"))
+
+
+@register("holiday_vs_regular")
+def q_holiday_vs_regular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(profile.holiday_vs_regular(daily.feature_table(spark, sf_dir)))
+
+
+@register("top_cost_zones")
+def q_top_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(profile.top_by_total(hourly_cost(_cost_trips(spark, sf_dir)), "location_id", n=10))
+
+
+@register("zone_feature_means")
+def q_zone_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(profile.zone_means(daily.feature_table(spark, sf_dir), feat.SEQ_FEATURES))
+
+
+# --- calendar, weather, stations (F9, A11, A12) ---------------------------
+
+@register("holiday_calendar")
+def q_holiday_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = catalog.load(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("date"))
+    return report(cal.dim_holiday(spark, orders))
+
+
+@register("weather_hourly")
+def q_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(daily.weather_table(spark, sf_dir))
+
+
+@register("nearest_station")
+def q_nearest_station(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stations = weather.driver_stations(catalog.load(spark, sf_dir, "supplier"))
+    return report(weather.nearest_station(stations))
+
+
+# --- ordering helpers, samples (A14, D10) ---------------------------------
+
+@register("feature_sample_head")
+def q_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(sinks.sample_head(daily.feature_table(spark, sf_dir), ["location_id", "date", "hour"], 15))
+
+
+@register("zone_index")
+def q_zone_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(sequences.zone_index(daily.hourly(spark, sf_dir)))
+
+
+# --- windows, scaling, baselines, evaluation (G, H, I) --------------------
+
+WINDOW_COLS = ("seq_no", "location_id", "zone_idx", "origin", "origin_date", "origin_hour", "split")
+
+
+@register("sequence_windows")
+def q_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(experiment.feature_windows(spark, sf_dir).select(*WINDOW_COLS))
+
+
+@register("window_targets")
+def q_window_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = sequences.targets_long(experiment.feature_windows(spark, sf_dir))
+    return report(t.select("seq_no", "step", "y"))
+
+
+SCALER_COLS = ("feature", "n", "n_valid", "mean", "scale")
+
+
+@register("scaler_params")
+def q_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(experiment.scaler(spark, sf_dir).select(*SCALER_COLS))
+
+
+@register("scaler_params_merged")
+def q_scaler_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(experiment.scaler_merged(spark, sf_dir).select(*SCALER_COLS))
+
+
+@register("scaled_features")
+def q_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(experiment.scaled_features(spark, sf_dir))
+
+
+@register("baseline_forecasts")
+def q_baseline_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = experiment.baseline_predictions(spark, sf_dir)
+    return report(p.select("seq_no", "location_id", "step", "model", "y", "p"))
+
+
+@register("baseline_metrics")
+def q_baseline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(experiment.model_metrics(spark, sf_dir))
+
+
+@register("errors_by_hour")
+def q_errors_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(experiment.errors_by_hour(spark, sf_dir))
+
+
+@register("errors_by_zone")
+def q_errors_by_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(experiment.errors_by_zone(spark, sf_dir))
+
+
+@register("error_matrix")
+def q_error_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(experiment.error_matrix(spark, sf_dir))
+
+
+@register("best_hours")
+def q_best_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = experiment.errors_by_hour(spark, sf_dir)
+    return report(metrics.best(h, "composite", 10, "hour_of_day", by=["model"])
+                  .select("model", "rank", "hour_of_day", "composite"))
+
+
+@register("best_zones")
+def q_best_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = experiment.errors_by_zone(spark, sf_dir)
+    return report(metrics.best(z, "mae", 10, "location_id", by=["model"])
+                  .select("model", "rank", "location_id", "mae"))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
 

@@ -2,7 +2,7 @@
 
 Results are compared by value hash against DuckDB, so every registered
 query ends with the same presentation rules on both sides: doubles rounded
-to a fixed number of places (``+ 0.0`` turns -0.0 into 0.0), integers as
+to a fixed number of places (half up, ``+ 0.0`` turns -0.0 into 0.0), integers as
 BIGINT, dates as ``yyyy-MM-dd`` and timestamps as ``yyyy-MM-dd HH:mm:ss``
 text (F14).
 """
@@ -16,6 +16,16 @@ from pyspark.sql import types as T
 DIGITS = 6
 
 
+def round_half_up(x, digits: int = DIGITS):
+    """floor(x * 10^d + 0.5) / 10^d: plain IEEE operations, so every engine
+    rounds the same double to the same result (decimal-tie rules differ
+    between engines).  NaN and infinities pass through."""
+    scale = float(10 ** digits)
+    special = F.isnan(x) | (x == F.lit(float("inf"))) | (x == F.lit(float("-inf")))
+    rounded = F.floor(x * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale) + F.lit(0.0)
+    return F.when(special, x).otherwise(rounded)
+
+
 def report(df: DataFrame, digits: int = DIGITS, keep: tuple[str, ...] = ()) -> DataFrame:
     cols = []
     for f in df.schema.fields:
@@ -24,7 +34,7 @@ def report(df: DataFrame, digits: int = DIGITS, keep: tuple[str, ...] = ()) -> D
         if f.name in keep:
             cols.append(c)
         elif isinstance(t, (T.DoubleType, T.FloatType, T.DecimalType)):
-            cols.append((F.round(c.cast("double"), digits) + F.lit(0.0)).alias(f.name))
+            cols.append(round_half_up(c.cast("double"), digits).alias(f.name))
         elif isinstance(t, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
             cols.append(c.cast("bigint").alias(f.name))
         elif isinstance(t, T.BooleanType):

@@ -44,7 +44,8 @@ def cyc(x: str, period: int, fn: str) -> str:
 
 
 def dbl(x: str, digits: int = DIGITS) -> str:
-    return f"(round(CAST({x} AS DOUBLE), {digits}) + 0.0)"
+    scale = f"CAST({float(10 ** digits)!r} AS DOUBLE)"
+    return f"(floor(CAST({x} AS DOUBLE) * {scale} + 0.5) / {scale} + 0.0)"
 
 
 def big(x: str) -> str:
