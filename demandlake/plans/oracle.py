@@ -394,5 +394,204 @@ ORACLE["best_zones"] = q.select(f"""
 """, {"model": "s", "rank": "i", "location_id": "s", "mae": "d"})
 
 
+# --- serving -------------------------------------------------------------------
+
+SERIES_TS = f"SELECT *, CAST(date AS TIMESTAMP) + to_hours(CAST(hour AS BIGINT)) AS ts FROM ({features_sql()}) f0"
+REQUESTS = """
+    SELECT e.event_id AS request_id, e.user_id, e.ts AS target_ts, h.location_id
+    FROM events e LEFT JOIN (
+      SELECT user_id, first(event_type ORDER BY ts, event_id) AS location_id FROM events GROUP BY user_id
+    ) h ON e.user_id = h.user_id
+    WHERE e.event_type = 'purchase'
+"""
+RESOLVED = f"""
+    SELECT r.request_id, r.location_id, r.target_ts,
+           CASE WHEN b.n_rows IS NULL THEN 'no_zone'
+                WHEN date_trunc('hour', r.target_ts) < b.first_ts THEN 'no_history' ELSE 'ok' END AS status,
+           CASE WHEN b.n_rows IS NOT NULL AND date_trunc('hour', r.target_ts) >= b.first_ts
+                THEN (SELECT max(s.time_idx) FROM ({SERIES_TS}) s
+                      WHERE s.location_id = r.location_id AND s.ts <= r.target_ts) END AS asof_idx
+    FROM ({REQUESTS}) r LEFT JOIN (
+      SELECT location_id, min(ts) AS first_ts, count(*) AS n_rows FROM ({SERIES_TS}) s0 GROUP BY location_id
+    ) b ON r.location_id = b.location_id
+"""
+ORACLE["serving_status"] = q.select(
+    f"SELECT *, coalesce(asof_idx + 1, 0) AS n_available FROM ({RESOLVED}) x",
+    {"request_id": "i", "location_id": "s", "target_ts": "ts", "status": "s", "asof_idx": "i",
+     "n_available": "i"})
+
+
+def _nan(c: str) -> str:
+    return f"CASE WHEN isnan(CAST({c} AS DOUBLE)) THEN NULL ELSE CAST({c} AS DOUBLE) END"
+
+
+ORACLE["serving_windows"] = q.select(f"""
+    WITH p AS ({_scaler_sql()}),
+    s AS ({SERIES_TS}),
+    m AS (SELECT location_id, {', '.join(f'avg({_nan(c)}) AS m_{c}' for c in _SEQ)} FROM s GROUP BY location_id),
+    pos AS (SELECT request_id, location_id, r.pos, asof_idx - 71 + r.pos AS src
+            FROM ({RESOLVED}) x CROSS JOIN range(72) AS r(pos) WHERE status = 'ok')
+    SELECT pos.request_id, pos.location_id, pos.pos, pos.src < 0 AS padded,
+      {', '.join(f"(coalesce({_nan('s.' + c)}, m.m_{c}) - (SELECT mean FROM p WHERE feature = '{c}')) "
+                 f"/ (SELECT scale FROM p WHERE feature = '{c}') AS {c}" for c in _SEQ)}
+    FROM pos LEFT JOIN s ON s.location_id = pos.location_id AND s.time_idx = pos.src
+    JOIN m ON m.location_id = pos.location_id
+""", {"request_id": "i", "location_id": "s", "pos": "i", "padded": "i", **{c: "d" for c in _SEQ}})
+
+ORACLE["cost_features"] = q.select(f"""
+    SELECT location_id, trips_count, hour,
+      CASE WHEN isnan(w.temp) THEN 'nan'::DOUBLE WHEN coalesce(w.temp, 0) = 0 THEN 0.0 ELSE w.temp END AS temp,
+      CASE WHEN isnan(w.prcp) THEN 'nan'::DOUBLE WHEN coalesce(w.prcp, 0) = 0 THEN 0.0 ELSE w.prcp END AS prcp,
+      CASE WHEN isnan(w.wspd) THEN 'nan'::DOUBLE WHEN coalesce(w.wspd, 0) = 0 THEN 0.0 ELSE w.wspd END AS wspd,
+      isodow(date) - 1 AS day_of_week, month(date) AS month,
+      CASE WHEN isodow(date) >= 6 THEN 1 ELSE 0 END AS is_weekend,
+      {q.is_holiday('date')} AS is_holiday,
+      CASE WHEN day(date) = 1 THEN 1 ELSE 0 END AS is_month_start,
+      CASE WHEN date = last_day(date) THEN 1 ELSE 0 END AS is_month_end,
+      dayofyear(date) AS day_of_year, weekofyear(date) AS week_of_year,
+      {q.is_holiday('date + INTERVAL 1 DAY')} AS is_pre_holiday,
+      {q.is_holiday('date - INTERVAL 1 DAY')} AS is_post_holiday
+    FROM ({HOURLY}) h LEFT JOIN ({WEATHER}) w USING (date, hour)
+""", {"location_id": "s", "trips_count": "i", "hour": "i", "temp": "d", "prcp": "d", "wspd": "d",
+      "day_of_week": "i", "month": "i", "is_weekend": "i", "is_holiday": "i", "is_month_start": "i",
+      "is_month_end": "i", "day_of_year": "i", "week_of_year": "i", "is_pre_holiday": "i",
+      "is_post_holiday": "i"})
+
+ORACLE["post_processed_forecasts"] = q.select(f"""
+    WITH p AS ({_scaler_sql()}),
+    y AS (SELECT mean AS my, scale AS sy FROM p WHERE feature = 'y')
+    SELECT seq_no, t.step,
+           round_even(greatest(((window_mean - my) / sy) * sy + my, 0.0), 0) AS p_round,
+           CAST(ceil(greatest(((window_mean - my) / sy) * sy + my, 0.0)) AS DOUBLE) AS p_ceil
+    FROM ({WINDOWS}) w CROSS JOIN y CROSS JOIN range(24) AS t(step)
+    WHERE split = 'test'
+""", {"seq_no": "i", "step": "i", "p_round": "d", "p_ceil": "d"})
+
+# --- accounts --------------------------------------------------------------------
+
+CENTS = "CAST(floor(o_totalprice / 100.0 * 100.0 + 0.5) AS BIGINT)"
+OPS = f"""
+    SELECT o_custkey AS user_id, o_orderkey AS op_id, o_orderdate AS ts,
+           CASE WHEN o_orderstatus = 'F' THEN 'deposit' ELSE 'withdraw' END AS kind,
+           {CENTS} AS amount_cents,
+           row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn
+    FROM orders
+"""
+ORACLE["ledger_replay"] = q.select(f"""
+    WITH RECURSIVE ops AS ({OPS}),
+    r AS (
+      SELECT user_id, rn, op_id, kind, amount_cents,
+             CASE WHEN kind = 'deposit' THEN amount_cents > 0 ELSE amount_cents >= 0 AND amount_cents <= 0 END
+               AS accepted,
+             CASE WHEN kind = 'deposit' AND amount_cents > 0 THEN amount_cents ELSE 0 END AS balance_cents
+      FROM ops WHERE rn = 1
+      UNION ALL
+      SELECT o.user_id, o.rn, o.op_id, o.kind, o.amount_cents,
+             CASE WHEN o.kind = 'deposit' THEN o.amount_cents > 0
+                  ELSE o.amount_cents >= 0 AND o.amount_cents <= r.balance_cents END,
+             CASE WHEN o.kind = 'deposit' AND o.amount_cents > 0 THEN r.balance_cents + o.amount_cents
+                  WHEN o.kind = 'withdraw' AND o.amount_cents >= 0 AND o.amount_cents <= r.balance_cents
+                    THEN r.balance_cents - o.amount_cents
+                  ELSE r.balance_cents END
+      FROM r JOIN ops o ON o.user_id = r.user_id AND o.rn = r.rn + 1
+    )
+    SELECT user_id, op_id, kind, amount_cents, accepted, balance_cents FROM r
+""", {"user_id": "i", "op_id": "i", "kind": "s", "amount_cents": "i", "accepted": "i", "balance_cents": "i"})
+
+SIGNED = f"CASE WHEN o_orderstatus = 'F' THEN {CENTS} ELSE -{CENTS} END"
+ORACLE["ledger_balances"] = q.select(f"""
+    SELECT o_custkey AS user_id, o_orderkey AS op_id, {SIGNED} AS signed_cents,
+           sum({SIGNED}) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS balance_cents
+    FROM orders
+""", {"user_id": "i", "op_id": "i", "signed_cents": "i", "balance_cents": "i"})
+
+ORACLE["ledger_history"] = q.select(f"""
+    SELECT * FROM (
+      SELECT o_custkey AS user_id,
+             row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS position,
+             o_orderkey AS op_id, o_orderdate AS ts, {SIGNED} AS signed_cents
+      FROM orders) h WHERE position <= 5
+""", {"user_id": "i", "position": "i", "op_id": "i", "ts": "ts", "signed_cents": "i"})
+
+TIER = ("CASE WHEN c_acctbal >= 8000.0 THEN 'diamond' WHEN c_acctbal >= 5000.0 THEN 'gold' "
+        "WHEN c_acctbal >= 2000.0 THEN 'silver' ELSE 'bronze' END")
+USERS = f"""
+    SELECT c_custkey AS user_id, c_name AS username, {TIER} AS tier,
+           CASE WHEN {TIER} <> 'bronze' THEN DATE '2024-01-01' + CAST(floor(c_acctbal / 100) AS INTEGER) END
+             AS tier_end,
+           CAST(floor(c_acctbal * 100.0 + 0.5) AS BIGINT) AS balance_cents
+    FROM customer
+"""
+PRICE = ("CASE tier WHEN 'bronze' THEN 20.0 WHEN 'silver' THEN 15.0 WHEN 'gold' THEN 10.0 "
+         "ELSE 5.0 END")
+ORACLE["request_prices"] = q.select(f"""
+    SELECT user_id, tier, {PRICE} AS price,
+           CASE tier WHEN 'bronze' THEN 0.0 WHEN 'silver' THEN 100.0 WHEN 'gold' THEN 200.0
+                     WHEN 'diamond' THEN 500.0 END AS tier_price
+    FROM ({USERS}) u
+""", {"user_id": "i", "tier": "s", "price": "d", "tier_price": "d"})
+
+ORACLE["daily_quota"] = q.select(f"""
+    SELECT request_id, user_id, day, tier, paid,
+           paid OR tier = 'diamond'
+             OR rn <= CASE coalesce(tier, 'bronze') WHEN 'bronze' THEN 10 WHEN 'silver' THEN 100 ELSE 1000 END
+             AS passes
+    FROM (
+      SELECT e.event_id AS request_id, e.user_id, CAST(e.ts AS DATE) AS day, u.tier,
+             e.event_type = 'purchase' AS paid,
+             row_number() OVER (PARTITION BY e.user_id, CAST(e.ts AS DATE) ORDER BY e.ts, e.event_id) AS rn
+      FROM events e LEFT JOIN ({USERS}) u ON e.user_id = u.user_id
+    ) x
+""", {"request_id": "i", "user_id": "i", "day": "day", "tier": "s", "paid": "i", "passes": "i"})
+
+ORACLE["affordability"] = q.select(f"""
+    SELECT e.event_id AS request_id, e.user_id, u.tier,
+           CASE coalesce(u.tier, 'bronze') WHEN 'bronze' THEN 20.0 WHEN 'silver' THEN 15.0
+                WHEN 'gold' THEN 10.0 ELSE 5.0 END AS price,
+           CASE coalesce(u.tier, 'bronze') WHEN 'bronze' THEN 20.0 WHEN 'silver' THEN 15.0
+                WHEN 'gold' THEN 10.0 ELSE 5.0 END * 100 <= coalesce(u.balance_cents, 0) AS affordable
+    FROM events e LEFT JOIN ({USERS}) u ON e.user_id = u.user_id
+    WHERE e.event_type = 'purchase'
+""", {"request_id": "i", "user_id": "i", "tier": "s", "price": "d", "affordable": "i"})
+
+ORACLE["tier_expiry"] = q.select(f"""
+    SELECT user_id,
+           CASE WHEN tier_end IS NOT NULL AND tier_end < DATE '2024-02-01' AND tier <> 'bronze'
+                THEN 'bronze' ELSE tier END AS tier,
+           CASE WHEN tier_end IS NOT NULL AND tier_end < DATE '2024-02-01' AND tier <> 'bronze'
+                THEN NULL ELSE tier_end END AS tier_end
+    FROM ({USERS}) u
+""", {"user_id": "i", "tier": "s", "tier_end": "day"})
+
+ORACLE["register_users"] = q.select("""
+    WITH names AS (
+      SELECT DISTINCT c_name AS username FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)
+      UNION SELECT s_name FROM supplier)
+    SELECT c.c_custkey AS user_id, n.username, FALSE AS created
+    FROM names n JOIN customer c ON c.c_name = n.username
+    UNION ALL
+    SELECT (SELECT coalesce(max(c_custkey), 0) FROM customer) + row_number() OVER (ORDER BY username) AS user_id,
+           username, TRUE AS created
+    FROM names WHERE username NOT IN (SELECT c_name FROM customer)
+""", {"user_id": "i", "username": "s", "created": "i"})
+
+ORACLE["monthly_active_users"] = q.select("""
+    SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(DISTINCT o_custkey) AS active_users
+    FROM orders GROUP BY 1
+""", {"month": "day", "active_users": "i"})
+
+ORACLE["cohort_retention"] = q.select("""
+    WITH um AS (SELECT DISTINCT o_custkey AS user_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS month
+                FROM orders),
+    f AS (SELECT user_id, min(month) AS cohort FROM um GROUP BY user_id),
+    cs AS (SELECT cohort, count(*) AS cohort_size FROM f GROUP BY cohort)
+    SELECT f.cohort, datediff('month', f.cohort, um.month) AS months_since, count(*) AS active_users,
+           cs.cohort_size, count(*) / cs.cohort_size AS retention
+    FROM um JOIN f ON um.user_id = f.user_id JOIN cs ON cs.cohort = f.cohort
+    GROUP BY f.cohort, months_since, cs.cohort_size
+""", {"cohort": "day", "months_since": "i", "active_users": "i", "cohort_size": "i", "retention": "d"})
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from demandlake import catalog
 from demandlake.functions import calendar as cal
 from demandlake.operators import features as feat
-from demandlake.operators import metrics, profile, sequences
+from demandlake.operators import ledger, metrics, profile, sequences, serving
 from demandlake.operators.hourly import hourly_cost
 from demandlake.plans import daily, experiment
-from demandlake.sources import feeds, sinks, weather, whitelist
+from demandlake.plans import requests as requests_plan
+from demandlake.sources import accounts, feeds, sinks, weather, whitelist
 from demandlake.plans.report import report
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -260,6 +261,113 @@ def q_best_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
                   .select("model", "rank", "location_id", "mae"))
 
 
+# --- serving (E3, E4, G9-G11, J1-J4) ----------------------------------------
+
+@register("serving_status")
+def q_serving_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series = serving.series_ts(daily.feature_table(spark, sf_dir))
+    req = requests_plan.driver_requests(spark, sf_dir)
+    out = serving.resolve_requests(series, req)
+    return report(out.select("request_id", "location_id", "target_ts", "status", "asof_idx", "n_available"))
+
+
+@register("serving_windows")
+def q_serving_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(requests_plan.scaled_windows(spark, sf_dir))
+
+
+@register("cost_features")
+def q_cost_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(serving.cost_features(daily.hourly(spark, sf_dir), daily.weather_table(spark, sf_dir)))
+
+
+@register("post_processed_forecasts")
+def q_post_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(requests_plan.post_processed(spark, sf_dir))
+
+
+# --- accounts (K, D12) -------------------------------------------------------
+
+@register("ledger_replay")
+def q_ledger_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops = accounts.movements(catalog.load(spark, sf_dir, "orders"), with_tiers=False)
+    out = ledger.replay_ledger(ops)
+    return report(out.select("user_id", "op_id", "kind", "amount_cents", "accepted", "balance_cents"))
+
+
+@register("tier_replay")
+def q_tier_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops = accounts.movements(catalog.load(spark, sf_dir, "orders"), with_tiers=True)
+    out = ledger.replay_ledger(ops)
+    return report(out.select("user_id", "op_id", "kind", "level", "accepted", "reason", "balance_cents",
+                             "tier", "tier_end"))
+
+
+@register("ledger_balances")
+def q_ledger_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops = accounts.movements(catalog.load(spark, sf_dir, "orders"))
+    return report(ledger.running_balance(ops).select("user_id", "op_id", "signed_cents", "balance_cents"))
+
+
+@register("ledger_history")
+def q_ledger_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops = accounts.movements(catalog.load(spark, sf_dir, "orders"))
+    return report(ledger.history(ops, 5).select("user_id", "position", "op_id", "ts", "signed_cents"))
+
+
+@register("request_prices")
+def q_request_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = accounts.users(catalog.load(spark, sf_dir, "customer"))
+    return report(u.select("user_id", "tier", ledger.request_price(F.col("tier")).alias("price"),
+                           ledger.tier_price(F.col("tier")).alias("tier_price")))
+
+
+@register("daily_quota")
+def q_daily_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    req = accounts.requests(catalog.load(spark, sf_dir, "events"))
+    u = accounts.users(catalog.load(spark, sf_dir, "customer"))
+    return report(ledger.quota(req, u).select("request_id", "user_id", "day", "tier", "paid", "passes"))
+
+
+@register("affordability")
+def q_affordability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    req = accounts.requests(catalog.load(spark, sf_dir, "events")).where(F.col("paid"))
+    u = accounts.users(catalog.load(spark, sf_dir, "customer"))
+    return report(ledger.affordability(req, u).select("request_id", "user_id", "tier", "price", "affordable"))
+
+
+@register("tier_expiry")
+def q_tier_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = accounts.users(catalog.load(spark, sf_dir, "customer"))
+    return report(ledger.expire_tiers(u, F.to_date(F.lit("2024-02-01"))).select("user_id", "tier", "tier_end"))
+
+
+@register("register_users")
+def q_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registrations: every supplier name and every customer name with an
+    order; known names keep their row, new ones get the next ids."""
+    existing = accounts.users(catalog.load(spark, sf_dir, "customer"))
+    cust = catalog.load(spark, sf_dir, "customer")
+    with_orders = cust.join(catalog.load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")),
+                            "c_custkey", "left_semi").select(F.col("c_name").alias("username"))
+    supp = catalog.load(spark, sf_dir, "supplier").select(F.col("s_name").alias("username"))
+    return report(ledger.register_users(existing, with_orders.unionByName(supp)))
+
+
+@register("monthly_active_users")
+def q_mau(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = catalog.load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"),
+                                                      F.col("o_orderdate").alias("ts"))
+    return report(ledger.monthly_active(o))
+
+
+@register("cohort_retention")
+def q_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = catalog.load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"),
+                                                      F.col("o_orderdate").alias("ts"))
+    return report(ledger.retention(o))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
 
