@@ -11,8 +11,7 @@ with an integer weight per row: no 72x explosion is needed.  For the row at
     w_y(j) = max(0, min(j, 71 + ntr) - max(j - 23, 72) + 1)      (targets)
 
 ``ntr = clamp(cut1 - offset, 0, n_windows)`` comes from the per-zone table.
-Statistics are computed in long form (feature, x, w) with a two-pass mean /
-sum of squared deviations, so a constant feature gets exactly zero variance.
+Statistics are computed in long form (feature, x, w) in one aggregate pass.
 Missing values (null / NaN) are imputed by the training mean first, as the
 reference does; imputed entries count in ``n`` with zero deviation.
 """
@@ -69,17 +68,23 @@ def fit_scaler(long: DataFrame) -> DataFrame:
     ``mean`` ignores missing values (0 when all are missing: G8's fill);
     ``m2`` is the weighted sum of squared deviations of the present values;
     variance = m2 / n (population); scale = sqrt(variance), 0 -> 1.
+
+    One aggregate pass over (sum w, sum w*x, sum w*x^2).  The difference
+    sum w*x^2 - (sum w*x)^2 / n is exact for integer-valued constants; a
+    residue below 1e-12 of sum w*x^2 is rounding noise of a constant
+    feature and is taken as 0.
     """
-    first = long.groupBy("feature").agg(
+    valid = F.col("x").isNotNull()
+    agg = long.groupBy("feature").agg(
         F.sum("w").alias("n"),
-        F.sum(F.when(F.col("x").isNotNull(), F.col("w"))).alias("n_valid"),
-        F.sum(F.col("w") * F.col("x")).alias("_sx"))
-    means = first.select("feature", "n", F.coalesce("n_valid", F.lit(0)).alias("n_valid"),
-                         F.coalesce(F.col("_sx") / F.col("n_valid"), F.lit(0.0)).alias("mean"))
-    dev = (long.join(F.broadcast(means.select("feature", F.col("mean").alias("_m"))), "feature")
-           .groupBy("feature")
-           .agg(F.coalesce(F.sum(F.col("w") * F.pow(F.col("x") - F.col("_m"), 2)), F.lit(0.0)).alias("m2")))
-    return finish(means.join(dev, "feature"))
+        F.coalesce(F.sum(F.when(valid, F.col("w"))), F.lit(0)).alias("n_valid"),
+        F.sum(F.col("w") * F.col("x")).alias("_s1"),
+        F.sum(F.col("w") * F.col("x") * F.col("x")).alias("_s2"))
+    mean = F.col("_s1") / F.col("n_valid")
+    raw = F.col("_s2") - F.col("_s1") * mean
+    m2 = F.when(raw <= F.abs(F.col("_s2")) * F.lit(1e-12), F.lit(0.0)).otherwise(raw)
+    return finish(agg.select("feature", "n", "n_valid", F.coalesce(mean, F.lit(0.0)).alias("mean"),
+                             F.coalesce(m2, F.lit(0.0)).alias("m2")))
 
 
 def finish(params: DataFrame) -> DataFrame:

@@ -593,5 +593,63 @@ ORACLE["cohort_retention"] = q.select("""
 """, {"cohort": "day", "months_since": "i", "active_users": "i", "cohort_size": "i", "retention": "d"})
 
 
+# --- publish, pivots, text ---------------------------------------------------------
+
+ORACLE["publish_upsert"] = q.select(f"""
+    WITH h AS ({HOURLY}),
+    old AS (SELECT *, 1 AS version FROM h WHERE date < DATE '2024-01-20'),
+    new AS (SELECT *, 2 AS version FROM h WHERE date >= DATE '2024-01-15')
+    SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.location_id = old.location_id
+                                          AND new.date = old.date AND new.hour = old.hour)
+    UNION ALL SELECT * FROM new
+""", {"date": "day", "hour": "i", "location_id": "s", "trips_count": "i", "version": "i"})
+ORACLE["publish_append"] = q.select(f"""
+    WITH h AS ({HOURLY})
+    SELECT *, 1 AS version FROM h WHERE date < DATE '2024-01-20'
+    UNION ALL SELECT *, 2 AS version FROM h WHERE date >= DATE '2024-01-15'
+""", {"date": "day", "hour": "i", "location_id": "s", "trips_count": "i", "version": "i"})
+
+ORACLE["error_matrix_wide"] = q.select(
+    f"SELECT model, location_id, "
+    + ", ".join(f"max(CASE WHEN step = {k} THEN mae END) AS step_{k:02d}" for k in range(24))
+    + f" FROM (SELECT model, location_id, step, avg(abs(y - p)) AS mae FROM ({PREDS}) pr GROUP BY ALL) m"
+    + " GROUP BY model, location_id",
+    {"model": "s", "location_id": "s", **{f"step_{k:02d}": "d" for k in range(24)}})
+ORACLE["demand_heatmap"] = q.select(
+    "SELECT location_id, "
+    + ", ".join(f"sum(CASE WHEN hour = {k} THEN trips_count END) AS h_{k:02d}" for k in range(24))
+    + f" FROM ({HOURLY}) h GROUP BY location_id",
+    {"location_id": "s", **{f"h_{k:02d}": "i" for k in range(24)}})
+
+_PP = f"""
+    WITH p AS ({_scaler_sql()}),
+    y AS (SELECT mean AS my, scale AS sy FROM p WHERE feature = 'y')
+    SELECT seq_no, origin_hour,
+           CAST(ceil(greatest(((window_mean - my) / sy) * sy + my, 0.0)) AS BIGINT) AS d
+    FROM ({WINDOWS}) w CROSS JOIN y WHERE split = 'test'
+"""
+_LINE = ("'🕒 ' || lpad(CAST(((origin_hour + t.step - 8) % 24 + 24) % 24 AS VARCHAR), 2, '0') "
+         "|| ':00 - 🚗 ' || CAST(d AS VARCHAR) || ' поездок'")
+ORACLE["forecast_text"] = q.select(f"""
+    SELECT seq_no, '[' || string_agg(CAST(d AS VARCHAR), ', ' ORDER BY t.step) || ']' AS result,
+           string_agg({_LINE}, chr(10) ORDER BY t.step) AS message
+    FROM ({_PP}) x CROSS JOIN range(24) AS t(step)
+    GROUP BY seq_no
+""", {"seq_no": "i", "result": "s", "message": "s"})
+
+ORACLE["request_messages"] = q.select(f"""
+    SELECT r.request_id AS prediction_id, r.user_id, 'lstmv3' AS model, r.location_id AS district,
+           (hour(r.target_ts) + 1) % 24 AS hour, 'NYC' AS city,
+           CASE coalesce(u.tier, 'bronze') WHEN 'bronze' THEN 20.0 WHEN 'silver' THEN 15.0
+                WHEN 'gold' THEN 10.0 ELSE 5.0 END AS cost,
+           year(r.target_ts + INTERVAL 1 HOUR) AS year, month(r.target_ts + INTERVAL 1 HOUR) AS month,
+           day(r.target_ts + INTERVAL 1 HOUR) AS day,
+           make_timestamp(2024, month(r.target_ts + INTERVAL 1 HOUR), day(r.target_ts + INTERVAL 1 HOUR),
+                          (hour(r.target_ts) + 1) % 24, 0, 0) AS target
+    FROM ({REQUESTS}) r LEFT JOIN ({USERS}) u ON r.user_id = u.user_id
+""", {"prediction_id": "i", "user_id": "i", "model": "s", "district": "s", "hour": "i", "city": "s",
+      "cost": "d", "year": "i", "month": "i", "day": "i", "target": "ts"})
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

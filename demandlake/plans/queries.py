@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 from demandlake import catalog
 from demandlake.functions import calendar as cal
+from demandlake.functions import text
+from demandlake.streaming.requests import MESSAGE_SCHEMA
 from demandlake.operators import features as feat
 from demandlake.operators import ledger, metrics, profile, sequences, serving
 from demandlake.operators.hourly import hourly_cost
+from demandlake.operators.hourly import hourly_demand as hourly_demand_of
 from demandlake.plans import daily, experiment
 from demandlake.plans import requests as requests_plan
 from demandlake.sources import accounts, feeds, sinks, weather, whitelist
@@ -368,6 +371,77 @@ def q_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(ledger.retention(o))
 
 
+# --- publish, pivots, text (A13, I9, J7, F14-F18) ---------------------------
+
+PUBLISH_KEYS = ("location_id", "date", "hour")
+
+
+def _publish_parts(spark: SparkSession, sf_dir: str):
+    """The published dataset holds hours before 2024-01-20 (version 1); the
+    new run recomputes from 2024-01-15 on (version 2), overlapping 5 days."""
+    trips = daily.clean_trips(spark, sf_dir)
+    h = hourly_demand_of(trips)
+    old = h.where(F.col("date") < F.to_date(F.lit("2024-01-20"))).withColumn("version", F.lit(1))
+    new = h.where(F.col("date") >= F.to_date(F.lit("2024-01-15"))).withColumn("version", F.lit(2))
+    return old, new
+
+
+@register("publish_upsert")
+def q_publish_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _publish_parts(spark, sf_dir)
+    return report(sinks.publish_upsert(old, new, PUBLISH_KEYS))
+
+
+@register("publish_append")
+def q_publish_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _publish_parts(spark, sf_dir)
+    return report(sinks.publish_append(old, new))
+
+
+@register("error_matrix_wide")
+def q_error_matrix_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = experiment.error_matrix(spark, sf_dir)
+    wide = long.groupBy("model", "location_id").pivot("step", list(range(24))).agg(F.first("mae"))
+    return report(wide.select("model", "location_id",
+                              *[F.col(f"`{k}`").alias(f"step_{k:02d}") for k in range(24)]))
+
+
+@register("demand_heatmap")
+def q_demand_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zone x hour-of-day trips (the heat-map data, J7 / C7 by zone)."""
+    h = daily.hourly(spark, sf_dir)
+    wide = h.groupBy("location_id").pivot("hour", list(range(24))).agg(F.sum("trips_count"))
+    return report(wide.select("location_id", *[F.col(f"`{k}`").alias(f"h_{k:02d}") for k in range(24)]))
+
+
+@register("forecast_text")
+def q_forecast_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Serving forecasts (ceil) of the test windows as stored text and as
+    the hourly message lines (F15, F16)."""
+    pp = requests_plan.post_processed(spark, sf_dir)
+    arr = pp.groupBy("seq_no").agg(F.sort_array(F.collect_list(F.struct("step", "p_ceil"))).alias("_s"))
+    win = experiment.feature_windows(spark, sf_dir).select("seq_no", "origin_hour")
+    out = arr.join(win, "seq_no").withColumn("demand", F.col("_s.p_ceil"))
+    return report(out.select("seq_no", text.list_to_text(F.col("demand")).alias("result"),
+                             text.format_forecast(F.col("origin_hour"), F.col("demand")).alias("message")))
+
+
+@register("request_messages")
+def q_request_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request messages (A17 body, F17) encoded to JSON and decoded again,
+    with the target instant in the analogue year (F18)."""
+    req = requests_plan.driver_requests(spark, sf_dir)
+    u = accounts.users(catalog.load(spark, sf_dir, "customer"))
+    y, m, d = text.request_day(F.col("target_ts"))
+    body = req.join(u.select("user_id", "tier"), "user_id", "left").select(F.to_json(F.struct(
+        F.col("request_id").alias("prediction_id"), "user_id", F.lit("lstmv3").alias("model"),
+        F.col("location_id").alias("district"), text.next_hour(F.hour("target_ts")).alias("hour"),
+        F.lit("NYC").alias("city"), ledger.request_price(F.coalesce(F.col("tier"), F.lit("bronze"))).alias("cost"),
+        y.alias("year"), m.alias("month"), d.alias("day"))).alias("body"))
+    msg = body.select(F.from_json("body", MESSAGE_SCHEMA).alias("m")).select("m.*")
+    return report(msg.withColumn("target", text.analogue_ts(F.col("month"), F.col("day"), F.col("hour"))))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
 
