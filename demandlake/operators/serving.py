@@ -124,12 +124,19 @@ def post_process(df: DataFrame, pred: str, y_params: tuple[float, float],
 
 
 def cost_features(df: DataFrame, weather: DataFrame, names: str = "all_nine",
-                  date_col: str = "date", hour_col: str = "hour") -> DataFrame:
+                  date_col: str = "date", hour_col: str = "hour", carry: Sequence[str] = (),
+                  weather_fill: str = "zero") -> DataFrame:
     """The 16 cost-model columns for (location_id, date, hour, trips_count)
     rows (J4): calendar, calendar adjacency (D8) and the serving weather
-    lookup with 0 for a missing or zero observation (E4)."""
+    lookup with 0 for a missing or zero observation (E4).  Training rows use
+    ``weather_fill='null'``: a plain left join, missing values left for the
+    model's imputer."""
     d = F.col(date_col)
-    out = wx.weather_at(df, weather, keys=(date_col, hour_col))
+    if weather_fill == "zero":
+        out = wx.weather_at(df, weather, keys=(date_col, hour_col))
+    else:
+        out = df.join(F.broadcast(weather.select(date_col, hour_col, "temp", "prcp", "wspd")),
+                      [date_col, hour_col], "left")
     out = out.withColumns({
         "day_of_week": cal.day_of_week(d), "month": F.month(d), "is_weekend": cal.is_weekend(d),
         "is_holiday": cal.is_holiday(d, names), "is_month_start": cal.is_month_start(d),
@@ -138,7 +145,7 @@ def cost_features(df: DataFrame, weather: DataFrame, names: str = "all_nine",
         "is_pre_holiday": cal.is_holiday(F.date_add(d, 1), names),
         "is_post_holiday": cal.is_holiday(F.date_sub(d, 1), names),
     })
-    return out.select(*COST_FEATURES)
+    return out.select(*carry, *COST_FEATURES)
 
 
 # Cost-model column order.

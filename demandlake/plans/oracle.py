@@ -651,5 +651,17 @@ ORACLE["request_messages"] = q.select(f"""
       "cost": "d", "year": "i", "month": "i", "day": "i", "target": "ts"})
 
 
+# --- streaming mirrors of batch operators --------------------------------------------
+
+ORACLE["stream_hourly_demand"] = q.select(f"""
+    SELECT * FROM ({HOURLY}) h
+    WHERE CAST(date AS TIMESTAMP) + to_hours(CAST(hour AS BIGINT) + 1)
+          <= (SELECT max(ts) FROM events WHERE ts >= TIMESTAMP '2024-01-01 00:00:00'
+                AND ts < TIMESTAMP '2024-02-01 00:00:00') - INTERVAL 1 HOUR
+""", {"date": "day", "hour": "i", "location_id": "s", "trips_count": "i"})
+ORACLE["stream_daily_quota"] = ORACLE["daily_quota"]
+ORACLE["stream_publish"] = ORACLE["publish_upsert"]
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

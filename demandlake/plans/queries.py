@@ -20,7 +20,8 @@ from demandlake.operators import features as feat
 from demandlake.operators import ledger, metrics, profile, sequences, serving
 from demandlake.operators.hourly import hourly_cost
 from demandlake.operators.hourly import hourly_demand as hourly_demand_of
-from demandlake.plans import daily, experiment
+from demandlake.plans import daily, experiment, modeling
+from demandlake.plans import streams as stream_jobs
 from demandlake.plans import requests as requests_plan
 from demandlake.sources import accounts, feeds, sinks, weather, whitelist
 from demandlake.plans.report import report
@@ -442,6 +443,47 @@ def q_request_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(msg.withColumn("target", text.analogue_ts(F.col("month"), F.col("day"), F.col("hour"))))
 
 
+# --- models (H4-H7, I12, J5): checked by row count and pytest -----------------
+
+@register("linear_forecast_metrics")
+def q_linear_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(modeling.linear_metrics(spark, sf_dir))
+
+
+@register("cost_model_metrics")
+def q_cost_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(modeling.cost_metrics(spark, sf_dir))
+
+
+@register("priced_forecasts")
+def q_priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = modeling.priced_forecasts(spark, sf_dir)
+    return report(out.select("request_id", text.list_to_text(F.col("forecast")).alias("result"),
+                             text.list_to_text(F.col("trip_costs"), integral=False).alias("trip_costs")))
+
+
+# --- streaming (L1-L4) ---------------------------------------------------------
+
+@register("stream_hourly_demand")
+def q_stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(stream_jobs.hourly_from_events(spark, sf_dir))
+
+
+@register("stream_daily_quota")
+def q_stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(stream_jobs.quota_from_events(spark, sf_dir))
+
+
+@register("stream_publish")
+def q_stream_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(stream_jobs.publish_from_events(spark, sf_dir))
+
+
+@register("stream_request_scoring")
+def q_stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(stream_jobs.scoring_from_events(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
 
