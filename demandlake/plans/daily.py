@@ -44,6 +44,17 @@ def feature_table(spark: SparkSession, sf_dir: str, adjacency: str = "calendar",
                                adjacency=adjacency, names=names, lag_fill=lag_fill)
 
 
+def stable_features(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
+    """The feature table computed once and checkpointed into the shared
+    folder (``spark.checkpoint.dir``), for jobs that read it several times
+    (scaler fit, windows, serving).  Its size is zones x hours of the span,
+    independent of the trip volume; the checkpoint also cuts the lineage,
+    so a lost executor does not recompute the scan, dedup and windows."""
+    from demandlake.session import checkpoint_dir
+    checkpoint_dir(spark)
+    return feature_table(spark, sf_dir, **kw).checkpoint(eager=True)
+
+
 def materialise(df: DataFrame, path: str, partition_by: str | None = "date") -> DataFrame:
     """Write a stage as parquet (partitioned by date for pruning) and read it
     back: the lineage is cut and a lost executor recomputes nothing upstream."""

@@ -11,12 +11,14 @@ from demandlake.operators.features import SEQ_FEATURES
 from demandlake.plans import daily
 
 
-def feature_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.windows(daily.feature_table(spark, sf_dir))
+def feature_windows(spark: SparkSession, sf_dir: str, features: DataFrame | None = None) -> DataFrame:
+    f = features if features is not None else daily.stable_features(spark, sf_dir)
+    return sequences.windows(f)
 
 
-def scaler(spark: SparkSession, sf_dir: str, split: str = "train") -> DataFrame:
-    f = daily.feature_table(spark, sf_dir)
+def scaler(spark: SparkSession, sf_dir: str, split: str = "train",
+           features: DataFrame | None = None) -> DataFrame:
+    f = features if features is not None else daily.stable_features(spark, sf_dir)
     long = scaling.long_form(scaling.window_weights(f, split=split), SEQ_FEATURES)
     return scaling.fit_scaler(long)
 
@@ -24,7 +26,7 @@ def scaler(spark: SparkSession, sf_dir: str, split: str = "train") -> DataFrame:
 def scaler_merged(spark: SparkSession, sf_dir: str, cut_date: str = "2024-01-15") -> DataFrame:
     """The same fit as ``scaler`` computed as two partial fits over two date
     ranges and merged (G6): partial results combine exactly."""
-    w = scaling.window_weights(daily.feature_table(spark, sf_dir), split="train")
+    w = scaling.window_weights(daily.stable_features(spark, sf_dir), split="train")
     early = w.where(F.col("date") < F.to_date(F.lit(cut_date)))
     late = w.where(F.col("date") >= F.to_date(F.lit(cut_date)))
     a = scaling.fit_scaler(scaling.long_form(early, SEQ_FEATURES))
@@ -33,8 +35,8 @@ def scaler_merged(spark: SparkSession, sf_dir: str, cut_date: str = "2024-01-15"
 
 
 def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = daily.feature_table(spark, sf_dir)
-    params = scaler(spark, sf_dir)
+    f = daily.stable_features(spark, sf_dir)
+    params = scaler(spark, sf_dir, features=f)
     p = scaling.to_dict(params)
     out = scaling.transform(scaling.impute(f, p, SEQ_FEATURES), p, SEQ_FEATURES)
     return out.select("date", "hour", "location_id", *SEQ_FEATURES)

@@ -21,8 +21,8 @@ COST_NUMERIC = ("trips_count", "hour", "temp", "prcp", "wspd", "day_of_week", "m
 
 def window_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows with their scaled, imputed 72 x 24 inputs."""
-    f = daily.feature_table(spark, sf_dir)
-    params = scaling.to_dict(experiment.scaler(spark, sf_dir))
+    f = daily.stable_features(spark, sf_dir)
+    params = scaling.to_dict(experiment.scaler(spark, sf_dir, features=f))
     scaled = scaling.transform(scaling.impute(f, params, SEQ_FEATURES), params, SEQ_FEATURES)
     x = sequences.input_arrays(scaled, SEQ_FEATURES).select("location_id", "origin", "x")
     win = sequences.windows(f, baselines=False).select("seq_no", "location_id", "origin", "split", "y")
@@ -63,8 +63,9 @@ def cost_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def priced_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests -> as-of windows -> user model (H7) -> ceil post-process
     (J2) -> hourly prices from the cost model (J5)."""
-    series = serving.series_ts(daily.feature_table(spark, sf_dir))
-    params = scaling.to_dict(experiment.scaler(spark, sf_dir))
+    f = daily.stable_features(spark, sf_dir)
+    series = serving.series_ts(f)
+    params = scaling.to_dict(experiment.scaler(spark, sf_dir, features=f))
     req = requests.driver_requests(spark, sf_dir)
     arrays = serving.window_arrays(serving.serving_windows(series, req, params))
     scored = models.score_sequences(arrays, moving_average_model)

@@ -269,7 +269,7 @@ def q_best_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("serving_status")
 def q_serving_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series = serving.series_ts(daily.feature_table(spark, sf_dir))
+    series = serving.series_ts(daily.stable_features(spark, sf_dir))
     req = requests_plan.driver_requests(spark, sf_dir)
     out = serving.resolve_requests(series, req)
     return report(out.select("request_id", "location_id", "target_ts", "status", "asof_idx", "n_available"))
@@ -419,9 +419,10 @@ def q_demand_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_forecast_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Serving forecasts (ceil) of the test windows as stored text and as
     the hourly message lines (F15, F16)."""
-    pp = requests_plan.post_processed(spark, sf_dir)
+    f = daily.stable_features(spark, sf_dir)
+    pp = requests_plan.post_processed(spark, sf_dir, f)
     arr = pp.groupBy("seq_no").agg(F.sort_array(F.collect_list(F.struct("step", "p_ceil"))).alias("_s"))
-    win = experiment.feature_windows(spark, sf_dir).select("seq_no", "origin_hour")
+    win = experiment.feature_windows(spark, sf_dir, f).select("seq_no", "origin_hour")
     out = arr.join(win, "seq_no").withColumn("demand", F.col("_s.p_ceil"))
     return report(out.select("seq_no", text.list_to_text(F.col("demand")).alias("result"),
                              text.format_forecast(F.col("origin_hour"), F.col("demand")).alias("message")))

@@ -24,18 +24,20 @@ def driver_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scaled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series = serving.series_ts(daily.feature_table(spark, sf_dir))
-    params = scaling.to_dict(experiment.scaler(spark, sf_dir))
+    f = daily.stable_features(spark, sf_dir)
+    series = serving.series_ts(f)
+    params = scaling.to_dict(experiment.scaler(spark, sf_dir, features=f))
     return serving.serving_windows(series, driver_requests(spark, sf_dir), params)
 
 
-def post_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def post_processed(spark: SparkSession, sf_dir: str, features: DataFrame | None = None) -> DataFrame:
     """Moving-average forecasts of the test windows taken through the y
     scaler and back, clipped and rounded both ways (J1 offline half-even,
     J2 serving ceil)."""
-    params = scaling.to_dict(experiment.scaler(spark, sf_dir))
+    f = features if features is not None else daily.stable_features(spark, sf_dir)
+    params = scaling.to_dict(experiment.scaler(spark, sf_dir, features=f))
     my, sy = params["y"]
-    win = experiment.feature_windows(spark, sf_dir).where(F.col("split") == "test")
+    win = experiment.feature_windows(spark, sf_dir, f).where(F.col("split") == "test")
     scaled = win.select("seq_no", baselines.repeat_forecast(
         (F.col("window_mean") - F.lit(my)) / F.lit(sy)).alias("p_scaled"))
     out = serving.post_process(scaled, "p_scaled", (my, sy), "half_even", "p_round")

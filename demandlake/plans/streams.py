@@ -81,8 +81,9 @@ def scoring_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                F.col("location_id").alias("district"), F.hour("target_ts").alias("hour"),
                F.lit("NYC").alias("city"), F.lit(0.0).alias("cost"), F.lit(2024).alias("year"),
                month.alias("month"), day.alias("day")).write.mode("overwrite").json(msgs)
-    series = serving.series_ts(daily.feature_table(spark, sf_dir)).checkpoint(eager=True)
-    params = scaling.to_dict(experiment.scaler(spark, sf_dir))
+    f = daily.stable_features(spark, sf_dir)
+    series = serving.series_ts(f)
+    params = scaling.to_dict(experiment.scaler(spark, sf_dir, features=f))
     out = os.path.join(base, "status")
     req_stream.run_request_scoring(spark, msgs, out, os.path.join(base, "ckpt"), series, params,
                                    req_stream.moving_average_model)
