@@ -84,23 +84,29 @@ def serving_windows(series: DataFrame, requests: DataFrame, params=None,
     zone's mean row (G10); missing values take the zone mean (G9); with
     ``params`` the features are scaled with the training scaler (G7, J3).
 
-    The zone-mean table has one row per zone and is broadcast.
+    Imputation and scaling run once on the series table (zones x hours)
+    and on the per-zone mean rows, not on the 72 exploded positions of
+    every request; the exploded side only picks prepared rows by an
+    equi-join on (zone, row index).
     """
-    resolved = resolve_requests(series, requests, zone=zone).where(F.col("status") == "ok")
-    pos = resolved.select(request_id, zone, "asof_idx",
-                          F.explode(F.sequence(F.lit(0), F.lit(past - 1))).alias("pos"))
-    pos = pos.withColumn("_src", F.col("asof_idx") - (past - 1) + F.col("pos"))
-    rows = series.select(zone, F.col("time_idx").alias("_src"), *feature_cols)
-    joined = pos.join(rows, [zone, "_src"], "left")
     means = zone_fill_means(series, feature_cols, zone)
-    joined = joined.join(F.broadcast(means), zone, "left")
-    filled = joined.select(
-        request_id, zone, "pos", (F.col("_src") < 0).alias("padded"),
+    filled = series.join(F.broadcast(means), zone, "left").select(
+        zone, F.col("time_idx").alias("_src"),
         *[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")),
                      F.col(f"_mean_{c}")).alias(c) for c in feature_cols])
+    pad = means.select(zone, *[F.col(f"_mean_{c}").alias(c) for c in feature_cols])
     if params is not None:
         filled = scaling.transform(filled, params, feature_cols)
-    return filled
+        pad = scaling.transform(pad, params, feature_cols)
+    pad = pad.select(zone, *[F.col(c).alias(f"_pad_{c}") for c in feature_cols])
+    resolved = resolve_requests(series, requests, zone=zone).where(F.col("status") == "ok")
+    pos = resolved.select(request_id, zone, "asof_idx",
+                          F.explode(F.sequence(F.lit(0), F.lit(past - 1))).alias("pos"))
+    pos = pos.withColumn("_src", F.col("asof_idx") - (past - 1) + F.col("pos"))
+    joined = pos.join(filled, [zone, "_src"], "left").join(F.broadcast(pad), zone, "left")
+    return joined.select(
+        request_id, zone, "pos", (F.col("_src") < 0).alias("padded"),
+        *[F.coalesce(F.col(c), F.col(f"_pad_{c}")).alias(c) for c in feature_cols])
 
 
 def window_arrays(long: DataFrame, feature_cols: Sequence[str] = SEQ_FEATURES,

@@ -22,6 +22,10 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # let HotSpot compile the large generated methods of wide projections
+    # (otherwise methods over 8 KB of bytecode stay interpreted)
+    "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
+    "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
     # checkpoint files of unreferenced datasets are removed by the cleaner
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
