@@ -17,9 +17,9 @@ def feature_windows(spark: SparkSession, sf_dir: str, features: DataFrame | None
 
 
 def scaler(spark: SparkSession, sf_dir: str, split: str = "train",
-           features: DataFrame | None = None) -> DataFrame:
+           features: DataFrame | None = None, feature_cols=SEQ_FEATURES) -> DataFrame:
     f = features if features is not None else daily.stable_features(spark, sf_dir)
-    long = scaling.long_form(scaling.window_weights(f, split=split), SEQ_FEATURES)
+    long = scaling.long_form(scaling.window_weights(f, split=split), feature_cols)
     return scaling.fit_scaler(long)
 
 

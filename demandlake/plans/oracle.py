@@ -162,6 +162,14 @@ ORACLE["trips_row_count"] = q.select(f"""
     SELECT count(*) AS n_rows, count(*) > 0 AS non_empty FROM ({TRIPS}) t
 """, {"n_rows": "i", "non_empty": "i"})
 
+ORACLE["feed_classification"] = q.select("""
+    SELECT 'events' AS feed, count(*) AS n_rows FROM events
+    UNION ALL SELECT 'orders', count(*) FROM orders
+    UNION ALL SELECT 'lineitem', count(*) FROM lineitem
+""", {"feed": "s", "n_rows": "i"})
+ORACLE["hourly_csv_stage"] = q.select(HOURLY, {"date": "day", "hour": "i", "location_id": "s",
+                                               "trips_count": "i"})
+
 # --- profiles ----------------------------------------------------------------
 
 _EV_COLS = (("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"),
@@ -245,6 +253,7 @@ ORACLE["nearest_station"] = q.select("""
     ) s ORDER BY distance_km, station_id LIMIT 1
 """, {"station_id": "i", "distance_km": "d"})
 
+ORACLE["feature_stage_roundtrip"] = ORACLE["hourly_features"]
 ORACLE["feature_sample_head"] = q.select(
     f"SELECT * FROM ({features_sql()}) f ORDER BY location_id, date, hour LIMIT 15", FEATURE_KINDS)
 
@@ -296,7 +305,8 @@ ORACLE["sequence_windows"] = q.select(WINDOWS, {
 ORACLE["window_targets"] = q.select(TARGETS, {"seq_no": "i", "step": "i", "y": "d"})
 
 
-def _scaler_sql(where: str = "TRUE") -> str:
+def _scaler_sql(where: str = "TRUE", feats=None) -> str:
+    feats = feats or _SEQ
     weighted = f"""
         SELECT f.*,
           greatest(least(time_idx + 72, o_hi) - greatest(time_idx + 1, o_lo) + 1, 0) AS w_x,
@@ -309,7 +319,7 @@ def _scaler_sql(where: str = "TRUE") -> str:
     """
     long = " UNION ALL ".join(
         f"SELECT '{c}' AS feature, CASE WHEN isnan(CAST({c} AS DOUBLE)) THEN NULL ELSE CAST({c} AS DOUBLE) END AS x, "
-        f"w_x AS w FROM wt WHERE w_x > 0" for c in _SEQ)
+        f"w_x AS w FROM wt WHERE w_x > 0" for c in feats)
     long += " UNION ALL SELECT 'y' AS feature, CAST(trips_count AS DOUBLE) AS x, w_y AS w FROM wt WHERE w_y > 0"
     return f"""
     WITH wt AS ({weighted}), lf AS ({long}),
@@ -327,6 +337,8 @@ def _scaler_sql(where: str = "TRUE") -> str:
 SCALER_KINDS = {"feature": "s", "n": "i", "n_valid": "i", "mean": "d", "scale": "d"}
 ORACLE["scaler_params"] = q.select(_scaler_sql(), SCALER_KINDS)
 ORACLE["scaler_params_merged"] = ORACLE["scaler_params"]
+ORACLE["scaler_params_six"] = q.select(_scaler_sql(feats=("trips_count", "hour_sin", "hour_cos", "dow_sin",
+                                                          "dow_cos", "is_holiday")), SCALER_KINDS)
 ORACLE["scaled_features"] = q.select(f"""
     WITH p AS ({_scaler_sql()})
     SELECT date, hour, location_id,

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from demandlake import catalog
 from demandlake.functions import calendar as cal
@@ -27,6 +28,10 @@ from demandlake.sources import accounts, feeds, sinks, weather, whitelist
 from demandlake.plans.report import report
 
 Query = Callable[[SparkSession, str], DataFrame]
+
+HOURLY_SCHEMA = T.StructType([
+    T.StructField("date", T.DateType()), T.StructField("hour", T.IntegerType()),
+    T.StructField("location_id", T.StringType()), T.StructField("trips_count", T.LongType())])
 REGISTRY: dict[str, Query] = {}
 
 
@@ -107,6 +112,42 @@ def q_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(profile.row_count(daily.clean_trips(spark, sf_dir)))
 
 
+# Feed kinds by lower-case file-name substring, tested in order.
+FEED_PATTERNS = (("events", "events"), ("orders", "orders"), ("lineitem", "lineitem"))
+
+
+@register("feed_classification")
+def q_feed_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multi-file scan of the data folder; each row's feed kind from its
+    file name (A1, A2, A8); rows per kind."""
+    df = (spark.read.option("pathGlobFilter", "*.parquet").parquet(*[
+        f"{sf_dir}/{t}.parquet" for t in ("events", "orders", "lineitem")])
+        .select(feeds.classify_feed(F.col("_metadata.file_name"), FEED_PATTERNS).alias("feed")))
+    return report(df.groupBy("feed").agg(F.count(F.lit(1)).alias("n_rows")))
+
+
+@register("hourly_csv_stage")
+def q_csv_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage border as the batch job has it (A9, A10): hourly demand written
+    as CSV into the shared folder and read back with an explicit schema."""
+    from demandlake.session import stage_path
+    import uuid
+    path = stage_path(spark, f"hourly-csv-{uuid.uuid4().hex[:12]}")
+    daily.hourly(spark, sf_dir).write.mode("overwrite").option("header", True).csv(path)
+    return report(feeds.read_csv_typed(spark, path, HOURLY_SCHEMA))
+
+
+@register("feature_stage_roundtrip")
+def q_parquet_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature table materialised as parquet partitioned by date and read
+    back (A9): partition pruning applies to later date filters."""
+    from demandlake.session import stage_path
+    import uuid
+    path = stage_path(spark, f"features-{uuid.uuid4().hex[:12]}")
+    out = daily.materialise(daily.feature_table(spark, sf_dir), path)
+    return report(out.select(*feat.FEATURE_TABLE))
+
+
 # --- profiles and exploratory aggregates (C) ------------------------------
 
 @register("events_column_profile")
@@ -208,6 +249,8 @@ def q_window_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SCALER_COLS = ("feature", "n", "n_valid", "mean", "scale")
+# The research notebook's six window features.
+SIX_FEATURES = ("trips_count", "hour_sin", "hour_cos", "dow_sin", "dow_cos", "is_holiday")
 
 
 @register("scaler_params")
@@ -215,6 +258,12 @@ def q_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(experiment.scaler(spark, sf_dir).select(*SCALER_COLS))
 
 
+@register("scaler_params_six")
+def q_scaler_six(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six-feature variant (G2): rides, hour and weekday cycles, holiday."""
+    return report(experiment.scaler(spark, sf_dir, feature_cols=SIX_FEATURES).select(*SCALER_COLS))
+
+
 @register("scaler_params_merged")
 def q_scaler_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(experiment.scaler_merged(spark, sf_dir).select(*SCALER_COLS))
