@@ -52,7 +52,13 @@ def stable_features(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
     so a lost executor does not recompute the scan, dedup and windows."""
     from demandlake.session import checkpoint_dir
     checkpoint_dir(spark)
-    return feature_table(spark, sf_dir, **kw).checkpoint(eager=True)
+    # persisted while the checkpoint is written, so the plan runs once (an
+    # RDD checkpoint otherwise recomputes it); the checkpoint keeps the
+    # zone partitioning and order for the window operators downstream
+    staged = feature_table(spark, sf_dir, **kw).persist()
+    done = staged.checkpoint(eager=True)
+    staged.unpersist()
+    return done
 
 
 def materialise(df: DataFrame, path: str, partition_by: str | None = "date") -> DataFrame:

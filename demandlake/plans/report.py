@@ -14,16 +14,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIGITS = 6
+LIMIT = 1e15
 
 
 def round_half_up(x, digits: int = DIGITS):
     """floor(x * 10^d + 0.5) / 10^d: plain IEEE operations, so every engine
     rounds the same double to the same result (decimal-tie rules differ
-    between engines).  NaN and infinities pass through."""
+    between engines)."""
     scale = float(10 ** digits)
-    special = F.isnan(x) | (x == F.lit(float("inf"))) | (x == F.lit(float("-inf")))
     rounded = F.floor(x * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale) + F.lit(0.0)
-    return F.when(special, x).otherwise(rounded)
+    # NaN compares above every number, so NaN, +-inf and huge values pass
+    # through unrounded
+    return F.when(F.abs(x) < F.lit(LIMIT), rounded).otherwise(x)
 
 
 def report(df: DataFrame, digits: int = DIGITS, keep: tuple[str, ...] = ()) -> DataFrame:
