@@ -260,3 +260,29 @@ def retention(activity: DataFrame, user: str = "user_id", ts: str = "ts") -> Dat
     out = j.groupBy("cohort", k.alias("months_since")).agg(F.count(F.lit(1)).alias("active_users"))
     return (out.join(cohort_size, "cohort")
             .withColumn("retention", F.col("active_users") / F.col("cohort_size")))
+
+
+def request_lifecycle(results: DataFrame, ops: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """Final status of processed requests.
+
+    ``results``: prediction_id, user_id, ts (processing time), cost (price,
+    0 = free), scored (bool: a forecast was produced).  A scored paid
+    request is charged after completion: the charge is a withdrawal that
+    enters the user's ledger at its processing time and goes through the
+    same replay as every other movement.  A rejected charge marks the
+    request failed while its result stays; an unscored request is failed.
+    """
+    charges = results.where(F.col("scored") & (F.col("cost") != 0)).select(
+        "user_id", (-F.col("prediction_id") - 1).alias("op_id"), "ts",
+        F.lit("withdraw").alias("kind"), F.floor(F.col("cost") * 100 + 0.5).cast("bigint").alias("amount_cents"),
+        F.lit(None).cast("string").alias("level"))
+    base = ops.select("user_id", "op_id", "ts", "kind", "amount_cents",
+                      (F.col("level") if "level" in ops.columns else F.lit(None).cast("string")).alias("level"))
+    replay = replay_ledger(base.unionByName(charges), users).where(F.col("op_id") < 0).select(
+        (-F.col("op_id") - 1).alias("prediction_id"), F.col("accepted").alias("charged"),
+        F.col("balance_cents").alias("balance_after_cents"))
+    out = results.join(replay, "prediction_id", "left")
+    status = (F.when(~F.col("scored"), F.lit("failed"))
+              .when((F.col("cost") != 0) & ~F.coalesce(F.col("charged"), F.lit(False)), F.lit("failed"))
+              .otherwise(F.lit("completed")))
+    return out.withColumn("status", status)

@@ -489,8 +489,9 @@ OPS = f"""
            row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn
     FROM orders
 """
-ORACLE["ledger_replay"] = q.select(f"""
-    WITH RECURSIVE ops AS ({OPS}),
+def _replay_sql(ops_sql: str) -> str:
+    return f"""
+    WITH RECURSIVE ops AS ({ops_sql}),
     r AS (
       SELECT user_id, rn, op_id, kind, amount_cents,
              CASE WHEN kind = 'deposit' THEN amount_cents > 0 ELSE amount_cents >= 0 AND amount_cents <= 0 END
@@ -508,7 +509,11 @@ ORACLE["ledger_replay"] = q.select(f"""
       FROM r JOIN ops o ON o.user_id = r.user_id AND o.rn = r.rn + 1
     )
     SELECT user_id, op_id, kind, amount_cents, accepted, balance_cents FROM r
-""", {"user_id": "i", "op_id": "i", "kind": "s", "amount_cents": "i", "accepted": "i", "balance_cents": "i"})
+    """
+
+
+ORACLE["ledger_replay"] = q.select(_replay_sql(OPS), {
+    "user_id": "i", "op_id": "i", "kind": "s", "amount_cents": "i", "accepted": "i", "balance_cents": "i"})
 
 SIGNED = f"CASE WHEN o_orderstatus = 'F' THEN {CENTS} ELSE -{CENTS} END"
 ORACLE["ledger_balances"] = q.select(f"""
@@ -675,5 +680,38 @@ ORACLE["stream_daily_quota"] = ORACLE["daily_quota"]
 ORACLE["stream_publish"] = ORACLE["publish_upsert"]
 
 
+_PRICE_U = ("CASE coalesce(u.tier, 'bronze') WHEN 'bronze' THEN 20.0 WHEN 'silver' THEN 15.0 "
+            "WHEN 'gold' THEN 10.0 ELSE 5.0 END")
+_RESULTS = f"""
+    SELECT x.request_id AS prediction_id, r.user_id, x.target_ts AS ts, {_PRICE_U} AS cost,
+           x.status = 'ok' AS scored
+    FROM ({RESOLVED}) x JOIN ({REQUESTS}) r ON r.request_id = x.request_id
+    LEFT JOIN ({USERS}) u ON u.user_id = r.user_id
+"""
+_LC_OPS = f"""
+    SELECT user_id, op_id, ts, kind, amount_cents,
+           row_number() OVER (PARTITION BY user_id ORDER BY ts, op_id) AS rn
+    FROM (
+      SELECT o_custkey AS user_id, o_orderkey AS op_id, o_orderdate AS ts,
+             CASE WHEN o_orderstatus = 'F' THEN 'deposit' ELSE 'withdraw' END AS kind, {CENTS} AS amount_cents
+      FROM orders
+      UNION ALL
+      SELECT user_id, -prediction_id - 1, ts, 'withdraw', CAST(floor(cost * 100 + 0.5) AS BIGINT)
+      FROM ({_RESULTS}) c WHERE scored AND cost <> 0
+    ) a
+"""
+ORACLE["request_lifecycle"] = q.select(f"""
+    WITH rep AS ({_replay_sql(_LC_OPS)}),
+    res AS ({_RESULTS})
+    SELECT res.prediction_id, res.user_id, res.cost,
+           CASE WHEN NOT res.scored THEN 'failed'
+                WHEN res.cost <> 0 AND NOT coalesce(rep.accepted, FALSE) THEN 'failed'
+                ELSE 'completed' END AS status,
+           rep.accepted AS charged, rep.balance_cents AS balance_after_cents
+    FROM res LEFT JOIN rep ON rep.op_id = -res.prediction_id - 1
+""", {"prediction_id": "i", "user_id": "i", "cost": "d", "status": "s", "charged": "i",
+      "balance_after_cents": "i"})
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

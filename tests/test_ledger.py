@@ -87,3 +87,16 @@ def test_register_is_idempotent(spark):
     names = spark.createDataFrame([("bob",), ("cid",), ("abe",), ("cid",)], "username string")
     out = {r["username"]: (r["user_id"], r["created"]) for r in ledger.register_users(existing, names).collect()}
     assert out == {"bob": (2, False), "abe": (3, True), "cid": (4, True)}
+
+
+def test_request_lifecycle_charge_after_completion(spark):
+    ops = _ops(spark, [(1, "deposit", 1000, None)])
+    res = spark.createDataFrame([
+        (10, 1, T0 + dt.timedelta(hours=1), 5.0, True),    # charged: 10.00 -> 5.00
+        (11, 1, T0 + dt.timedelta(hours=2), 10.0, True),   # 5.00 < 10.00: charge fails -> failed
+        (12, 1, T0 + dt.timedelta(hours=3), 0.0, True),    # free
+        (13, 1, T0 + dt.timedelta(hours=4), 5.0, False),   # not scored -> failed, not charged
+    ], "prediction_id long, user_id long, ts timestamp_ntz, cost double, scored boolean")
+    out = {r["prediction_id"]: (r["status"], r["charged"]) for r in ledger.request_lifecycle(res, ops).collect()}
+    assert out == {10: ("completed", True), 11: ("failed", False), 12: ("completed", None),
+                   13: ("failed", None)}
