@@ -4,8 +4,9 @@ Windows of the new data are split 80/20 (train/val, no test); the scaler of
 the previous version is updated with the new training windows (an
 incremental merge of (n, mean, m2)), the linear multi-output model is
 refitted on the scaled windows, and everything is written to a new version
-folder under the model directory.  Readers pick the newest complete
-version, so a failed run leaves the previous model in place.
+folder under the model directory.  The caller records the returned path
+once the write has succeeded, so a failed run leaves the previous model in
+place.
 """
 
 from __future__ import annotations
