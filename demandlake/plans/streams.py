@@ -5,6 +5,7 @@ DataFrame (so it can be compared with the batch operator it mirrors)."""
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
 
@@ -22,6 +23,21 @@ from demandlake.streaming import requests as req_stream
 EVENTS_DELAY = "1 hour"
 
 
+@contextlib.contextmanager
+def stream_partitions(spark: SparkSession):
+    """State partitions of a stateful stream are fixed when its checkpoint
+    is created, from ``spark.sql.shuffle.partitions``.  They are sized to
+    the cluster's parallelism (total executor cores) for the start of the
+    stream, and the session setting is restored afterwards."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(1, spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:12]}")
 
@@ -40,7 +56,8 @@ def hourly_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _scratch(spark, "hourly")
     trips = _events_stream(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("pickup"),
                                                  F.col("event_type").alias("location_id"))
-    hourly.run_hourly(spark, trips, os.path.join(base, "out"), os.path.join(base, "ckpt"), EVENTS_DELAY)
+    with stream_partitions(spark):
+        hourly.run_hourly(spark, trips, os.path.join(base, "out"), os.path.join(base, "ckpt"), EVENTS_DELAY)
     return spark.read.parquet(os.path.join(base, "out"))
 
 
@@ -50,10 +67,11 @@ def quota_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     reqs = ev.select(F.col("event_id").alias("request_id"), "user_id", F.col("ts").cast("timestamp").alias("ts"),
                      (F.col("event_type") == "purchase").alias("paid"))
     tiers = accounts.users(catalog.load(spark, sf_dir, "customer"))
-    q = (quota.quota_stream(reqs, tiers).writeStream.format("parquet").outputMode("append")
-         .option("path", os.path.join(base, "out")).option("checkpointLocation", os.path.join(base, "ckpt"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    with stream_partitions(spark):
+        q = (quota.quota_stream(reqs, tiers).writeStream.format("parquet").outputMode("append")
+             .option("path", os.path.join(base, "out")).option("checkpointLocation", os.path.join(base, "ckpt"))
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
     return spark.read.parquet(os.path.join(base, "out"))
 
 
