@@ -55,6 +55,11 @@ def errors_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.evaluate_pooled(p, ["model", "hour_of_day"])
 
 
+def errors_by_origin_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pooled metrics by the real clock hour of the window origin."""
+    return metrics.evaluate_pooled(baseline_predictions(spark, sf_dir), ["model", "origin_hour"])
+
+
 def errors_by_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.mae_by(baseline_predictions(spark, sf_dir), ["model", "location_id"])
 

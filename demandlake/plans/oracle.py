@@ -349,7 +349,7 @@ ORACLE["scaled_features"] = q.select(f"""
 """, {"date": "day", "hour": "i", "location_id": "s", **{c: "d" for c in _SEQ}})
 
 PREDS = f"""
-    SELECT seq_no, location_id, zone_idx, step, y, n_total, cut2, m.model,
+    SELECT seq_no, location_id, zone_idx, origin_hour, step, y, n_total, cut2, m.model,
            CASE m.model WHEN 'Naive' THEN last_value WHEN 'Seasonal' THEN value_back
                 ELSE window_mean END AS p
     FROM ({TARGETS}) t CROSS JOIN (VALUES ('Naive'), ('Seasonal'), ('MovingAvg')) AS m(model)
@@ -391,6 +391,14 @@ BY_HOUR = f"""
 """
 ORACLE["errors_by_hour"] = q.select(BY_HOUR, {"model": "s", "hour_of_day": "i", "mae": "d", "rmse": "d",
                                               "mape": "d", "r2": "d", "composite": "d"})
+ORACLE["errors_by_origin_hour"] = q.select(f"""
+    SELECT model, origin_hour, mae, rmse, mape, r2, (mae + rmse + mape + (1 - r2)) / 4 AS composite FROM (
+      SELECT model, origin_hour, avg(abs(y - p)) AS mae, sqrt(avg((y - p) * (y - p))) AS rmse,
+             avg(CASE WHEN y <> 0 THEN abs((y - p) / y) WHEN y = p THEN 'nan'::DOUBLE ELSE 'inf'::DOUBLE END) AS mape,
+             CASE WHEN var_pop(y) * count(*) = 0 THEN (CASE WHEN sum((y - p) * (y - p)) = 0 THEN 1.0 ELSE 0.0 END)
+                  ELSE 1.0 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) END AS r2
+      FROM ({PREDS}) pr GROUP BY ALL) x
+""", {"model": "s", "origin_hour": "i", "mae": "d", "rmse": "d", "mape": "d", "r2": "d", "composite": "d"})
 BY_ZONE = f"SELECT model, location_id, avg(abs(y - p)) AS mae FROM ({PREDS}) pr GROUP BY ALL"
 ORACLE["errors_by_zone"] = q.select(BY_ZONE, {"model": "s", "location_id": "s", "mae": "d"})
 ORACLE["error_matrix"] = q.select(

@@ -290,6 +290,11 @@ def q_errors_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(experiment.errors_by_hour(spark, sf_dir))
 
 
+@register("errors_by_origin_hour")
+def q_errors_by_origin_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(experiment.errors_by_origin_hour(spark, sf_dir))
+
+
 @register("errors_by_zone")
 def q_errors_by_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(experiment.errors_by_zone(spark, sf_dir))
