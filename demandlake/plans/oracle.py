@@ -721,5 +721,65 @@ ORACLE["request_lifecycle"] = q.select(f"""
       "balance_after_cents": "i"})
 
 
+_TPRICE = ("CASE {t} WHEN 'bronze' THEN 0 WHEN 'silver' THEN 10000 WHEN 'gold' THEN 20000 "
+           "WHEN 'diamond' THEN 50000 END")
+_TIER_OPS = f"""
+    SELECT o_custkey AS user_id, o_orderkey AS op_id, CAST(o_orderdate AS DATE) AS day,
+           CASE o_orderstatus WHEN 'F' THEN 'deposit' WHEN 'O' THEN 'withdraw' ELSE 'tier' END AS kind,
+           {CENTS} AS amount_cents,
+           CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN
+             CASE o_orderpriority WHEN '1-URGENT' THEN 'diamond' WHEN '2-HIGH' THEN 'gold'
+                                  WHEN '3-MEDIUM' THEN 'silver' ELSE 'bronze' END END AS level,
+           row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn
+    FROM orders
+"""
+_STEP = f"""
+    SELECT user_id, rn, op_id, kind, level, bal, t0, e0, day, amount_cents,
+      CASE kind
+        WHEN 'deposit' THEN amount_cents > 0
+        WHEN 'withdraw' THEN amount_cents >= 0 AND amount_cents <= bal
+        ELSE {_TPRICE.format(t='level')} IS NOT NULL
+             AND {_TPRICE.format(t='t0')} <= {_TPRICE.format(t='level')}
+             AND bal >= {_TPRICE.format(t='level')} END AS accepted,
+      CASE kind
+        WHEN 'deposit' THEN CASE WHEN amount_cents > 0 THEN NULL ELSE 'non_positive_deposit' END
+        WHEN 'withdraw' THEN CASE WHEN amount_cents < 0 THEN 'negative_withdrawal'
+                                  WHEN amount_cents > bal THEN 'insufficient_funds' END
+        ELSE CASE WHEN {_TPRICE.format(t='level')} IS NULL THEN 'unknown_tier'
+                  WHEN {_TPRICE.format(t='t0')} > {_TPRICE.format(t='level')} THEN 'tier_step_down'
+                  WHEN bal < {_TPRICE.format(t='level')} THEN 'insufficient_funds' END END AS reason
+    FROM (
+      SELECT o.user_id, o.rn, o.op_id, o.kind, o.level, o.day, o.amount_cents, r.balance_cents AS bal,
+             CASE WHEN r.tier_end IS NOT NULL AND r.tier_end < o.day AND r.tier <> 'bronze'
+                  THEN 'bronze' ELSE r.tier END AS t0,
+             CASE WHEN r.tier_end IS NOT NULL AND r.tier_end < o.day AND r.tier <> 'bronze'
+                  THEN NULL ELSE r.tier_end END AS e0
+      FROM r JOIN ops o ON o.user_id = r.user_id AND o.rn = r.rn + 1
+    ) x
+"""
+ORACLE["tier_replay"] = q.select(f"""
+    WITH RECURSIVE ops AS ({_TIER_OPS}),
+    r AS (
+      SELECT DISTINCT user_id, 0 AS rn, CAST(NULL AS BIGINT) AS op_id, CAST(NULL AS VARCHAR) AS kind,
+             CAST(NULL AS VARCHAR) AS level, CAST(NULL AS BOOLEAN) AS accepted, CAST(NULL AS VARCHAR) AS reason,
+             CAST(0 AS BIGINT) AS balance_cents, 'bronze' AS tier, CAST(NULL AS DATE) AS tier_end
+      FROM ops
+      UNION ALL
+      SELECT user_id, rn, op_id, kind, level, accepted, reason,
+             CASE WHEN NOT accepted THEN bal
+                  WHEN kind = 'deposit' THEN bal + amount_cents
+                  WHEN kind = 'withdraw' THEN bal - amount_cents
+                  ELSE bal - {_TPRICE.format(t='level')} END,
+             CASE WHEN accepted AND kind = 'tier' THEN level ELSE t0 END,
+             CASE WHEN accepted AND kind = 'tier' THEN
+                    CASE WHEN t0 = level AND e0 IS NOT NULL AND e0 >= day THEN e0 + 30 ELSE day + 30 END
+                  ELSE e0 END
+      FROM ({_STEP}) s
+    )
+    SELECT user_id, op_id, kind, level, accepted, reason, balance_cents, tier, tier_end FROM r WHERE rn > 0
+""", {"user_id": "i", "op_id": "i", "kind": "s", "level": "s", "accepted": "i", "reason": "s",
+      "balance_cents": "i", "tier": "s", "tier_end": "day"})
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
