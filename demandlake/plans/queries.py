@@ -559,5 +559,3 @@ def q_stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
 
-
-__all__ = ["queries", "register", "feat"]

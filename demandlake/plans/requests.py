@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from demandlake import catalog
 from demandlake.operators import baselines, scaling, serving
-from demandlake.operators.features import SEQ_FEATURES
 from demandlake.plans import daily, experiment
 
 
@@ -45,5 +44,3 @@ def post_processed(spark: SparkSession, sf_dir: str, features: DataFrame | None
     return out.select("seq_no", F.posexplode(F.arrays_zip("p_round", "p_ceil")).alias("step", "p")) \
               .select("seq_no", "step", F.col("p.p_round").alias("p_round"), F.col("p.p_ceil").alias("p_ceil"))
 
-
-__all__ = ["driver_requests", "scaled_windows", "post_processed", "SEQ_FEATURES"]

@@ -3,8 +3,17 @@ forecast -> post-process -> status rows, idempotent per message."""
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from demandlake.functions import text
+from demandlake.operators import models, serving
+
 # Fields of one request message.
 MESSAGE_SCHEMA = T.StructType([
     T.StructField("prediction_id", T.LongType()),
@@ -20,18 +29,6 @@ MESSAGE_SCHEMA = T.StructType([
 ])
 
 
-import os  # noqa: E402
-from collections.abc import Callable  # noqa: E402
-
-import numpy as np  # noqa: E402
-import pandas as pd  # noqa: E402
-from pyspark.sql import DataFrame, SparkSession  # noqa: E402
-from pyspark.sql import functions as F  # noqa: E402
-
-from demandlake.functions import text  # noqa: E402
-from demandlake.operators import models, serving  # noqa: E402
-from demandlake.operators.features import SEQ_FEATURES  # noqa: E402
-
 RESULT_SCHEMA = "prediction_id long, status string, result string, processed_epoch long"
 
 
@@ -85,6 +82,3 @@ def moving_average_model(x: np.ndarray) -> np.ndarray:
     m = x[:, :, 0].mean(axis=1)
     return np.repeat(m[:, None], 24, axis=1)
 
-
-__all__ = ["MESSAGE_SCHEMA", "request_stream", "score_batch", "run_request_scoring",
-           "moving_average_model", "pd"]
