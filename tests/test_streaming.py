@@ -29,3 +29,20 @@ def test_hourly_stream_drops_late_rows_and_duplicates(spark):
     assert got[(0, "A")] == 2            # the late copy of 00:20 is not counted again
     assert got[(5, "A")] == 2            # 05:00 and one of the two identical 05:01 rows
     assert (9, "A") not in got           # still open when the stream stopped
+
+
+def test_request_stream_parses_and_nulls_bad_fields(spark):
+    from demandlake.streaming.requests import request_stream
+    base = tempfile.mkdtemp(prefix="dl-msgs-", dir="/tmp")
+    src = os.path.join(base, "queue")
+    os.makedirs(src)
+    with open(os.path.join(src, "m1.json"), "w") as fh:
+        fh.write('{"prediction_id": 7, "user_id": 1, "model": "m", "district": "A", "hour": 3, '
+                 '"city": "NYC", "cost": 0, "year": 2024, "month": 1, "day": 2}\n')
+        fh.write('{"prediction_id": 8, "user_id": "oops", "hour": 25}\n')
+    q = (request_stream(spark, src).writeStream.format("memory").queryName("msgs_test")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    rows = {r["prediction_id"]: r for r in spark.sql("select * from msgs_test").collect()}
+    assert rows[7]["district"] == "A" and rows[7]["day"] == 2
+    assert rows[8]["hour"] == 25 and rows[8]["district"] is None
