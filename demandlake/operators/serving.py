@@ -41,8 +41,20 @@ def zone_bounds(series: DataFrame, zone: str = ZONE) -> DataFrame:
 def asof_grid(series: DataFrame, zone: str = ZONE, idx: str = "time_idx") -> DataFrame:
     """(zone, hour, asof_idx) for every hour of each zone's span."""
     bounds = zone_bounds(series, zone)
-    hours = bounds.select(zone, F.explode(F.sequence("first_ts", "last_ts",
-                                                     F.expr("INTERVAL 1 HOUR"))).alias("hour_ts"))
+    # Fan-out in two steps so no single task generates every zone-hour: the
+    # per-zone bounds table is tiny (one partition), its days are spread over
+    # the cluster by an explicit repartition (not coalesced by AQE), and the
+    # hours of each day are generated there.
+    day0 = F.date_trunc("day", F.col("first_ts")).cast("timestamp_ntz")
+    days = bounds.select(zone, "first_ts", "last_ts", F.explode(F.sequence(
+        day0, F.col("last_ts"), F.expr("INTERVAL 1 DAY"))).alias("_day"))
+    n = max(1, series.sparkSession.sparkContext.defaultParallelism)
+    hours = (days.repartition(n, zone, "_day")
+             .select(zone, "first_ts", "last_ts", F.explode(F.sequence(
+                 F.col("_day"), F.col("_day") + F.expr("INTERVAL 23 HOURS"),
+                 F.expr("INTERVAL 1 HOUR"))).alias("hour_ts"))
+             .where((F.col("hour_ts") >= F.col("first_ts")) & (F.col("hour_ts") <= F.col("last_ts")))
+             .select(zone, "hour_ts"))
     present = series.select(zone, F.col("ts").alias("hour_ts"), F.col(idx).alias("_idx"))
     grid = hours.join(present, [zone, "hour_ts"], "left")
     w = Window.partitionBy(zone).orderBy("hour_ts").rowsBetween(Window.unboundedPreceding, 0)
