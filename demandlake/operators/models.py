@@ -91,11 +91,12 @@ def predict_linear(df: DataFrame, coef: np.ndarray, intercept: np.ndarray,
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            x = np.stack([np.concatenate([np.asarray(r, dtype="float64") for r in m]) for m in pdf[x_col]])
+            x = np.stack(pdf["_xf"].to_numpy()).astype("float64")
             y = x @ coef + intercept
             yield pd.DataFrame({id_col: pdf[id_col], "forecast": list(y)})
     schema = T.StructType([df.schema[id_col], T.StructField("forecast", T.ArrayType(T.DoubleType()))])
-    return df.select(id_col, x_col).mapInPandas(run, schema)
+    # flattened in the JVM: one 1,728-value array per row reaches Arrow
+    return df.select(id_col, F.flatten(x_col).alias("_xf")).mapInPandas(run, schema)
 
 
 # --- H5/H6 ---------------------------------------------------------------
@@ -140,7 +141,8 @@ def regression_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
 # --- H7 ------------------------------------------------------------------
 
 def score_sequences(df: DataFrame, predict_fn: Callable[[np.ndarray], np.ndarray],
-                    id_col: str = "request_id", x_col: str = "x", horizon: int = 24) -> DataFrame:
+                    id_col: str = "request_id", x_col: str = "x", horizon: int = 24,
+                    n_features: int = 24) -> DataFrame:
     """Score input windows with a user model (H7).
 
     ``predict_fn`` maps a float32 array (n, 72, 24) to (n, horizon).  It is
@@ -150,11 +152,12 @@ def score_sequences(df: DataFrame, predict_fn: Callable[[np.ndarray], np.ndarray
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            x = np.stack([np.stack(list(r)) for r in pdf[x_col]]).astype("float32")
+            x = np.stack(pdf["_xf"].to_numpy()).astype("float32").reshape(len(pdf), -1, n_features)
             y = np.asarray(predict_fn(x), dtype="float64").reshape(len(pdf), horizon)
             yield pd.DataFrame({id_col: pdf[id_col], "forecast": list(y)})
     schema = T.StructType([df.schema[id_col], T.StructField("forecast", T.ArrayType(T.DoubleType()))])
-    return df.select(id_col, x_col).mapInPandas(run, schema)
+    # flattened in the JVM: one array per row reaches Arrow, reshaped per batch
+    return df.select(id_col, F.flatten(x_col).alias("_xf")).mapInPandas(run, schema)
 
 
 def price_forecast(forecasts: DataFrame, cost_model: PipelineModel, weather: DataFrame,
