@@ -58,30 +58,32 @@ def fit_linear_steps(train: DataFrame, horizon: int = 24, y_col: str = "y") -> l
 
 
 def fit_linear(train: DataFrame, x_col: str = "x", y_col: str = "y") -> tuple[np.ndarray, np.ndarray]:
-    """Multi-output least squares with intercept (H4), exact and in one pass.
-
-    Each row contributes the outer product of [1, x, y] (x flattened: 1,728
-    values, y: 24 targets); Spark sums them with a tree aggregate
-    (``RowMatrix.computeGramianMatrix``).  The result's size depends on the
-    number of features only (about 1,750 squared), never on the rows.  The
-    centred normal equations are solved with a pseudo-inverse: the
-    minimum-norm least-squares solution, as an SVD-based solver gives when
-    some inputs are constant.  Returns (coef [n_x, n_y], intercept [n_y]).
+    """Multi-output least squares with intercept (H4), exact, on the JVM.
+
+    Each row becomes one vector [x, y] (x flattened: 1,728 values, y: 24
+    targets).  ``Summarizer`` gives means and variances and
+    ``Correlation`` the correlation matrix, both as tree aggregates over the
+    vector column without leaving the JVM; together they give the centred
+    cross-product matrix, whose size depends on the number of features
+    only (about 1,750 squared), never on the rows.  The centred normal
+    equations are solved with a pseudo-inverse: the minimum-norm
+    least-squares solution, as an SVD-based solver gives when some inputs
+    are constant.  Returns (coef [n_x, n_y], intercept [n_y]).
     """
-    from pyspark.mllib.linalg import Vectors as OldVectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    rows = train.select(F.concat(F.array(F.lit(1.0)), F.flatten(F.col(x_col)), F.col(y_col)).alias("v"))
-    rdd = rows.rdd.map(lambda r: OldVectors.dense(r[0]))
-    gram = RowMatrix(rdd).computeGramianMatrix().toArray()
-    n = gram[0, 0]
+    from pyspark.ml.stat import Correlation, Summarizer
+    data = train.select(array_to_vector(F.concat(F.flatten(F.col(x_col)), F.col(y_col))).alias("v")).cache()
+    st = data.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s")).first()["s"]
+    corr = np.nan_to_num(Correlation.corr(data, "v").first()[0].toArray())
+    data.unpersist()
+    n = float(st["count"])
+    mean = st["mean"].toArray()
+    std = np.sqrt(st["variance"].toArray())       # sample variance
+    centred = corr * np.outer(std, std) * (n - 1)  # sum of centred cross products
     ny = len(train.select(y_col).first()[0])
-    nx = gram.shape[0] - 1 - ny
-    sums = gram[0, 1:]
-    mx, my = sums[:nx] / n, sums[nx:] / n
-    xx = gram[1:1 + nx, 1:1 + nx] - n * np.outer(mx, mx)
-    xy = gram[1:1 + nx, 1 + nx:] - n * np.outer(mx, my)
+    nx = len(mean) - ny
+    xx, xy = centred[:nx, :nx], centred[:nx, nx:]
     coef = np.linalg.pinv(xx, rcond=1e-10, hermitian=True) @ xy
-    return coef, my - mx @ coef
+    return coef, mean[nx:] - mean[:nx] @ coef
 
 
 def predict_linear(df: DataFrame, coef: np.ndarray, intercept: np.ndarray,
