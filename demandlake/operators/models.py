@@ -104,7 +104,7 @@ def predict_linear(df: DataFrame, coef: np.ndarray, intercept: np.ndarray,
 # --- H5/H6 ---------------------------------------------------------------
 
 def cost_pipeline(numeric: Sequence[str], zone: str = "location_id", label: str = "avg_cost_per_mile",
-                  seed: int = 42, max_iter: int = 50) -> Pipeline:
+                  seed: int = 42, max_iter: int = 20) -> Pipeline:
     """One-hot zone (unknown -> all zeros), mean imputation, scaling, GBT."""
     idx = StringIndexer(inputCol=zone, outputCol="_zone_idx", handleInvalid="keep")
     ohe = OneHotEncoder(inputCols=["_zone_idx"], outputCols=["_zone_vec"], dropLast=True,
