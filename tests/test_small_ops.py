@@ -44,7 +44,7 @@ def test_nunique_approx_close_and_profile_nulls(spark):
                                    F.when(F.col("id") % 4 == 0, None).otherwise(F.col("id")).alias("b"))
     exact = profile.n_unique(df, ["a"]).first()[0]
     approx = profile.n_unique(df, ["a"], approx=True).first()[0]
-    assert exact == 5000 and abs(approx - 5000) / 5000 < 0.05
+    assert exact == 5000 and abs(approx - 5000) / 5000 < 0.15   # default rsd 5%: within 3 sigma
     prof = {r["column_name"]: r for r in profile.column_profile(df).collect()}
     assert prof["b"]["null_count"] == 5000 and prof["b"]["null_pct"] == 25.0
     assert prof["a"]["n_rows"] == 20000 and prof["a"]["n_columns"] == 2 and prof["a"]["dtype"] == "bigint"
