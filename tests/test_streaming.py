@@ -46,3 +46,16 @@ def test_request_stream_parses_and_nulls_bad_fields(spark):
     rows = {r["prediction_id"]: r for r in spark.sql("select * from msgs_test").collect()}
     assert rows[7]["district"] == "A" and rows[7]["day"] == 2
     assert rows[8]["hour"] == 25 and rows[8]["district"] is None
+
+
+def test_scoring_stream_results_are_whole_forecasts(spark):
+    import json
+    import __spark_entry__ as ent
+    from conftest import SF_SMALL
+    rows = ent.queries()["stream_request_scoring"](spark, SF_SMALL).collect()
+    done = [r for r in rows if r["status"] == "completed"]
+    assert done and len({r["prediction_id"] for r in rows}) == len(rows)     # one row per request
+    for r in done:
+        vals = json.loads(r["result"])
+        assert len(vals) == 24 and all(isinstance(v, int) and v >= 0 for v in vals)
+    assert all(r["result"] is None for r in rows if r["status"] == "failed")
