@@ -27,3 +27,19 @@ def test_cost_filters_whitelist_cap_and_dedup(spark):
     got = {r["location_id"]: (r["avg_cost_per_mile"], r["trips_count"]) for r in hourly_cost(trips).collect()}
     assert got == {1: (5.0, 1), 7: (2.5, 1)}
     assert whitelist.zone_whitelist(spark).count() == 238
+
+
+def test_unify_trips_dedup_modes(spark):
+    d = tempfile.mkdtemp(prefix="dl-unify-", dir="/tmp")
+    t = dt.datetime(2024, 1, 2, 8, 15)
+    spark.createDataFrame([(t, 5), (t, 5), (t, 6)], "tpep_pickup_datetime timestamp_ntz, PULocationID long") \
+        .write.parquet(os.path.join(d, "yellow"))
+    spark.createDataFrame([(t, 5), (dt.datetime(2025, 6, 1), 5)], "lpep_pickup_datetime timestamp_ntz, PULocationID long") \
+        .write.parquet(os.path.join(d, "green"))
+    specs = [FeedSpec("yellow", os.path.join(d, "yellow"), {"tpep_pickup_datetime": "pickup_ts", "PULocationID": "location_id"}),
+             FeedSpec("green", os.path.join(d, "green"), {"lpep_pickup_datetime": "pickup_ts", "PULocationID": "location_id"})]
+    per_feed = feeds.unify_trips(spark, specs, "2024-01-01", "2025-05-01")
+    glob = feeds.unify_trips(spark, specs, "2024-01-01", "2025-05-01", dedup="global")
+    assert per_feed.count() == 3          # (t, 5) once per feed, (t, 6); 2025-06 outside the range
+    assert glob.count() == 2
+    assert {tuple(r) for r in glob.collect()} == {("5", dt.date(2024, 1, 2), 8), ("6", dt.date(2024, 1, 2), 8)}
