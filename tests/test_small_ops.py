@@ -48,3 +48,15 @@ def test_nunique_approx_close_and_profile_nulls(spark):
     prof = {r["column_name"]: r for r in profile.column_profile(df).collect()}
     assert prof["b"]["null_count"] == 5000 and prof["b"]["null_pct"] == 25.0
     assert prof["a"]["n_rows"] == 20000 and prof["a"]["n_columns"] == 2 and prof["a"]["dtype"] == "bigint"
+
+
+def test_request_time_helpers(spark):
+    from demandlake.functions import text
+    df = spark.createDataFrame([(dt.datetime(2024, 12, 31, 23, 30), 23, 2, 29), (dt.datetime(2025, 3, 1, 5, 0), 5, 2, 30)],
+                               "ts timestamp_ntz, h int, m int, d int")
+    y, m, d = text.request_day(F.col("ts"))
+    r = df.select(text.next_hour(F.col("h")).alias("nh"), y.alias("y"), m.alias("m"), d.alias("d"),
+                  text.analogue_ts(F.col("m"), F.col("d"), F.lit(1)).alias("a")).collect()
+    assert (r[0]["nh"], r[0]["y"], r[0]["m"], r[0]["d"]) == (0, 2025, 1, 1)
+    assert r[0]["a"] == dt.datetime(2024, 2, 29, 1, 0)        # 2024 is a leap year
+    assert r[1]["a"] is None                                  # 30 February does not exist
