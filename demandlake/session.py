@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
 # Settings every job relies on.  UTC keeps date/hour derivation identical on
@@ -33,36 +34,44 @@ DEFAULT_CONF = {
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "demandlake") -> SparkSession:
+    """A running session is returned as it is.  Otherwise one is built whose
+    settings are the platform's, with the defaults above only where unset."""
+    if SparkContext._active_spark_context is not None:
+        return SparkSession.builder.getOrCreate()
+    given = SparkConf()
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in DEFAULT_CONF.items():
-        builder = builder.config(key, value)
+    wanted = dict(DEFAULT_CONF)
+    if memory := os.environ.get("DEMANDLAKE_DRIVER_MEMORY", "16g" if str(master).startswith("local") else ""):
+        wanted["spark.driver.memory"] = memory
     if shuffle_partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("DEMANDLAKE_DRIVER_MEMORY", "16g"))
+        wanted["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    for key, value in wanted.items():
+        if not given.contains(key):
+            builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    for key, value in DEFAULT_CONF.items():
-        if key.startswith("spark.sql."):
-            spark.conf.set(key, value)
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+def checkpoint_dir(spark: SparkSession, own: str | None = None) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``, else
+    the one registered with the context, else ``own`` (which is registered).
 
-    Only when the setting is absent (local runs, tests) a fresh scratch folder
-    is created and registered; a cluster always supplies its own.
+    A plain ``local[...]`` session, where driver and executors are one
+    process, gets a scratch folder when nothing is set.  Anywhere else a
+    missing setting is an error: executors do not share machine-local files.
     """
     sc = spark.sparkContext
-    current = sc.getConf().get("spark.checkpoint.dir", None)
+    registered = sc._jsc.sc().getCheckpointDir()
+    current = sc.getConf().get("spark.checkpoint.dir", None) or (registered.get() if registered.isDefined() else own)
     if not current:
-        registered = sc._jsc.sc().getCheckpointDir()
-        current = registered.get() if registered.isDefined() else None
-    if not current:
-        current = tempfile.mkdtemp(prefix="demandlake-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(current)
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        current = tempfile.mkdtemp(prefix="demandlake-ckpt-")
+    if not registered.isDefined():
+        sc.setCheckpointDir(current)
     return current
 
 
