@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlake.llm import pieces
-from demandlake.llm.common import table
+from demandlake.llm import langid, pieces
+from demandlake.llm.common import crc_remainder, table
 
 MODEL_FILE = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -21,8 +21,16 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(crc_remainder("doc_id", 3) != 1))
+    out = langid.predict(docs.drop("lang"), model)
+    return out.select("doc_id", (crc_remainder("doc_id", 3) == 1).alias("held_out"),
+                      F.col("nearest").alias("lang_pred"), "score", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_sentencepiece,)}
+    return {f.__name__: f for f in (op8_sentencepiece, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
