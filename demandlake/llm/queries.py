@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlake.llm import langid, pieces
+from demandlake.llm import langid, pieces, quality
 from demandlake.llm.common import crc_remainder, table
 
 MODEL_FILE = public_tokenizers.path("piece_bpe_32k.model")
@@ -29,8 +29,16 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("nearest").alias("lang_pred"), "score", "rejected")
 
 
+def op5_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_remainder("doc_id", 5) == 0
+    model = quality.fit(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
+    out = quality.score(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_sentencepiece, op9_language_id)}
+    return {f.__name__: f for f in (op5_quality_attention, op8_sentencepiece, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
