@@ -9,9 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlake.llm import langid, pieces, quality
+from demandlake.llm import langid, pieces, pseudonyms, quality
 from demandlake.llm.common import crc_remainder, table
 
+# a deployment passes its own secret; this one makes the query repeatable
+PSEUDONYM_KEY = "demandlake-demonstration-key"
 MODEL_FILE = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -29,6 +31,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("nearest").alias("lang_pred"), "score", "rejected")
 
 
+def op3_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, PSEUDONYM_KEY)
+
+
 def op5_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_remainder("doc_id", 5) == 0
@@ -38,7 +45,7 @@ def op5_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_quality_attention, op8_sentencepiece, op9_language_id)}
+    return {f.__name__: f for f in (op3_pii_feistel, op5_quality_attention, op8_sentencepiece, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
