@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlake.llm import langid, pieces, pseudonyms, quality
+from demandlake.llm import langid, mixing, pieces, pseudonyms, quality
 from demandlake.llm.common import crc_remainder, table
 
 # a deployment passes its own secret; this one makes the query repeatable
@@ -18,7 +18,7 @@ MODEL_FILE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pieces.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), MODEL_FILE)
+    out = pieces.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), MODEL_FILE, check="texts")
     return out.select("doc_id", "n_tokens", F.sha2("ids_u32le", 256).alias("ids_sha256"),
                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
@@ -31,6 +31,22 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("nearest").alias("lang_pred"), "score", "rejected")
 
 
+# domain weights by tokens
+MIX_TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.18, "es": 0.12}
+
+
+def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labelled rows of ``docs`` with their language as the domain."""
+    return docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").select(
+        "doc_id", "text", F.col("lang").alias("domain"))
+
+
+def op2_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = mixing.mix(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), MIX_TARGETS)
+    return out.select("doc_id", "n_tokens", F.to_json("domains").alias("domains"), "rate", "copies")
+
+
 def op3_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonyms.pseudonymise(docs, PSEUDONYM_KEY)
@@ -45,7 +61,7 @@ def op5_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_pii_feistel, op5_quality_attention, op8_sentencepiece, op9_language_id)}
+    return {f.__name__: f for f in (op2_mixing_rates, op3_pii_feistel, op5_quality_attention, op8_sentencepiece, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
