@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlake.llm import langid, mixing, pieces, pseudonyms, quality
+from demandlake.llm import dartminhash, langid, mixing, pieces, pseudonyms, quality
 from demandlake.llm.common import crc_remainder, table
 
 # a deployment passes its own secret; this one makes the query repeatable
@@ -17,6 +17,11 @@ PSEUDONYM_KEY = "demandlake-demonstration-key"
 MODEL_FILE = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op6_dartminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dartminhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("id").alias("doc_id"), "copy_of", "class_id")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pieces.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), MODEL_FILE, check="texts")
     return out.select("doc_id", "n_tokens", F.sha2("ids_u32le", 256).alias("ids_sha256"),
@@ -61,7 +66,8 @@ def op5_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing_rates, op3_pii_feistel, op5_quality_attention, op8_sentencepiece, op9_language_id)}
+    return {f.__name__: f for f in (op2_mixing_rates, op3_pii_feistel, op5_quality_attention, op6_dartminhash_classes,
+                                       op8_sentencepiece, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
