@@ -35,6 +35,7 @@ extra columns are kept, columns that clash with an output name are replaced.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -88,7 +89,8 @@ def posteriors(docs: DataFrame, model: DomainModel, text: str = "text") -> DataF
     """``docs`` plus ``n_tokens`` and ``p0 .. p<D-1>`` (model.domains order)."""
     words = _words(F.col(f"`{text}`"))
     empty = F.coalesce(F.col(f"`{text}`"), F.lit("")) == ""
-    d = docs.withColumn("__words", words)
+    kept = [c for c in docs.columns if c != "n_tokens" and not re.fullmatch(r"p\d+", c)]
+    d = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("__words", words)
     d = d.withColumn("n_tokens", F.when(empty, 0).otherwise(F.size("__words")).cast("long"))
     k = len(model.domains)
     if model.words:
@@ -103,7 +105,7 @@ def posteriors(docs: DataFrame, model: DomainModel, text: str = "text") -> DataF
     d = d.withColumn("__logits", logits).withColumn("__top", F.array_max("__logits"))
     d = d.withColumn("__e", F.transform("__logits", lambda v: F.exp(v - F.col("__top"))))
     d = d.withColumn("__sum", F.aggregate("__e", F.lit(0.0), lambda s, v: s + v))
-    return d.select(*docs.columns, "n_tokens", *[(F.col("__e")[i] / F.col("__sum")).alias(f"p{i}") for i in range(k)])
+    return d.select(*[F.col(f"`{c}`") for c in kept], "n_tokens", *[(F.col("__e")[i] / F.col("__sum")).alias(f"p{i}") for i in range(k)])
 
 
 def _rate(history: list[list[float]], least: float, k: int) -> Column:
@@ -149,16 +151,35 @@ def fit_rates(members: DataFrame, model: DomainModel, targets: dict[str, float],
     return _rate(history, least, k), {"rounds": len(history), "totals": reached, "targets": want}
 
 
+def _plan(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], text: str, key: str, domain: str,
+          least: float, growth: bool) -> tuple[DomainModel, DataFrame, Column, Column]:
+    """(model, staged members, rate, copies)."""
+    model = fit_domains(labelled, text, domain, key)
+    members = stage(posteriors(docs.select(key, text), model, text).drop(text), "mixing-members")
+    rate, _ = fit_rates(members, model, targets, least, growth)
+    u = F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return model, members, rate, F.floor(rate + u).cast("int")
+
+
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], text: str = "text", key: str = "doc_id",
         domain: str = "domain", least: float = 0.0, growth: bool = False) -> DataFrame:
     """A row per row of ``docs``: its key, ``n_tokens``, ``domains`` (map of
     posteriors), ``rate`` and ``copies``."""
-    model = fit_domains(labelled, text, domain, key)
+    model, members, rate, copies = _plan(docs, labelled, targets, text, key, domain, least, growth)
     k = len(model.domains)
-    members = stage(posteriors(docs.select(key, text), model, text).drop(text), "mixing-members")
-    rate, _ = fit_rates(members, model, targets, least, growth)
-    u = F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     domains = F.map_from_arrays(F.array(*[F.lit(d) for d in model.domains]), F.array(*[F.col(f"p{i}") for i in range(k)])) if k \
         else F.lit(None).cast("map<string,double>")
-    return members.select(key, "n_tokens", domains.alias("domains"), rate.alias("rate")).withColumn(
-        "copies", F.floor(F.col("rate") + u).cast("int"))
+    return members.select(key, "n_tokens", domains.alias("domains"), rate.alias("rate"), copies.alias("copies"))
+
+
+def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], text: str = "text", key: str = "doc_id",
+             domain: str = "domain", least: float = 0.0, growth: bool = False) -> DataFrame:
+    """``docs`` with every row repeated as often as the mixture asks.  The
+    posterior is evaluated again in place, so the texts are not shuffled."""
+    model, _, _, copies = _plan(docs, labelled, targets, text, key, domain, least, growth)
+    hidden = [c for c in docs.columns if c == "n_tokens" or re.fullmatch(r"p\d+", c)]
+    bare = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{text}`").alias(text),
+                       F.col(f"`{key}`").alias(key)) if hidden else docs
+    out = posteriors(bare, model, text).withColumn("__copies", copies).where("__copies >= 1").withColumn(
+        "__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return out.select("__row.*") if hidden else out.select(*docs.columns)
