@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlake.llm import dartminhash, langid, mixing, pieces, pseudonyms, quality
+from demandlake.llm import dartminhash, hnsw, impact, langid, mixing, pieces, pseudonyms, quality, shards
 from demandlake.llm.common import crc_remainder, table
 
 # a deployment passes its own secret; this one makes the query repeatable
@@ -36,6 +36,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("nearest").alias("lang_pred"), "score", "rejected")
 
 
+def op1_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 # domain weights by tokens
 MIX_TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.18, "es": 0.12}
 
@@ -65,9 +69,17 @@ def op5_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op10_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    finite = shards.finite("embedding")
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 64).cast("long"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.when(finite, whole).alias("embedding"))
+    return impact.topk(rows, F.col("vec_id") % 20 == 0, 20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing_rates, op3_pii_feistel, op5_quality_attention, op6_dartminhash_classes,
-                                       op8_sentencepiece, op9_language_id)}
+    return {f.__name__: f for f in (op1_hnsw_search, op2_mixing_rates, op3_pii_feistel, op5_quality_attention, op6_dartminhash_classes,
+                                       op8_sentencepiece, op9_language_id,
+                                       op10_impact_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
