@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlake.llm import dartminhash, hnsw, impact, langid, mixing, pieces, pseudonyms, quality, shards
+from demandlake.llm import dartminhash, hnsw, impact, langid, mixing, pieces, pseudonyms, quality, revisits, shards
 from demandlake.llm.common import crc_remainder, table
 
 # a deployment passes its own secret; this one makes the query repeatable
@@ -61,6 +61,13 @@ def op3_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(docs, PSEUDONYM_KEY)
 
 
+def op4_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = revisits.resolve(revisits.records_from_pages(table(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws(": ", e["key"], e["value"]))
+    return out.select("record_id", "canonical_url", "kind", "resolution", "ref_id", "status",
+                      F.array_join(lines, "\n").alias("headers"), F.sha2("payload", 256).alias("payload_sha256"))
+
+
 def op5_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_remainder("doc_id", 5) == 0
@@ -77,10 +84,10 @@ def op10_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hnsw_search, op2_mixing_rates, op3_pii_feistel, op5_quality_attention, op6_dartminhash_classes,
+    return {f.__name__: f for f in (op1_hnsw_search, op2_mixing_rates, op3_pii_feistel, op4_revisit_resolution, op5_quality_attention, op6_dartminhash_classes,
                                        op8_sentencepiece, op9_language_id,
                                        op10_impact_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_revisit_resolution": revisits.RESOLVED_PAGES_SQL}
