@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlake.llm import dartminhash, hnsw, impact, langid, mixing, pieces, pseudonyms, quality, revisits, shards
+from demandlake.llm import dartminhash, hnsw, impact, langid, mixing, pieces, pseudonyms, quality, revisits, shards, suffixes
 from demandlake.llm.common import crc_remainder, table
 
 # a deployment passes its own secret; this one makes the query repeatable
@@ -22,6 +22,12 @@ def op6_dartminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "copy_of", "class_id")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pieces.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), MODEL_FILE, check="texts")
     return out.select("doc_id", "n_tokens", F.sha2("ids_u32le", 256).alias("ids_sha256"),
@@ -85,7 +91,7 @@ def op10_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_hnsw_search, op2_mixing_rates, op3_pii_feistel, op4_revisit_resolution, op5_quality_attention, op6_dartminhash_classes,
-                                       op8_sentencepiece, op9_language_id,
+                                       op7_suffix_dedup, op8_sentencepiece, op9_language_id,
                                        op10_impact_topk)}
 
 
