@@ -20,8 +20,8 @@ Defined results (column ``resolution``): ``response`` for full responses;
 ``no_time`` for one without a time (a response without a time or URL is never
 referred to); ``other`` for any other or null kind.  Of responses at one time
 the largest record id is the latest; a response at the revisit's own time is
-not earlier.  Null headers are no headers; names are matched without case,
-the last of repeated names counts.  Extra columns are kept; columns that clash
+not earlier.  Null headers are no headers; names are matched without case;
+of names that differ in case only, the last in byte order counts.  Extra columns are kept; columns that clash
 with an output name are replaced; an empty table gives no rows.
 """
 
@@ -52,8 +52,9 @@ def canonical_url(url: Column) -> Column:
 
 
 def plain_headers(headers: Column) -> Column:
-    """Names in lower case; the last of repeated names; null as none."""
-    entries = F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>")))
+    """Names in lower case; null as none.  Of names that differ in case only,
+    the last in byte order counts (a map has no order of its own)."""
+    entries = F.array_sort(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))))
     names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
     return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(
         F.filter(entries, lambda e: F.lower(e["key"]) == n), -1)["value"]))
