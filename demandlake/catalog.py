@@ -70,6 +70,14 @@ def cost_feed(sf_dir: str) -> FeedSpec:
                      "l_quantity": DISTANCE, "l_extendedprice": COST}, "lineitem")
 
 
+def capped_cost_feed(sf_dir: str) -> FeedSpec:
+    """Cost variant whose ratios lie on both sides of the outlier cap of 100:
+    price over part key."""
+    return FeedSpec("lineitem", os.path.join(sf_dir, "lineitem.parquet"),
+                    {"l_shipdate": PICKUP, "l_suppkey": ZONE,
+                     "l_partkey": DISTANCE, "l_extendedprice": COST}, "lineitem")
+
+
 # The trip feed used by the hourly-demand queries: events, zone = event_type.
 EVENTS_FEED_RENAME = {"ts": PICKUP, "event_type": ZONE}
 # Half-open time range of the events feed (January 2024 holds all rows).

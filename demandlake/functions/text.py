@@ -10,8 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Display formats and the forecast line template.
-TS_DISPLAY = "yyyy-MM-dd HH:mm:ss"
+# The forecast line template.
 LOCAL_SHIFT_HOURS = -8
 LINE_PREFIX = "\U0001F552 "          # clock
 LINE_DEMAND = ":00 - \U0001F697 "     # car
@@ -21,11 +20,6 @@ LINE_COST_UNIT = " $ per mile"
 ANALOGUE_YEAR = 2024
 
 
-def display_ts(ts: Column) -> Column:
-    """``%Y-%m-%d %H:%M:%S``."""
-    return F.date_format(ts, TS_DISPLAY)
-
-
 def list_to_text(arr: Column, integral: bool = True) -> Column:
     """Array -> ``[1, 2, 3]`` text as stored in the predictions table."""
     elem = (lambda x: x.cast("bigint").cast("string")) if integral else (lambda x: x.cast("string"))

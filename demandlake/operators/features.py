@@ -30,7 +30,7 @@ SEQ_FEATURES = (
     "time_idx", "temp", "prcp", "wspd",
 )
 
-# Column order of the 28-column feature table.
+# Column order of the 28-column feature table.
 FEATURE_TABLE = (
     "date", "hour", "location_id", "trips_count",
     "day_of_week", "month", "is_weekend", "is_holiday", "is_month_start", "is_month_end",
@@ -55,17 +55,24 @@ def with_lags(df: DataFrame, lags: Sequence[int] = (1, 24, 168), value: str = "t
     A zone shorter than k+1 rows has nothing to fill from and gets 0.
     """
     w = zone_window(zone, order)
-    raw = {f"_lag{k}": F.lag(F.col(value), k).over(w).cast("double") for k in lags}
+    raw = {k: F.lag(F.col(value), k).over(w).cast("double") for k in lags}
     if fill != "bfill":
-        return df.withColumns({f"lag_{k}h": F.coalesce(raw[f"_lag{k}"], F.lit(0.0)) for k in lags})
-    # bfill reads the lag column itself, so it is a second window over the
-    # same specification (same exchange and sort).
-    ahead = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    out = df.withColumns(raw).withColumns({
-        f"lag_{k}h": F.coalesce(F.col(f"_lag{k}"), F.first(F.col(f"_lag{k}"), ignorenulls=True).over(ahead),
-                                F.lit(0.0))
-        for k in lags})
-    return out.drop(*raw)
+        return df.withColumns({f"lag_{k}h": F.coalesce(raw[k], F.lit(0.0)) for k in lags})
+    # The first k rows of a zone have no lag; the next available one is that
+    # of row k, the zone's first value - if the zone has more than k rows.
+    first = F.first(F.col(value), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = F.count(F.lit(1)).over(Window.partitionBy(zone))
+    return df.withColumns({
+        f"lag_{k}h": F.coalesce(raw[k], F.when(rows > k, first.cast("double")), F.lit(0.0)) for k in lags})
+
+
+def with_time_lags(df: DataFrame, hours: Sequence[int] = (1, 24, 168), value: str = "trips_count",
+                   zone: str = ZONE, order: Sequence[str] = ORDER) -> DataFrame:
+    """``lag_time_{k}h`` = value exactly k hours earlier in the zone, null
+    when that hour has no row (D14, time-true lag)."""
+    hour = F.unix_date(F.col(order[0])).cast("bigint") * 24 + F.col(order[1])
+    w = Window.partitionBy(zone).orderBy(hour)
+    return df.withColumns({f"lag_time_{k}h": F.first(F.col(value)).over(w.rangeBetween(-k, -k)).cast("double") for k in hours})
 
 
 def with_rolling(df: DataFrame, n: int = 168, value: str = "trips_count",
@@ -94,7 +101,7 @@ def with_row_adjacency(df: DataFrame, date_col: str = "date", hour_col: str = "h
     Inside a date the neighbour row has the same date, so the flag differs
     from ``is_holiday`` only on the last (pre) or first (post) row of a
     date.  Those rows and the neighbouring present dates are found on the
-    distinct-date table (one row per day, safe to broadcast); no global sort
+    distinct-date table (one row per day); no global sort
     of the fact table is needed.
     """
     key = F.struct(F.col(hour_col), F.col(zone))
@@ -105,7 +112,7 @@ def with_row_adjacency(df: DataFrame, date_col: str = "date", hour_col: str = "h
         F.coalesce(cal.is_holiday(F.lead(date_col).over(by_date), names), F.lit(0)).alias("_next_hol"),
         F.coalesce(cal.is_holiday(F.lag(date_col).over(by_date), names), F.lit(0)).alias("_prev_hol"))
     own = cal.is_holiday(F.col(date_col), names)
-    out = df.join(F.broadcast(days), date_col, "left")
+    out = df.join(days, date_col, "left")
     return (out.withColumns({
         "is_pre_holiday": F.when(key == F.col("_last"), F.col("_next_hol")).otherwise(own).cast("int"),
         "is_post_holiday": F.when(key == F.col("_first"), F.col("_prev_hol")).otherwise(own).cast("int"),
@@ -116,12 +123,11 @@ def with_weather(df: DataFrame, weather: DataFrame, keys: Sequence[str] = ("date
                  cols: Sequence[str] = ("temp", "prcp", "wspd")) -> DataFrame:
     """Left join of hourly weather; unmatched hours get null weather.
 
-    The weather side has at most one row per hour of its time span
-    (8,760 a year), a bound that does not grow with trip volume; it is
-    broadcast so the fact side is not shuffled.
+    The weather side has at most one row per hour of its time span; the
+    runtime broadcasts it when its measured size allows.
     """
     w = weather.select(*keys, *cols)
-    return df.join(F.broadcast(w), list(keys), "left")
+    return df.join(w, list(keys), "left")
 
 
 def build_features(hourly: DataFrame, weather: DataFrame | None = None,

@@ -4,14 +4,17 @@ activity (K1-K9, D12, B13).
 Money is kept in integer cents, so running balances are exact and
 independent of the order in which partial sums are added.
 
-The ledger replay (K1, K3) is an order-dependent fold: whether a withdrawal
-is accepted depends on the balance left by every earlier accepted row.  It
-cannot be written as a prefix sum, and collecting a user's history into one
-array would put an unbounded group in one task.  Instead the rows are hash
-partitioned by user, sorted inside each partition, and folded by a
-``mapInPandas`` pass that streams Arrow batches and carries the state of
-the current user across batch borders: memory stays bounded by one batch
-whatever the size of a user's history.
+The ledger replay (K1, K3) is order-dependent: whether a withdrawal is
+accepted depends on the balance left by every earlier accepted row.  Up to a
+user's first withdrawal that exceeds the balance, or first tier purchase,
+every row that is valid by itself is accepted, so balances there are a
+prefix sum in two levels (per user-day, then over day totals) inside the
+JVM, spread over the cluster even for one huge user.  Only the rows from
+that point on, of the users who have one, go through a fold: hash
+partitioned by user, sorted, and folded by ``mapInPandas`` over Arrow
+batches with the state of the current user carried along.  Its memory is one
+batch; its time is that of the longest such remainder of one user, in one
+task - the bound that order dependence leaves.
 """
 
 from __future__ import annotations
@@ -157,9 +160,30 @@ def replay_ledger(ops: DataFrame, users: DataFrame | None = None) -> DataFrame:
     ops = ops.withColumn("opening_cents", F.coalesce(F.col("opening_cents"), F.lit(0)).cast("bigint"))
     if "level" not in ops.columns:
         ops = ops.withColumn("level", F.lit(None).cast("string"))
-    prepared = (ops.select("user_id", "op_id", "ts", "kind", "amount_cents", "level", "opening_cents")
-                .repartition("user_id").sortWithinPartitions("user_id", "ts", "op_id"))
-    return prepared.mapInPandas(_fold, REPLAY_SCHEMA)
+    ops = ops.select("user_id", "op_id", "ts", "kind", "amount_cents", "level", "opening_cents")
+    deposit, withdraw = F.col("kind") == "deposit", F.col("kind") == "withdraw"
+    amount = F.col("amount_cents")
+    signed = F.when(deposit & (amount > 0), amount).when(withdraw & (amount >= 0), -amount).otherwise(F.lit(0))
+    rows = blocked_running_sum(ops.withColumn("_signed", signed.cast("bigint")), ["user_id"], ["ts", "op_id"], "_signed",
+                               F.to_date("ts"), out="_sum")
+    rows = rows.withColumn("_balance", F.col("opening_cents") + F.col("_sum"))
+    # the first row of a user that the prefix sum cannot decide, and the balance before it
+    undecided = (F.col("_balance") < 0) | (F.col("kind") == "tier")
+    turn = rows.where(undecided).groupBy("user_id").agg(
+        F.min(F.struct("ts", "op_id", (F.col("_balance") - F.col("_signed")).alias("before"))).alias("_turn"))
+    rows = rows.join(turn, "user_id", "left")
+    here = F.struct("ts", "op_id")
+    turned = F.col("_turn").isNotNull() & (here >= F.struct(F.col("_turn.ts").alias("ts"), F.col("_turn.op_id").alias("op_id")))
+    accepted = (deposit & (amount > 0)) | (withdraw & (amount >= 0))
+    reason = F.when(deposit & (amount <= 0), "non_positive_deposit").when(withdraw & (amount < 0), "negative_withdrawal").when(
+        ~(deposit | withdraw), "unknown_kind")
+    decided = rows.where(~turned).select(
+        "user_id", "op_id", "ts", "kind", "amount_cents", "level", accepted.alias("accepted"), reason.alias("reason"),
+        F.col("_balance").alias("balance_cents"), F.lit("bronze").alias("tier"), F.lit(None).cast("date").alias("tier_end"))
+    rest = (rows.where(turned).select("user_id", "op_id", "ts", "kind", "amount_cents", "level",
+                                      F.col("_turn.before").alias("opening_cents"))
+            .repartition("user_id").sortWithinPartitions("user_id", "ts", "op_id"))
+    return decided.unionByName(rest.mapInPandas(_fold, REPLAY_SCHEMA))
 
 
 def running_balance(ops: DataFrame, signed_cents: str = "signed_cents") -> DataFrame:
@@ -184,6 +208,12 @@ def owner_lookup(df: DataFrame, user_id: int, item_id: int, key: str = "user_id"
     return df.where((F.col(key) == user_id) & (F.col(id_col) == item_id))
 
 
+def owner_lookups(df: DataFrame, wanted: DataFrame, key: str = "user_id", id_col: str = "op_id") -> DataFrame:
+    """Many owner-scoped lookups at once: the rows of ``df`` that ``wanted``
+    (owner, item) asks for and owns (B13)."""
+    return df.join(wanted.select(key, id_col).distinct(), [key, id_col], "left_semi")
+
+
 # --- K5/K6 quotas and affordability ----------------------------------------
 
 MAX_QUOTA = max(DAILY_QUOTA.values())
@@ -194,12 +224,14 @@ def quota(requests: DataFrame, tiers: DataFrame, ts: str = "ts", paid: str = "pa
     """Daily quota by UTC day (K5).  Every request counts (paid ones too);
     only free ones are checked; a free request passes iff it is among the
     first ``quota(tier)`` requests of its user and day.  Diamond is
-    unlimited.
+    unlimited.  A redelivered request id counts once.
 
-    Only positions up to the largest quota matter, so the rank is computed
-    with ``row_number() <= MAX_QUOTA`` (a per-task group limit before the
-    shuffle) and joined back on the request id.
+    Only positions up to the largest quota of the tier table matter, so the
+    rank is computed with ``row_number() <= MAX_QUOTA`` (a per-task group
+    limit before the shuffle) and joined back on the request id; no request
+    is dropped by it.
     """
+    requests = requests.dropDuplicates([req_id])
     r = requests.withColumn("day", F.to_date(F.col(ts)))
     first = top_n_per_key(r.select(req_id, "user_id", "day", ts), ["user_id", "day"],
                           [F.col(ts), F.col(req_id)], MAX_QUOTA, out="rn").select(req_id, "rn")

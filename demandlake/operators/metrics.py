@@ -73,17 +73,20 @@ def mae_by(preds: DataFrame, by: Sequence[str], y: str = "y", p: str = "p") -> D
     return preds.groupBy(*by).agg(F.avg(F.abs(F.col(y) - F.col(p))).alias("mae"))
 
 
-def error_matrix_wide(long: DataFrame, row: str = "location_id", col: str = "step",
+def error_matrix_wide(long: DataFrame, rows: Sequence[str] = ("model", "location_id"), col: str = "step",
                       horizon: int = 24) -> DataFrame:
     """Zone x step MAE matrix, one column per step (I9 wide, J7-like)."""
-    return long.groupBy(row).pivot(col, list(range(horizon))).agg(F.first("mae"))
+    return long.groupBy(*rows).pivot(col, list(range(horizon))).agg(F.first("mae"))
 
 
 def best(df: DataFrame, metric: str, n: int, key: str, by: Sequence[str] = ()) -> DataFrame:
-    """n smallest by a metric, ties by key (D13, I10); per group when ``by``."""
+    """n smallest by a metric, ties by key (D13, I10); per group when ``by``.
+    Values that differ by rounding noise only (from the ninth decimal on)
+    are ties."""
+    level = F.rint(F.col(metric) * 1e9)
     if not by:
-        return df.orderBy(F.col(metric).asc(), F.col(key).asc()).limit(n)
-    w = Window.partitionBy(*by).orderBy(F.col(metric).asc(), F.col(key).asc())
+        return df.orderBy(level, F.col(key).asc()).limit(n)
+    w = Window.partitionBy(*by).orderBy(level, F.col(key).asc())
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,10 +28,12 @@ from pyspark.sql import types as T
 
 def split_random(df: DataFrame, keys: Sequence[str], seed: int = 42,
                  test: float = 0.2, val_of_rest: float = 0.25) -> DataFrame:
-    """Stable random 60/20/20 split (G4): a hash of the key columns and the
-    seed gives a number in [0, 1); re-running gives the same split on any
-    cluster, unlike sampling that depends on partitioning."""
-    u = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
+    """Stable random 60/20/20 split (G4): the first 32 bits of the MD5 of the
+    key columns and the seed give a number in [0, 1); re-running gives the
+    same split on any cluster and in any engine, unlike sampling that
+    depends on partitioning."""
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    u = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(float(2 ** 32))
     rest_cut = test
     val_cut = test + (1 - test) * val_of_rest
     return df.withColumn("split", F.when(u < rest_cut, F.lit("test"))
@@ -40,23 +42,6 @@ def split_random(df: DataFrame, keys: Sequence[str], seed: int = 42,
 
 # --- H4 ------------------------------------------------------------------
 
-def flat_features(win: DataFrame, x_col: str = "x") -> DataFrame:
-    """``x`` (72 x 24 array) -> one ML vector of 1,728 values."""
-    return win.withColumn("features", array_to_vector(F.flatten(F.col(x_col))))
-
-
-def fit_linear_steps(train: DataFrame, horizon: int = 24, y_col: str = "y") -> list:
-    """One Spark ML least-squares model per horizon step (H4, iterative
-    variant for very wide inputs); the vector column is cached once."""
-    data = train.select("features", y_col).cache()
-    fitted = []
-    for k in range(horizon):
-        lr = LinearRegression(featuresCol="features", labelCol="label", regParam=0.0, solver="auto")
-        fitted.append(lr.fit(data.withColumn("label", F.col(y_col)[k])))
-    data.unpersist()
-    return fitted
-
-
 def fit_linear(train: DataFrame, x_col: str = "x", y_col: str = "y") -> tuple[np.ndarray, np.ndarray]:
     """Multi-output least squares with intercept (H4), exact, on the JVM.
 
@@ -144,17 +129,17 @@ def regression_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
 
 def score_sequences(df: DataFrame, predict_fn: Callable[[np.ndarray], np.ndarray],
                     id_col: str = "request_id", x_col: str = "x", horizon: int = 24,
-                    n_features: int = 24) -> DataFrame:
+                    n_features: int = 24, dtype: str = "float64") -> DataFrame:
     """Score input windows with a user model (H7).
 
-    ``predict_fn`` maps a float32 array (n, 72, 24) to (n, horizon).  It is
+    ``predict_fn`` maps an array (n, 72, 24) of ``dtype`` to (n, horizon).  It is
     pickled once with the task closure and called once per Arrow batch.
     """
     def run(batches):
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            x = np.stack(pdf["_xf"].to_numpy()).astype("float32").reshape(len(pdf), -1, n_features)
+            x = np.stack(pdf["_xf"].to_numpy()).astype(dtype).reshape(len(pdf), -1, n_features)
             y = np.asarray(predict_fn(x), dtype="float64").reshape(len(pdf), horizon)
             yield pd.DataFrame({id_col: pdf[id_col], "forecast": list(y)})
     schema = T.StructType([df.schema[id_col], T.StructField("forecast", T.ArrayType(T.DoubleType()))])

@@ -10,11 +10,14 @@ block; the two are joined back on (key, block).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from demandlake.session import stage_path
+
 
 def blocked_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
                         block: Column, out: str = "running") -> DataFrame:
@@ -32,20 +35,6 @@ def blocked_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str]
             .drop("_blk", "_local", "_off"))
 
 
-def blocked_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column,
-                       out: str = "rn") -> DataFrame:
-    """1-based position per key in ``order``, in two levels (see module doc)."""
-    keys = list(keys)
-    d = df.withColumn("_blk", block)
-    d = d.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_blk").orderBy(*order)))
-    counts = d.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_n"))
-    prev = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(prev), F.lit(0))).drop("_n")
-    return (d.join(offsets, [*keys, "_blk"], "inner")
-            .withColumn(out, (F.col("_off") + F.col("_local")).cast("bigint"))
-            .drop("_blk", "_local", "_off"))
-
-
 def top_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
                   out: str = "rank") -> DataFrame:
     """First n rows per key.  ``row_number() <= n`` with a literal n lets
@@ -63,9 +52,12 @@ def dense_ordinal(df: DataFrame, col: str, out: str = "ordinal", partitions: int
     values = df.select(col).distinct()
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = values.repartitionByRange(n, col).withColumn("_pid", F.spark_partition_id())
+    # written to the shared folder before it is read twice: the sampled range
+    # boundaries are the same for the ranks and the counts, whatever the plan
+    path = stage_path(df.sparkSession, f"ranges-{uuid.uuid4().hex[:12]}")
+    ranged.write.parquet(path)
+    ranged = df.sparkSession.read.schema(ranged.schema).parquet(path)
     local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_pid").orderBy(col)))
-    # counts come from the same subtree (one exchange, reused), so the range
-    # boundaries seen by both sides are the same
     counts = local.groupBy("_pid").agg(F.max("_local").alias("_n"))
     prev = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(prev), F.lit(0))).drop("_n")

@@ -48,7 +48,7 @@ def window_weights(features: DataFrame, past: int = PAST, future: int = FUTURE,
     i = F.col(idx)
     w_x = F.greatest(F.least(i + past, F.col("_o_hi")) - F.greatest(i + 1, F.col("_o_lo")) + 1, F.lit(0))
     w_y = F.greatest(F.least(i, F.col("_o_hi")) - F.greatest(i - (future - 1), F.col("_o_lo")) + 1, F.lit(0))
-    out = features.join(F.broadcast(st.select(zone, "_o_lo", "_o_hi")), zone, "inner")
+    out = features.join(st.select(zone, "_o_lo", "_o_hi"), zone, "inner")
     return out.withColumns({"w_x": w_x.cast("bigint"), "w_y": w_y.cast("bigint")}).drop("_o_lo", "_o_hi")
 
 
@@ -108,22 +108,16 @@ def merge_scaler(a: DataFrame, b: DataFrame) -> DataFrame:
     return finish(merged)
 
 
-MAX_PARAMS = 10_000
-
-
 def to_dict(params) -> dict[str, tuple[float, float]]:
     """Fitted parameters as ``{feature: (mean, scale)}``.
 
     Like a fitted Spark ML model, scaler state lives on the driver: it has
-    one row per feature (a bound checked here), and is applied as literals
-    inside the generated code, so applying it needs neither a join nor a
-    shuffle.
+    one row per feature of the schema, and is applied as literals inside the
+    generated code, so applying it needs neither a join nor a shuffle.
     """
     if isinstance(params, dict):
         return params
-    rows = params.select("feature", "mean", "scale").limit(MAX_PARAMS + 1).collect()
-    if len(rows) > MAX_PARAMS:
-        raise ValueError("scaler parameters exceed one row per feature")
+    rows = params.select("feature", "mean", "scale").collect()
     return {r["feature"]: (float(r["mean"]), float(r["scale"])) for r in rows}
 
 

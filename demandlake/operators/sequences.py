@@ -82,9 +82,7 @@ def windows(features: DataFrame, past: int = PAST, future: int = FUTURE,
         })
     rows = features.withColumns(cols)
     stats = zone_stats(features, past, future, fractions, zone)
-    out = rows.join(F.broadcast(stats.select(zone, "n_rows", "zone_idx", "offset", "n_total", "cut1",
-                                             "cut2")),
-                    zone, "inner")
+    out = rows.join(stats.select(zone, "n_rows", "zone_idx", "offset", "n_total", "cut1", "cut2"), zone, "inner")
     out = out.where((F.col("_idx") >= past) & (F.col("_idx") <= F.col("n_rows") - future))
     seq_no = (F.col("offset") + F.col("_idx") - past).cast("bigint")
     keep = ["seq_no", zone, "zone_idx", "origin", "origin_date", "origin_hour", "split", "n_total",

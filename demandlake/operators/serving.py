@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandlake.functions import calendar as cal
@@ -25,6 +25,7 @@ from demandlake.sources import weather as wx
 
 ZONE = "location_id"
 PAST = 72
+CEIL_SLACK = 1e-9
 
 
 def series_ts(features: DataFrame) -> DataFrame:
@@ -67,7 +68,7 @@ def resolve_requests(series: DataFrame, requests: DataFrame, target: str = "targ
     ``ok``, ``no_zone`` (zone absent from the series) or ``no_history``
     (no row at or before the target)."""
     bounds = zone_bounds(series, zone)
-    req = requests.join(F.broadcast(bounds), zone, "left")
+    req = requests.join(bounds, zone, "left")
     hour = F.date_trunc("hour", F.col(target)).cast("timestamp_ntz")
     req = req.withColumn("_key", F.least(hour, F.col("last_ts")))
     grid = asof_grid(series, zone).withColumnRenamed("hour_ts", "_key")
@@ -83,61 +84,89 @@ def resolve_requests(series: DataFrame, requests: DataFrame, target: str = "targ
 
 def zone_fill_means(series: DataFrame, feature_cols: Sequence[str], zone: str = ZONE) -> DataFrame:
     """NaN-ignoring mean of each feature over all rows of the zone."""
-    return series.groupBy(zone).agg(*[
-        F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(f"_mean_{c}")
-        for c in feature_cols])
+    return series.groupBy(zone).agg(*[F.avg(_clean(c)).alias(f"_mean_{c}") for c in feature_cols])
+
+
+def _clean(c: str) -> Column:
+    return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+
+
+def window_matrices(series: DataFrame, params=None, feature_cols: Sequence[str] = SEQ_FEATURES, past: int = PAST,
+                    zone: str = ZONE, upto_target: bool = False) -> DataFrame:
+    """(zone, asof_idx, n_padded, x): the input matrix that ends in each row
+    of the series.  The last ``past`` rows as of the row, imputed with the
+    zone mean (G9), scaled with the training scaler (G7) and padded in front
+    with the zone's mean row (G10).  One matrix per zone and hour, however
+    many requests ask for it.
+
+    ``upto_target``: means over the rows up to the row only (no look-ahead);
+    the default takes all rows of the zone, as the reference does.
+    """
+    p = scaling.to_dict(params) if params is not None else {}
+
+    def scaled(c: str, x: Column) -> Column:
+        return (x - F.lit(p[c][0])) / F.lit(p[c][1]) if c in p else x
+
+    by_row = Window.partitionBy(zone).orderBy("_idx")
+    so_far = by_row.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    scope = so_far if upto_target else Window.partitionBy(zone)
+    series = series.select(zone, F.col("time_idx").alias("_idx"), *[_clean(c).alias(c) for c in feature_cols])
+    rows = series.select("*", *[F.avg(c).over(scope).alias(f"_mean_{c}") for c in feature_cols])
+    rows = rows.select(
+        zone, "_idx",
+        F.array(*[F.col(c) for c in feature_cols]).alias("_raw"),
+        F.array(*[scaled(c, F.coalesce(F.col(c), F.col(f"_mean_{c}"))) for c in feature_cols]).alias("_row"),
+        F.array(*[F.col(f"_mean_{c}") for c in feature_cols]).alias("_mean"),
+        F.array(*[scaled(c, F.col(f"_mean_{c}")) for c in feature_cols]).alias("_pad"))
+    last = by_row.rowsBetween(-(past - 1), Window.currentRow)
+    if upto_target:
+        # the means move with the row, so the raw rows are imputed per matrix
+        seen = F.transform(F.collect_list("_raw").over(last), lambda r: F.zip_with(r, F.col("_mean"), lambda v, m: F.coalesce(v, m)))
+        if p:
+            centre = F.array(*[F.struct(F.lit(p[c][0]).alias("m"), F.lit(p[c][1]).alias("s")) for c in feature_cols])
+            seen = F.transform(seen, lambda r: F.zip_with(r, centre, lambda v, t: (v - t["m"]) / t["s"]))
+    else:
+        seen = F.collect_list("_row").over(last)
+    rows = rows.select(zone, F.col("_idx").alias("asof_idx"), "_pad", seen.alias("_seen"))
+    missing = F.lit(past) - F.size("_seen")
+    return rows.select(zone, "asof_idx", missing.alias("n_padded"), F.concat(F.array_repeat("_pad", missing), "_seen").alias("x"))
+
+
+def serving_arrays(series: DataFrame, requests: DataFrame, params=None, feature_cols: Sequence[str] = SEQ_FEATURES,
+                   past: int = PAST, request_id: str = "request_id", zone: str = ZONE, resolved: DataFrame | None = None,
+                   upto_target: bool = False) -> DataFrame:
+    """The input matrix of each request that has one (J3): (request id, zone,
+    asof_idx, n_padded, x).  The matrices are built on the series, and a
+    request reaches its own by one equi-join on (zone, asof_idx).
+    ``resolved``: the requests already resolved, if the caller has them."""
+    if resolved is None:
+        resolved = resolve_requests(series, requests, zone=zone)
+    ok = resolved.where(F.col("status") == "ok").select(request_id, zone, "asof_idx")
+    return ok.join(window_matrices(series, params, feature_cols, past, zone, upto_target), [zone, "asof_idx"]).select(
+        request_id, zone, "asof_idx", "n_padded", "x")
 
 
 def serving_windows(series: DataFrame, requests: DataFrame, params=None,
                     feature_cols: Sequence[str] = SEQ_FEATURES, past: int = PAST,
-                    request_id: str = "request_id", zone: str = ZONE) -> DataFrame:
-    """Long-form input windows: one row per (request, position 0..71) with
-    the 24 features; rows before the zone's first row are padded with the
-    zone's mean row (G10); missing values take the zone mean (G9); with
-    ``params`` the features are scaled with the training scaler (G7, J3).
-
-    Imputation and scaling run once on the series table (zones x hours)
-    and on the per-zone mean rows, not on the 72 exploded positions of
-    every request; the exploded side only picks prepared rows by an
-    equi-join on (zone, row index).
-    """
-    means = zone_fill_means(series, feature_cols, zone)
-    filled = series.join(F.broadcast(means), zone, "left").select(
-        zone, F.col("time_idx").alias("_src"),
-        *[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")),
-                     F.col(f"_mean_{c}")).alias(c) for c in feature_cols])
-    pad = means.select(zone, *[F.col(f"_mean_{c}").alias(c) for c in feature_cols])
-    if params is not None:
-        filled = scaling.transform(filled, params, feature_cols)
-        pad = scaling.transform(pad, params, feature_cols)
-    pad = pad.select(zone, *[F.col(c).alias(f"_pad_{c}") for c in feature_cols])
-    resolved = resolve_requests(series, requests, zone=zone).where(F.col("status") == "ok")
-    pos = resolved.select(request_id, zone, "asof_idx",
-                          F.explode(F.sequence(F.lit(0), F.lit(past - 1))).alias("pos"))
-    pos = pos.withColumn("_src", F.col("asof_idx") - (past - 1) + F.col("pos"))
-    joined = pos.join(filled, [zone, "_src"], "left").join(F.broadcast(pad), zone, "left")
-    return joined.select(
-        request_id, zone, "pos", (F.col("_src") < 0).alias("padded"),
-        *[F.coalesce(F.col(c), F.col(f"_pad_{c}")).alias(c) for c in feature_cols])
-
-
-def window_arrays(long: DataFrame, feature_cols: Sequence[str] = SEQ_FEATURES,
-                  request_id: str = "request_id") -> DataFrame:
-    """72 x 24 input matrix per request, rows in position order.  The group
-    is one request (72 rows), so collecting it is bounded."""
-    vec = F.struct(F.col("pos"), F.array(*[F.col(c) for c in feature_cols]).alias("v"))
-    return (long.groupBy(request_id).agg(F.array_sort(F.collect_list(vec)).alias("_rows"))
-            .select(request_id, F.transform("_rows", lambda r: r["v"]).alias("x")))
+                    request_id: str = "request_id", zone: str = ZONE, upto_target: bool = False) -> DataFrame:
+    """Long form of ``serving_arrays``: one row per (request, position 0..71)
+    with the features; ``padded`` rows stand before the zone's first row."""
+    arrays = serving_arrays(series, requests, params, feature_cols, past, request_id, zone, upto_target=upto_target)
+    long = arrays.select(request_id, zone, "n_padded", F.posexplode("x").alias("pos", "_row"))
+    return long.select(request_id, zone, "pos", (F.col("pos") < F.col("n_padded")).alias("padded"),
+                       *[F.col("_row")[i].alias(c) for i, c in enumerate(feature_cols)])
 
 
 def post_process(df: DataFrame, pred: str, y_params: tuple[float, float],
                  rounding: str = "half_even", out: str | None = None) -> DataFrame:
     """Inverse-scale a forecast array, clip at 0, round (J1 half-even
-    offline, J2 ceil serving).  Element-wise ``transform`` stays in codegen."""
+    offline, J2 ceil serving).  A value within 1e-9 above an integer counts
+    as that integer, so that the rounding noise of scaling there and back
+    does not add a trip."""
     mean, scale = y_params
     def f(x):
         v = F.greatest(x * F.lit(scale) + F.lit(mean), F.lit(0.0))
-        return F.bround(v, 0) if rounding == "half_even" else F.ceil(v).cast("double")
+        return F.bround(v, 0) if rounding == "half_even" else F.ceil(v - F.lit(CEIL_SLACK)).cast("double")
     return df.withColumn(out or pred, F.transform(F.col(pred), f))
 
 
@@ -153,8 +182,7 @@ def cost_features(df: DataFrame, weather: DataFrame, names: str = "all_nine",
     if weather_fill == "zero":
         out = wx.weather_at(df, weather, keys=(date_col, hour_col))
     else:
-        out = df.join(F.broadcast(weather.select(date_col, hour_col, "temp", "prcp", "wspd")),
-                      [date_col, hour_col], "left")
+        out = df.join(weather.select(date_col, hour_col, "temp", "prcp", "wspd"), [date_col, hour_col], "left")
     out = out.withColumns({
         "day_of_week": cal.day_of_week(d), "month": F.month(d), "is_weekend": cal.is_weekend(d),
         "is_holiday": cal.is_holiday(d, names), "is_month_start": cal.is_month_start(d),
@@ -181,8 +209,3 @@ def forecast_hours(requests: DataFrame, forecast: str = "forecast", target: str
     exploded = requests.select("*", F.posexplode(F.col(forecast)).alias("step", "trips_count"))
     ts = F.timestamp_add("HOUR", F.col("step"), F.col(target))
     return exploded.withColumns({"date": F.to_date(ts), "hour": F.hour(ts)})
-
-
-def analogue_target(year: int, month, day, hour):
-    """Target instant in the analogue year (F18): month/day/hour kept."""
-    return F.make_timestamp_ntz(F.lit(year), month, day, hour, F.lit(0), F.lit(0))

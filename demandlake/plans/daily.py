@@ -8,6 +8,7 @@ Stage borders are materialised only where a later job re-reads the data
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +16,7 @@ from demandlake import catalog
 from demandlake.catalog import FeedSpec
 from demandlake.operators import features as feat
 from demandlake.operators.hourly import hourly_demand
+from demandlake.session import stage_path
 from demandlake.sources import feeds, weather
 
 
@@ -44,28 +46,23 @@ def feature_table(spark: SparkSession, sf_dir: str, adjacency: str = "calendar",
 
 
 def stable_features(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
-    """The feature table computed once and checkpointed into the shared
+    """The feature table computed once and written as parquet into the shared
     folder (``spark.checkpoint.dir``), for jobs that read it several times
     (scaler fit, windows, serving).  Its size is zones x hours of the span,
-    independent of the trip volume; the checkpoint also cuts the lineage,
-    so a lost executor does not recompute the scan, dedup and windows."""
-    from demandlake.session import checkpoint_dir
-    checkpoint_dir(spark)
-    # persisted while the checkpoint is written, so the plan runs once (an
-    # RDD checkpoint otherwise recomputes it); the checkpoint keeps the
-    # zone partitioning and order for the window operators downstream
-    staged = feature_table(spark, sf_dir, **kw).persist()
-    done = staged.checkpoint(eager=True)
-    staged.unpersist()
-    return done
+    independent of the trip volume; the stage also cuts the lineage, so a
+    lost executor does not recompute the scan, dedup and windows, and later
+    reads take only the columns they need."""
+    path = stage_path(spark, f"features-{uuid.uuid4().hex[:12]}")
+    return materialise(feature_table(spark, sf_dir, **kw), path, partition_by=None)
 
 
 def materialise(df: DataFrame, path: str, partition_by: str | None = "date") -> DataFrame:
-    """Write a stage as parquet (partitioned by date for pruning) and read it
-    back: the lineage is cut and a lost executor recomputes nothing upstream."""
-    writer = df.write.mode("overwrite")
+    """Write a stage as parquet (partitioned by date for pruning, each date
+    gathered first so that it is one file) and read it back: the lineage is
+    cut and a lost executor recomputes nothing upstream."""
     if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.parquet(path)
+        df.repartition(partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(path)
+        return df.sparkSession.read.parquet(path)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 

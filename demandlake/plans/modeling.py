@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandlake import catalog
+from demandlake.catalog import COST, DISTANCE, PICKUP, ZONE
+from demandlake.functions import text
 from demandlake.operators import metrics, models, scaling, sequences, serving
 from demandlake.operators.features import SEQ_FEATURES
 from demandlake.operators.hourly import hourly_cost
 from demandlake.plans import daily, experiment, requests
+from demandlake.sources import feeds
 from demandlake.streaming.requests import moving_average_model
 
+COST_CAP = 100.0
+
 COST_NUMERIC = ("trips_count", "hour", "temp", "prcp", "wspd", "day_of_week", "month", "is_weekend",
                 "is_holiday", "is_month_start", "is_month_end", "day_of_year", "week_of_year",
                 "is_pre_holiday", "is_post_holiday")
@@ -42,13 +47,15 @@ def linear_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cost_training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly cost per zone from the trip feed (events: value = fare per
-    mile) with the 16 cost features and a stable 60/20/20 split (G4)."""
+    """Hourly cost per zone from the trip feed (events: value = cost, the
+    user id's last digit + 1 = distance), cleaned as the cost variant is
+    (B7-B9, nulls, duplicates), with the 16 cost features and a stable
+    60/20/20 split (G4)."""
     ev = catalog.load(spark, sf_dir, "events").select(
-        F.col("ts").alias("pickup_ts"), F.col("event_type").alias("location_id"),
-        F.col("value").alias("cost_per_mile"))
-    hc = hourly_cost(ev.withColumns({"date": F.to_date("pickup_ts"), "hour": F.hour("pickup_ts")}))
-    rows = serving.cost_features(hc, daily.weather_table(spark, sf_dir), carry=("date", "avg_cost_per_mile"),
+        F.col("ts").alias(PICKUP), F.col("event_type").alias(ZONE), F.col("value").alias(COST),
+        (F.col("user_id") % 10 + 1).cast("double").alias(DISTANCE))
+    trips = feeds.with_date_hour(feeds.clean(feeds.cost_per_mile(ev, cap=COST_CAP)))
+    rows = serving.cost_features(hourly_cost(trips), daily.weather_table(spark, sf_dir), carry=("date", "avg_cost_per_mile"),
                                  weather_fill="null")
     return models.split_random(rows, ["location_id", "date", "hour"])
 
@@ -60,18 +67,25 @@ def cost_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.regression_metrics(test, "avg_cost_per_mile", "prediction")
 
 
+def pricer(spark: SparkSession, sf_dir: str):
+    """A function that prices forecast hours with a cost model fitted on the
+    training rows (J5, H6)."""
+    model = models.fit_cost(cost_training(spark, sf_dir).where(F.col("split") == "train"), COST_NUMERIC)
+    weather = daily.weather_table(spark, sf_dir)
+    return lambda forecasts: models.price_forecast(forecasts, model, weather, COST_NUMERIC)
+
+
 def priced_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests -> as-of windows -> user model (H7) -> ceil post-process
-    (J2) -> hourly prices from the cost model (J5)."""
+    (J2) -> hourly prices from the cost model for requests that cost
+    something (J5)."""
     f = daily.stable_features(spark, sf_dir)
     series = serving.series_ts(f)
     params = scaling.to_dict(experiment.scaler(spark, sf_dir, features=f))
-    req = requests.driver_requests(spark, sf_dir)
-    arrays = serving.window_arrays(serving.serving_windows(series, req, params))
-    scored = models.score_sequences(arrays, moving_average_model)
+    msg = requests.request_messages(spark, sf_dir)
+    req = msg.select(F.col("prediction_id").alias("request_id"), F.col("district").alias("location_id"), "cost",
+                     text.analogue_ts(F.col("month"), F.col("day"), F.col("hour")).alias("target_ts"))
+    scored = models.score_sequences(serving.serving_arrays(series, req, params), moving_average_model)
     pp = serving.post_process(scored, "forecast", params["y"], rounding="ceil")
-    model = models.fit_cost(cost_training(spark, sf_dir).where(F.col("split") == "train"), COST_NUMERIC)
-    fc = pp.join(req.select("request_id", "location_id", "target_ts"), "request_id") \
-           .withColumn("cost", F.lit(1.0))
-    prices = models.price_forecast(fc, model, daily.weather_table(spark, sf_dir), COST_NUMERIC)
-    return pp.join(prices, "request_id", "left")
+    fc = pp.join(req, "request_id")
+    return fc.join(pricer(spark, sf_dir)(fc), "request_id", "left")

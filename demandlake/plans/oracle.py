@@ -27,7 +27,8 @@ HOURLY = f"""
 WEATHER = """
     SELECT CAST(date_trunc('hour', ts) AS DATE) AS date, hour(date_trunc('hour', ts)) AS hour,
            avg(value) AS temp, min(value) AS prcp, max(value) AS wspd
-    FROM events WHERE event_type = 'view'
+    FROM events
+    WHERE (dayofyear(date_trunc('hour', ts)) * 24 + hour(date_trunc('hour', ts))) % 11 <> 0
     GROUP BY ALL
 """
 
@@ -94,6 +95,17 @@ ORACLE["hourly_features_row_adjacency"] = q.select(
                                    "is_post_holiday", "lag_1h", "lag_24h", "lag_168h")})
 
 
+ORACLE["time_lags"] = q.select(f"""
+    WITH h AS (SELECT *, CAST(date AS TIMESTAMP) + to_hours(CAST(hour AS BIGINT)) AS at FROM ({HOURLY}) x)
+    SELECT h.date, h.hour, h.location_id, h.trips_count, a.trips_count AS lag_time_1h, b.trips_count AS lag_time_24h,
+           c.trips_count AS lag_time_168h
+    FROM h LEFT JOIN h a ON a.location_id = h.location_id AND a.at = h.at - INTERVAL 1 HOUR
+    LEFT JOIN h b ON b.location_id = h.location_id AND b.at = h.at - INTERVAL 24 HOUR
+    LEFT JOIN h c ON c.location_id = h.location_id AND c.at = h.at - INTERVAL 168 HOUR
+""", {"date": "day", "hour": "i", "location_id": "s", "trips_count": "i", "lag_time_1h": "d", "lag_time_24h": "d",
+      "lag_time_168h": "d"})
+
+
 # --- sources, cleaning, unification ----------------------------------------
 
 def _feed(table, ts, zone, start="1995-01-01", end="2024-02-01", distinct=True):
@@ -119,27 +131,37 @@ def _unified(distinct_each: bool) -> str:
 ORACLE["unified_trips"] = q.select(_unified(True), TRIP_KINDS)
 ORACLE["unified_trips_global_dedup"] = q.select(_unified(False), TRIP_KINDS)
 
+ORACLE["feeds_with_missing_columns"] = ORACLE["unified_trips"]
+ORACLE["text_timestamp_feed"] = q.select("""
+    SELECT location_id, CAST(pickup_ts AS DATE) AS date, hour(pickup_ts) AS hour FROM (
+      SELECT DISTINCT ts AS pickup_ts, event_type AS location_id FROM events
+      WHERE event_id % 7 <> 0 AND ts >= TIMESTAMP '2024-01-01 00:00:00' AND ts < TIMESTAMP '2024-02-01 00:00:00') t
+""", TRIP_KINDS)
+ORACLE["directory_listing"] = q.select("SELECT event_type, count(*) AS n_rows FROM events GROUP BY 1",
+                                       {"event_type": "s", "n_rows": "i"})
+
 EXCLUDED = ("103, 104, 198, 211, 216, 225, 226, 228, 229, 230, 231, 232, 233, 234, "
             "236, 237, 238, 239, 244, 246, 247, 249, 255, 256, 261, 262, 263")
-COST_TRIPS = f"""
-    SELECT DISTINCT pickup_ts, location_id, cost_per_mile FROM (
-      SELECT DISTINCT l_shipdate AS pickup_ts, l_suppkey AS location_id,
-             l_extendedprice / l_quantity AS cost_per_mile
-      FROM lineitem
-      WHERE l_shipdate >= TIMESTAMP '1995-01-01 00:00:00' AND l_shipdate < TIMESTAMP '2002-01-01 00:00:00'
-        AND l_suppkey BETWEEN 1 AND 265 AND l_suppkey NOT IN ({EXCLUDED})
-        AND l_quantity > 0 AND l_extendedprice > 0
-        AND l_extendedprice / l_quantity < 2000.0
-        AND l_shipdate IS NOT NULL AND l_suppkey IS NOT NULL
-    ) c
-"""
-HOURLY_COST = f"""
+
+
+def _hourly_cost(distance: str, where: str) -> str:
+    return f"""
     SELECT CAST(pickup_ts AS DATE) AS date, hour(pickup_ts) AS hour, location_id,
            avg(cost_per_mile) AS avg_cost_per_mile, count(*) AS trips_count
-    FROM ({COST_TRIPS}) t GROUP BY ALL
+    FROM (SELECT DISTINCT l_shipdate AS pickup_ts, l_suppkey AS location_id, l_extendedprice / {distance} AS cost_per_mile
+          FROM lineitem
+          WHERE {distance} > 0 AND l_extendedprice > 0 AND l_shipdate IS NOT NULL AND l_suppkey IS NOT NULL
+            AND {where}) t
+    GROUP BY ALL
 """
-ORACLE["hourly_cost"] = q.select(HOURLY_COST, {"date": "day", "hour": "i", "location_id": "i",
-                                               "avg_cost_per_mile": "d", "trips_count": "i"})
+
+
+HOURLY_COST = _hourly_cost("l_quantity", "TRUE")
+COST_KINDS = {"date": "day", "hour": "i", "location_id": "i", "avg_cost_per_mile": "d", "trips_count": "i"}
+ORACLE["hourly_cost"] = q.select(HOURLY_COST, COST_KINDS)
+ORACLE["cost_filters"] = q.select(_hourly_cost(
+    "l_partkey", f"l_suppkey BETWEEN 1 AND 265 AND l_suppkey NOT IN ({EXCLUDED}) AND l_extendedprice / l_partkey < 100.0"),
+    COST_KINDS)
 
 WIDE = " UNION ALL ".join(
     f"SELECT {ts} AS pickup_ts, {z} AS location_id, {amt} AS amount FROM {t}"
@@ -257,6 +279,10 @@ ORACLE["feature_stage_roundtrip"] = ORACLE["hourly_features"]
 ORACLE["feature_sample_head"] = q.select(
     f"SELECT * FROM ({features_sql()}) f ORDER BY location_id, date, hour LIMIT 15", FEATURE_KINDS)
 
+ORACLE["sorted_series"] = q.select(f"""
+    SELECT location_id, count(*) AS n_rows, 0 AS n_swapped FROM ({HOURLY}) h GROUP BY location_id
+""", {"location_id": "s", "n_rows": "i", "n_swapped": "i"})
+
 ORACLE["zone_index"] = q.select(f"""
     SELECT location_id, dense_rank() OVER (ORDER BY location_id) - 1 AS zone_idx
     FROM (SELECT DISTINCT location_id FROM ({HOURLY}) h) z
@@ -305,7 +331,7 @@ ORACLE["sequence_windows"] = q.select(WINDOWS, {
 ORACLE["window_targets"] = q.select(TARGETS, {"seq_no": "i", "step": "i", "y": "d"})
 
 
-def _scaler_sql(where: str = "TRUE", feats=None) -> str:
+def _scaler_sql(where: str = "TRUE", feats=None, cut: str = "cut1") -> str:
     feats = feats or _SEQ
     weighted = f"""
         SELECT f.*,
@@ -313,7 +339,7 @@ def _scaler_sql(where: str = "TRUE", feats=None) -> str:
           greatest(least(time_idx, o_hi) - greatest(time_idx - 23, o_lo) + 1, 0) AS w_y
         FROM ({features_sql()}) f JOIN (
           SELECT location_id, greatest(0 - off, 0) + 72 AS o_lo,
-                 least(cut1 - off, n_windows) + 72 - 1 AS o_hi FROM ({ZONES}) z0) z
+                 least({cut} - off, n_windows) + 72 - 1 AS o_hi FROM ({ZONES}) z0) z
         ON f.location_id = z.location_id
         WHERE {where}
     """
@@ -339,6 +365,7 @@ ORACLE["scaler_params"] = q.select(_scaler_sql(), SCALER_KINDS)
 ORACLE["scaler_params_merged"] = ORACLE["scaler_params"]
 ORACLE["scaler_params_six"] = q.select(_scaler_sql(feats=("trips_count", "hour_sin", "hour_cos", "dow_sin",
                                                           "dow_cos", "is_holiday")), SCALER_KINDS)
+ORACLE["refit_scaler"] = q.select(_scaler_sql(cut="cut2"), SCALER_KINDS)
 ORACLE["scaled_features"] = q.select(f"""
     WITH p AS ({_scaler_sql()})
     SELECT date, hour, location_id,
@@ -405,11 +432,11 @@ ORACLE["error_matrix"] = q.select(
     f"SELECT model, location_id, step, avg(abs(y - p)) AS mae FROM ({PREDS}) pr GROUP BY ALL",
     {"model": "s", "location_id": "s", "step": "i", "mae": "d"})
 ORACLE["best_hours"] = q.select(f"""
-    SELECT * FROM (SELECT model, row_number() OVER (PARTITION BY model ORDER BY composite, hour_of_day) AS rank,
+    SELECT * FROM (SELECT model, row_number() OVER (PARTITION BY model ORDER BY round_even(composite * 1e9, 0), hour_of_day) AS rank,
                           hour_of_day, composite FROM ({BY_HOUR}) b) r WHERE rank <= 10
 """, {"model": "s", "rank": "i", "hour_of_day": "i", "composite": "d"})
 ORACLE["best_zones"] = q.select(f"""
-    SELECT * FROM (SELECT model, row_number() OVER (PARTITION BY model ORDER BY mae, location_id) AS rank,
+    SELECT * FROM (SELECT model, row_number() OVER (PARTITION BY model ORDER BY round_even(mae * 1e9, 0), location_id) AS rank,
                           location_id, mae FROM ({BY_ZONE}) b) r WHERE rank <= 10
 """, {"model": "s", "rank": "i", "location_id": "s", "mae": "d"})
 
@@ -424,17 +451,23 @@ REQUESTS = """
     ) h ON e.user_id = h.user_id
     WHERE e.event_type = 'purchase'
 """
-RESOLVED = f"""
+
+
+def _resolved(requests_sql: str) -> str:
+    return f"""
     SELECT r.request_id, r.location_id, r.target_ts,
            CASE WHEN b.n_rows IS NULL THEN 'no_zone'
                 WHEN date_trunc('hour', r.target_ts) < b.first_ts THEN 'no_history' ELSE 'ok' END AS status,
            CASE WHEN b.n_rows IS NOT NULL AND date_trunc('hour', r.target_ts) >= b.first_ts
                 THEN (SELECT max(s.time_idx) FROM ({SERIES_TS}) s
                       WHERE s.location_id = r.location_id AND s.ts <= r.target_ts) END AS asof_idx
-    FROM ({REQUESTS}) r LEFT JOIN (
+    FROM ({requests_sql}) r LEFT JOIN (
       SELECT location_id, min(ts) AS first_ts, count(*) AS n_rows FROM ({SERIES_TS}) s0 GROUP BY location_id
     ) b ON r.location_id = b.location_id
 """
+
+
+RESOLVED = _resolved(REQUESTS)
 ORACLE["serving_status"] = q.select(
     f"SELECT *, coalesce(asof_idx + 1, 0) AS n_available FROM ({RESOLVED}) x",
     {"request_id": "i", "location_id": "s", "target_ts": "ts", "status": "s", "asof_idx": "i",
@@ -458,6 +491,20 @@ ORACLE["serving_windows"] = q.select(f"""
     JOIN m ON m.location_id = pos.location_id
 """, {"request_id": "i", "location_id": "s", "pos": "i", "padded": "i", **{c: "d" for c in _SEQ}})
 
+ORACLE["serving_windows_upto_target"] = q.select(f"""
+    WITH p AS ({_scaler_sql()}),
+    s AS ({SERIES_TS}),
+    m AS (SELECT location_id, time_idx,
+                 {', '.join(f'avg({_nan(c)}) OVER (PARTITION BY location_id ORDER BY time_idx) AS m_{c}' for c in _SEQ)} FROM s),
+    pos AS (SELECT request_id, location_id, r.pos, asof_idx, asof_idx - 71 + r.pos AS src
+            FROM ({RESOLVED}) x CROSS JOIN range(72) AS r(pos) WHERE status = 'ok')
+    SELECT pos.request_id, pos.location_id, pos.pos, pos.src < 0 AS padded,
+      {', '.join(f"(coalesce({_nan('s.' + c)}, m.m_{c}) - (SELECT mean FROM p WHERE feature = '{c}')) "
+                 f"/ (SELECT scale FROM p WHERE feature = '{c}') AS {c}" for c in _SEQ)}
+    FROM pos LEFT JOIN s ON s.location_id = pos.location_id AND s.time_idx = pos.src
+    JOIN m ON m.location_id = pos.location_id AND m.time_idx = pos.asof_idx
+""", {"request_id": "i", "location_id": "s", "pos": "i", "padded": "i", **{c: "d" for c in _SEQ}})
+
 ORACLE["cost_features"] = q.select(f"""
     SELECT location_id, trips_count, hour,
       CASE WHEN isnan(w.temp) THEN 'nan'::DOUBLE WHEN coalesce(w.temp, 0) = 0 THEN 0.0 ELSE w.temp END AS temp,
@@ -482,7 +529,7 @@ ORACLE["post_processed_forecasts"] = q.select(f"""
     y AS (SELECT mean AS my, scale AS sy FROM p WHERE feature = 'y')
     SELECT seq_no, t.step,
            round_even(greatest(((window_mean - my) / sy) * sy + my, 0.0), 0) AS p_round,
-           CAST(ceil(greatest(((window_mean - my) / sy) * sy + my, 0.0)) AS DOUBLE) AS p_ceil
+           CAST(ceil(greatest(((window_mean - my) / sy) * sy + my, 0.0) - 1e-9) AS DOUBLE) + 0.0 AS p_ceil
     FROM ({WINDOWS}) w CROSS JOIN y CROSS JOIN range(24) AS t(step)
     WHERE split = 'test'
 """, {"seq_no": "i", "step": "i", "p_round": "d", "p_ceil": "d"})
@@ -523,20 +570,20 @@ def _replay_sql(ops_sql: str) -> str:
 ORACLE["ledger_replay"] = q.select(_replay_sql(OPS), {
     "user_id": "i", "op_id": "i", "kind": "s", "amount_cents": "i", "accepted": "i", "balance_cents": "i"})
 
-SIGNED = f"CASE WHEN o_orderstatus = 'F' THEN {CENTS} ELSE -{CENTS} END"
-ORACLE["ledger_balances"] = q.select(f"""
-    SELECT o_custkey AS user_id, o_orderkey AS op_id, {SIGNED} AS signed_cents,
-           sum({SIGNED}) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
-                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS balance_cents
-    FROM orders
-""", {"user_id": "i", "op_id": "i", "signed_cents": "i", "balance_cents": "i"})
+ACCEPTED = f"""
+    SELECT r.user_id, r.op_id, o.o_orderdate AS ts, r.kind, r.amount_cents, r.balance_cents,
+           CASE WHEN r.kind = 'deposit' THEN r.amount_cents ELSE -r.amount_cents END AS signed_cents
+    FROM ({_replay_sql(OPS)}) r JOIN orders o ON o.o_orderkey = r.op_id WHERE r.accepted
+"""
+ORACLE["ledger_balances"] = q.select(ACCEPTED, {"user_id": "i", "op_id": "i", "signed_cents": "i", "balance_cents": "i"})
+ORACLE["owner_lookup"] = q.select(f"SELECT user_id, op_id, kind, amount_cents FROM ({OPS}) o", {
+    "user_id": "i", "op_id": "i", "kind": "s", "amount_cents": "i"})
 
 ORACLE["ledger_history"] = q.select(f"""
     SELECT * FROM (
-      SELECT o_custkey AS user_id,
-             row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS position,
-             o_orderkey AS op_id, o_orderdate AS ts, {SIGNED} AS signed_cents
-      FROM orders) h WHERE position <= 5
+      SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, op_id DESC) AS position,
+             op_id, ts, signed_cents
+      FROM ({ACCEPTED}) a) h WHERE position <= 5
 """, {"user_id": "i", "position": "i", "op_id": "i", "ts": "ts", "signed_cents": "i"})
 
 TIER = ("CASE WHEN c_acctbal >= 8000.0 THEN 'diamond' WHEN c_acctbal >= 5000.0 THEN 'gold' "
@@ -650,7 +697,7 @@ _PP = f"""
     WITH p AS ({_scaler_sql()}),
     y AS (SELECT mean AS my, scale AS sy FROM p WHERE feature = 'y')
     SELECT seq_no, origin_hour,
-           CAST(ceil(greatest(((window_mean - my) / sy) * sy + my, 0.0)) AS BIGINT) AS d
+           CAST(ceil(greatest(((window_mean - my) / sy) * sy + my, 0.0) - 1e-9) AS BIGINT) AS d
     FROM ({WINDOWS}) w CROSS JOIN y WHERE split = 'test'
 """
 _LINE = ("'🕒 ' || lpad(CAST(((origin_hour + t.step - 8) % 24 + 24) % 24 AS VARCHAR), 2, '0') "
@@ -662,41 +709,45 @@ ORACLE["forecast_text"] = q.select(f"""
     GROUP BY seq_no
 """, {"seq_no": "i", "result": "s", "message": "s"})
 
-ORACLE["request_messages"] = q.select(f"""
+ORACLE["forecast_decoded"] = q.select(f"""
+    SELECT seq_no, t.step, CAST(d AS DOUBLE) AS demand FROM ({_PP}) x CROSS JOIN range(24) AS t(step)
+""", {"seq_no": "i", "step": "i", "demand": "d"})
+
+MESSAGES = f"""
     SELECT r.request_id AS prediction_id, r.user_id, 'lstmv3' AS model, r.location_id AS district,
            (hour(r.target_ts) + 1) % 24 AS hour, 'NYC' AS city,
+           CASE WHEN r.request_id % 4 = 0 THEN 0.0 ELSE
            CASE coalesce(u.tier, 'bronze') WHEN 'bronze' THEN 20.0 WHEN 'silver' THEN 15.0
-                WHEN 'gold' THEN 10.0 ELSE 5.0 END AS cost,
+                WHEN 'gold' THEN 10.0 ELSE 5.0 END END AS cost,
            year(r.target_ts + INTERVAL 1 HOUR) AS year, month(r.target_ts + INTERVAL 1 HOUR) AS month,
            day(r.target_ts + INTERVAL 1 HOUR) AS day,
            make_timestamp(2024, month(r.target_ts + INTERVAL 1 HOUR), day(r.target_ts + INTERVAL 1 HOUR),
                           (hour(r.target_ts) + 1) % 24, 0, 0) AS target
     FROM ({REQUESTS}) r LEFT JOIN ({USERS}) u ON r.user_id = u.user_id
-""", {"prediction_id": "i", "user_id": "i", "model": "s", "district": "s", "hour": "i", "city": "s",
+"""
+ORACLE["request_messages"] = q.select(MESSAGES, {"prediction_id": "i", "user_id": "i", "model": "s", "district": "s", "hour": "i", "city": "s",
       "cost": "d", "year": "i", "month": "i", "day": "i", "target": "ts"})
 
 
 # --- streaming mirrors of batch operators --------------------------------------------
 
-ORACLE["stream_hourly_demand"] = q.select(f"""
-    SELECT * FROM ({HOURLY}) h
-    WHERE CAST(date AS TIMESTAMP) + to_hours(CAST(hour AS BIGINT) + 1)
-          <= (SELECT max(ts) FROM events WHERE ts >= TIMESTAMP '2024-01-01 00:00:00'
-                AND ts < TIMESTAMP '2024-02-01 00:00:00') - INTERVAL 1 HOUR
-""", {"date": "day", "hour": "i", "location_id": "s", "trips_count": "i"})
+ORACLE["stream_hourly_demand"] = ORACLE["hourly_demand"]
 ORACLE["stream_daily_quota"] = ORACLE["daily_quota"]
 ORACLE["stream_publish"] = ORACLE["publish_upsert"]
 
 
-_PRICE_U = ("CASE coalesce(u.tier, 'bronze') WHEN 'bronze' THEN 20.0 WHEN 'silver' THEN 15.0 "
-            "WHEN 'gold' THEN 10.0 ELSE 5.0 END")
+_PRICE_U = ("CASE WHEN x.request_id % 4 = 0 THEN 0.0 ELSE CASE coalesce(u.tier, 'bronze') WHEN 'bronze' THEN 20.0 "
+            "WHEN 'silver' THEN 15.0 WHEN 'gold' THEN 10.0 ELSE 5.0 END END")
 _RESULTS = f"""
     SELECT x.request_id AS prediction_id, r.user_id, x.target_ts AS ts, {_PRICE_U} AS cost,
            x.status = 'ok' AS scored
     FROM ({RESOLVED}) x JOIN ({REQUESTS}) r ON r.request_id = x.request_id
     LEFT JOIN ({USERS}) u ON u.user_id = r.user_id
 """
-_LC_OPS = f"""
+
+
+def _lifecycle_ops(results: str) -> str:
+    return f"""
     SELECT user_id, op_id, ts, kind, amount_cents,
            row_number() OVER (PARTITION BY user_id ORDER BY ts, op_id) AS rn
     FROM (
@@ -705,11 +756,13 @@ _LC_OPS = f"""
       FROM orders
       UNION ALL
       SELECT user_id, -prediction_id - 1, ts, 'withdraw', CAST(floor(cost * 100 + 0.5) AS BIGINT)
-      FROM ({_RESULTS}) c WHERE scored AND cost <> 0
+      FROM ({results}) c WHERE scored AND cost <> 0
     ) a
 """
+
+
 ORACLE["request_lifecycle"] = q.select(f"""
-    WITH rep AS ({_replay_sql(_LC_OPS)}),
+    WITH rep AS ({_replay_sql(_lifecycle_ops(_RESULTS))}),
     res AS ({_RESULTS})
     SELECT res.prediction_id, res.user_id, res.cost,
            CASE WHEN NOT res.scored THEN 'failed'
@@ -781,5 +834,61 @@ ORACLE["tier_replay"] = q.select(f"""
       "balance_cents": "i", "tier": "s", "tier_end": "day"})
 
 
+# --- scored messages -------------------------------------------------------------------
+
+_ASKED = f"SELECT prediction_id AS request_id, user_id, district AS location_id, cost, target AS target_ts FROM ({MESSAGES}) m"
+_FORECASTS = f"""
+    WITH p AS ({_scaler_sql()}),
+    y AS (SELECT mean AS my, scale AS sy FROM p WHERE feature = 'y'),
+    t AS (SELECT mean AS mt, scale AS st FROM p WHERE feature = 'trips_count'),
+    s AS ({SERIES_TS}),
+    zm AS (SELECT location_id, avg(CAST(trips_count AS DOUBLE)) AS m FROM s GROUP BY location_id),
+    pos AS (SELECT request_id, location_id, asof_idx - 71 + r.pos AS src
+            FROM ({_resolved(_ASKED)}) x CROSS JOIN range(72) AS r(pos) WHERE status = 'ok'),
+    f AS (SELECT pos.request_id, avg((coalesce(CAST(s.trips_count AS DOUBLE), zm.m) - mt) / st) AS v
+          FROM pos LEFT JOIN s ON s.location_id = pos.location_id AND s.time_idx = pos.src
+          JOIN zm ON zm.location_id = pos.location_id CROSS JOIN t GROUP BY pos.request_id)
+    SELECT request_id, '[' || rtrim(repeat(CAST(CAST(ceil(greatest(v * sy + my, 0.0) - 1e-9) AS BIGINT) AS VARCHAR) || ', ', 24), ', ')
+                       || ']' AS result
+    FROM f CROSS JOIN y
+"""
+ORACLE["priced_forecasts"] = q.select(f"""
+    SELECT a.request_id, a.cost, f.result, CASE WHEN a.cost > 0 THEN 24 ELSE 0 END AS n_prices
+    FROM ({_FORECASTS}) f JOIN ({_ASKED}) a ON a.request_id = f.request_id
+""", {"request_id": "i", "cost": "d", "result": "s", "n_prices": "i"})
+_SCORED = f"""
+    SELECT a.request_id AS prediction_id, a.user_id, a.target_ts AS ts, a.cost, f.result IS NOT NULL AS scored, f.result,
+           CASE WHEN f.result IS NOT NULL AND a.cost > 0 THEN 24 ELSE 0 END AS n_prices
+    FROM ({_ASKED}) a LEFT JOIN ({_FORECASTS}) f ON a.request_id = f.request_id
+"""
+ORACLE["stream_request_scoring"] = q.select(f"""
+    WITH res AS ({_SCORED}),
+    rep AS ({_replay_sql(_lifecycle_ops(_SCORED))})
+    SELECT res.prediction_id, res.user_id, res.ts, res.cost,
+           CASE WHEN NOT res.scored THEN 'failed'
+                WHEN res.cost <> 0 AND NOT coalesce(rep.accepted, FALSE) THEN 'failed'
+                ELSE 'completed' END AS status,
+           res.result, res.n_prices, rep.accepted AS charged, rep.balance_cents AS balance_after_cents
+    FROM res LEFT JOIN rep ON rep.op_id = -res.prediction_id - 1
+""", {"prediction_id": "i", "user_id": "i", "ts": "ts", "cost": "d", "status": "s", "result": "s", "n_prices": "i",
+      "charged": "i", "balance_after_cents": "i"})
+
+ORACLE["cost_training_rows"] = q.select("""
+    SELECT location_id, date, hour, trips_count, avg_cost_per_mile,
+           CASE WHEN u < 0.2 THEN 'test' WHEN u < 0.2 + (1 - 0.2) * 0.25 THEN 'val' ELSE 'train' END AS split
+    FROM (
+      SELECT *, CAST('0x' || substr(md5(location_id || '|' || CAST(date AS VARCHAR) || '|' || CAST(hour AS VARCHAR) || '|42'), 1, 8)
+                     AS BIGINT) / 4294967296.0 AS u
+      FROM (
+        SELECT location_id, CAST(pickup_ts AS DATE) AS date, hour(pickup_ts) AS hour, count(*) AS trips_count,
+               avg(cost_per_mile) AS avg_cost_per_mile
+        FROM (SELECT DISTINCT ts AS pickup_ts, event_type AS location_id, value / CAST(user_id % 10 + 1 AS DOUBLE) AS cost_per_mile
+              FROM events WHERE value > 0 AND value / CAST(user_id % 10 + 1 AS DOUBLE) < 100.0 AND ts IS NOT NULL
+                AND event_type IS NOT NULL) t
+        GROUP BY ALL) h
+    ) x
+""", {"location_id": "s", "date": "day", "hour": "i", "trips_count": "i", "avg_cost_per_mile": "d", "split": "s"})
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

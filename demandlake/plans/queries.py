@@ -7,9 +7,10 @@ the DuckDB twin in ``oracle.py`` (same names, same presentation).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +26,10 @@ from demandlake.plans import daily, experiment, modeling
 from demandlake.plans import streams as stream_jobs
 from demandlake.plans import requests as requests_plan
 from demandlake.sources import accounts, feeds, sinks, weather, whitelist
+from demandlake.plans.refit import load as load_refit
+from demandlake.plans.refit import refit
 from demandlake.plans.report import report
+from demandlake.session import stage_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,10 +66,15 @@ def q_hourly_features_row(spark: SparkSession, sf_dir: str) -> DataFrame:
                             "is_post_holiday", "lag_1h", "lag_24h", "lag_168h"))
 
 
+@register("time_lags")
+def q_time_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(feat.with_time_lags(daily.hourly(spark, sf_dir)))
+
+
 # --- sources, cleaning, unification (A, B) --------------------------------
 
 UNIFY_START, UNIFY_END = "1995-01-01", "2024-02-01"
-COST_START, COST_END, COST_CAP = "1995-01-01", "2002-01-01", 2000.0
+COST_START, COST_END = "1900-01-01", "9999-01-01"
 
 
 @register("unified_trips")
@@ -82,9 +91,51 @@ def q_unified_trips_global(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cost_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zones = whitelist.zone_whitelist(spark)
-    return feeds.unify_costs(spark, [catalog.cost_feed(sf_dir)], COST_START, COST_END,
-                             zones=zones, cap=COST_CAP)
+    """All of lineitem as priced trips: no cap, all zones."""
+    return feeds.unify_costs(spark, [catalog.cost_feed(sf_dir)], COST_START, COST_END, cap=None)
+
+
+@register("cost_filters")
+def q_cost_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cost variant's own filters (B7-B10): zone whitelist and outlier
+    cap, on a mapping whose ratios lie on both sides of the cap."""
+    trips = feeds.unify_costs(spark, [catalog.capped_cost_feed(sf_dir)], COST_START, COST_END,
+                              zones=whitelist.zone_whitelist(spark))
+    return report(hourly_cost(trips))
+
+
+@register("feeds_with_missing_columns")
+def q_missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed that lacks a required column is skipped, the others are
+    unified (A4)."""
+    lacking = catalog.FeedSpec("customer", f"{sf_dir}/customer.parquet", {"c_mktsegment": catalog.ZONE}, "customer")
+    return report(feeds.unify_trips(spark, [lacking, *catalog.driver_feeds(sf_dir)], UNIFY_START, UNIFY_END))
+
+
+@register("text_timestamp_feed")
+def q_text_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed whose timestamps are text, some of them unparseable (A5),
+    through the reader with a time range: every seventh event has a broken
+    time, staged in the shared folder."""
+    path = stage_path(spark, f"text-feed-{uuid.uuid4().hex[:12]}")
+    ts = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    catalog.load(spark, sf_dir, "events").select(
+        F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("n/a "), ts)).otherwise(ts).alias("ts"), "event_type").write.parquet(path)
+    spec = catalog.FeedSpec("text", path, catalog.EVENTS_FEED_RENAME)
+    return report(feeds.unify_trips(spark, [spec], catalog.EVENTS_START, catalog.EVENTS_END))
+
+
+@register("directory_listing")
+def q_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multi-file scan of a folder tree (A8): events staged as a nested tree,
+    with a hidden folder that the scan leaves out; rows per zone."""
+    path = stage_path(spark, f"tree-{uuid.uuid4().hex[:12]}")
+    ev = catalog.load(spark, sf_dir, "events").select("event_id", "event_type", F.month("ts").alias("m"))
+    ev.where(F.col("event_type") != "view").write.parquet(f"{path}/a/b")
+    ev.where(F.col("event_type") == "view").write.parquet(f"{path}/c")
+    ev.write.parquet(f"{path}/_hidden")
+    tree = feeds.read_directory(spark, path)
+    return report(tree.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_rows")))
 
 
 @register("hourly_cost")
@@ -130,8 +181,6 @@ def q_feed_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_csv_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stage border as the batch job has it (A9, A10): hourly demand written
     as CSV into the shared folder and read back with an explicit schema."""
-    from demandlake.session import stage_path
-    import uuid
     path = stage_path(spark, f"hourly-csv-{uuid.uuid4().hex[:12]}")
     daily.hourly(spark, sf_dir).write.mode("overwrite").option("header", True).csv(path)
     return report(feeds.read_csv_typed(spark, path, HOURLY_SCHEMA))
@@ -141,8 +190,6 @@ def q_csv_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_parquet_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature table materialised as parquet partitioned by date and read
     back (A9): partition pruning applies to later date filters."""
-    from demandlake.session import stage_path
-    import uuid
     path = stage_path(spark, f"features-{uuid.uuid4().hex[:12]}")
     out = daily.materialise(daily.feature_table(spark, sf_dir), path)
     return report(out.select(*feat.FEATURE_TABLE))
@@ -227,6 +274,16 @@ def q_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(sinks.sample_head(daily.feature_table(spark, sf_dir), ["location_id", "date", "hour"], 15))
 
 
+@register("sorted_series")
+def q_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series clustered by zone and sorted for storage (D9): rows per
+    zone, and how many stand before an earlier hour of their zone (none)."""
+    rows = feat.sorted_series(daily.hourly(spark, sf_dir), storage=True).withColumn("at", F.monotonically_increasing_id())
+    before = F.lag(F.struct("date", "hour")).over(Window.partitionBy("location_id").orderBy("at"))
+    rows = rows.withColumn("swapped", F.coalesce(before > F.struct("date", "hour"), F.lit(False)).cast("int"))
+    return report(rows.groupBy("location_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("swapped").alias("n_swapped")))
+
+
 @register("zone_index")
 def q_zone_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(sequences.zone_index(daily.hourly(spark, sf_dir)))
@@ -269,6 +326,13 @@ def q_scaler_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(experiment.scaler_merged(spark, sf_dir).select(*SCALER_COLS))
 
 
+@register("refit_scaler")
+def q_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic refit (H8) on the whole series: the scaler it stores."""
+    path = refit(spark, daily.stable_features(spark, sf_dir), stage_path(spark, f"models-{uuid.uuid4().hex[:12]}"))
+    return report(load_refit(spark, path)[0].select(*SCALER_COLS))
+
+
 @register("scaled_features")
 def q_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(experiment.scaled_features(spark, sf_dir))
@@ -334,6 +398,12 @@ def q_serving_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(requests_plan.scaled_windows(spark, sf_dir))
 
 
+@register("serving_windows_upto_target")
+def q_serving_upto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imputation and padding with means of the rows up to the target."""
+    return report(requests_plan.scaled_windows(spark, sf_dir, upto_target=True))
+
+
 @register("cost_features")
 def q_cost_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(serving.cost_features(daily.hourly(spark, sf_dir), daily.weather_table(spark, sf_dir)))
@@ -363,8 +433,8 @@ def q_request_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = accounts.users(catalog.load(spark, sf_dir, "customer"))
     results = st.join(u.select("user_id", "tier"), "user_id", "left").select(
         F.col("request_id").alias("prediction_id"), "user_id", F.col("target_ts").alias("ts"),
-        ledger.request_price(F.coalesce(F.col("tier"), F.lit("bronze"))).alias("cost"),
-        (F.col("status") == "ok").alias("scored"))
+        F.when(F.col("request_id") % 4 != 0, ledger.request_price(F.coalesce(F.col("tier"), F.lit("bronze"))))
+        .otherwise(F.lit(0.0)).alias("cost"), (F.col("status") == "ok").alias("scored"))
     ops = accounts.movements(catalog.load(spark, sf_dir, "orders"), with_tiers=False)
     out = ledger.request_lifecycle(results, ops)
     return report(out.select("prediction_id", "user_id", "cost", "status", "charged", "balance_after_cents"))
@@ -378,16 +448,31 @@ def q_tier_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
                              "tier", "tier_end"))
 
 
+def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops = accounts.movements(catalog.load(spark, sf_dir, "orders"), with_tiers=False)
+    out = ledger.replay_ledger(ops).where("accepted")
+    return out.withColumn("signed_cents", F.when(F.col("kind") == "deposit", F.col("amount_cents")).otherwise(-F.col("amount_cents")))
+
+
 @register("ledger_balances")
 def q_ledger_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ops = accounts.movements(catalog.load(spark, sf_dir, "orders"))
-    return report(ledger.running_balance(ops).select("user_id", "op_id", "signed_cents", "balance_cents"))
+    """Running balance over the accepted movements (K2)."""
+    return report(ledger.running_balance(_accepted(spark, sf_dir)).select("user_id", "op_id", "signed_cents", "balance_cents"))
 
 
 @register("ledger_history")
 def q_ledger_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ops = accounts.movements(catalog.load(spark, sf_dir, "orders"))
-    return report(ledger.history(ops, 5).select("user_id", "position", "op_id", "ts", "signed_cents"))
+    """The five newest accepted movements of each user."""
+    return report(ledger.history(_accepted(spark, sf_dir), 5).select("user_id", "position", "op_id", "ts", "signed_cents"))
+
+
+@register("owner_lookup")
+def q_owner_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owner-scoped lookups (B13): every order asked for by its customer and
+    by the next one, who gets nothing."""
+    ops = accounts.movements(catalog.load(spark, sf_dir, "orders"), with_tiers=False)
+    wanted = ops.select(F.explode(F.array("user_id", F.col("user_id") + 1)).alias("user_id"), "op_id")
+    return report(ledger.owner_lookups(ops, wanted).select("user_id", "op_id", "kind", "amount_cents"))
 
 
 @register("request_prices")
@@ -461,7 +546,9 @@ def _publish_parts(spark: SparkSession, sf_dir: str):
 @register("publish_upsert")
 def q_publish_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _publish_parts(spark, sf_dir)
-    return report(sinks.publish_upsert(old, new, PUBLISH_KEYS))
+    path = stage_path(spark, f"published-{uuid.uuid4().hex[:12]}")
+    sinks.publish_sorted(sinks.publish_upsert(old, new, PUBLISH_KEYS), path)
+    return report(spark.read.parquet(path))
 
 
 @register("publish_append")
@@ -472,8 +559,7 @@ def q_publish_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("error_matrix_wide")
 def q_error_matrix_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = experiment.error_matrix(spark, sf_dir)
-    wide = long.groupBy("model", "location_id").pivot("step", list(range(24))).agg(F.first("mae"))
+    wide = metrics.error_matrix_wide(experiment.error_matrix(spark, sf_dir))
     return report(wide.select("model", "location_id",
                               *[F.col(f"`{k}`").alias(f"step_{k:02d}") for k in range(24)]))
 
@@ -499,23 +585,31 @@ def q_forecast_text(spark: SparkSession, sf_dir: str) -> DataFrame:
                              text.format_forecast(F.col("origin_hour"), F.col("demand")).alias("message")))
 
 
+@register("forecast_decoded")
+def q_forecast_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored forecast texts decoded again (F15), one row per hour."""
+    stored = q_forecast_text(spark, sf_dir).select("seq_no", text.text_to_list(F.col("result")).alias("demand"))
+    return report(stored.select("seq_no", F.posexplode("demand").alias("step", "demand")))
+
+
 @register("request_messages")
 def q_request_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request messages (A17 body, F17) encoded to JSON and decoded again,
     with the target instant in the analogue year (F18)."""
-    req = requests_plan.driver_requests(spark, sf_dir)
-    u = accounts.users(catalog.load(spark, sf_dir, "customer"))
-    y, m, d = text.request_day(F.col("target_ts"))
-    body = req.join(u.select("user_id", "tier"), "user_id", "left").select(F.to_json(F.struct(
-        F.col("request_id").alias("prediction_id"), "user_id", F.lit("lstmv3").alias("model"),
-        F.col("location_id").alias("district"), text.next_hour(F.hour("target_ts")).alias("hour"),
-        F.lit("NYC").alias("city"), ledger.request_price(F.coalesce(F.col("tier"), F.lit("bronze"))).alias("cost"),
-        y.alias("year"), m.alias("month"), d.alias("day"))).alias("body"))
+    req = requests_plan.request_messages(spark, sf_dir)
+    body = req.select(F.to_json(F.struct(*req.columns)).alias("body"))
     msg = body.select(F.from_json("body", MESSAGE_SCHEMA).alias("m")).select("m.*")
     return report(msg.withColumn("target", text.analogue_ts(F.col("month"), F.col("day"), F.col("hour"))))
 
 
-# --- models (H4-H7, I12, J5): checked by row count and pytest -----------------
+# --- models (H4-H7, I12, J5): fitted models are checked by pytest ---------------
+
+@register("cost_training_rows")
+def q_cost_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the cost model is trained on (H6): cleaned hourly costs with
+    their split (G4)."""
+    return report(modeling.cost_training(spark, sf_dir).select("location_id", "date", "hour", "trips_count", "avg_cost_per_mile", "split"))
+
 
 @register("linear_forecast_metrics")
 def q_linear_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -530,8 +624,8 @@ def q_cost_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("priced_forecasts")
 def q_priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = modeling.priced_forecasts(spark, sf_dir)
-    return report(out.select("request_id", text.list_to_text(F.col("forecast")).alias("result"),
-                             text.list_to_text(F.col("trip_costs"), integral=False).alias("trip_costs")))
+    return report(out.select("request_id", "cost", text.list_to_text(F.col("forecast")).alias("result"),
+                             F.coalesce(F.size("trip_costs"), F.lit(0)).alias("n_prices")))
 
 
 # --- streaming (L1-L4) ---------------------------------------------------------
@@ -553,7 +647,9 @@ def q_stream_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("stream_request_scoring")
 def q_stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(stream_jobs.scoring_from_events(spark, sf_dir))
+    out = stream_jobs.scoring_from_events(spark, sf_dir)
+    return report(out.select("prediction_id", "user_id", "ts", "cost", "status", "result",
+                             F.coalesce("n_prices", F.lit(0)).alias("n_prices"), "charged", "balance_after_cents"))
 
 
 def queries() -> dict[str, Query]:

@@ -2,7 +2,7 @@
 
 Results are compared by value hash against DuckDB, so every registered
 query ends with the same presentation rules on both sides: doubles rounded
-to a fixed number of places (half up, ``+ 0.0`` turns -0.0 into 0.0), integers as
+to a fixed number of places (half even, ``+ 0.0`` turns -0.0 into 0.0), integers as
 BIGINT, dates as ``yyyy-MM-dd`` and timestamps as ``yyyy-MM-dd HH:mm:ss``
 text (F14).
 """
@@ -14,18 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIGITS = 6
-LIMIT = 1e15
 
 
-def round_half_up(x, digits: int = DIGITS):
-    """floor(x * 10^d + 0.5) / 10^d: plain IEEE operations, so every engine
-    rounds the same double to the same result (decimal-tie rules differ
-    between engines)."""
+def rounded(x, digits: int = DIGITS):
+    """rint(x * 10^d) / 10^d for every double: plain IEEE operations without
+    a detour through integers, so every engine gives the same result; NaN
+    and infinities stay."""
     scale = float(10 ** digits)
-    rounded = F.floor(x * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale) + F.lit(0.0)
-    # NaN compares above every number, so NaN, +-inf and huge values pass
-    # through unrounded
-    return F.when(F.abs(x) < F.lit(LIMIT), rounded).otherwise(x)
+    return F.rint(x * F.lit(scale)) / F.lit(scale) + F.lit(0.0)
 
 
 def report(df: DataFrame, digits: int = DIGITS, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -36,7 +32,7 @@ def report(df: DataFrame, digits: int = DIGITS, keep: tuple[str, ...] = ()) -> D
         if f.name in keep:
             cols.append(c)
         elif isinstance(t, (T.DoubleType, T.FloatType, T.DecimalType)):
-            cols.append(round_half_up(c.cast("double"), digits).alias(f.name))
+            cols.append(rounded(c.cast("double"), digits).alias(f.name))
         elif isinstance(t, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
             cols.append(c.cast("bigint").alias(f.name))
         elif isinstance(t, T.BooleanType):

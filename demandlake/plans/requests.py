@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandlake import catalog
-from demandlake.operators import baselines, scaling, serving
+from demandlake.functions import text
+from demandlake.operators import baselines, ledger, scaling, serving
 from demandlake.plans import daily, experiment
+from demandlake.sources import accounts
 
 
 def driver_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,11 +24,25 @@ def driver_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return req.join(home, "user_id", "left")
 
 
-def scaled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def request_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request messages (A17, F17): the hour after the request's, its day,
+    and the price - by tier for a paid request, else 0.  Three of four
+    requests are paid (id not divisible by 4)."""
+    users = accounts.users(catalog.load(spark, sf_dir, "customer"))
+    y, m, d = text.request_day(F.col("target_ts"))
+    paid = F.col("request_id") % 4 != 0
+    price = ledger.request_price(F.coalesce(F.col("tier"), F.lit("bronze")))
+    return driver_requests(spark, sf_dir).join(users.select("user_id", "tier"), "user_id", "left").select(
+        F.col("request_id").alias("prediction_id"), "user_id", F.lit("lstmv3").alias("model"),
+        F.col("location_id").alias("district"), text.next_hour(F.hour("target_ts")).alias("hour"), F.lit("NYC").alias("city"),
+        F.when(paid, price).otherwise(F.lit(0.0)).alias("cost"), y.alias("year"), m.alias("month"), d.alias("day"))
+
+
+def scaled_windows(spark: SparkSession, sf_dir: str, upto_target: bool = False) -> DataFrame:
     f = daily.stable_features(spark, sf_dir)
     series = serving.series_ts(f)
     params = scaling.to_dict(experiment.scaler(spark, sf_dir, features=f))
-    return serving.serving_windows(series, driver_requests(spark, sf_dir), params)
+    return serving.serving_windows(series, driver_requests(spark, sf_dir), params, upto_target=upto_target)
 
 
 def post_processed(spark: SparkSession, sf_dir: str, features: DataFrame | None = None) -> DataFrame:

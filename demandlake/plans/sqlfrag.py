@@ -45,8 +45,7 @@ def cyc(x: str, period: int, fn: str) -> str:
 
 def dbl(x: str, digits: int = DIGITS) -> str:
     scale = f"CAST({float(10 ** digits)!r} AS DOUBLE)"
-    v = f"CAST({x} AS DOUBLE)"
-    return f"(CASE WHEN abs({v}) < 1e15 THEN floor({v} * {scale} + 0.5) / {scale} + 0.0 ELSE {v} END)"
+    return f"(round_even(CAST({x} AS DOUBLE) * {scale}, 0) / {scale} + 0.0)"
 
 
 def big(x: str) -> str:

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandlake import catalog
-from demandlake.operators import scaling, serving
-from demandlake.plans import daily, experiment, requests
+from demandlake.operators import ledger, scaling, serving
+from demandlake.plans import daily, experiment, modeling, requests
 from demandlake.session import checkpoint_dir
 from demandlake.sources import accounts
 from demandlake.streaming import hourly, quota
@@ -58,51 +58,56 @@ def hourly_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                  F.col("event_type").alias("location_id"))
     with stream_partitions(spark):
         hourly.run_hourly(spark, trips, os.path.join(base, "out"), os.path.join(base, "ckpt"), EVENTS_DELAY)
-    return spark.read.parquet(os.path.join(base, "out"))
+    return hourly.hourly_table(spark, os.path.join(base, "out"))
+
+
+QUOTA_DELAY = "60 days"  # the day parts below arrive long after the other days' first parts
 
 
 def quota_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quota stream fed in three parts: the first, second and third eight
+    hours of every day, each as new files and one run of the stream, so every
+    part interleaves all days."""
     base = _scratch(spark, "quota")
-    ev = _events_stream(spark, sf_dir, "1900-01-01", "9999-01-01")
-    reqs = ev.select(F.col("event_id").alias("request_id"), "user_id", F.col("ts").cast("timestamp").alias("ts"),
-                     (F.col("event_type") == "purchase").alias("paid"))
+    ev = catalog.load(spark, sf_dir, "events")
     tiers = accounts.users(catalog.load(spark, sf_dir, "customer"))
     with stream_partitions(spark):
-        q = (quota.quota_stream(reqs, tiers).writeStream.format("parquet").outputMode("append")
-             .option("path", os.path.join(base, "out")).option("checkpointLocation", os.path.join(base, "ckpt"))
-             .trigger(availableNow=True).start())
-        q.awaitTermination()
+        for part in range(3):
+            inbox = os.path.join(base, "in")
+            ev.where(F.floor(F.hour("ts") / 8) == part).write.mode("append").parquet(inbox)
+            raw = spark.readStream.schema(ev.schema).parquet(inbox)
+            reqs = raw.select(F.col("event_id").alias("request_id"), "user_id", F.col("ts").cast("timestamp").alias("ts"),
+                              (F.col("event_type") == "purchase").alias("paid"))
+            q = (quota.quota_stream(reqs, tiers, QUOTA_DELAY).writeStream.format("parquet").outputMode("append")
+                 .option("path", os.path.join(base, "out")).option("checkpointLocation", os.path.join(base, "ckpt"))
+                 .trigger(availableNow=True).start())
+            q.awaitTermination()
     return spark.read.parquet(os.path.join(base, "out"))
 
 
 def publish_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Published dataset = hours before 2024-01-20 (v=1); the daily stream
-    brings the events from 2024-01-15 on and upserts them (L4 = A13)."""
+    """Published dataset = hours before 2024-01-20 (version 1); the daily
+    stream brings the events from 2024-01-15 on and upserts them (L4 = A13)."""
     base = _scratch(spark, "publish")
     published = os.path.join(base, "published")
     old = daily.hourly(spark, sf_dir).where(F.col("date") < F.to_date(F.lit("2024-01-20")))
-    old.withColumn("version", F.lit(1)).write.mode("overwrite").parquet(os.path.join(published, "v=1"))
+    hourly.publish_dates(old.withColumn("version", F.lit(1)), published, 1)
     trips = _events_stream(spark, sf_dir, "2024-01-15", catalog.EVENTS_END).select(
         F.col("ts").cast("timestamp").alias("pickup"), F.col("event_type").alias("location_id"))
     return hourly.run_incremental_publish(spark, trips, published, os.path.join(base, "ckpt"))
 
 
 def scoring_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Request messages (derived from purchase events, written as JSON
-    files = the queue) scored by the streaming worker (L2)."""
+    """Request messages (written as JSON files = the queue) scored and priced
+    by the streaming worker (L2), then charged through the ledger (J6)."""
     base = _scratch(spark, "scoring")
     msgs = os.path.join(base, "queue")
-    req = requests.driver_requests(spark, sf_dir)
-    month, day = F.month(F.timestamp_add("HOUR", F.lit(1), F.col("target_ts"))), \
-        F.dayofmonth(F.timestamp_add("HOUR", F.lit(1), F.col("target_ts")))
-    req.select(F.col("request_id").alias("prediction_id"), "user_id", F.lit("lstmv3").alias("model"),
-               F.col("location_id").alias("district"), F.hour("target_ts").alias("hour"),
-               F.lit("NYC").alias("city"), F.lit(0.0).alias("cost"), F.lit(2024).alias("year"),
-               month.alias("month"), day.alias("day")).write.mode("overwrite").json(msgs)
+    requests.request_messages(spark, sf_dir).write.mode("overwrite").json(msgs)
     f = daily.stable_features(spark, sf_dir)
     series = serving.series_ts(f)
     params = scaling.to_dict(experiment.scaler(spark, sf_dir, features=f))
     out = os.path.join(base, "status")
     req_stream.run_request_scoring(spark, msgs, out, os.path.join(base, "ckpt"), series, params,
-                                   req_stream.moving_average_model)
-    return spark.read.parquet(out).drop("processed_epoch", "epoch")
+                                   req_stream.moving_average_model, modeling.pricer(spark, sf_dir))
+    ops = accounts.movements(catalog.load(spark, sf_dir, "orders"), with_tiers=False)
+    return ledger.request_lifecycle(req_stream.finished_requests(spark, out), ops)

@@ -67,6 +67,11 @@ def read_feed(spark: SparkSession, spec: FeedSpec, required: Sequence[str] = (PI
         return None
     df = df.select(*required)
     dtype = df.schema[PICKUP].dataType
+    if not isinstance(dtype, (T.TimestampNTZType, T.TimestampType, T.DateType)):
+        # text: coerce first, so an unparseable value is null instead of a
+        # failed comparison; typed columns are filtered raw (pushed filter)
+        df = df.withColumn(PICKUP, coerce_timestamp(F.col(PICKUP), dtype))
+        dtype = T.TimestampNTZType()
     if start is not None:
         df = df.where(F.col(PICKUP) >= _ts_literal(start, dtype))
     if end is not None:
@@ -113,13 +118,24 @@ def unify_trips(spark: SparkSession, feeds: Sequence[FeedSpec], start: str, end:
     return with_date_hour(trips)
 
 
+def cost_per_mile(df: DataFrame, cap: float | None = 100.0) -> DataFrame:
+    """Positive distance and cost (B7), their ratio (B8) below the outlier
+    cap (B9; None: no cap), inputs dropped (B12)."""
+    out = df.where((F.col(DISTANCE) > 0) & (F.col(COST) > 0)).withColumn(
+        "cost_per_mile", F.try_divide(F.col(COST), F.col(DISTANCE)))
+    if cap is not None:
+        out = out.where(F.col("cost_per_mile") < cap)
+    return out.drop(COST, DISTANCE)
+
+
 def unify_costs(spark: SparkSession, feeds: Sequence[FeedSpec], start: str, end: str,
-                zones: DataFrame | None = None, cap: float = 100.0) -> DataFrame:
+                zones: DataFrame | None = None, cap: float | None = 100.0) -> DataFrame:
     """Unified trips with ``cost_per_mile`` (cost variant of load_raw_data).
 
     Positive distance and cost (B7), ratio with infinities as null (B8),
-    outlier cap (B9), zone whitelist as a semi-join (B10/E6), then null drop,
-    per-feed dedup and global dedup.
+    outlier cap (B9; None: no cap), zone whitelist as a semi-join (B10/E6;
+    None: all zones), then null drop and one dedup over the union, which
+    also covers duplicates inside a feed.
     """
     frames = []
     for spec in feeds:
@@ -127,13 +143,10 @@ def unify_costs(spark: SparkSession, feeds: Sequence[FeedSpec], start: str, end:
         if df is None:
             continue
         if zones is not None:
+            # the whitelist is bounded by its highest id
             df = df.join(F.broadcast(zones.select(F.col(ZONE).cast(df.schema[ZONE].dataType).alias(ZONE))),
                          ZONE, "left_semi")
-        df = (df.where((F.col(DISTANCE) > 0) & (F.col(COST) > 0))
-                .withColumn("cost_per_mile", F.try_divide(F.col(COST), F.col(DISTANCE)))
-                .where(F.col("cost_per_mile") < cap)
-                .drop(COST, DISTANCE))
-        frames.append(clean(df))
+        frames.append(clean(cost_per_mile(df, cap), dedup=False))
     trips = union_all(frames).dropDuplicates()
     return with_date_hour(trips)
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def sample_head(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
@@ -38,19 +37,11 @@ def publish_upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataF
 def write_stage(df: DataFrame, path: str, partition_by: Sequence[str] = ("date",),
                 fmt: str = "parquet") -> None:
     """Materialise a stage border (A9) partitioned for pruning."""
-    writer = df.write.mode("overwrite").format(fmt)
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.save(path)
-
-
-def write_version(df: DataFrame, base: str, version: str,
-                  partition_by: Sequence[str] = ("date",)) -> str:
-    """Staged overwrite: write ``base/v=<version>`` and return it; the caller
-    publishes the path once the write has succeeded."""
-    path = f"{base.rstrip('/')}/v={version}"
-    write_stage(df, path, partition_by)
-    return path
+        # a partition value is gathered first: one file each, not one a task
+        df.repartition(*partition_by).write.mode("overwrite").format(fmt).partitionBy(*partition_by).save(path)
+    else:
+        df.write.mode("overwrite").format(fmt).save(path)
 
 
 class FeatureCache:
@@ -70,5 +61,7 @@ class FeatureCache:
         return self.df
 
 
-def sorted_for_output(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.orderBy(*[F.col(k) for k in keys])
+def publish_sorted(df: DataFrame, path: str, keys: Sequence[str] = ("location_id", "date", "hour")) -> None:
+    """Publish re-sorted by zone and time (A13): range partitions of the key
+    order, sorted inside, so files do not overlap and readers can skip them."""
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)

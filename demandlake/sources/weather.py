@@ -57,7 +57,7 @@ def weather_at(df: DataFrame, weather: DataFrame, cols: Sequence[str] = ("temp",
     row first, so the lookup is an equi-join on (date, hour).
     """
     w = weather.select(*keys, *[F.col(c).alias(f"_w_{c}") for c in cols])
-    out = df.join(F.broadcast(w), list(keys), "left")
+    out = df.join(w, list(keys), "left")
     return out.withColumns({
         c: F.when(F.isnan(F.col(f"_w_{c}")), F.lit(float("nan")))
             .when(F.coalesce(F.col(f"_w_{c}"), F.lit(0.0)) == 0, F.lit(0.0))
@@ -67,19 +67,19 @@ def weather_at(df: DataFrame, weather: DataFrame, cols: Sequence[str] = ("temp",
 
 # --- driver-data mapping -------------------------------------------------
 
-WEATHER_EVENT_TYPE = "view"
+GAP_HOURS = 11  # every eleventh hour of a day's count has no observation
 
 
-def driver_weather(events: DataFrame, event_type: str = WEATHER_EVENT_TYPE) -> DataFrame:
-    """Hourly observations derived from ``events``: for one event type, per
-    hour: temp = mean value, prcp = min value, wspd = max value.  Hours
-    without such events have no row, so the left join leaves gaps (nulls)."""
+def driver_weather(events: DataFrame) -> DataFrame:
+    """Hourly observations derived from all ``events``, per hour: temp = mean
+    value, prcp = min value, wspd = max value.  A rule on the hour leaves
+    gaps (day of year * 24 + hour divisible by 11), so the left join meets
+    hours without an observation."""
     hour = F.date_trunc("hour", F.col("ts"))
-    obs = (events.where(F.col("event_type") == event_type)
-           .groupBy(hour.alias("time"))
+    obs = (events.groupBy(hour.alias("time"))
            .agg(F.avg("value").alias("temp"), F.min("value").alias("prcp"),
                 F.max("value").alias("wspd")))
-    return hourly_weather(obs)
+    return hourly_weather(obs.where((F.dayofyear("time") * 24 + F.hour("time")) % GAP_HOURS != 0))
 
 
 def driver_stations(supplier: DataFrame) -> DataFrame:

@@ -1,28 +1,29 @@
 """Zone whitelist.
 
-Zones 1..265 except the ones listed below: 238 accepted ids.  The table is
-built from that rule on executors (``range`` minus the exclusions) and is
-bounded at 265 rows, so joining it by broadcast is always safe.
+The accepted ids are a fixed list of 238 zones between 1 and 265, so joining
+the table by broadcast is always safe.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# Highest zone id and the ids absent from the whitelist.
-MAX_ZONE = 265
-EXCLUDED_ZONES = (
-    103, 104, 198, 211, 216, 225, 226, 228, 229, 230, 231, 232, 233, 234,
-    236, 237, 238, 239, 244, 246, 247, 249, 255, 256, 261, 262, 263,
+# Accepted zone ids.
+ACCEPTED_ZONES = (
+    1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24, 25, 26,
+    27, 28, 29, 30, 31, 32, 33, 34, 35, 36, 37, 38, 39, 40, 41, 42, 43, 44, 45, 46, 47, 48, 49, 50,
+    51, 52, 53, 54, 55, 56, 57, 58, 59, 60, 61, 62, 63, 64, 65, 66, 67, 68, 69, 70, 71, 72, 73, 74,
+    75, 76, 77, 78, 79, 80, 81, 82, 83, 84, 85, 86, 87, 88, 89, 90, 91, 92, 93, 94, 95, 96, 97, 98,
+    99, 100, 101, 102, 105, 106, 107, 108, 109, 110, 111, 112, 113, 114, 115, 116, 117, 118, 119,
+    120, 121, 122, 123, 124, 125, 126, 127, 128, 129, 130, 131, 132, 133, 134, 135, 136, 137, 138,
+    139, 140, 141, 142, 143, 144, 145, 146, 147, 148, 149, 150, 151, 152, 153, 154, 155, 156, 157,
+    158, 159, 160, 161, 162, 163, 164, 165, 166, 167, 168, 169, 170, 171, 172, 173, 174, 175, 176,
+    177, 178, 179, 180, 181, 182, 183, 184, 185, 186, 187, 188, 189, 190, 191, 192, 193, 194, 195,
+    196, 197, 199, 200, 201, 202, 203, 204, 205, 206, 207, 208, 209, 210, 212, 213, 214, 215, 217,
+    218, 219, 220, 221, 222, 223, 224, 227, 235, 240, 241, 242, 243, 245, 248, 250, 251, 252, 253,
+    254, 257, 258, 259, 260, 264, 265,
 )
 
 
 def zone_whitelist(spark: SparkSession, col: str = "location_id") -> DataFrame:
-    ids = spark.range(1, MAX_ZONE + 1).select(F.col("id").alias(col))
-    return ids.where(~F.col(col).isin(list(EXCLUDED_ZONES)))
-
-
-def in_whitelist(df: DataFrame, zones: DataFrame, col: str = "location_id") -> DataFrame:
-    """Semi-join keeping rows of accepted zones; the zone table is bounded."""
-    return df.join(F.broadcast(zones), col, "left_semi")
+    return spark.createDataFrame([(z,) for z in ACCEPTED_ZONES], f"{col} long")

@@ -2,14 +2,20 @@
 
 ``withWatermark`` needs a TIMESTAMP column, so the naive pickup time is
 cast with the session time zone pinned to UTC.  Exact duplicates (same
-zone, same instant) are removed within the watermark; a tumbling one-hour
-window per zone is emitted once the watermark passes its end (append mode),
-so every emitted hour is final and equals the batch count.
+zone, same instant) are removed within the watermark, which bounds the
+state; a row that arrives later than the watermark is dropped.
+
+L1 adds up as it goes: each micro-batch of new distinct trips is counted
+per zone and hour and written as the epoch's increments; the table is the
+sum of the increments per key.  Every hour is there at once, the last ones
+too, and a replayed epoch overwrites its own increments.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +24,8 @@ from pyspark.sql import types as T
 from demandlake.operators.hourly import hourly_demand
 from demandlake.sources import feeds, sinks
 
+KEYS = ("location_id", "date", "hour")
+
 
 def trip_stream(spark: SparkSession, directory: str, file_glob: str, schema: T.StructType,
                 ts: str, zone: str) -> DataFrame:
@@ -27,52 +35,93 @@ def trip_stream(spark: SparkSession, directory: str, file_glob: str, schema: T.S
     return raw.select(F.col(ts).cast("timestamp").alias("pickup"), F.col(zone).alias("location_id"))
 
 
-def hourly_counts(trips: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Tumbling 1-hour counts per zone with exact-duplicate removal (L1)."""
-    clean = (trips.where(F.col("pickup").isNotNull() & F.col("location_id").isNotNull())
-             .withWatermark("pickup", delay)
-             .dropDuplicatesWithinWatermark(["pickup", "location_id"]))
-    agg = clean.groupBy(F.window("pickup", "1 hour").alias("w"), "location_id").agg(
-        F.count(F.lit(1)).alias("trips_count"))
-    return agg.select(F.to_date(F.col("w.start")).alias("date"), F.hour(F.col("w.start")).alias("hour"),
-                      "location_id", "trips_count")
+def distinct_trips(trips: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Clean trips of a stream, exact duplicates removed within the watermark."""
+    return (trips.where(F.col("pickup").isNotNull() & F.col("location_id").isNotNull())
+            .withWatermark("pickup", delay).dropDuplicatesWithinWatermark(["pickup", "location_id"]))
 
 
 def run_hourly(spark: SparkSession, trips: DataFrame, out: str, checkpoint: str,
                delay: str = "1 hour") -> None:
-    """Append closed hours to a parquet table; exactly once through the
-    file sink's commit log and the checkpoint."""
-    q = (hourly_counts(trips, delay).writeStream.format("parquet").outputMode("append")
-         .option("path", out).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-
-
-def live_version(spark: SparkSession, published: str) -> DataFrame:
-    """The newest version folder ``published/v=<n>`` (partition discovery)."""
-    allv = spark.read.parquet(published)
-    top = allv.agg(F.max("v")).first()[0]
-    return allv.where(F.col("v") == top).drop("v")
+    """Count trips per zone and hour (L1) into ``out/epoch=<id>``."""
+    def sink(batch: DataFrame, epoch: int) -> None:
+        counts = batch.groupBy("location_id", F.to_date("pickup").alias("date"), F.hour("pickup").alias("hour")).agg(
+            F.count(F.lit(1)).alias("trips_count"))
+        counts.write.mode("overwrite").parquet(os.path.join(out, f"epoch={epoch}"))
 
+    q = (distinct_trips(trips, delay).writeStream.foreachBatch(sink)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
 
-def run_incremental_publish(spark: SparkSession, trips: DataFrame, published: str, checkpoint: str,
-                            keys=("location_id", "date", "hour"), version_col: str = "version") -> DataFrame:
-    """Daily incremental publish (L4): each micro-batch (one day's new
-    files) is aggregated to hours and upserted into the published dataset,
-    written as a new version folder ``v=<epoch + 2>`` next to the old ones
-    (``v=1`` is the initial dataset); readers take the newest version, so a
-    half-written version is never read, and a replayed epoch rewrites its
-    own folder (idempotent)."""
 
-    def sink(batch: DataFrame, epoch: int) -> None:
-        batch_trips = batch.select(F.col("pickup").cast("timestamp_ntz").alias("pickup_ts"), "location_id")
-        new = hourly_demand(feeds.with_date_hour(feeds.clean(batch_trips))).withColumn(
-            version_col, F.lit(epoch + 2))
-        old = live_version(spark, published)
-        merged = sinks.publish_upsert(old, new.select(*old.columns), keys)
-        merged.write.mode("overwrite").parquet(os.path.join(published, f"v={epoch + 2}"))
-
-    q = (trips.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+def hourly_table(spark: SparkSession, out: str) -> DataFrame:
+    """(date, hour, location_id, trips_count): the increments added up."""
+    return (spark.read.parquet(out).groupBy("date", "hour", "location_id")
+            .agg(F.sum("trips_count").alias("trips_count")))
+
+
+# --- L4 -----------------------------------------------------------------------
+
+MANIFEST = T.StructType([T.StructField("version", T.LongType()), T.StructField("date", T.DateType()),
+                         T.StructField("folder", T.StringType())])
+
+
+def _manifest(spark: SparkSession, published: str) -> DataFrame:
+    return spark.read.schema(MANIFEST).parquet(os.path.join(published, "manifest"))
+
+
+def publish_dates(df: DataFrame, published: str, version: int) -> None:
+    """Write the dates of ``df`` into a new folder, then commit them: the
+    manifest gets a row (version, date, folder) for each date in one file,
+    and only that makes the folder visible.  A failure before the commit
+    leaves an unused folder; a repeat writes another one."""
+    spark = df.sparkSession
+    folder = uuid.uuid4().hex[:16]
+    path = os.path.join(published, "data", f"folder={folder}")
+    df.repartition("date").sortWithinPartitions(*KEYS).write.partitionBy("date").parquet(path)
+    rows = df.select("date").distinct().select(F.lit(version).cast("long").alias("version"), "date", F.lit(folder).alias("folder"))
+    rows.coalesce(1).write.mode("append").parquet(os.path.join(published, "manifest"))
+
+
+def live(spark: SparkSession, published: str, before: int | None = None, dates: Sequence | None = None) -> DataFrame | None:
+    """The published rows: of every date the folder with the highest version
+    (on ties the greater folder name, an equal repeat).  ``before``: only
+    versions below it; ``dates``: only those.  The manifest has a row per
+    date and version.  None when nothing is published."""
+    m = _manifest(spark, published)
+    if before is not None:
+        m = m.where(F.col("version") < before)
+    if dates is not None:
+        m = m.where(F.col("date").isin(list(dates)))
+    top = m.groupBy("date").agg(F.max(F.struct("version", "folder")).alias("top")).collect()
+    if not top:
+        return None
+    base = os.path.join(published, "data")
+    paths = [os.path.join(base, f"folder={r['top']['folder']}", f"date={r['date']}") for r in top]
+    return spark.read.option("basePath", base).parquet(*paths).drop("folder")
+
+
+def publish_epoch(batch: DataFrame, published: str, epoch: int, keys: Sequence[str] = KEYS,
+                  version_col: str = "version") -> None:
+    """One micro-batch of trips -> hours, upserted into the dates it touches.
+    Version 1 is the initial dataset, epoch N writes version N + 2 on top of
+    the versions below it, so a replayed epoch starts from the same state."""
+    spark = batch.sparkSession
+    trips = batch.select(F.col("pickup").cast("timestamp_ntz").alias("pickup_ts"), "location_id")
+    new = hourly_demand(feeds.with_date_hour(feeds.clean(trips))).withColumn(version_col, F.lit(epoch + 2))
+    dates = [r["date"] for r in new.select("date").distinct().collect()]
+    if not dates:
+        return
+    old = live(spark, published, before=epoch + 2, dates=dates)
+    if old is not None:
+        new = sinks.publish_upsert(old.select(*new.columns), new, keys)
+    publish_dates(new, published, epoch + 2)
+
+
+def run_incremental_publish(spark: SparkSession, trips: DataFrame, published: str, checkpoint: str) -> DataFrame:
+    """Daily incremental publish (L4): each micro-batch rewrites the dates it
+    touches and nothing else; readers see it when its commit is there."""
+    q = (trips.writeStream.foreachBatch(lambda batch, epoch: publish_epoch(batch, published, epoch))
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return live_version(spark, published)
+    return live(spark, published)

@@ -1,12 +1,16 @@
 """Streaming daily quota per user (L3, K5 as state).
 
-State per user is two numbers: the UTC day being counted and the number of
-requests seen that day (paid ones included).  A free request passes iff it
-is within the first ``quota(tier)`` requests of its day; diamond is
-unlimited.  Duplicate deliveries of the same request id are dropped within
-the watermark before the state is touched, so a redelivered message is not
-counted twice.  Rows of one micro-batch are processed in (ts, id) order;
-the state carries the count across batches.
+State is one number per (user, UTC day): the requests seen so far (paid ones
+included).  A free request passes iff it is within the first ``quota(tier)``
+requests of its day; diamond is unlimited.  Duplicate deliveries of a request
+id are dropped within the watermark before the state is touched.  A day's
+state is dropped once the watermark has passed its end, when no row of it can
+arrive any more.
+
+Rows of one micro-batch count in (ts, id) order.  They arrive in Arrow
+batches; only the earliest rows that still fit the quota are held back (at
+most the quota of the tier), the others are decided as they come, so memory
+is bounded whatever one user sends in a micro-batch.
 """
 
 from __future__ import annotations
@@ -21,29 +25,49 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from demandlake.operators.ledger import DAILY_QUOTA
 
 OUT_SCHEMA = "request_id long, user_id long, day date, tier string, paid boolean, passes boolean"
-STATE_SCHEMA = "day date, n long"
+STATE_SCHEMA = "n long"
+_COLUMNS = ["request_id", "user_id", "day", "tier", "paid", "passes"]
+
+
+def _limit(tier) -> int | None:
+    """Quota of a tier; none for diamond, bronze for an unknown user."""
+    return DAILY_QUOTA.get(tier.lower() if isinstance(tier, str) else "bronze")
 
 
 def _step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "request_id"])
-    day, n = (state.get if state.exists else (None, 0))
-    passes = []
-    for d, tier, paid in zip(pdf["day"], pdf["tier"], pdf["paid"]):
-        if d != day:
-            day, n = d, 0
-        n += 1
-        limit = DAILY_QUOTA.get(tier if isinstance(tier, str) else "bronze")
-        passes.append(bool(paid) or limit is None or n <= limit)
-    state.update((day, n))
-    yield pd.DataFrame({"request_id": pdf["request_id"], "user_id": pdf["user_id"], "day": pdf["day"],
-                        "tier": pdf["tier"], "paid": pdf["paid"], "passes": passes})
+    if state.hasTimedOut:
+        state.remove()
+        return
+    user, day = key
+    n = state.get[0] if state.exists else 0
+    seen, held = 0, None
+    for pdf in batches:
+        seen += len(pdf)
+        tier = pdf["tier"].iloc[0]
+        limit = _limit(tier)
+        pdf = pdf.assign(user_id=user, day=day)
+        if limit is None:
+            yield pdf.assign(passes=True)[_COLUMNS]
+            continue
+        held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        held = held.sort_values(["ts", "request_id"], ignore_index=True)
+        room = max(0, limit - n)
+        late, held = held.iloc[room:], held.iloc[:room]
+        if len(late):
+            yield late.assign(passes=late["paid"].astype(bool))[_COLUMNS]
+    if held is not None and len(held):
+        yield held.assign(passes=True)[_COLUMNS]
+    state.update((n + seen,))
+    end = pd.Timestamp(day) + pd.Timedelta(days=1)
+    state.setTimeoutTimestamp(max(int(end.value // 10 ** 6), state.getCurrentWatermarkMs() + 1))
 
 
 def quota_stream(requests: DataFrame, tiers: DataFrame, delay: str = "1 day") -> DataFrame:
     """requests: streaming (request_id, user_id, ts TIMESTAMP, paid);
-    tiers: static (user_id, tier), joined stream-static."""
+    tiers: static (user_id, tier), joined stream-static.  ``delay``: how late
+    a request may arrive and still be counted."""
     r = (requests.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["request_id"])
          .join(tiers.select("user_id", "tier"), "user_id", "left")
          .withColumn("day", F.to_date("ts")))
-    return r.groupBy("user_id").applyInPandasWithState(
-        _step, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    return r.groupBy("user_id", "day").applyInPandasWithState(
+        _step, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)

@@ -29,9 +29,6 @@ MESSAGE_SCHEMA = T.StructType([
 ])
 
 
-RESULT_SCHEMA = "prediction_id long, status string, result string, processed_epoch long"
-
-
 def request_stream(spark: SparkSession, path: str | None = None, max_files: int | None = None,
                    fmt: str = "json", options: dict | None = None) -> DataFrame:
     """Request messages (A17) parsed with a fixed schema; malformed fields
@@ -54,33 +51,44 @@ def request_stream(spark: SparkSession, path: str | None = None, max_files: int
 
 
 def score_batch(batch: DataFrame, series: DataFrame, params: dict, predict_fn: Callable,
-                y_params: tuple[float, float], epoch: int) -> DataFrame:
-    """One micro-batch of messages -> status rows."""
-    req = batch.select(F.col("prediction_id").alias("request_id"),
-                       F.col("district").alias("location_id"),
-                       text.analogue_ts(F.col("month"), F.col("day"), F.col("hour")).alias("target_ts"))
-    req = req.dropDuplicates(["request_id"])
-    status = serving.resolve_requests(series, req).select("request_id", "status")
-    windows = serving.window_arrays(serving.serving_windows(series, req, params))
-    scored = models.score_sequences(windows, predict_fn, id_col="request_id", horizon=24)
-    pp = serving.post_process(scored, "forecast", y_params, rounding="ceil")
-    done = pp.select("request_id", text.list_to_text(F.col("forecast")).alias("result"))
-    return (status.join(done, "request_id", "left")
-            .select(F.col("request_id").alias("prediction_id"),
-                    F.when(F.col("status") == "ok", F.lit("completed")).otherwise(F.lit("failed")).alias("status"),
-                    "result", F.lit(epoch).cast("long").alias("processed_epoch")))
+                y_params: tuple[float, float], epoch: int, price: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """One micro-batch of messages -> status rows (J3, H7, J2, F15, G11) with
+    the forecast and, for requests that cost something, the price of every
+    forecast hour (J5).  ``price`` maps (request_id, location_id, target_ts,
+    forecast, cost) to (request_id, trip_costs)."""
+    req = batch.dropDuplicates(["prediction_id"]).select(
+        F.col("prediction_id").alias("request_id"), "user_id", F.col("district").alias("location_id"),
+        F.coalesce("cost", F.lit(0.0)).alias("cost"),
+        text.analogue_ts(F.col("month"), F.col("day"), F.col("hour")).alias("target_ts"))
+    resolved = serving.resolve_requests(series, req)
+    arrays = serving.serving_arrays(series, req, params, resolved=resolved)
+    scored = models.score_sequences(arrays, predict_fn, id_col="request_id", horizon=24)
+    done = serving.post_process(scored, "forecast", y_params, rounding="ceil")
+    rows = resolved.select("request_id", "user_id", "location_id", "target_ts", "cost", "status").join(done, "request_id", "left")
+    if price is not None:
+        rows = rows.join(price(rows.where(F.col("forecast").isNotNull())), "request_id", "left")
+    else:
+        rows = rows.withColumn("trip_costs", F.lit(None).cast("array<double>"))
+    return rows.select(
+        F.col("request_id").alias("prediction_id"), "user_id", F.col("target_ts").alias("ts"), "cost",
+        (F.col("status") == "ok").alias("scored"), text.list_to_text(F.col("forecast")).alias("result"),
+        text.list_to_text(F.col("trip_costs"), integral=False).alias("trip_costs"),
+        F.size("trip_costs").alias("n_prices"), F.lit(epoch).cast("long").alias("processed_epoch"))
 
 
 def run_request_scoring(spark: SparkSession, messages: str, out: str, checkpoint: str,
-                        series: DataFrame, params: dict, predict_fn: Callable) -> None:
-    """Scoring stream (L2).  Each micro-batch writes its status rows into
+                        series: DataFrame, params: dict, predict_fn: Callable,
+                        price: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Scoring stream (L2).  Each micro-batch writes its rows into
     ``out/epoch=<id>`` with overwrite: a replayed epoch after a failure
     rewrites the same folder, so the sink is idempotent; the checkpoint
-    makes the source resume after the last committed epoch."""
+    makes the source resume after the last committed epoch.  Charging is a
+    replay of the ledger with the scored paid requests in it
+    (``ledger.request_lifecycle``), which readers of ``out`` run."""
     y_params = params["y"]
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        rows = score_batch(batch, series, params, predict_fn, y_params, epoch)
+        rows = score_batch(batch, series, params, predict_fn, y_params, epoch, price)
         rows.write.mode("overwrite").parquet(os.path.join(out, f"epoch={epoch}"))
 
     q = (request_stream(spark, messages).writeStream.foreachBatch(sink)
@@ -88,6 +96,14 @@ def run_request_scoring(spark: SparkSession, messages: str, out: str, checkpoint
     q.awaitTermination()
 
 
+def finished_requests(spark: SparkSession, out: str) -> DataFrame:
+    """The scored requests, one row each (a message delivered again in a
+    later epoch keeps its first result)."""
+    rows = spark.read.parquet(out)
+    first = rows.groupBy("prediction_id").agg(F.min("processed_epoch").alias("processed_epoch"))
+    return rows.join(first, ["prediction_id", "processed_epoch"], "left_semi").drop("epoch", "processed_epoch")
+
+
 def moving_average_model(x: np.ndarray) -> np.ndarray:
     """Example ``predict_fn``: mean of the (scaled) trips feature over the
     window, repeated over 24 steps; x has shape (n, 72, 24)."""

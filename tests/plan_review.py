@@ -15,7 +15,7 @@ sys.path.insert(0, ROOT)
 
 NODES = ("Exchange hashpartitioning", "Exchange rangepartitioning", "Exchange SinglePartition",
          "BroadcastExchange", "SortMergeJoin", "BroadcastHashJoin", "Window", "Scan parquet",
-         "Scan ExistingRDD", "MapInPandas")
+         "MapInPandas")
 
 
 def main() -> None:
@@ -32,7 +32,7 @@ def main() -> None:
         if name not in qs:
             continue
         df = qs[name](spark, sf_dir)
-        df.write.format("noop").mode("overwrite").save()
+        df.collect()  # the same query execution: its plan is then the final one
         plan = df._jdf.queryExecution().executedPlan().toString()
         counts = [len(re.findall(re.escape(n) + r"\b", plan)) for n in NODES]
         pushed = sorted(set(re.findall(r"PushedFilters: \[([^\]]*)\]", plan)))

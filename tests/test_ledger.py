@@ -17,7 +17,7 @@ def _ops(spark, rows):
 
 def test_deposit_withdraw_history(spark):
     ops = _ops(spark, [(1, "deposit", 15000, None), (1, "withdraw", 4000, None)])
-    out = ledger.replay_ledger(ops).collect()
+    out = ledger.replay_ledger(ops).orderBy("user_id", "ts", "op_id").collect()
     assert [r["accepted"] for r in out] == [True, True] and out[-1]["balance_cents"] == 11000
     signed = ops.withColumn("signed_cents", F.when(F.col("kind") == "deposit", F.col("amount_cents"))
                             .otherwise(-F.col("amount_cents")))
@@ -28,7 +28,7 @@ def test_deposit_withdraw_history(spark):
 def test_rejections(spark):
     ops = _ops(spark, [(1, "deposit", -5000, None), (1, "withdraw", 100, None), (1, "deposit", 0, None),
                        (2, "tier", 0, "diamond")])
-    out = {r["op_id"]: r for r in ledger.replay_ledger(ops).collect()}
+    out = {r["op_id"]: r for r in ledger.replay_ledger(ops).orderBy("user_id", "ts", "op_id").collect()}
     assert out[0]["reason"] == "non_positive_deposit"               # negative top-up
     assert out[1]["reason"] == "insufficient_funds"
     assert out[2]["reason"] == "non_positive_deposit"
@@ -38,7 +38,7 @@ def test_rejections(spark):
 def test_tier_purchase_price_and_end(spark):
     ops = _ops(spark, [(1, "deposit", 30000, None), (1, "tier", 0, "silver"),
                        (2, "deposit", 30000, None), (2, "tier", 0, "gold"), (2, "tier", 0, "silver")])
-    out = {r["op_id"]: r for r in ledger.replay_ledger(ops).collect()}
+    out = {r["op_id"]: r for r in ledger.replay_ledger(ops).orderBy("user_id", "ts", "op_id").collect()}
     assert out[1]["tier"] == "silver" and out[1]["balance_cents"] == 20000
     assert out[1]["tier_end"] == T0.date() + dt.timedelta(days=30)
     assert out[3]["tier"] == "gold" and out[4]["reason"] == "tier_step_down"
@@ -53,7 +53,7 @@ def test_same_tier_extends_and_expiry_resets(spark):
             (1, 3, T0 + dt.timedelta(days=100), "withdraw", 0, None)]
     ops = spark.createDataFrame(rows, "user_id long, op_id long, ts timestamp_ntz, kind string, "
                                       "amount_cents long, level string")
-    out = {r["op_id"]: r for r in ledger.replay_ledger(ops).collect()}
+    out = {r["op_id"]: r for r in ledger.replay_ledger(ops).orderBy("user_id", "ts", "op_id").collect()}
     assert out[2]["tier_end"] == T0.date() + dt.timedelta(days=60)
     assert out[3]["tier"] == "bronze" and out[3]["tier_end"] is None
     users = spark.createDataFrame([(1, "silver", dt.date(2025, 2, 28)), (2, "gold", dt.date(2025, 3, 5)),

@@ -14,14 +14,6 @@ def _rows(spark):
     return spark.createDataFrame(rows, "user_id long, op_id long, ts timestamp_ntz, v long")
 
 
-def test_blocked_row_number_equals_window(spark):
-    df = _rows(spark)
-    got = ordered.blocked_row_number(df, ["user_id"], ["ts", "op_id"], F.date_trunc("hour", "ts"))
-    ref = df.withColumn("ref", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "op_id")))
-    j = got.join(ref, ["user_id", "op_id"])
-    assert j.where(F.col("rn") != F.col("ref")).count() == 0 and j.count() == df.count()
-
-
 def test_blocked_running_sum_equals_window(spark):
     df = _rows(spark)
     got = ordered.blocked_running_sum(df, ["user_id"], ["ts", "op_id"], "v", F.to_date("ts"))

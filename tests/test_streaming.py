@@ -25,10 +25,10 @@ def test_hourly_stream_drops_late_rows_and_duplicates(spark):
              .option("recursiveFileLookup", True).parquet(src)
              .select(F.col("ts").cast("timestamp").alias("pickup"), F.col("zone").alias("location_id")))
     hourly.run_hourly(spark, trips, os.path.join(base, "out"), os.path.join(base, "ckpt"), "1 hour")
-    got = {(r["hour"], r["location_id"]): r["trips_count"] for r in spark.read.parquet(os.path.join(base, "out")).collect()}
+    got = {(r["hour"], r["location_id"]): r["trips_count"] for r in hourly.hourly_table(spark, os.path.join(base, "out")).collect()}
     assert got[(0, "A")] == 2            # the late copy of 00:20 is not counted again
     assert got[(5, "A")] == 2            # 05:00 and one of the two identical 05:01 rows
-    assert (9, "A") not in got           # still open when the stream stopped
+    assert got[(9, "A")] == 1            # the last hour is there although nothing came after it
 
 
 def test_request_stream_parses_and_nulls_bad_fields(spark):
@@ -53,9 +53,98 @@ def test_scoring_stream_results_are_whole_forecasts(spark):
     import __spark_entry__ as ent
     from conftest import SF_SMALL
     rows = ent.queries()["stream_request_scoring"](spark, SF_SMALL).collect()
-    done = [r for r in rows if r["status"] == "completed"]
+    done = [r for r in rows if r["result"] is not None]
+    assert any(r["status"] == "completed" for r in done)
     assert done and len({r["prediction_id"] for r in rows}) == len(rows)     # one row per request
     for r in done:
         vals = json.loads(r["result"])
         assert len(vals) == 24 and all(isinstance(v, int) and v >= 0 for v in vals)
-    assert all(r["result"] is None for r in rows if r["status"] == "failed")
+        assert r["n_prices"] == (24 if r["cost"] > 0 else 0)            # priced only when it costs something
+        assert r["status"] == ("failed" if r["charged"] == 0 else "completed")
+    assert all(r["status"] == "failed" for r in rows if r["result"] is None)
+
+
+def _published(spark, published):
+    return {(r["location_id"], str(r["date"]), r["hour"]): (r["trips_count"], r["version"]) for r in hourly.live(spark, published).collect()}
+
+
+def _trips(spark, *rows):
+    return spark.createDataFrame([(dt.datetime(2024, 1, *r[:3]), r[3]) for r in rows], "pickup timestamp, location_id string")
+
+
+def test_publish_survives_replays_and_half_written_versions(spark, monkeypatch):
+    published = os.path.join(tempfile.mkdtemp(prefix="dl-publish-"), "p")
+    first = spark.createDataFrame([(dt.date(2024, 1, 1), 1, "A", 5, 1), (dt.date(2024, 1, 2), 1, "A", 6, 1)],
+                                  "date date, hour int, location_id string, trips_count long, version int")
+    hourly.publish_dates(first, published, 1)
+    batch = _trips(spark, (2, 1, 0, "A"), (2, 1, 1, "A"), (3, 4, 0, "B"))
+    want = {("A", "2024-01-01", 1): (5, 1), ("A", "2024-01-02", 1): (2, 2), ("B", "2024-01-03", 4): (1, 2)}
+
+    # the write succeeds, the commit does not: readers still see version 1, the replay then publishes
+    writes = type(first.write).parquet
+
+    def no_commit(self, path, *a, **kw):
+        if path.endswith("manifest"):
+            raise RuntimeError("lost before the commit")
+        return writes(self, path, *a, **kw)
+
+    with monkeypatch.context() as m:
+        m.setattr(type(first.write), "parquet", no_commit)
+        try:
+            hourly.publish_epoch(batch, published, 0)
+            raise AssertionError
+        except RuntimeError:
+            pass
+    assert _published(spark, published) == {("A", "2024-01-01", 1): (5, 1), ("A", "2024-01-02", 1): (6, 1)}
+    hourly.publish_epoch(batch, published, 0)
+    assert _published(spark, published) == want
+    hourly.publish_epoch(batch, published, 0)                    # replayed after the commit
+    assert _published(spark, published) == want
+    hourly.publish_epoch(_trips(spark, (2, 5, 0, "A")), published, 1)
+    hourly.publish_epoch(_trips(spark, (2, 5, 0, "A")), published, 1)
+    assert _published(spark, published) == want | {("A", "2024-01-02", 5): (1, 3)}
+    touched = [r["date"] for r in spark.read.parquet(os.path.join(published, "manifest")).where("version = 3").collect()]
+    assert {str(d) for d in touched} == {"2024-01-02"}           # only touched dates are rewritten
+
+
+class _State:
+    """Stands in for the engine's group state."""
+    hasTimedOut = False
+
+    def __init__(self):
+        self.value, self.timeout, self.gone = None, None, False
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def setTimeoutTimestamp(self, ms):
+        self.timeout = ms
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+    def remove(self):
+        self.value, self.gone = None, True
+
+
+def test_quota_state_over_several_batches():
+    import pandas as pd
+
+    from demandlake.streaming import quota
+    states, passed = {}, 0
+    parts = [(2, range(10)), (1, range(100, 101)), (2, range(10, 20))]      # ten of day 2, a late one of day 1, ten more of day 2
+    for day, ids in parts:
+        key = (7, dt.date(2024, 1, day))
+        pdf = pd.DataFrame({"request_id": list(ids), "ts": [pd.Timestamp(2024, 1, day, 1, i % 60) for i in ids],
+                            "tier": "Bronze", "paid": False})
+        out = list(quota._step(key, iter([pdf.iloc[::2], pdf.iloc[1::2]]) if len(pdf) > 1 else iter([pdf]), states.setdefault(key, _State())))
+        passed += sum(int(o["passes"].sum()) for o in out)
+        assert sum(len(o) for o in out) == len(pdf)
+    assert passed == 11
+    state = states[(7, dt.date(2024, 1, 2))]
+    assert state.value == (20,) and state.timeout == int(pd.Timestamp("2024-01-03").value // 10 ** 6)
+    state.hasTimedOut = True
+    assert list(quota._step((7, dt.date(2024, 1, 2)), iter([]), state)) == [] and state.gone
