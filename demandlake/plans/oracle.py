@@ -887,7 +887,7 @@ ORACLE["cost_training_rows"] = q.select("""
                 AND event_type IS NOT NULL) t
         GROUP BY ALL) h
     ) x
-""", {"location_id": "s", "date": "day", "hour": "i", "trips_count": "i", "avg_cost_per_mile": "d", "split": "s"})
+""", {"location_id": "s", "date": "day", "hour": "i", "trips_count": "i", "avg_cost_per_mile": "d9", "split": "s"})
 
 
 def oracle_sql() -> dict[str, str]:

@@ -608,7 +608,7 @@ def q_request_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_cost_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the cost model is trained on (H6): cleaned hourly costs with
     their split (G4)."""
-    return report(modeling.cost_training(spark, sf_dir).select("location_id", "date", "hour", "trips_count", "avg_cost_per_mile", "split"))
+    return report(modeling.cost_training(spark, sf_dir).select("location_id", "date", "hour", "trips_count", "avg_cost_per_mile", "split"), digits=9)
 
 
 @register("linear_forecast_metrics")
