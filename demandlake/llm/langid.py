@@ -140,9 +140,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(text, lang, key)
     df, n = document_frequencies(known, text)
     idf = (np.log((1.0 + n) / (1.0 + df)) + 1.0).astype(np.float32)
-    counts = known.groupBy(lang).count().withColumn("share", F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count")))
     draw = F.pmod(F.xxhash64(F.lit(9), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = known.join(counts.select(lang, "share"), lang).where(draw < F.col("share")).select(lang, text)
+    shares = [x for r in known.groupBy(lang).count().collect() for x in (F.lit(r[0]), F.lit(min(1.0, sample / r[1])))]
+    # the shares (a number per language) are literals: rows not drawn never leave their task
+    drawn = known.where(draw < F.element_at(F.create_map(*shares), F.col(lang))).select(lang, text) if shares else known.select(lang, text)
 
     def centres(pdf: pd.DataFrame) -> pd.DataFrame:
         texts = [t for t in pdf[text] if has_letter(t)]
