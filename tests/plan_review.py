@@ -34,10 +34,11 @@ def main() -> None:
         df = qs[name](spark, sf_dir)
         df.collect()  # the same query execution: its plan is then the final one
         plan = df._jdf.queryExecution().executedPlan().toString()
+        plan = re.sub(r"== Initial Plan ==.*?(?=== Final Plan ==|\Z)", "", plan, flags=re.S)
         counts = [len(re.findall(re.escape(n) + r"\b", plan)) for n in NODES]
-        pushed = sorted(set(re.findall(r"PushedFilters: \[([^\]]*)\]", plan)))
+        pushed = sorted({p[:80] for p in re.findall(r"PushedFilters: \[([^\]]*)\]", plan)})
         print(f"| {name} | " + " | ".join(str(c) for c in counts) + " | "
-              + "; ".join(p[:80] for p in pushed if p) + " |")
+              + "; ".join(p for p in pushed if p) + " |", flush=True)
 
 
 if __name__ == "__main__":
