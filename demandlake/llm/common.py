@@ -20,6 +20,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(staged: DataFrame) -> None:
+    """Delete the files of a staged table that nothing will read again (what
+    was computed from it has been staged itself)."""
+    spark = staged.sparkSession
+    jvm = spark.sparkContext._jvm
+    for folder in {name.rpartition("/")[0] for name in staged.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -49,14 +49,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandlake.llm.common import parallelism, stage
+from demandlake.llm.common import discard, parallelism, stage
 from demandlake.llm.words import mix
 
 LENGTH, GRAM = 50, 24
 REACH = LENGTH - GRAM               # an anchor starts at most this far behind its window's start
 ENTRY = LENGTH + REACH + 2          # suffix, bytes before it (backwards), both lengths + 1
 WINDOW = LENGTH + 1                 # window, then a 1 (numpy drops trailing zero bytes of strings)
-RUN_BYTES, RANGE_BYTES, BUCKET_BYTES = 32 << 20, 24 << 20, 48 << 20  # of text
+RUN_BYTES, RANGE_BYTES, BUCKET_BYTES = 12 << 20, 12 << 20, 24 << 20  # of text
 CHUNK_BYTES = 8 << 20
 SAMPLE_BYTES = 6 << 20              # of text, from which splitters are drawn
 SLAB = 1 << 22
@@ -136,7 +136,7 @@ def front_code(rows: np.ndarray) -> bytes:
     if len(rows) > 1:
         shared[1:] = np.argmax(rows[1:] != rows[:-1], axis=1)
     rest = rows[np.arange(rows.shape[1])[None, :] >= shared[:, None]]
-    return _zip(shared.tobytes() + rest.tobytes())
+    return _zip(shared.tobytes() + rest.tobytes(), 9)
 
 
 def front_decode(coded: bytes, n: int, width: int) -> tuple[list[int], list[bytes]]:
@@ -248,6 +248,11 @@ def _run_of(ids, runs: int) -> np.ndarray:
     return (mix(np.asarray(ids, np.int64).view(np.uint64)) % np.uint64(runs)).astype(np.int64)
 
 
+def _tag_type(runs: int) -> str:
+    """Smallest integer type for 2 * run + 1."""
+    return next(t for t, limit in (("<u1", 1 << 8), ("<u2", 1 << 16), ("<u4", 1 << 32), ("<u8", 1 << 64)) if 2 * runs <= limit)
+
+
 def _hash_rows(runs: int, buckets: int):
     def rows(batches):
         for ids, texts in _batches(batches, CHUNK_BYTES):
@@ -268,9 +273,10 @@ def _hash_rows(runs: int, buckets: int):
                     out["bucket"].append(b)
                     out["n"].append(int(hi - lo))
                     step = np.diff(np.r_[np.uint64(0), h[lo:hi]])
-                    out["hashes"].append(_zip(np.ascontiguousarray(step.astype("<u8")[:, None].view(np.uint8)[:, :5]).tobytes()))
-                    tag = r[lo:hi] * 2 + several[lo:hi]
-                    out["runs"].append(_zip(tag.astype("<u2" if runs < 32000 else "<u8").tobytes()))
+                    # byte by byte: the high bytes of the steps are mostly zero
+                    planes = np.ascontiguousarray(step.astype("<u8")[:, None].view(np.uint8)[:, :5].T)
+                    out["hashes"].append(_zip(planes.tobytes()))
+                    out["runs"].append(_zip((r[lo:hi] * 2 + several[lo:hi]).astype(_tag_type(runs)).tobytes()))
             if out["bucket"]:
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema(
                     [("bucket", pa.int32()), ("n", pa.int32()), ("hashes", pa.binary()), ("runs", pa.binary())]))
@@ -283,9 +289,9 @@ def _shared_grams(runs: int):
         h, r = [], []
         for n, hashes, tags in zip(pdf["n"], pdf["hashes"], pdf["runs"]):
             five = np.zeros((n, 8), np.uint8)
-            five[:, :5] = np.frombuffer(_unzip(hashes), np.uint8).reshape(n, 5)
+            five[:, :5] = np.frombuffer(_unzip(hashes), np.uint8).reshape(5, n).T
             h.append(np.cumsum(five.view("<u8").ravel(), dtype=np.uint64))
-            r.append(np.frombuffer(_unzip(tags), "<u2" if runs < 32000 else "<u8").astype(np.int64))
+            r.append(np.frombuffer(_unzip(tags), _tag_type(runs)).astype(np.int64))
         h, r = np.concatenate(h), np.concatenate(r)
         order = np.argsort(h, kind="stable")
         h, r = h[order], r[order]
@@ -316,7 +322,7 @@ def _text_rows(runs: int):
                 out["run"].append(int(r))
                 out["ids"].append(np.array([ids[i] for i in part], "<i8").tobytes())
                 out["sizes"].append(np.array([len(texts[i]) for i in part], "<i8").tobytes())
-                out["texts"].append(_zip(b"".join([texts[i] for i in part])))
+                out["texts"].append(_zip(b"".join([texts[i] for i in part]), 6))
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema(
                 [("run", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("texts", pa.binary())]))
     return rows
@@ -610,9 +616,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     hashes = named.mapInArrow(_hash_rows(runs, buckets), "bucket int, n int, hashes binary, runs binary")
     grams = hashes.groupBy("bucket").applyInPandas(_shared_grams(runs), "run long, kind string, data binary")
     sorted_runs = stage(texts.groupBy("run").cogroup(grams.groupBy("run")).applyInPandas(_sorted_run(entry_cuts), RUN_OUT), "suffix-runs")
+    spots = stage(sorted_runs.where("kind = 'anchors'"), "suffix-anchors")
     merged = stage(sorted_runs.where("kind = 'entries'").groupBy("part").applyInPandas(_merge_entries(window_cuts), RUN_OUT), "suffix-ranges")
-    decided = merged.where("kind = 'windows'").groupBy("part").applyInPandas(_merge_windows, RUN_OUT)
-    marks = sorted_runs.where("kind = 'anchors'").union(merged.where("kind = 'known'")).union(decided).select("run", "kind", "n", "data")
+    discard(sorted_runs)
+    known = stage(merged.where("kind = 'known'"), "suffix-known")
+    decided = stage(merged.where("kind = 'windows'").groupBy("part").applyInPandas(_merge_windows, RUN_OUT), "suffix-windows")
+    discard(merged)
+    marks = spots.union(known).union(decided).select("run", "kind", "n", "data")
     out = texts.groupBy("run").cogroup(marks.groupBy("run")).applyInPandas(_remove, OUT)
     bare: Column = F.coalesce(F.col("t"), F.lit("")).cast("binary")
     nameless = every.where("id is null").select(
