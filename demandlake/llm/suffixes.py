@@ -232,14 +232,15 @@ def merge(runs: list[tuple[list[int], list[bytes]]], width: int) -> Iterator[tup
 def _batches(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[tuple[list, list]]:
     """(ids, texts as bytes) of about ``limit`` bytes, over batch borders."""
     ids, texts, size = [], [], 0
-    for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids.append(i)
-            texts.append((t or "").encode("utf-8", "replace"))
-            size += len(texts[-1])
-            if size >= limit:
-                yield ids, texts
-                ids, texts, size = [], [], 0
+    for whole in batches:
+        for batch in (whole.slice(at, 128) for at in range(0, whole.num_rows, 128)):
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids.append(i)
+                texts.append((t or "").encode("utf-8", "replace"))
+                size += len(texts[-1])
+                if size >= limit:
+                    yield ids, texts
+                    ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
 
