@@ -180,6 +180,8 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], te
     hidden = [c for c in docs.columns if c == "n_tokens" or re.fullmatch(r"p\d+", c)]
     bare = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{text}`").alias(text),
                        F.col(f"`{key}`").alias(key)) if hidden else docs
-    out = posteriors(bare, model, text).withColumn("__copies", copies).where("__copies >= 1").withColumn(
-        "__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    # outer, then filtered on what it generates: a filter on the number of
+    # copies would be pushed down and evaluate the posterior for every use
+    out = posteriors(bare, model, text).withColumn("__copy", F.explode_outer(F.array_repeat(F.lit(1), copies))).where(
+        "__copy is not null")
     return out.select("__row.*") if hidden else out.select(*docs.columns)
