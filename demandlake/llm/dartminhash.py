@@ -12,12 +12,18 @@ bound doubles while a coordinate has none).  Two texts agree in a coordinate
 with probability equal to their weighted Jaccard similarity.
 
 Joining.  Exact copies collapse to one representative.  Signatures are cut
-into ``BANDS`` bands of ``ROWS`` coordinates; texts that share a band are
-candidates.  No bucket is expanded into pairs: hubs are compared with the
-members of their bucket, at first the smallest id, then in each round
-doubling numbers of hubs from components that had none, until every bucket
-is one component or every component of it has had a hub.  A compared pair is
-a link if its weighted Jaccard similarity is exactly ``threshold`` or more.
+into ``BANDS`` bands of ``ROWS`` coordinates; texts that agree in two bands
+are candidates: a bucket is a pair of bands, built from those bands of a text
+that any other text shares (at similarity 0.8 two texts meet in some bucket
+with probability 0.9996; texts that have a common passage and little else
+rarely do).  No bucket is expanded into pairs.  First every member of a
+bucket is compared with the bucket's hub, the text that meets most others.
+Then, in rounds until one finds no link, each component of a bucket that
+still holds several is compared through one member, drawn anew in every
+round and from every bucket the two components share.  A compared pair is a
+link if its weighted Jaccard similarity is exactly ``threshold`` or more; the
+comparisons of a round are as many as the members at most, however large a
+group is.
 Classes are the connected components of the links, named by their smallest
 id.
 
@@ -41,14 +47,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandlake.llm.common import stage
 from demandlake.llm.words import mix, shingles, word_hashes
 
 SIZE, THRESHOLD = 5, 0.8
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 20, 4
 FINEST = 64  # the first rank cell of a region has area 1 / FINEST
 _U = np.float64(2.0 ** -53)
 
@@ -207,22 +213,18 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     wanted = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("t"))
     sets = stage(occurrences(wanted.join(nodes, "id", "left_semi"), size), "shingles")
     roots = nodes.select("id", F.col("id").alias("root"))
-    links = compared = hubs = None
+    links = compared = None
     turn = 0
     while True:
-        placed, fresh = _next_hubs(members, roots, hubs, turn)
-        pairs = placed.join(fresh, "bucket").where("root <> hub_root").select(
-            F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        pairs = _with_hubs(members) if turn == 0 else _between_components(members, roots, turn)
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
-        if not pairs.limit(1).count():
-            break
         found = stage(_similar(pairs, sets, threshold), "links")
+        if not found.limit(1).count():
+            break
         links = found if links is None else links.union(found)
         compared = pairs if compared is None else compared.union(pairs)
-        used = fresh.select("bucket", "hub")
-        hubs = used if hubs is None else hubs.union(used)
         roots = components(nodes, links)
         turn += 1
     copies = signed.select("id", "content").join(heads.select("content", "head"), "content", "left").select(
@@ -232,26 +234,45 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
 
 
 def _members(heads: DataFrame) -> DataFrame:
-    """(bucket, id) of every bucket that two or more texts share."""
-    member = heads.select(F.col("head").alias("id"), F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    return stage(member.join(shared.select("bucket"), "bucket"), "members")
-
-
-def _next_hubs(members: DataFrame, roots: DataFrame, before: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
-    """(members of the buckets that are still open, with their root; hubs of
-    this round).  ``before``: hubs of earlier rounds."""
-    placed = members.join(roots, "id")
-    if before is None:
-        hubs = placed.groupBy("bucket").agg(F.min("id").alias("hub")).withColumn("hub_root", F.col("hub"))
-        return placed, stage(hubs, "hubs")
-    still = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    placed = stage(placed.join(still.select("bucket"), "bucket"), "open")
-    first = placed.groupBy("bucket", "root").agg(F.min("id").alias("hub"))
-    done = before.join(roots, before["hub"] == roots["id"]).select("bucket", "root").distinct()
-    nth = F.row_number().over(Window.partitionBy("bucket").orderBy("root"))
-    hubs = first.join(done, ["bucket", "root"], "left_anti").withColumn("nth", nth).where(F.col("nth") <= 2 ** turn)
-    return placed, stage(hubs.select("bucket", "hub", F.col("root").alias("hub_root")), "hubs")
+    """(bucket, id, members) of every pair of bands that two or more texts
+    share; ``members``: how many texts the bucket has."""
+    bands = _shared(heads.select(F.col("head").alias("id"), F.explode("bands").alias("bucket")))
+    own = bands.groupBy("id").agg(F.array_sort(F.collect_set("bucket")).alias("b")).where(F.size("b") > 1)  # at most BANDS
+    pairs = F.expr("flatten(transform(sequence(1, size(b) - 1), i -> "
+                   "transform(slice(b, i + 1, size(b) - i), x -> xxhash64(b[i - 1], x))))")
+    return stage(_shared(own.select("id", F.explode(pairs).alias("bucket"))), "members")
+
+
+def _shared(member: DataFrame) -> DataFrame:
+    """The rows of buckets with more than one id, and their number."""
+    several = member.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("members"))
+    return member.join(several.where("low < high").select("bucket", "members"), "bucket")
+
+
+def _pair(a: str, b: str):
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
+def _with_hubs(members: DataFrame) -> DataFrame:
+    """Every member of a bucket with the bucket's hub: the text that meets
+    most others over all of its buckets (the original of a group of edited
+    copies, if it is there); ties to the smaller id."""
+    degree = members.groupBy("id").agg(F.sum("members").alias("degree"))
+    hubs = members.join(degree, "id").groupBy("bucket").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("hub"))
+    return members.join(hubs, "bucket").where("id <> hub").select(*_pair("id", "hub")).distinct()
+
+
+def _between_components(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """In every bucket that still holds several components: one member of
+    each, drawn anew by a hash in every round, with that of the component
+    that has most members there."""
+    placed = members.select("bucket", "id").join(roots, "id")
+    several = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    drawn = placed.join(several.select("bucket"), "bucket").groupBy("bucket", "root").agg(
+        F.min_by("id", F.xxhash64("bucket", "id", F.lit(turn))).alias("one"), F.count(F.lit(1)).alias("n"))
+    drawn = stage(drawn, "drawn")
+    centre = drawn.groupBy("bucket").agg(F.max_by("one", F.struct("n", -F.col("root"))).alias("centre"))
+    return drawn.join(centre, "bucket").where("one <> centre").select(*_pair("one", "centre")).distinct()
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
