@@ -18,15 +18,26 @@ that any other text shares (at similarity 0.8 two texts meet in some bucket
 with probability 0.9996; texts that have a common passage and little else
 rarely do).  No bucket is expanded into pairs.  First every member of a
 bucket is compared with the bucket's hub, the text that meets most others.
-Then, in rounds until one finds no link, each component of a bucket that
-still holds several is compared through one member, drawn anew in every
-round and from every bucket the two components share.  A compared pair is a
-link if its weighted Jaccard similarity is exactly ``threshold`` or more; the
-comparisons of a round are as many as the members at most, however large a
-group is.
+Then, in rounds until one finds no link or a slice of meetings is left, each
+component of a bucket that still holds several is compared through one member, drawn anew in every
+round and from every bucket the two components share.  Last, buckets that
+still hold several components are gone through in full: every member outside
+the largest component meets every member of another component, so no
+candidate pair of two classes is left out.  A bucket is dealt into groups of
+``CHUNK`` by ``CHUNK`` texts; a pair counts in the first bucket it shares; the
+groups are taken ``SLICE`` meetings at a time, and links found in one slice
+spare the next the pairs they join.  A pair whose parity sketches differ in
+more bits than its sets may differ in elements is not a link and is left out
+of the join with the sets (each element that only one text has flips one bit,
+so the test is exact).  A compared pair is a link if its weighted Jaccard
+similarity is exactly ``threshold`` or more.
 Classes are the connected components of the links, named by their smallest
 id.
 
+Cost: groups of texts that link cost a comparison a member and round.  A
+family that meets in buckets without linking (templates just under
+``threshold``) costs the square of its size in meetings.
+
 Skew: buckets and copies are joined by keys whose partitions adaptive
 execution can split; per-bucket work before a join is a partial aggregate.
 Intermediate tables (ids and hashes) are staged in the shared folder.
@@ -55,6 +66,9 @@ from demandlake.llm.words import mix, shingles, word_hashes
 
 SIZE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
+SKETCH = 1024         # bits of a parity sketch
+CHUNK = 128           # texts of a bucket that meet as many others in one group
+SLICE = 1 << 26       # meetings of a slice
 FINEST = 64  # the first rank cell of a region has area 1 / FINEST
 _U = np.float64(2.0 ** -53)
 
@@ -183,9 +197,9 @@ def occurrences(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, root): smallest id connected to each of ``nodes`` (id) by
-    ``edges`` (a, b).  Labels take the minimum over neighbours and are then
+    ``edges`` (a, b; each once or more).  Labels take the minimum over neighbours and are then
     short-cut through the label's own label, until nothing changes."""
-    both = stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    both = stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = stage(nodes.select("id", F.col("id").alias("root")), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("root").alias("near"))
@@ -208,36 +222,53 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     signed = stage(signatures(docs, text, key, bands, rows, size), "signatures")
     heads = stage(signed.where("content is not null").groupBy("content").agg(
         F.min("id").alias("head"), F.min_by("bands", "id").alias("bands")), "heads")
-    members = _members(heads)
-    nodes = members.select("id").distinct()
+    own = stage(_own_bands(heads), "own-bands")
+    members = _members(own)
+    nodes = stage(members.select("id").distinct(), "nodes")
     wanted = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("t"))
     sets = stage(occurrences(wanted.join(nodes, "id", "left_semi"), size), "shingles")
     roots = nodes.select("id", F.col("id").alias("root"))
-    links = compared = None
+    compared = stage(_with_hubs(members), "pairs")
+    links = found = stage(_similar(compared, sets, threshold), "links")
     turn = 0
     while True:
-        pairs = _with_hubs(members) if turn == 0 else _between_components(members, roots, turn)
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
+        roots = components(nodes, links)
+        several = stage(_several(members, roots), "several")
+        meetings = several.agg(F.sum(F.col("hubs").cast("double") * F.col("members"))).first()[0] or 0
+        if meetings <= SLICE:
+            break
+        turn += 1
+        pairs = stage(_between_components(members, roots, turn).join(compared, ["a", "b"], "left_anti"), "pairs")
         found = stage(_similar(pairs, sets, threshold), "links")
+        compared = compared.union(pairs)
         if not found.limit(1).count():
             break
-        links = found if links is None else links.union(found)
-        compared = pairs if compared is None else compared.union(pairs)
-        roots = components(nodes, links)
-        turn += 1
+        links = links.union(found)
+    if meetings:
+        unmet = stage(_unmet(own, several, roots), "unmet")
+        texts = stage(heads.select(F.col("head").alias("id"), "bands").join(_sketches(sets), "id"), "sketches")
+        slices = math.ceil(meetings / SLICE)
+        for turn in range(slices):
+            pairs = _meetings(unmet, texts, roots, slices, turn, bands, threshold).join(compared, ["a", "b"], "left_anti")
+            found = stage(_similar(pairs, sets, threshold), "links")
+            if found.limit(1).count():
+                links = links.union(found)
+                roots = components(nodes, links)
     copies = signed.select("id", "content").join(heads.select("content", "head"), "content", "left").select(
         "id", F.coalesce("head", "id").alias("copy_of"))
     named = copies.join(roots.withColumnRenamed("id", "head"), F.col("copy_of") == F.col("head"), "left")
     return named.groupBy("id").agg(F.min("copy_of").alias("copy_of"), F.min(F.coalesce("root", "copy_of")).alias("class_id"))
 
 
-def _members(heads: DataFrame) -> DataFrame:
+def _own_bands(heads: DataFrame) -> DataFrame:
+    """(id, b): the bands of a text that others share, in order; two or more."""
+    bands = _shared(heads.select(F.col("head").alias("id"), F.explode("bands").alias("bucket")))
+    return bands.groupBy("id").agg(F.array_sort(F.collect_set("bucket")).alias("b")).where(F.size("b") > 1)  # at most BANDS
+
+
+def _members(own: DataFrame) -> DataFrame:
     """(bucket, id, members) of every pair of bands that two or more texts
     share; ``members``: how many texts the bucket has."""
-    bands = _shared(heads.select(F.col("head").alias("id"), F.explode("bands").alias("bucket")))
-    own = bands.groupBy("id").agg(F.array_sort(F.collect_set("bucket")).alias("b")).where(F.size("b") > 1)  # at most BANDS
     pairs = F.expr("flatten(transform(sequence(1, size(b) - 1), i -> "
                    "transform(slice(b, i + 1, size(b) - i), x -> xxhash64(b[i - 1], x))))")
     return stage(_shared(own.select("id", F.explode(pairs).alias("bucket"))), "members")
@@ -275,6 +306,66 @@ def _between_components(members: DataFrame, roots: DataFrame, turn: int) -> Data
     return drawn.join(centre, "bucket").where("one <> centre").select(*_pair("one", "centre")).distinct()
 
 
+def _several(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The buckets that hold several components: (bucket, members, hubs,
+    centre); ``centre``: the component that has most members there, ``hubs``:
+    how many members are of others."""
+    counted = members.select("bucket", "id").join(roots, "id").groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    several = counted.groupBy("bucket").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("members"), F.max("n").alias("most"),
+        F.max_by("root", F.struct("n", -F.col("root"))).alias("centre")).where("low < high")
+    return several.select("bucket", "members", (F.col("members") - F.col("most")).alias("hubs"), "centre")
+
+
+def _unmet(own: DataFrame, several: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of those buckets: (bucket, id, x, y, members, hubs, hub);
+    x < y: the bucket's bands; ``hub``: not of the centre."""
+    pairs = F.expr("flatten(transform(sequence(1, size(b) - 1), i -> transform(slice(b, i + 1, size(b) - i), "
+                   "x -> named_struct('x', b[i - 1], 'y', x, 'bucket', xxhash64(b[i - 1], x)))))")
+    placed = own.select("id", F.explode(pairs).alias("p")).select("id", "p.*")
+    return placed.join(several, "bucket").join(roots, "id").select(
+        "bucket", "id", "x", "y", "members", "hubs", (F.col("root") != F.col("centre")).alias("hub"))
+
+
+def _sketches(sets: DataFrame) -> DataFrame:
+    """(id, elements) -> (id, n, sketch array<long>): how many elements, and
+    for each of ``SKETCH`` bits the parity of the elements that hash to it."""
+    def run(batches):
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
+            n = np.array([len(x) for x in batch.column(1)], np.int64)
+            elements = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            bit = (elements % np.uint64(SKETCH)).astype(np.int64) + np.repeat(np.arange(len(n)), n) * SKETCH
+            parity = (np.bincount(bit, minlength=len(n) * SKETCH) & 1).astype(np.uint8)
+            sketch = np.packbits(parity).view(np.int64)
+            offsets = np.arange(len(n) + 1, dtype=np.int32) * (SKETCH // 64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(sketch))],
+                                             ["id", "n", "sketch"])
+
+    return sets.select("id", "elements").mapInArrow(run, "id long, n long, sketch array<long>")
+
+
+def _meetings(unmet: DataFrame, texts: DataFrame, roots: DataFrame, slices: int, turn: int, bands: int,
+              threshold: float) -> DataFrame:
+    """(a, b): every hub with every member of another component, in the first
+    bucket the two share, if their sketches let them be a link."""
+    rows = unmet.join(roots, "id").join(texts, "id")
+    groups = lambda n: F.ceil(F.col(n) / F.lit(CHUNK)).cast("int")
+    deal = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "id"), groups(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), groups(n) - 1))
+    now = F.pmod(F.xxhash64("bucket", "i"), F.lit(slices)) == turn
+    left = rows.where("hub").withColumn("i", deal(1, "hubs")).where(now).withColumn("j", every("members")).select(
+        "bucket", "i", "j", "x", "y", *[F.col(c).alias(f"{c}_a") for c in ("id", "root", "bands", "n", "sketch")])
+    right = rows.withColumn("j", deal(2, "members")).withColumn("i", every("hubs")).where(now).select(
+        "bucket", "i", "j", "hub", *[F.col(c).alias(f"{c}_b") for c in ("id", "root", "bands", "n", "sketch")])
+    met = (F.col("root_a") != F.col("root_b")) & (~F.col("hub") | (F.col("id_a") < F.col("id_b")))
+    for k in range(bands):
+        va, vb = F.col("bands_a")[k], F.col("bands_b")[k]
+        met = met & ((va != vb) | (va >= F.col("y")) | (va == F.col("x")))
+    differ = sum((F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(SKETCH // 64)), F.lit(0))
+    met = met & (differ * (1 + threshold) <= (F.col("n_a") + F.col("n_b")) * (1 - threshold) + 1e-9)
+    return left.join(right, ["bucket", "i", "j"]).where(met).select(*_pair("id_a", "id_b"))
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose sets have Jaccard similarity >= threshold:
     same / (|a| + |b| - same) >= t, solved for the common part."""

@@ -113,3 +113,36 @@ def test_words_do_not_depend_on_the_batch():
     assert np.array_equal(words[:3], words[3:6])
     assert np.array_equal(word_hashes([texts[4]])[0], words[6:])
     assert len(shingles(words[:3])) == 1 and len(shingles(words[:0])) == 0
+
+
+def template_family(seed, families, singles, fields=1000):
+    """Texts of one template whose own fields keep them at about 0.75, and
+    drafts of some of them at about 0.82."""
+    rng = random.Random(seed)
+    places = range(5, fields - 5, 5)
+    rows = []
+    for f in range(families + singles):
+        own = rng.sample(places, 14)
+        text = [f"f{f}x{j}" if j in own else f"t{j}" for j in range(fields)]
+        rows.append(text)
+        if f < families:
+            more = rng.sample([p for p in places if p not in own], 19)
+            rows.append([f"g{f}x{j}" if j in more else w for j, w in enumerate(text)])
+    rng.shuffle(rows)
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+def test_pairs_inside_a_family_under_the_threshold(spark):
+    rows = template_family(5, 40, 80)
+    want = brute(rows)
+    assert 40 <= sum(i != c for i, c in want.items()) < len(rows) // 2     # pairs, no chain through the family
+    got = {r.id: r.class_id for r in D.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_slices_and_groups_leave_no_pair_out(spark, monkeypatch):
+    rows = template_family(6, 25, 40)
+    monkeypatch.setattr(D, "CHUNK", 8)
+    monkeypatch.setattr(D, "SLICE", 1 << 14)
+    got = {r.id: r.class_id for r in D.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
