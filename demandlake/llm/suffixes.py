@@ -16,7 +16,8 @@ delta-coded, drops them (a hash collision only keeps an entry too many).
 Merge sort.  Documents are dealt into runs of about ``RUN_BYTES``.  Each run
 sorts its entries, keeps the smallest document of equal ones, front-codes
 them (length of the prefix shared with the entry before, then the rest) and
-cuts them at sampled splitters.  Each range of the order merges its pieces
+cuts them at sampled splitters, which are whole entries: a suffix that many
+documents share is cut by what lies before it.  Each range of the order merges its pieces
 with a loser tree in which every contestant knows its common prefix with the
 last winner: a longer known prefix wins without a look at the bytes, equal
 ones compare only behind it.  Common prefixes of the output come for free:
@@ -58,6 +59,7 @@ ENTRY = LENGTH + REACH + 2          # suffix, bytes before it (backwards), both
 WINDOW = LENGTH + 1                 # window, then a 1 (numpy drops trailing zero bytes of strings)
 RUN_BYTES, RANGE_BYTES, BUCKET_BYTES = 12 << 20, 12 << 20, 24 << 20  # of text
 CHUNK_BYTES = 8 << 20
+SLICE = 1 << 16                    # entries whose windows are expanded at once
 SAMPLE_BYTES = 6 << 20              # of text, from which splitters are drawn
 SLAB = 1 << 22
 WHOLE = 255
@@ -431,16 +433,16 @@ def _merge_entries(splitters: list[bytes]):
                 out_run.append(runs[piece])
                 out_entry.append(base[piece] + at)
         prefix[0] = LENGTH                       # what lies before and behind the range is not known here
-        reach = np.minimum(np.maximum(prefix, np.r_[prefix[1:], LENGTH]), LENGTH)
+        reach = np.minimum(np.maximum(prefix, prefix[1:] + [LENGTH]), LENGTH)
         varied = np.flatnonzero(reach >= GRAM)
         known_run, known_entry = [np.array(out_run, np.int64)], [np.array(out_entry, np.int64)]
         known_offset = [np.full(len(out_run), WHOLE)]
         out = []
-        if len(varied):
-            p = np.array([heads[i] for i in varied])
+        for some in (varied[i:i + SLICE] for i in range(0, len(varied), SLICE)):
+            p = np.array([heads[i] for i in some])
             doc = np.array([docs[a][b] for a, b in p.tolist()], np.int64)
             order = np.argsort(doc, kind="stable")
-            p, doc, far = p[order], doc[order], reach[varied][order]
+            p, doc, far = p[order], doc[order], reach[some][order]
             rows = np.frombuffer(b"".join([pieces[a][1][b] for a, b in p.tolist()]), np.uint8).reshape(-1, ENTRY)
             where_run = np.array(runs, np.int64)[p[:, 0]]
             where_entry = np.array(base, np.int64)[p[:, 0]] + p[:, 1]
@@ -585,10 +587,15 @@ def _splitters(docs: DataFrame, total: int, ranges: int) -> tuple[list[bytes], l
             out = {"entry": [], "window": []}
             for t in texts:
                 a, s, e, h = anchors(t)
+                # by a hash of the whole entry: one gram in many contexts is drawn as often as its entries are
+                entry = entry_bytes(t, a, s, e)
+                wide = np.zeros((len(entry), -(-ENTRY // 8) * 8), np.uint8)
+                wide[:, :ENTRY] = entry
+                for word in wide.view(np.uint64).T:
+                    h = mix(h + word)
                 some = np.flatnonzero(h % np.uint64(16) == 0)
-                for x, y in zip(a[some].tolist(), s[some].tolist()):
-                    out["entry"].append(t[x:x + LENGTH])
-                    out["window"].append(t[y:y + LENGTH])
+                out["entry"] += [x.tobytes() for x in entry[some]]
+                out["window"] += [t[y:y + LENGTH] for y in s[some].tolist()]
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("entry", pa.binary()), ("window", pa.binary())]))
 
     drawn = docs.where(F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1 << 30)) < F.lit(share * (1 << 30)))

@@ -128,3 +128,31 @@ def test_query_on_the_given_table(spark):
     for r in op7_suffix_dedup(spark, d).collect():
         n, removed, spans, kept = want[r.doc_id, dict(rows)[r.doc_id]]
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (n, removed, spans, hashlib.sha256(kept).hexdigest())
+
+
+def hot_rows(n=600):
+    """One passage in every document, each after different text."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    passage = " ".join(word() for _ in range(30))
+    return [(i, " ".join(word() for _ in range(8)) + " " + passage) for i in range(n)]
+
+
+def test_a_passage_after_different_texts_is_cut_into_many_ranges(spark):
+    rows = hot_rows()
+    docs = spark.createDataFrame([(i, t) for i, t in rows], "id long, t string")
+    splitters, _ = S._splitters(docs, sum(len(t) for _, t in rows), 64)
+    texts = [t.encode() for _, t in rows]
+    entries, _, _ = S.sort_unique(np.concatenate([S.entry_bytes(t, *S.anchors(t)[:3]) for t in texts]))
+    suffixes, count = np.unique(entries[:, :S.LENGTH], axis=0, return_counts=True)
+    hot = np.flatnonzero((entries[:, :S.LENGTH] == suffixes[count.argmax()]).all(axis=1))
+    assert len(hot) >= 300                       # one entry a document, but for its first bytes
+    ranges = np.searchsorted(S.cut(entries, splitters)[1:-1], hot, "right")
+    assert np.bincount(ranges).max() < len(hot) / 3
+
+
+def test_a_passage_after_different_texts_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(S, "RANGE_BYTES", 2000)
+    monkeypatch.setattr(S, "SLICE", 16)
+    monkeypatch.setattr(S, "RUN_BYTES", 12000)
+    check(spark, hot_rows(150))
