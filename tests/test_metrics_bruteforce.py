@@ -5,7 +5,7 @@ reshaped to (days, 24, steps) and pooled per hour slot."""
 import numpy as np
 import pytest
 
-from conftest import SF_CHECK
+from data_sets import SF_CHECK
 from demandlake.plans import experiment
 
 

@@ -2,7 +2,7 @@
 
 import re
 
-from conftest import SF_SMALL
+from data_sets import SF_SMALL
 
 
 def _plan(df, final=True):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as ent
 from oracle_check import check, duck
-from conftest import SF_SMALL
+from data_sets import SF_SMALL
 
 # every query of the library's own operators that has a twin
 TWINS = sorted(n for n in ent.oracle_sql() if not n.startswith("op"))

@@ -4,7 +4,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from data_sets import SF_SMALL
 
 
 def test_refit_writes_version_and_merges_scaler(spark):

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from data_sets import SF_SMALL
 from demandlake.operators import serving
 from demandlake.operators.features import SEQ_FEATURES
 from demandlake.plans import daily, requests

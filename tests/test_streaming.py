@@ -51,7 +51,7 @@ def test_request_stream_parses_and_nulls_bad_fields(spark):
 def test_scoring_stream_results_are_whole_forecasts(spark):
     import json
     import __spark_entry__ as ent
-    from conftest import SF_SMALL
+    from data_sets import SF_SMALL
     rows = ent.queries()["stream_request_scoring"](spark, SF_SMALL).collect()
     done = [r for r in rows if r["result"] is not None]
     assert any(r["status"] == "completed" for r in done)
