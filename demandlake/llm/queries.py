@@ -9,12 +9,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlake.llm import dartminhash, hnsw, impact, langid, mixing, pieces, pseudonyms, quality, revisits, shards, suffixes
+from demandlake.llm import bytebpe, dartminhash, hnsw, impact, importance, langid, mixing, pieces, pseudonyms, quality, revisits, shards, suffixes, vafile
 from demandlake.llm.common import crc_remainder, table
 
 # a deployment passes its own secret; this one makes the query repeatable
 PSEUDONYM_KEY = "demandlake-demonstration-key"
 MODEL_FILE = public_tokenizers.path("piece_bpe_32k.model")
+RANKS_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op6_dartminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,11 +90,28 @@ def op10_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact.topk(rows, F.col("vec_id") % 20 == 0, 20)
 
 
+def op11_vafile_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vafile.digest(*vafile.cluster(table(spark, sf_dir, "embeddings"), vafile.TOP, vafile.ROUNDS, seed=2))
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, seed=42)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    if public_tokenizers.PATTERN != bytebpe.SPLIT:
+        raise ValueError("the tokenizer's split is not the one the automaton carries out")
+    out = bytebpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS_FILE)
+    return out.select("doc_id", "n_tokens", F.sha2("ids_u32le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_hnsw_search, op2_mixing_rates, op3_pii_feistel, op4_revisit_resolution, op5_quality_attention, op6_dartminhash_classes,
                                        op7_suffix_dedup, op8_sentencepiece, op9_language_id,
-                                       op10_impact_topk)}
+                                       op10_impact_topk, op11_vafile_clusters, op12_importance_resampling, op13_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_revisit_resolution": revisits.RESOLVED_PAGES_SQL}
+    return {"op4_revisit_resolution": revisits.RESOLVED_PAGES_SQL, "op11_vafile_clusters": vafile.CLUSTERED_SQL}
