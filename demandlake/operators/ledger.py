@@ -4,36 +4,24 @@ activity (K1-K9, D12, B13).
 Money is kept in integer cents, so running balances are exact and
 independent of the order in which partial sums are added.
 
-The ledger replay (K1, K3) is order-dependent: whether a withdrawal is
-accepted depends on the balance left by every earlier accepted row.  Up to a
-user's first withdrawal that exceeds the balance, or first tier purchase,
-every row that is valid by itself is accepted, so balances there are a
-prefix sum in two levels (per user-day, then over day totals) inside the
-JVM, spread over the cluster even for one huge user.  Only the rows from
-that point on, of the users who have one, go through a fold: hash
-partitioned by user, sorted, and folded by ``mapInPandas`` over Arrow
-batches with the state of the current user carried along.  Its memory is one
-batch; its time is that of the longest such remainder of one user, in one
-task - the bound that order dependence leaves.
+The ledger replay (K1, K3) is in ``replay``.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from demandlake.operators.ordered import blocked_running_sum, top_n_per_key
+from demandlake.operators.replay import REPLAY_SCHEMA, TIER_DAYS, TIER_PRICE, replay_ledger
+
+__all__ = ["REPLAY_SCHEMA", "TIER_DAYS", "TIER_PRICE", "replay_ledger", "running_balance", "history", "owner_lookup", "owner_lookups",
+           "quota", "affordability", "expire_tiers", "register_users", "monthly_active", "retention", "request_lifecycle",
+           "request_price", "tier_price", "daily_quota"]
 
-# Tier prices, request prices, daily quotas, tier duration.
-TIER_PRICE = {"bronze": 0.0, "silver": 100.0, "gold": 200.0, "diamond": 500.0}
+# Request prices, daily quotas.
 REQUEST_PRICE = {"bronze": 20.0, "silver": 15.0, "gold": 10.0, "diamond": 5.0}
 DAILY_QUOTA = {"bronze": 10, "silver": 100, "gold": 1000}  # diamond: unlimited
-TIER_DAYS = 30
 HISTORY_DEFAULT = 5
 
 
@@ -59,133 +47,6 @@ def daily_quota(tier: Column) -> Column:
     return _map_expr(DAILY_QUOTA, F.lower(tier))
 
 
-# --- K1/K3 replay ----------------------------------------------------------
-
-REPLAY_SCHEMA = T.StructType([
-    T.StructField("user_id", T.LongType()),
-    T.StructField("op_id", T.LongType()),
-    T.StructField("ts", T.TimestampNTZType()),
-    T.StructField("kind", T.StringType()),
-    T.StructField("amount_cents", T.LongType()),
-    T.StructField("level", T.StringType()),
-    T.StructField("accepted", T.BooleanType()),
-    T.StructField("reason", T.StringType()),
-    T.StructField("balance_cents", T.LongType()),
-    T.StructField("tier", T.StringType()),
-    T.StructField("tier_end", T.DateType()),
-])
-
-_PRICE_CENTS = {k: int(round(v * 100)) for k, v in TIER_PRICE.items()}
-
-
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sequential per-user fold over rows sorted by (user, ts, op_id)."""
-    user = None
-    bal = 0
-    tier, end = "bronze", None
-    for pdf in batches:
-        n = len(pdf)
-        acc = [False] * n
-        why = [None] * n
-        bals = [0] * n
-        tiers = [None] * n
-        ends = [None] * n
-        users = pdf["user_id"].to_numpy()
-        kinds = pdf["kind"].to_numpy()
-        amts = pdf["amount_cents"].to_numpy()
-        opens = pdf["opening_cents"].to_numpy()
-        levels = pdf["level"].to_numpy()
-        days = pd.to_datetime(pdf["ts"]).dt.date.to_numpy()
-        for i in range(n):
-            u = users[i]
-            if u != user:
-                user, bal, tier, end = u, int(opens[i]), "bronze", None
-            today = days[i]
-            if end is not None and end < today and tier != "bronze":  # K7 sweep before the op
-                tier, end = "bronze", None
-            k, a = kinds[i], int(amts[i])
-            ok, reason = False, None
-            if k == "deposit":
-                ok = a > 0
-                reason = None if ok else "non_positive_deposit"
-                if ok:
-                    bal += a
-            elif k == "withdraw":
-                if a < 0:
-                    reason = "negative_withdrawal"
-                elif a > bal:
-                    reason = "insufficient_funds"
-                else:
-                    ok = True
-                    bal -= a
-            elif k == "tier":
-                lvl = str(levels[i]).lower()
-                price = _PRICE_CENTS.get(lvl)
-                if price is None:
-                    reason = "unknown_tier"
-                elif _PRICE_CENTS[tier] > price:
-                    reason = "tier_step_down"
-                elif bal < price:
-                    reason = "insufficient_funds"
-                else:
-                    ok = True
-                    bal -= price
-                    if tier == lvl and end is not None and end >= today:
-                        end = end + dt.timedelta(days=TIER_DAYS)
-                    else:
-                        end = today + dt.timedelta(days=TIER_DAYS)
-                    tier = lvl
-            else:
-                reason = "unknown_kind"
-            acc[i], why[i], bals[i], tiers[i], ends[i] = ok, reason, bal, tier, end
-        yield pd.DataFrame({
-            "user_id": pdf["user_id"].astype("int64"), "op_id": pdf["op_id"].astype("int64"),
-            "ts": pdf["ts"], "kind": pdf["kind"], "amount_cents": pdf["amount_cents"].astype("int64"),
-            "level": pdf["level"], "accepted": acc, "reason": why, "balance_cents": bals,
-            "tier": tiers, "tier_end": ends,
-        })
-
-
-def replay_ledger(ops: DataFrame, users: DataFrame | None = None) -> DataFrame:
-    """Accept / reject each operation in time order per user (K1, K3, K7).
-
-    ``ops``: user_id, op_id, ts, kind ('deposit' | 'withdraw' | 'tier'),
-    amount_cents, level (tier name for 'tier' rows).
-    ``users``: user_id, opening_cents (default 0).
-    """
-    if users is not None:
-        ops = ops.join(users.select("user_id", "opening_cents"), "user_id", "left")
-    else:
-        ops = ops.withColumn("opening_cents", F.lit(0).cast("bigint"))
-    ops = ops.withColumn("opening_cents", F.coalesce(F.col("opening_cents"), F.lit(0)).cast("bigint"))
-    if "level" not in ops.columns:
-        ops = ops.withColumn("level", F.lit(None).cast("string"))
-    ops = ops.select("user_id", "op_id", "ts", "kind", "amount_cents", "level", "opening_cents")
-    deposit, withdraw = F.col("kind") == "deposit", F.col("kind") == "withdraw"
-    amount = F.col("amount_cents")
-    signed = F.when(deposit & (amount > 0), amount).when(withdraw & (amount >= 0), -amount).otherwise(F.lit(0))
-    rows = blocked_running_sum(ops.withColumn("_signed", signed.cast("bigint")), ["user_id"], ["ts", "op_id"], "_signed",
-                               F.to_date("ts"), out="_sum")
-    rows = rows.withColumn("_balance", F.col("opening_cents") + F.col("_sum"))
-    # the first row of a user that the prefix sum cannot decide, and the balance before it
-    undecided = (F.col("_balance") < 0) | (F.col("kind") == "tier")
-    turn = rows.where(undecided).groupBy("user_id").agg(
-        F.min(F.struct("ts", "op_id", (F.col("_balance") - F.col("_signed")).alias("before"))).alias("_turn"))
-    rows = rows.join(turn, "user_id", "left")
-    here = F.struct("ts", "op_id")
-    turned = F.col("_turn").isNotNull() & (here >= F.struct(F.col("_turn.ts").alias("ts"), F.col("_turn.op_id").alias("op_id")))
-    accepted = (deposit & (amount > 0)) | (withdraw & (amount >= 0))
-    reason = F.when(deposit & (amount <= 0), "non_positive_deposit").when(withdraw & (amount < 0), "negative_withdrawal").when(
-        ~(deposit | withdraw), "unknown_kind")
-    decided = rows.where(~turned).select(
-        "user_id", "op_id", "ts", "kind", "amount_cents", "level", accepted.alias("accepted"), reason.alias("reason"),
-        F.col("_balance").alias("balance_cents"), F.lit("bronze").alias("tier"), F.lit(None).cast("date").alias("tier_end"))
-    rest = (rows.where(turned).select("user_id", "op_id", "ts", "kind", "amount_cents", "level",
-                                      F.col("_turn.before").alias("opening_cents"))
-            .repartition("user_id").sortWithinPartitions("user_id", "ts", "op_id"))
-    return decided.unionByName(rest.mapInPandas(_fold, REPLAY_SCHEMA))
-
-
 def running_balance(ops: DataFrame, signed_cents: str = "signed_cents") -> DataFrame:
     """Cumulative signed sum per user in (ts, op_id) order (K2), computed in
     two levels (per user-day, then over day totals) so a user with a huge

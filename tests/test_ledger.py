@@ -100,3 +100,52 @@ def test_request_lifecycle_charge_after_completion(spark):
     out = {r["prediction_id"]: (r["status"], r["charged"]) for r in ledger.request_lifecycle(res, ops).collect()}
     assert out == {10: ("completed", True), 11: ("failed", False), 12: ("completed", None),
                    13: ("failed", None)}
+
+
+def _brute(rows, opening=0):
+    from demandlake.operators.replay import step
+    out, state = {}, {}
+    for user, op, ts, kind, amount, level in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        balance, tier, end = state.get(user, (opening, "bronze", None))
+        ok, why, *after = step(balance, tier, end, kind, amount, level, ts.date())
+        state[user] = tuple(after)
+        out[user, op] = (ok, why, *after)
+    return out
+
+
+def test_huge_user_is_replayed_in_many_tasks(spark, monkeypatch):
+    """One user with a third of all rows, an early refusal, refusals and tier
+    purchases all along; short segments, so every path is taken."""
+    import random
+
+    from demandlake.operators import replay
+    rng = random.Random(1)
+    rows = [(7, 0, T0, "withdraw", 500, None)]
+    users = [7] * 3000 + [u for u in range(100, 400) for _ in range(20)]
+    for i, u in enumerate(users, 1):
+        kind = rng.choices(["deposit", "withdraw", "tier", "gift"], [50, 45, 4, 1])[0]
+        amount = rng.randint(-50, 9000) if kind != "tier" else 0
+        rows.append((u, i, T0 + dt.timedelta(hours=rng.randint(0, 5000)), kind, amount, rng.choice(["silver", "Gold", "diamond", "none"]) if kind == "tier" else None))
+    ops = spark.createDataFrame(rows, "user_id long, op_id long, ts timestamp_ntz, kind string, amount_cents long, level string").repartition(6)
+    monkeypatch.setattr(replay, "SEGMENT", 64)
+    staged = []
+    path = replay.stage_path
+    monkeypatch.setattr(replay, "stage_path", lambda s, name: (staged.append(path(s, name)), staged[-1])[1])
+    out = replay.replay_ledger(ops).collect()
+    assert len(out) == len(rows)
+    assert {(r["user_id"], r["op_id"]): (r["accepted"], r["reason"], r["balance_cents"], r["tier"], r["tier_end"]) for r in out} == _brute(rows)
+    cut = spark.read.parquet(staged[0])
+    hot = cut.where("what = 'segment' and user_id = 7")
+    assert hot.select((F.col("segment") / 2 ** 40).cast("int")).distinct().count() >= 2      # several ranges
+    assert hot.count() >= 3000 / 64
+    assert cut.where("what = 'done'").select("user_id").distinct().count() > 250             # short users are done at once
+    assert {r["user_id"] for r in cut.where("what = 'done'").select("user_id").distinct().collect()}.isdisjoint({7})
+
+
+def test_openings_and_repeated_rows(spark):
+    rows = [(1, 1, T0, "withdraw", 100, None)] * 3 + [(2, 2, T0, "withdraw", 100, None)]
+    ops = spark.createDataFrame(rows, "user_id long, op_id long, ts timestamp_ntz, kind string, amount_cents long, level string")
+    users = spark.createDataFrame([(1, 250)], "user_id long, opening_cents long")
+    got = sorted((r["user_id"], r["accepted"], r["balance_cents"]) for r in ledger.replay_ledger(ops, users).collect())
+    assert got == [(1, False, 50), (1, True, 50), (1, True, 150), (2, False, 0)]
+    assert ledger.replay_ledger(ops.limit(0)).count() == 0
