@@ -50,5 +50,7 @@ from demandlake.sources.sinks import (  # noqa: F401
 )
 from demandlake.sources.weather import hourly_weather, nearest_station, weather_at  # noqa: F401
 from demandlake.streaming.hourly import hourly_table, live, publish_dates, run_hourly, run_incremental_publish  # noqa: F401
-from demandlake.streaming.quota import quota_stream  # noqa: F401
+from demandlake.streaming.balances import ledger_stream, run_ledger  # noqa: F401
+from demandlake.streaming.increments import Increments  # noqa: F401
+from demandlake.streaming.quota import run_quota  # noqa: F401
 from demandlake.streaming.requests import finished_requests, request_stream, run_request_scoring, score_batch  # noqa: F401

@@ -833,6 +833,8 @@ ORACLE["tier_replay"] = q.select(f"""
 """, {"user_id": "i", "op_id": "i", "kind": "s", "level": "s", "accepted": "i", "reason": "s",
       "balance_cents": "i", "tier": "s", "tier_end": "day"})
 
+ORACLE["stream_ledger"] = ORACLE["tier_replay"]
+
 
 # --- scored messages -------------------------------------------------------------------
 

@@ -642,7 +642,17 @@ def q_stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("stream_publish")
 def q_stream_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(stream_jobs.publish_from_events(spark, sf_dir))
+    """``version`` is 1 for hours of the initial dataset, 2 for hours that the
+    stream has brought (whatever epoch was the last to touch them)."""
+    out = stream_jobs.publish_from_events(spark, sf_dir)
+    return report(out.withColumn("version", F.least("version", F.lit(2))))
+
+
+@register("stream_ledger")
+def q_stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balance and tier after every movement, from state (L3)."""
+    out = stream_jobs.ledger_from_orders(spark, sf_dir)
+    return report(out.select("user_id", "op_id", "kind", "level", "accepted", "reason", "balance_cents", "tier", "tier_end"))
 
 
 @register("stream_request_scoring")

@@ -6,9 +6,10 @@ zone, same instant) are removed within the watermark, which bounds the
 state; a row that arrives later than the watermark is dropped.
 
 L1 adds up as it goes: each micro-batch of new distinct trips is counted
-per zone and hour and written as the epoch's increments; the table is the
-sum of the increments per key.  Every hour is there at once, the last ones
-too, and a replayed epoch overwrites its own increments.
+per zone and hour and written as the epoch's increment (``increments``); the
+table is their sum per key.  Every hour is there at once, the last ones too,
+and a replayed epoch overwrites its own increment.  The publish reads the same
+sums, so trips of an hour that come in several batches add up.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from demandlake.operators.hourly import hourly_demand
-from demandlake.sources import feeds, sinks
+from demandlake.sources import sinks
+from demandlake.streaming.increments import Increments
 
 KEYS = ("location_id", "date", "hour")
 
@@ -41,23 +42,34 @@ def distinct_trips(trips: DataFrame, delay: str = "1 hour") -> DataFrame:
             .withWatermark("pickup", delay).dropDuplicatesWithinWatermark(["pickup", "location_id"]))
 
 
+HOUR = T.StructType([T.StructField("date", T.DateType()), T.StructField("hour", T.IntegerType()),
+                     T.StructField("location_id", T.StringType())])
+
+
+def trip_counts(spark: SparkSession, path: str, zone: T.DataType | None = None) -> Increments:
+    """Trips per (date, hour, zone) by epoch under ``path``."""
+    keys = T.StructType([*HOUR.fields[:2], T.StructField("location_id", zone or T.StringType())])
+    return Increments(spark, path, keys, "trips_count")
+
+
+def _per_hour(batch: DataFrame) -> DataFrame:
+    return batch.groupBy(F.to_date("pickup").alias("date"), F.hour("pickup").alias("hour"), "location_id").agg(
+        F.count(F.lit(1)).alias("trips_count"))
+
+
 def run_hourly(spark: SparkSession, trips: DataFrame, out: str, checkpoint: str,
                delay: str = "1 hour") -> None:
-    """Count trips per zone and hour (L1) into ``out/epoch=<id>``."""
-    def sink(batch: DataFrame, epoch: int) -> None:
-        counts = batch.groupBy("location_id", F.to_date("pickup").alias("date"), F.hour("pickup").alias("hour")).agg(
-            F.count(F.lit(1)).alias("trips_count"))
-        counts.write.mode("overwrite").parquet(os.path.join(out, f"epoch={epoch}"))
-
-    q = (distinct_trips(trips, delay).writeStream.foreachBatch(sink)
+    """Count trips per zone and hour (L1) into the increments under ``out``."""
+    counts = trip_counts(spark, out, trips.schema["location_id"].dataType)
+    q = (distinct_trips(trips, delay).writeStream
+         .foreachBatch(lambda batch, epoch: counts.write(epoch, _per_hour(batch)))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def hourly_table(spark: SparkSession, out: str) -> DataFrame:
+def hourly_table(spark: SparkSession, out: str, zone: T.DataType | None = None) -> DataFrame:
     """(date, hour, location_id, trips_count): the increments added up."""
-    return (spark.read.parquet(out).groupBy("date", "hour", "location_id")
-            .agg(F.sum("trips_count").alias("trips_count")))
+    return trip_counts(spark, out, zone).total()
 
 
 # --- L4 -----------------------------------------------------------------------
@@ -103,25 +115,47 @@ def live(spark: SparkSession, published: str, before: int | None = None, dates:
 
 def publish_epoch(batch: DataFrame, published: str, epoch: int, keys: Sequence[str] = KEYS,
                   version_col: str = "version") -> None:
-    """One micro-batch of trips -> hours, upserted into the dates it touches.
-    Version 1 is the initial dataset, epoch N writes version N + 2 on top of
-    the versions below it, so a replayed epoch starts from the same state."""
+    """One micro-batch of distinct trips -> hours, upserted into the dates it
+    touches.  An hour that the stream has reached counts all trips the stream
+    has brought for it, in this epoch and earlier ones.  Version 1 is the
+    initial dataset, epoch N writes version N + 2 on top of the versions below
+    it, so a replayed epoch starts from the same state.  The driver holds one
+    row per date that the batch touches."""
     spark = batch.sparkSession
-    trips = batch.select(F.col("pickup").cast("timestamp_ntz").alias("pickup_ts"), "location_id")
-    new = hourly_demand(feeds.with_date_hour(feeds.clean(trips))).withColumn(version_col, F.lit(epoch + 2))
-    dates = [r["date"] for r in new.select("date").distinct().collect()]
+    counts = trip_counts(spark, os.path.join(published, "counts"), batch.schema["location_id"].dataType)
+    counts.write(epoch, _per_hour(batch.where(F.col("pickup").isNotNull() & F.col("location_id").isNotNull())))
+    added = spark.read.schema(counts.schema).parquet(f"{counts.path}/epoch={epoch}")
+    dates = [r["date"] for r in added.select("date").distinct().collect()]
     if not dates:
         return
+    total = counts.total(epoch + 1, F.col("date").isin(dates))
+    hit = added.select(*keys).distinct()
+    new = total.join(hit, list(keys), "left_semi").withColumn(version_col, F.lit(epoch + 2))
     old = live(spark, published, before=epoch + 2, dates=dates)
     if old is not None:
         new = sinks.publish_upsert(old.select(*new.columns), new, keys)
     publish_dates(new, published, epoch + 2)
+    expire(spark, published, epoch + 1)
+
+
+def expire(spark: SparkSession, published: str, version: int) -> None:
+    """Delete the data folders that neither ``version`` nor a later one
+    shows.  Readers of the version just replaced keep their files."""
+    shown = _manifest(spark, published)
+    past = shown.where(F.col("version") <= version).groupBy("date").agg(F.max(F.struct("version", "folder"))["folder"].alias("folder"))
+    needed = past.select("folder").union(shown.where(F.col("version") > version).select("folder"))
+    jvm = spark.sparkContext._jvm
+    for r in shown.select("folder").distinct().join(needed.distinct(), "folder", "left_anti").collect():
+        path = jvm.org.apache.hadoop.fs.Path(os.path.join(published, "data", f"folder={r['folder']}"))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def run_incremental_publish(spark: SparkSession, trips: DataFrame, published: str, checkpoint: str) -> DataFrame:
+def run_incremental_publish(spark: SparkSession, trips: DataFrame, published: str, checkpoint: str,
+                            delay: str = "1 hour") -> DataFrame:
     """Daily incremental publish (L4): each micro-batch rewrites the dates it
-    touches and nothing else; readers see it when its commit is there."""
-    q = (trips.writeStream.foreachBatch(lambda batch, epoch: publish_epoch(batch, published, epoch))
+    touches and nothing else; readers see it when its commit is there.  Trips
+    that repeat within the watermark, in whatever batch, count once."""
+    q = (distinct_trips(trips, delay).writeStream.foreachBatch(lambda batch, epoch: publish_epoch(batch, published, epoch))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return live(spark, published)

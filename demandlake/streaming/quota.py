@@ -1,73 +1,59 @@
-"""Streaming daily quota per user (L3, K5 as state).
-
-State is one number per (user, UTC day): the requests seen so far (paid ones
-included).  A free request passes iff it is within the first ``quota(tier)``
-requests of its day; diamond is unlimited.  Duplicate deliveries of a request
-id are dropped within the watermark before the state is touched.  A day's
-state is dropped once the watermark has passed its end, when no row of it can
-arrive any more.
-
-Rows of one micro-batch count in (ts, id) order.  They arrive in Arrow
-batches; only the earliest rows that still fit the quota are held back (at
-most the quota of the tier), the others are decided as they come, so memory
-is bounded whatever one user sends in a micro-batch.
+"""Streaming daily quota per user (L3, K5).
+
+A free request passes iff it is within the first ``quota(tier)`` requests of
+its user and UTC day, paid ones counted too; diamond is unlimited.  Duplicate
+deliveries of a request id are dropped within the watermark.
+
+Per micro-batch, all in the JVM: the requests of a user and day so far are a
+sum of increments (``increments``, one row per user and day that has any);
+the batch's own requests are ranked in (ts, id) order behind them.  Ranks
+beyond the largest quota do not matter, so the rank is a literal group limit
+that cuts a hot user's rows before the shuffle.  The epoch's decisions and its
+increment are rewritten by a replay, which sees the sums below its epoch only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from demandlake.operators.ledger import DAILY_QUOTA
-
-OUT_SCHEMA = "request_id long, user_id long, day date, tier string, paid boolean, passes boolean"
-STATE_SCHEMA = "n long"
-_COLUMNS = ["request_id", "user_id", "day", "tier", "paid", "passes"]
-
-
-def _limit(tier) -> int | None:
-    """Quota of a tier; none for diamond, bronze for an unknown user."""
-    return DAILY_QUOTA.get(tier.lower() if isinstance(tier, str) else "bronze")
-
-
-def _step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    user, day = key
-    n = state.get[0] if state.exists else 0
-    seen, held = 0, None
-    for pdf in batches:
-        seen += len(pdf)
-        tier = pdf["tier"].iloc[0]
-        limit = _limit(tier)
-        pdf = pdf.assign(user_id=user, day=day)
-        if limit is None:
-            yield pdf.assign(passes=True)[_COLUMNS]
-            continue
-        held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-        held = held.sort_values(["ts", "request_id"], ignore_index=True)
-        room = max(0, limit - n)
-        late, held = held.iloc[room:], held.iloc[:room]
-        if len(late):
-            yield late.assign(passes=late["paid"].astype(bool))[_COLUMNS]
-    if held is not None and len(held):
-        yield held.assign(passes=True)[_COLUMNS]
-    state.update((n + seen,))
-    end = pd.Timestamp(day) + pd.Timedelta(days=1)
-    state.setTimeoutTimestamp(max(int(end.value // 10 ** 6), state.getCurrentWatermarkMs() + 1))
-
-
-def quota_stream(requests: DataFrame, tiers: DataFrame, delay: str = "1 day") -> DataFrame:
-    """requests: streaming (request_id, user_id, ts TIMESTAMP, paid);
-    tiers: static (user_id, tier), joined stream-static.  ``delay``: how late
-    a request may arrive and still be counted."""
-    r = (requests.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["request_id"])
-         .join(tiers.select("user_id", "tier"), "user_id", "left")
-         .withColumn("day", F.to_date("ts")))
-    return r.groupBy("user_id", "day").applyInPandasWithState(
-        _step, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+from pyspark.sql import types as T
+
+from demandlake.operators.ledger import MAX_QUOTA, daily_quota
+from demandlake.operators.ordered import top_n_per_key
+from demandlake.streaming.increments import Increments
+
+DAY = T.StructType([T.StructField("day", T.DateType()), T.StructField("user_id", T.LongType())])
+OUT = ["request_id", "user_id", "day", "tier", "paid", "passes"]
+
+
+def decide(batch: DataFrame, tiers: DataFrame, counts: Increments, epoch: int, out: str) -> None:
+    """One micro-batch of distinct requests."""
+    rows = batch.withColumn("day", F.to_date("ts"))
+    rows.persist()
+    first, last = rows.agg(F.min("day"), F.max("day")).first()
+    seen = counts.total(epoch, F.col("day").between(F.lit(first), F.lit(last))).withColumnRenamed("n", "__seen")
+    nth = top_n_per_key(rows.select("request_id", "user_id", "day", "ts"), ["user_id", "day"], [F.col("ts"), F.col("request_id")],
+                        MAX_QUOTA, out="__nth").select("request_id", "__nth")
+    limit = daily_quota(F.coalesce("tier", F.lit("bronze")))
+    place = F.coalesce("__seen", F.lit(0)) + F.coalesce("__nth", F.lit(MAX_QUOTA + 1))
+    decided = (rows.join(seen, ["day", "user_id"], "left").join(tiers.select("user_id", "tier"), "user_id", "left")
+               .join(nth, "request_id", "left").withColumn("passes", F.col("paid") | limit.isNull() | (place <= limit)))
+    decided.select(*OUT).write.mode("overwrite").parquet(os.path.join(out, f"epoch={epoch}"))
+    counts.write(epoch, rows.groupBy("day", "user_id").agg(F.count(F.lit(1)).alias("n")))
+    rows.unpersist()
+
+
+def run_quota(spark: SparkSession, requests: DataFrame, tiers: DataFrame, base: str, checkpoint: str,
+              delay: str = "1 day") -> DataFrame:
+    """requests: streaming (request_id, user_id, ts TIMESTAMP, paid); tiers:
+    static (user_id, tier).  ``delay``: how late a request may come and still
+    be counted.  Returns the decisions so far."""
+    out = os.path.join(base, "decided")
+    counts = Increments(spark, os.path.join(base, "counts"), DAY, "n")
+    distinct = requests.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["request_id"])
+    q = (distinct.writeStream.foreachBatch(lambda batch, epoch: decide(batch, tiers, counts, epoch, out))
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).drop("epoch")
