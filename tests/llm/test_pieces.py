@@ -22,24 +22,50 @@ def texts(n, longest, seed=3):
 
 
 def test_ids_and_round_trip_equal_the_library(vocab):
-    for t in texts(3000, 40) + ["x" * 5000, "é" * 400 + " " * 300 + "ab" * 400, "", " ", "▁", "\n\n"]:
-        packed = vocab.encode(t)
-        pieces.check_texts(vocab, [t], [packed])
-        assert vocab.decode(packed) == vocab.model.decode(np.frombuffer(packed, "<u4").tolist())
+    many = texts(3000, 40) + ["x" * 5000, "é" * 400 + " " * 300 + "ab" * 400, "", " ", "▁", "\n\n"]
+    packed = vocab.encode(many)
+    pieces.check_texts(vocab, many, packed, vocab.decode(packed))
+    for t, p in zip(many, packed):
+        assert vocab.encode([t]) == [p] and vocab.decode([p]) == [vocab.model.decode(np.frombuffer(p, "<u4").tolist())]
+    assert vocab.encode([]) == [] and vocab.decode([]) == []
+
+
+def test_ids_that_no_text_gives_decode_like_the_library(vocab):
+    rng = random.Random(6)
+    for _ in range(300):
+        ids = [rng.choice([0, rng.randrange(3, 259), rng.randrange(259, 32000)]) for _ in range(rng.randint(1, 12))]
+        assert vocab.decode([np.array(ids, "<u4").tobytes()]) == [vocab.model.decode(ids)]
 
 
 def test_long_parts_use_the_same_order_as_short_ones(vocab):
-    for t in texts(300, 46, seed=5):
-        long = b"".join(vocab.packed[s] if s in vocab.packed else vocab._fallback(s) for s in vocab._merge_long(list(t)))
-        assert vocab.merge(t) == long
+    parts = [t for t in texts(300, 46, seed=5) if t]
+    merged = vocab.merge(parts)
+    for t in parts:
+        symbols = vocab.pairs.merge_one(vocab.character[[ord(c) for c in t]].tolist())
+        ids = [x for s in symbols for x in ([s] if s < vocab.size else vocab._fallback(chr(s - vocab.size)))]
+        assert merged[t] == np.array(ids, "<u4").tobytes()
 
 
 def test_parts_are_checked(vocab):
     vocab.fresh.clear()
     pieces.check_parts(vocab)
-    vocab.fresh.append(("▁hello", vocab.merge("▁world")))
+    vocab.fresh["▁hello"] = vocab.merge(["▁world"])["▁world"]
     with pytest.raises(ValueError):
         pieces.check_parts(vocab)
+    right = vocab.encode(["hello"])
+    with pytest.raises(ValueError):
+        pieces.check_texts(vocab, ["hullo"], right, ["hullo"])
+    with pytest.raises(ValueError):
+        pieces.check_texts(vocab, ["hello"], right, ["hullo"])
+
+
+def test_forgetting_parts_changes_nothing(monkeypatch):
+    monkeypatch.setattr(pieces, "MEMORY", 10)
+    small = pieces.MergeVocabulary(MODEL)
+    many = texts(200, 60, seed=7)
+    for i in range(0, 200, 20):
+        packed = small.encode(many[i:i + 20])
+        pieces.check_texts(small, many[i:i + 20], packed, small.decode(packed))
 
 
 @pytest.mark.parametrize("check", ["parts", "texts"])
