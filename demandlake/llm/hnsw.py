@@ -13,11 +13,14 @@ vectors.
 Bounds: a task holds one shard and one block of queries; shards grow in
 number, not in size.  Equal vectors are one node with their smallest ids.
 
-Defined results: vectors that are null, empty, all zero, hold a null or
-non-finite component, or differ in length from most take no part, as rows or
-as queries; ties go to the smaller id; a query never finds its own row;
-fewer candidates than k give fewer rows; an empty table gives no rows; extra
-columns are ignored.
+Defined results: vectors that are null, empty, all zero or hold a null or
+non-finite component take no part, as rows or as queries, nor do rows without
+an id; vectors are compared with those of their own length, every length is
+searched; equal rows (same id and vector) are one row; an id with several
+vectors is a query with each of them, ranked apart, and finds the others;
+ties go to the smaller id; a query never finds its own row; fewer candidates
+than k give fewer rows; an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandlake.llm import shards
@@ -36,7 +39,7 @@ from demandlake.llm.common import stage
 SHARD_ROWS = 4096
 M, EF_BUILD, EF_SEARCH = 16, 80, 96
 SLACK = 16           # links a node may hold above its limit before it is pruned
-QUERY_BLOCK = 2048   # queries a task holds at a time (expected number)
+QUERY_BLOCK = 4096   # queries a task holds at a time (expected number)
 
 
 class Graph:
@@ -209,13 +212,12 @@ def load_shard(row) -> tuple[Graph, np.ndarray, list[np.ndarray]]:
     return graph, v, np.split(np.frombuffer(row["ids"], np.int64), ends[:-1])
 
 
-def build(rows: DataFrame, key: str, vector: str, k: int, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
-    """(index table, number of shards) of the usable ``rows``."""
+def build(rows: DataFrame, key: str, vector: str, k: int, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(index table, shards of every length) of the usable ``rows``."""
     few = stage(shards.first_copies(rows.select(key, vector), key, vector, k + 1), "vectors")
-    n = shards.shard_count(few.count(), shard_rows)
-    dealt = few.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), F.col(vector)), F.lit(n)).cast("int"))
-    index = dealt.groupBy("shard").applyInPandas(lambda pdf: build_shard(pdf, key, vector), INDEX)
-    return stage(index, "hnsw"), n
+    sizes = stage(shards.counted(few, vector, shard_rows, "shards"), "sizes")
+    index = shards.dealt(few, sizes, vector).groupBy("dim", "shard").applyInPandas(lambda pdf: build_shard(pdf, key, vector), INDEX)
+    return stage(index, "hnsw"), sizes
 
 
 def search(rows: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector: str = "embedding",
@@ -224,10 +226,10 @@ def search(rows: DataFrame, is_query: Column, k: int, key: str = "vec_id", vecto
     rows as (query_id long, rank int, vec_id long, score double)."""
     usable = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("q")).where(
         F.col("id").isNotNull() & shards.finite("v") & F.exists("v", lambda x: x != 0))
-    usable = shards.one_length(usable, "v")
-    index, n = build(usable, "id", "v", k, shard_rows)
-    queries = usable.where("q").select("id", "v").distinct()
-    blocks = shards.shard_count(queries.count(), QUERY_BLOCK)
+    usable = shards.distinct_rows(usable, "id", "v")
+    index, sizes = build(usable, "id", "v", k, shard_rows)
+    queries = usable.where("q").select("id", "v")
+    blocks = stage(shards.counted(queries, "v", QUERY_BLOCK, "blocks"), "blocks")
 
     def find(index_rows: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -236,14 +238,14 @@ def search(rows: DataFrame, is_query: Column, k: int, key: str = "vec_id", vecto
             norm = np.sqrt((v * v).sum(1))
             q = shards.matrix(pdf["v"])
             unit = _unit(q)
-            for i, query in enumerate(pdf["id"].to_numpy(np.int64)):
+            for i, (query, own) in enumerate(zip(pdf["id"].to_numpy(np.int64), pdf["query"].tolist())):
                 nodes = graph.search(unit[i], ef)
                 scores = (v[nodes] @ q[i]) / (norm[nodes] * math.sqrt(float(q[i] @ q[i])))
-                out.extend((int(query), j, s) for s, j in shards.best_copies(int(query), scores, nodes, ids, k))
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    found = (shards.for_blocks(index, blocks).groupBy("shard", "block")
-             .cogroup(shards.in_blocks(queries, "id", n, blocks).groupBy("shard", "block"))
-             .applyInPandas(find, "query_id long, vec_id long, score double"))
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.distinct().withColumn("rank", nth).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                same = (v[nodes] == q[i]).all(1)
+                out.extend((int(query), own, j, s) for s, j in shards.best_copies(int(query), same, scores, nodes, ids, k))
+        return pd.DataFrame(out, columns=["query_id", "query", "vec_id", "score"])
+
+    found = (shards.for_blocks(index, blocks).groupBy("dim", "shard", "block")
+             .cogroup(shards.in_blocks(queries, "id", "v", sizes, blocks).groupBy("dim", "shard", "block"))
+             .applyInPandas(find, "query_id long, query long, vec_id long, score double"))
+    return shards.best_per_query(found, k)

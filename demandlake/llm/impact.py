@@ -17,30 +17,34 @@ Rows are dealt by a hash of the vector into shards of about ``SHARD_ROWS``
 distinct vectors, queries into blocks; the shards' best are merged.  Equal
 vectors are one row with their smallest ids.
 
-Defined results: vectors that are null, empty, hold a null component, or
-differ in length from most take no part; all-zero vectors do (score 0); ties
-go to the smaller id; a query never finds its own row; fewer candidates than
-k give fewer rows; an empty table gives no rows.  Scores are exact while sums
-of products stay below 2^63.
+Defined results: vectors that are null, empty or hold a null component take
+no part, nor do rows without an id; all-zero vectors do (score 0); vectors are
+compared with those of their own length, every length is searched; equal rows
+(same id and vector) are one row; an id with several vectors is a query with
+each of them, ranked apart, and finds the others; ties go to the smaller id; a
+query never finds its own row; fewer candidates than k give fewer rows; an
+empty table gives no rows.  Scores are exact while sums of products stay below
+2^63.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandlake.llm import shards
 from demandlake.llm.common import stage
 
 SHARD_ROWS = 8192
-QUERY_BLOCK = 384   # queries a task scores at a time (expected number)
+QUERY_BLOCK = 8192  # queries that go to a copy of a shard's index (expected number)
+TOGETHER = 384      # queries of a block scored at a time
 LEVELS = 6
 FEW = 12            # reading stops when possible members are at most FEW * (k + 1) a query, on average
 
 INDEX = ("shard int, level int, most long, least long, dim int, ends binary, docs binary, impacts binary, "
-         "vectors binary, ids binary, id_ends binary")
+         "vectors binary, kind string, ids binary, id_ends binary")
 
 
 def segments(v: np.ndarray, levels: int = LEVELS) -> list[dict]:
@@ -64,16 +68,23 @@ def segments(v: np.ndarray, levels: int = LEVELS) -> list[dict]:
     return out
 
 
+def _smallest(v: np.ndarray) -> np.ndarray:
+    """The same integers in the smallest type that holds them."""
+    most = int(np.abs(v).max(initial=0))
+    return v.astype("<i2" if most < 2 ** 15 else "<i4" if most < 2 ** 31 else "<i8")
+
+
 def build_shard(pdf: pd.DataFrame, key: str, vector: str) -> pd.DataFrame:
     ids = pdf[key].to_numpy(np.int64)
     v = np.stack([np.asarray(x, np.int64) for x in pdf[vector]])
     rows, copies = shards.grouped_copies(ids, v)
     v = v[rows]
-    common = {"shard": int(pdf["shard"].iloc[0]), "dim": v.shape[1]}
-    head = common | {"level": 1 << 20, "most": 0, "least": 0, "vectors": v.tobytes(), "ids": np.concatenate(copies).tobytes(),
+    held = _smallest(v)
+    common = {"shard": int(pdf["shard"].iloc[0]), "dim": v.shape[1], "kind": held.dtype.str}
+    head = common | {"level": 1 << 20, "most": 0, "least": 0, "vectors": held.tobytes(), "ids": np.concatenate(copies).tobytes(),
                      "id_ends": np.cumsum([len(c) for c in copies]).astype(np.int64).tobytes()}
     rest = [common | {"level": s["level"], "most": s["most"], "least": s["least"], "ends": s["ends"].tobytes(),
-                      "docs": s["docs"].tobytes(), "impacts": s["impacts"].tobytes()} for s in segments(v)]
+                      "docs": s["docs"].tobytes(), "impacts": s["impacts"].astype(held.dtype).tobytes()} for s in segments(v)]
     return pd.DataFrame([head, *rest], columns=[c.split()[0] for c in INDEX.split(", ")]).astype(
         {"level": "int32", "dim": "int32", "shard": "int32"})
 
@@ -114,35 +125,36 @@ def topk(rows: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector:
     rank int, vec_id long, score long)."""
     usable = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("q")).where(
         F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull()))
-    usable = stage(shards.one_length(usable, "v"), "vectors")
+    usable = stage(shards.distinct_rows(usable, "id", "v"), "vectors")
     few = stage(shards.first_copies(usable.select("id", "v"), "id", "v", k + 1), "few")
-    n = shards.shard_count(few.count(), shard_rows)
-    dealt = few.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "v"), F.lit(n)).cast("int"))
-    index = stage(dealt.groupBy("shard").applyInPandas(lambda pdf: build_shard(pdf, "id", "v"), INDEX), "impacts")
-    queries = usable.where("q").select("id", "v").distinct()
-    blocks = shards.shard_count(queries.count(), QUERY_BLOCK)
+    sizes = stage(shards.counted(few, "v", shard_rows, "shards"), "sizes")
+    index = stage(shards.dealt(few, sizes, "v").groupBy("dim", "shard").applyInPandas(lambda pdf: build_shard(pdf, "id", "v"), INDEX), "impacts")
+    queries = usable.where("q").select("id", "v")
+    blocks = stage(shards.counted(queries, "v", QUERY_BLOCK, "blocks"), "blocks")
 
     def find(parts: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(parts) and len(pdf):
             parts = parts.sort_values("level", ascending=False)
             head, rest = parts.iloc[0], parts.iloc[1:]
-            v = np.frombuffer(head["vectors"], np.int64).reshape(-1, head["dim"])
+            v = np.frombuffer(head["vectors"], head["kind"]).astype(np.int64).reshape(-1, head["dim"])
             ids = np.split(np.frombuffer(head["ids"], np.int64), np.frombuffer(head["id_ends"], np.int64)[:-1])
             read = [{"most": int(s.most), "ends": np.frombuffer(s.ends, np.int64), "docs": np.frombuffer(s.docs, np.int32),
-                     "impacts": np.frombuffer(s.impacts, np.int64)} for s in rest.itertuples()]
-            w = np.stack([np.asarray(x, np.int64) for x in pdf["v"]])
-            members, _ = possible_members(w, read, len(v), k + 1)
-            for query, weights, nodes in zip(pdf["id"].to_numpy(np.int64), w, members):
-                scores = v[nodes] @ weights
-                if len(nodes) > k + 1:
-                    best = scores >= np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
-                    nodes, scores = nodes[best], scores[best]
-                out.extend((int(query), j, int(s)) for s, j in shards.best_copies(int(query), scores, nodes, ids, k))
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    found = (shards.for_blocks(index, blocks).groupBy("shard", "block")
-             .cogroup(shards.in_blocks(queries, "id", n, blocks).groupBy("shard", "block"))
-             .applyInPandas(find, "query_id long, vec_id long, score long"))
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.distinct().withColumn("rank", nth).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                     "impacts": np.frombuffer(s.impacts, s.kind)} for s in rest.itertuples()]
+            for a in range(0, len(pdf), TOGETHER):
+                some = pdf.iloc[a:a + TOGETHER]
+                w = np.stack([np.asarray(x, np.int64) for x in some["v"]])
+                members, _ = possible_members(w, read, len(v), k + 1)
+                for query, own, weights, nodes in zip(some["id"].to_numpy(np.int64), some["query"].tolist(), w, members):
+                    scores = v[nodes] @ weights
+                    if len(nodes) > k + 1:
+                        best = scores >= np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
+                        nodes, scores = nodes[best], scores[best]
+                    same = (v[nodes] == weights).all(1)
+                    out.extend((int(query), own, j, int(s)) for s, j in shards.best_copies(int(query), same, scores, nodes, ids, k))
+        return pd.DataFrame(out, columns=["query_id", "query", "vec_id", "score"]).astype("int64")
+
+    found = (shards.for_blocks(index, blocks).groupBy("dim", "shard", "block")
+             .cogroup(shards.in_blocks(queries, "id", "v", sizes, blocks).groupBy("dim", "shard", "block"))
+             .applyInPandas(find, "query_id long, query long, vec_id long, score long"))
+    return shards.best_per_query(found, k)

@@ -142,3 +142,47 @@ def test_queries_on_the_given_table(spark):
 def test_first_copies_keep_the_smallest_ids(spark):
     docs = spark.createDataFrame([(i, [1]) for i in range(50)] + [(99, [2])], "id long, v array<long>")
     assert sorted(r.id for r in shards.first_copies(docs, "id", "v", 3).collect()) == [0, 1, 2, 99]
+
+
+def both(spark, rows, k, every):
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = F.transform("embedding", lambda x: F.floor(x * 100).cast("long"))
+    near = hnsw.search(table, F.col("vec_id") % every == 0, k, shard_rows=50).collect()
+    top = impact.topk(table.select("vec_id", whole.alias("embedding")), F.col("vec_id") % every == 0, k, shard_rows=50).collect()
+    return near, top
+
+
+def answers(out, query):
+    return [(r["rank"], r.vec_id) for r in sorted((r for r in out if r.query_id == query), key=lambda r: (r["rank"], r.vec_id))]
+
+
+def test_repeated_rows_count_once(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(60)]
+    once, repeated = both(spark, rows, 5, 10), both(spark, rows * 30, 5, 10)
+    for a, b in zip(once, repeated):
+        assert len(a) == len(b) == 6 * 5
+        for q in range(0, 60, 10):
+            assert answers(a, q) == answers(b, q)
+
+
+def test_every_length_is_searched(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=n)]) for i, n in enumerate([8] * 120 + [3] * 70 + [5] * 10 + [2])]
+    near, top = both(spark, rows, 4, 10)
+    ids = np.arange(len(rows))
+    for q in range(0, len(rows), 10):
+        own = [i for i in ids if len(rows[i][1]) == len(rows[q][1])]
+        v, w = np.array([rows[i][1] for i in own]), np.array(rows[q][1])
+        cosine = (v @ w) / np.sqrt((v * v).sum(1) * (w @ w))
+        product = np.floor(v * 100).astype(int) @ np.floor(w * 100).astype(int)
+        want = best(np.array(own), cosine, q, 4)
+        assert len(set(dict(answers(near, q)).values()) & {own[i] for i in want}) >= 0.75 * len(want) and len(answers(near, q)) == len(want)
+        assert [i for _, i in answers(top, q)] == [own[i] for i in best(np.array(own), product, q, 4)]
+
+
+def test_one_id_with_several_vectors(spark):
+    rows = [(10, [1.0, 0.0]), (10, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (3, [-1.0, -1.0])]
+    near, top = both(spark, rows, 3, 10)
+    assert answers(near, 10) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 10), (3, 10)]      # each vector is ranked for itself and finds the other
+    assert answers(top, 10) == answers(near, 10)
