@@ -6,11 +6,18 @@ back, so a lost executor or driver restart costs one stage.  All but the last
 return the columns of ``documents``.
 
 1. quality - documents that the attention classifier scores under 0.3 go.
-2. near_duplicates - one document (the smallest id) of each class stays.
+2. near_duplicates - one row (that of the smallest id) of each class stays.
 3. pii - personal numbers, dates and addresses become pseudonyms.
 4. mixing - languages are brought to target token shares.  No domain has to
    shrink: the total grows instead and every document stays at least once.
 5. tokens - SentencePiece ids and their decoded text.
+
+Defined results: every stage decides row by row.  A null text is scored as an
+empty one, has no words, no pseudonyms and no tokens but the begin and end
+ids.  Texts without a word are no copies of one another and stay.  Of rows
+that repeat an id and text one stays, as of any copies; rows with a null id
+are compared like the others and come last in the choice of which stays; an id
+with two texts loses only the text that has a copy.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -32,8 +39,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = dartminhash.classes(docs.select("doc_id", "text")).where("id <> class_id")
-    return docs.join(out.select(F.col("id").alias("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    # rows, not ids, are compared: ids may repeat or be null
+    keyed = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    worded = keyed.where(F.col("text").rlike(r"[^\t-\r ]")).select("__row", "text")
+    member = dartminhash.classes(worded, key="__row").select(F.col("id").alias("__row"), "class_id")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row")
+    member = stage(member.join(keyed.select("__row", "doc_id"), "__row"), "members")
+    stays = member.groupBy("class_id").agg(F.min(order)["__row"].alias("__row")).select("__row")
+    goes = member.select("__row").join(stays, "__row", "left_anti")
+    return keyed.join(goes, "__row", "left_anti").select(*docs.columns)
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
