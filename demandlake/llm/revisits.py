@@ -17,8 +17,10 @@ once, by record id.
 Defined results (column ``resolution``): ``response`` for full responses;
 ``resolved``; ``no_earlier_response``; ``validator_mismatch``;
 ``no_validators``; ``no_url`` for a revisit whose URL is null or blank;
-``no_time`` for one without a time (a response without a time or URL is never
-referred to); ``other`` for any other or null kind.  Of responses at one time
+``no_time`` for one without a time (a response without a time, URL or id is
+never referred to); ``other`` for any other or null kind.  Every record gives
+one row: rows that repeat an id stay apart, and where their payloads differ
+the greatest is taken for all; a record without an id keeps its own payload.  Of responses at one time
 the largest record id is the latest; a response at the revisit's own time is
 not earlier.  Null headers are no headers; names are matched without case;
 of names that differ in case only, the last in byte order counts.  Extra columns are kept; columns that clash
@@ -64,6 +66,12 @@ def _strong(tag: Column) -> Column:
     return F.regexp_replace(F.trim(tag), r"^W/", "")
 
 
+def _payload_key() -> Column:
+    """The record's id; without one, a hash of what the record is."""
+    return F.coalesce(F.col("record_id").cast("string"),
+                      F.concat(F.lit("-"), F.sha2(F.concat_ws("|", "url", F.col("time").cast("string"), "kind", "payload"), 256)))
+
+
 def resolve(records: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
     """``records``: record_id long, url, time long (seconds), kind
     (``response`` or ``revisit``), status int, headers map, payload string.
@@ -73,9 +81,9 @@ def resolve(records: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame
     extra = [c for c in records.columns if c not in ("record_id", "url", "time", "kind", "status", "headers", "payload", *made)]
     r = records.select("record_id", "url", canonical_url(F.col("url")).alias("canonical_url"), "time", "kind", "status",
                        plain_headers(F.col("headers")).alias("headers"),
-                       F.struct(F.lit(1).alias("__x"), *[F.col(f"`{c}`") for c in extra]).alias("__extra"))
+                       _payload_key().alias("__own"), F.struct(F.lit(1).alias("__x"), *[F.col(f"`{c}`") for c in extra]).alias("__extra"))
     r = r.withColumn("__block", F.floor(F.col("time") / block_seconds))
-    usable = (F.col("kind") == "response") & F.col("time").isNotNull() & F.col("canonical_url").isNotNull()
+    usable = (F.col("kind") == "response") & F.col("time").isNotNull() & F.col("canonical_url").isNotNull() & F.col("record_id").isNotNull()
     stored = F.struct("time", "record_id", "status", "headers")
     r = stage(r.withColumn("__full", F.when(usable, stored)), "revisits")  # ids, times and headers
     # level 1: the last response of every block, carried to later blocks of the URL
@@ -108,12 +116,13 @@ def resolve(records: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame
     done = F.col("resolution") == "resolved"
     update = F.map_filter("headers", lambda k, v: k.isin(*PERMITTED))
     merged = F.map_concat(F.map_filter(old, lambda k, v: ~F.array_contains(F.map_keys(update), k)), update)
-    d = d.select("record_id", "url", "canonical_url", "time", "kind", "resolution",
+    d = d.select("record_id", "url", "canonical_url", "time", "kind", "resolution", "__own",
                  F.when(done, F.col("__ref")["record_id"]).alias("ref_id"),
                  F.when(done, F.col("__ref")["status"]).otherwise(F.col("status")).alias("status"),
                  F.when(done, merged).otherwise(F.col("headers")).alias("headers"), "__extra")
-    payloads = records.where("payload is not null").select(F.col("record_id").alias("__id"), "payload")
-    d = d.join(payloads, F.coalesce("ref_id", "record_id") == F.col("__id"), "left")
+    # one payload an id, so rows that repeat an id stay as many as they are
+    payloads = records.where("payload is not null").groupBy(_payload_key().alias("__id")).agg(F.max("payload").alias("payload"))
+    d = d.join(payloads, F.when(done, F.col("ref_id").cast("string")).otherwise(F.col("__own")) == F.col("__id"), "left")
     return d.select("record_id", "url", "canonical_url", "time", "kind", "resolution", "ref_id", "status", "headers", "payload",
                     *[F.col("__extra")[c].alias(c) for c in extra])
 

@@ -50,3 +50,13 @@ def test_odd_rows_pass_every_stage(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
         assert out.where(F.col("doc_id").isNull()).count() >= 1, name
     assert P.STAGES[0][1](spark, docs, SF).count() <= 5
+
+
+def test_near_duplicates_go_by_row(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    a, b = " ".join(f"alpha{i}" for i in range(60)), " ".join(f"beta{i}" for i in range(60))
+    texts = [(5, a), (5, a), (7, a + " tail"), (5, b), (None, a), (None, b + " end"), (9, None), (9, None), (10, ""), (11, "!!"), (12, "unlike any other text")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], schema)
+    out = dict(P.STAGES)["near_duplicates"](spark, docs, SF).collect()
+    assert sorted(((r.doc_id or 0), (r.text or "-")[:6]) for r in out) == [
+        (5, "alpha0"), (5, "beta0 "), (9, "-"), (9, "-"), (10, "-"), (11, "!!"), (12, "unlike")]

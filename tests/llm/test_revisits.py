@@ -66,3 +66,17 @@ def test_repeated_header_names(spark):
     d = spark.createDataFrame([({"ETag": "1", "etag": "2", "A": None},), (None,)], "h map<string,string>")
     got = [r.h for r in d.select(revisits.plain_headers(F.col("h")).alias("h")).collect()]
     assert got[0] == {"etag": "2", "a": None} and got[1] == {}
+
+
+def test_repeated_and_null_ids_and_long_payloads(spark):
+    long = "x" * 3_000_000
+    rows = [(1, "http://a.org", 10, "response", 200, {"ETag": "1"}, long, "n")] * 2 + [
+        (2, "http://a.org", 20, "revisit", 304, {"ETag": "1"}, None, "n"), (None, "http://a.org", 15, "response", 200, {"ETag": "1"}, "own", "n"),
+        (None, "http://a.org", 16, "response", 200, {"ETag": "1"}, "other", "n"), (3, "http://b.org", 5, "response", 200, {}, "one", "n"),
+        (3, "http://b.org", 5, "response", 200, {}, "two", "n"), (4, "http://b.org", 6, "revisit", 304, {}, None, "n")]
+    docs = spark.createDataFrame([(*r[:-1], "clash", r[-1]) for r in rows], SCHEMA)
+    out = revisits.resolve(docs).collect()
+    assert len(out) == len(rows)
+    assert sorted((r.record_id or 0, r.resolution, r.ref_id or 0, len(r.payload), r.payload[:3]) for r in out) == [
+        (0, "response", 0, 3, "own"), (0, "response", 0, 5, "oth"), (1, "response", 0, len(long), "xxx"), (1, "response", 0, len(long), "xxx"),
+        (2, "resolved", 1, len(long), "xxx"), (3, "response", 0, 3, "two"), (3, "response", 0, 3, "two"), (4, "resolved", 3, 3, "two")]
