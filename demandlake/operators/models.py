@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from demandlake.sources.registry import Shipped
+
 
 def split_random(df: DataFrame, keys: Sequence[str], seed: int = 42,
                  test: float = 0.2, val_of_rest: float = 0.25) -> DataFrame:
@@ -147,6 +149,54 @@ def score_sequences(df: DataFrame, predict_fn: Callable[[np.ndarray], np.ndarray
     return df.select(id_col, F.flatten(x_col).alias("_xf")).mapInPandas(run, schema)
 
 
+def score_by_name(df: DataFrame, shipped: Shipped, id_col: str = "request_id", x_col: str = "x", model_col: str = "model",
+                  horizon: int = 24, n_features: int = 24, dtype: str = "float64") -> DataFrame:
+    """Score input windows with the model each row names (H7), in one pass:
+    (id, forecast, model_status).  The rows of an Arrow batch go to each named
+    model together; a name that is null or not in the registry gives no
+    forecast and the status ``unknown_model``."""
+    def run(batches):
+        for pdf in batches:
+            forecast, status = [None] * len(pdf), ["unknown_model"] * len(pdf)
+            for name, at in pdf.groupby(model_col).indices.items():
+                predict = shipped.model(name)
+                if predict is not None:
+                    x = np.stack([pdf["_xf"].iloc[i] for i in at]).astype(dtype).reshape(len(at), -1, n_features)
+                    y = np.asarray(predict(x), dtype="float64").reshape(len(at), horizon)
+                    for i, row in zip(at, y):
+                        forecast[i], status[i] = row, "ok"
+            yield pd.DataFrame({id_col: pdf[id_col], "forecast": forecast, "model_status": status})
+    schema = T.StructType([df.schema[id_col], T.StructField("forecast", T.ArrayType(T.DoubleType())),
+                           T.StructField("model_status", T.StringType())])
+    return df.select(id_col, model_col, F.flatten(x_col).alias("_xf")).mapInPandas(run, schema)
+
+
+# --- a cost model as a table -------------------------------------------------
+
+def fit_cost_lines(df: DataFrame, keys: Sequence[str] = ("location_id", "hour"), x: str = "trips_count",
+                   y: str = "avg_cost_per_mile") -> DataFrame:
+    """Least squares of cost on trips per key, as a table (keys, slope,
+    intercept): one partial aggregate.  A key whose trips do not vary gets the
+    mean and slope 0."""
+    flat = F.coalesce(F.var_pop(x), F.lit(0.0)) == 0
+    fit = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys).agg(
+        F.when(flat, F.lit(0.0)).otherwise(F.regr_slope(F.col(y), F.col(x).cast("double"))).alias("slope"),
+        F.when(flat, F.avg(y)).otherwise(F.regr_intercept(F.col(y), F.col(x).cast("double"))).alias("intercept"))
+    return fit
+
+
+def price_by_lines(forecasts: DataFrame, lines: DataFrame, keys: Sequence[str] = ("location_id", "hour"),
+                   id_col: str = "request_id") -> DataFrame:
+    """Every forecast hour priced with a model table (J5, F13): (id, demand,
+    trip_costs) in step order, null where the table has no row.  Only requests
+    with a positive cost are priced; a request is 24 rows."""
+    from demandlake.operators import serving
+    hours = serving.forecast_hours(forecasts.where(F.col("cost") > 0)).join(lines, list(keys), "left")
+    cost = F.bround(F.greatest(F.col("intercept") + F.col("slope") * F.col("trips_count"), F.lit(0.0)), 2)
+    steps = F.sort_array(F.collect_list(F.struct("step", "trips_count", cost.alias("c"))))
+    return hours.groupBy(id_col).agg(steps.alias("_s")).select(id_col, F.col("_s.trips_count").alias("demand"), F.col("_s.c").alias("trip_costs"))
+
+
 def price_forecast(forecasts: DataFrame, cost_model: PipelineModel, weather: DataFrame,
                    numeric: Sequence[str], id_col: str = "request_id") -> DataFrame:
     """Price every forecast hour (J5): hour k at target + k h with the

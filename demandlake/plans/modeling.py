@@ -4,6 +4,8 @@ pricing (J5)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,9 @@ from demandlake.operators.features import SEQ_FEATURES
 from demandlake.operators.hourly import hourly_cost
 from demandlake.plans import daily, experiment, requests
 from demandlake.sources import feeds
-from demandlake.streaming.requests import moving_average_model
+from demandlake.session import stage_path
+from demandlake.sources.registry import ModelRegistry
+from demandlake.streaming.requests import last_value_model, moving_average_model
 
 COST_CAP = 100.0
 
@@ -89,3 +93,41 @@ def priced_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pp = serving.post_process(scored, "forecast", params["y"], rounding="ceil")
     fc = pp.join(req, "request_id")
     return fc.join(pricer(spark, sf_dir)(fc), "request_id", "left")
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, dict]:
+    """(requests, series, scaler) of the scoring jobs."""
+    f = daily.stable_features(spark, sf_dir)
+    req = requests.request_messages(spark, sf_dir).select(
+        F.col("prediction_id").alias("request_id"), F.col("district").alias("location_id"), "cost",
+        text.analogue_ts(F.col("month"), F.col("day"), F.col("hour")).alias("target_ts"))
+    return req, serving.series_ts(f), scaling.to_dict(experiment.scaler(spark, sf_dir, features=f))
+
+
+def forecasts_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that name different models, scored in one pass with the
+    versions the registry has in use (H7).  One in five names ``last_value``,
+    one in five a model that was never published."""
+    registry = ModelRegistry(spark, stage_path(spark, f"models-{uuid.uuid4().hex[:12]}"))
+    registry.publish("moving_average", last_value_model)
+    registry.publish("moving_average", moving_average_model)      # the second version takes over
+    registry.publish("last_value", last_value_model)
+    req, series, params = _asked(spark, sf_dir)
+    turn = F.pmod("request_id", F.lit(5))
+    req = req.withColumn("model", F.when(turn == 0, "last_value").when(turn == 1, "withdrawn").otherwise("moving_average"))
+    resolved = serving.resolve_requests(series, req)
+    arrays = serving.serving_arrays(series, req, params, resolved=resolved).join(req.select("request_id", "model"), "request_id")
+    done = serving.post_process(models.score_by_name(arrays, registry.ship()), "forecast", params["y"], rounding="ceil")
+    out = resolved.select("request_id", "model", "status").join(done, "request_id", "left")
+    return out.withColumn("status", F.when(F.col("status") == "ok", F.col("model_status")).otherwise(F.col("status")))
+
+
+def price_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moving-average forecasts of the requests, each hour priced with the cost
+    model table of its zone and hour of day (J5, F13), and the hour lines with
+    costs (F16)."""
+    req, series, params = _asked(spark, sf_dir)
+    scored = models.score_sequences(serving.serving_arrays(series, req, params), moving_average_model)
+    fc = serving.post_process(scored, "forecast", params["y"], rounding="ceil").join(req, "request_id")
+    priced = models.price_by_lines(fc, models.fit_cost_lines(cost_training(spark, sf_dir)))
+    return priced.join(req.select("request_id", F.hour("target_ts").alias("start")), "request_id")

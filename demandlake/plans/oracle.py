@@ -891,6 +891,43 @@ ORACLE["cost_training_rows"] = q.select("""
     ) x
 """, {"location_id": "s", "date": "day", "hour": "i", "trips_count": "i", "avg_cost_per_mile": "d9", "split": "s"})
 
+_MODEL = "CASE request_id % 5 WHEN 0 THEN 'last_value' WHEN 1 THEN 'withdrawn' ELSE 'moving_average' END"
+_LAST_VALUES = _FORECASTS.replace("WHERE status = 'ok'", "WHERE status = 'ok' AND r.pos = 71")
+ORACLE["forecasts_by_model"] = q.select(f"""
+    SELECT x.request_id, {_MODEL.replace('request_id', 'x.request_id')} AS model,
+           CASE WHEN x.status <> 'ok' THEN x.status WHEN x.request_id % 5 = 1 THEN 'unknown_model' ELSE 'ok' END AS status,
+           CASE WHEN x.request_id % 5 = 0 THEN l.result WHEN x.request_id % 5 > 1 THEN f.result END AS result
+    FROM ({_resolved(_ASKED)}) x LEFT JOIN ({_FORECASTS}) f ON f.request_id = x.request_id
+    LEFT JOIN ({_LAST_VALUES}) l ON l.request_id = x.request_id
+""", {"request_id": "i", "model": "s", "status": "s", "result": "s"})
+
+_COST_LINES = """
+    SELECT location_id, hour,
+           CASE WHEN coalesce(var_pop(trips_count), 0) = 0 THEN 0.0 ELSE regr_slope(avg_cost_per_mile, CAST(trips_count AS DOUBLE)) END AS slope,
+           CASE WHEN coalesce(var_pop(trips_count), 0) = 0 THEN avg(avg_cost_per_mile)
+                ELSE regr_intercept(avg_cost_per_mile, CAST(trips_count AS DOUBLE)) END AS intercept
+    FROM (SELECT location_id, hour(pickup_ts) AS hour, count(*) AS trips_count, avg(cost_per_mile) AS avg_cost_per_mile
+          FROM (SELECT DISTINCT ts AS pickup_ts, event_type AS location_id, value / CAST(user_id % 10 + 1 AS DOUBLE) AS cost_per_mile
+                FROM events WHERE value > 0 AND value / CAST(user_id % 10 + 1 AS DOUBLE) < 100.0 AND ts IS NOT NULL
+                  AND event_type IS NOT NULL) t
+          GROUP BY location_id, CAST(pickup_ts AS DATE), hour(pickup_ts)) h
+    GROUP BY location_id, hour
+"""
+_PRICED_HOURS = f"""
+    SELECT a.request_id, s.step, hour(a.target_ts) AS start, CAST(trim(split_part(trim(f.result, '[]'), ',', 1)) AS BIGINT) AS d,
+           round_even(greatest(c.intercept + c.slope * CAST(trim(split_part(trim(f.result, '[]'), ',', 1)) AS DOUBLE), 0.0), 2) AS price
+    FROM ({_FORECASTS}) f JOIN ({_ASKED}) a ON a.request_id = f.request_id CROSS JOIN range(24) AS s(step)
+    LEFT JOIN ({_COST_LINES}) c ON c.location_id = a.location_id AND c.hour = (hour(a.target_ts) + s.step) % 24
+    WHERE a.cost > 0
+"""
+ORACLE["forecast_price_lines"] = q.select(f"""
+    SELECT request_id, '[' || string_agg(CAST(price AS VARCHAR), ', ' ORDER BY step) || ']' AS prices,
+           string_agg(chr(128338) || ' ' || lpad(CAST((start + step + 16) % 24 AS VARCHAR), 2, '0') || ':00 - ' || chr(128663) || ' '
+                      || CAST(d AS VARCHAR) || ' поездок, ' || chr(128176) || ' ' || printf('%.2f', price) || ' $ per mile',
+                      chr(10) ORDER BY step) AS message
+    FROM ({_PRICED_HOURS}) h GROUP BY request_id
+""", {"request_id": "i", "prices": "s", "message": "s"})
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -628,6 +628,21 @@ def q_priced(spark: SparkSession, sf_dir: str) -> DataFrame:
                              F.coalesce(F.size("trip_costs"), F.lit(0)).alias("n_prices")))
 
 
+@register("forecasts_by_model")
+def q_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models by name (H7): status and forecast of every request."""
+    out = modeling.forecasts_by_model(spark, sf_dir)
+    return report(out.select("request_id", "model", "status", text.list_to_text(F.col("forecast")).alias("result")))
+
+
+@register("forecast_price_lines")
+def q_price_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every price of every paid request (J5, F13) and its hour lines (F16)."""
+    out = modeling.price_lines(spark, sf_dir)
+    return report(out.select("request_id", text.list_to_text(F.col("trip_costs"), integral=False).alias("prices"),
+                             text.format_forecast(F.col("start"), F.col("demand"), F.col("trip_costs")).alias("message")))
+
+
 # --- streaming (L1-L4) ---------------------------------------------------------
 
 @register("stream_hourly_demand")

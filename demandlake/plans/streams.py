@@ -17,7 +17,8 @@ from demandlake import catalog
 from demandlake.operators import ledger, scaling, serving
 from demandlake.plans import daily, experiment, modeling, requests
 from demandlake.session import checkpoint_dir
-from demandlake.sources import accounts
+from demandlake.sources import accounts, queue
+from demandlake.sources.registry import ModelRegistry
 from demandlake.streaming import balances, hourly, quota
 from demandlake.streaming import requests as req_stream
 
@@ -136,16 +137,18 @@ def publish_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scoring_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Request messages (written as JSON files = the queue) scored and priced
+    """Request messages (sent through the queue) scored and priced
     by the streaming worker (L2), then charged through the ledger (J6)."""
     base = _scratch(spark, "scoring")
     msgs = os.path.join(base, "queue")
-    requests.request_messages(spark, sf_dir).write.mode("overwrite").json(msgs)
+    requests.request_messages(spark, sf_dir).write.format(queue.register(spark)).mode("append").option("path", msgs).save()
     f = daily.stable_features(spark, sf_dir)
     series = serving.series_ts(f)
     params = scaling.to_dict(experiment.scaler(spark, sf_dir, features=f))
     out = os.path.join(base, "status")
+    models = ModelRegistry(spark, os.path.join(base, "models"))
+    models.publish("lstmv3", req_stream.moving_average_model)     # the model that the messages name
     req_stream.run_request_scoring(spark, msgs, out, os.path.join(base, "ckpt"), series, params,
-                                   req_stream.moving_average_model, modeling.pricer(spark, sf_dir))
+                                   models, modeling.pricer(spark, sf_dir))
     ops = accounts.movements(catalog.load(spark, sf_dir, "orders"), with_tiers=False)
     return ledger.request_lifecycle(req_stream.finished_requests(spark, out), ops)

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 from demandlake.functions import text
 from demandlake.operators import models, serving
+from demandlake.sources import queue
+from demandlake.sources.registry import ModelRegistry, Shipped
 
 # Fields of one request message.
 MESSAGE_SCHEMA = T.StructType([
@@ -35,6 +37,8 @@ def request_stream(spark: SparkSession, path: str | None = None, max_files: int
     become null instead of failing the stream.
 
     ``fmt='json'``: message files dropped into ``path`` (the queue folder).
+    ``fmt='request_queue'``: the durable queue of ``sources.queue`` at ``path``,
+    whose messages are acknowledged when a micro-batch is done.
     ``fmt='kafka'``: a topic, with ``options`` such as
     ``kafka.bootstrap.servers`` and ``subscribe``; needs the Kafka connector
     on the cluster's classpath.  Either way the offsets / file list are kept
@@ -44,25 +48,32 @@ def request_stream(spark: SparkSession, path: str | None = None, max_files: int
     if fmt == "kafka":
         raw = spark.readStream.format("kafka").options(**(options or {})).load()
         return raw.select(F.from_json(F.col("value").cast("string"), MESSAGE_SCHEMA).alias("m")).select("m.*")
+    if fmt == queue.NAME:
+        return spark.readStream.format(queue.register(spark)).schema(MESSAGE_SCHEMA).options(**(options or {})).option("path", path).load()
     reader = spark.readStream.schema(MESSAGE_SCHEMA).options(**(options or {}))
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.json(path)
 
 
-def score_batch(batch: DataFrame, series: DataFrame, params: dict, predict_fn: Callable,
+def score_batch(batch: DataFrame, series: DataFrame, params: dict, predict_fn: Callable | Shipped,
                 y_params: tuple[float, float], epoch: int, price: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One micro-batch of messages -> status rows (J3, H7, J2, F15, G11) with
-    the forecast and, for requests that cost something, the price of every
+    the forecast of ``predict_fn`` (or of the model that each message names,
+    if it is the shipped models of a registry) and, for requests that cost something, the price of every
     forecast hour (J5).  ``price`` maps (request_id, location_id, target_ts,
     forecast, cost) to (request_id, trip_costs)."""
     req = batch.dropDuplicates(["prediction_id"]).select(
         F.col("prediction_id").alias("request_id"), "user_id", F.col("district").alias("location_id"),
-        F.coalesce("cost", F.lit(0.0)).alias("cost"),
+        "model", F.coalesce("cost", F.lit(0.0)).alias("cost"),
         text.analogue_ts(F.col("month"), F.col("day"), F.col("hour")).alias("target_ts"))
     resolved = serving.resolve_requests(series, req)
     arrays = serving.serving_arrays(series, req, params, resolved=resolved)
-    scored = models.score_sequences(arrays, predict_fn, id_col="request_id", horizon=24)
+    if isinstance(predict_fn, Shipped):
+        named = arrays.join(req.select("request_id", "model"), "request_id")
+        scored = models.score_by_name(named, predict_fn).drop("model_status")
+    else:
+        scored = models.score_sequences(arrays, predict_fn, id_col="request_id", horizon=24)
     done = serving.post_process(scored, "forecast", y_params, rounding="ceil")
     rows = resolved.select("request_id", "user_id", "location_id", "target_ts", "cost", "status").join(done, "request_id", "left")
     if price is not None:
@@ -71,27 +82,30 @@ def score_batch(batch: DataFrame, series: DataFrame, params: dict, predict_fn: C
         rows = rows.withColumn("trip_costs", F.lit(None).cast("array<double>"))
     return rows.select(
         F.col("request_id").alias("prediction_id"), "user_id", F.col("target_ts").alias("ts"), "cost",
-        (F.col("status") == "ok").alias("scored"), text.list_to_text(F.col("forecast")).alias("result"),
+        F.col("forecast").isNotNull().alias("scored"), text.list_to_text(F.col("forecast")).alias("result"),
         text.list_to_text(F.col("trip_costs"), integral=False).alias("trip_costs"),
         F.size("trip_costs").alias("n_prices"), F.lit(epoch).cast("long").alias("processed_epoch"))
 
 
 def run_request_scoring(spark: SparkSession, messages: str, out: str, checkpoint: str,
-                        series: DataFrame, params: dict, predict_fn: Callable,
-                        price: Callable[[DataFrame], DataFrame] | None = None) -> None:
+                        series: DataFrame, params: dict, predict_fn: Callable | ModelRegistry,
+                        price: Callable[[DataFrame], DataFrame] | None = None, fmt: str = queue.NAME) -> None:
     """Scoring stream (L2).  Each micro-batch writes its rows into
     ``out/epoch=<id>`` with overwrite: a replayed epoch after a failure
     rewrites the same folder, so the sink is idempotent; the checkpoint
-    makes the source resume after the last committed epoch.  Charging is a
+    makes the source resume after the last committed epoch.  With a registry
+    as ``predict_fn`` a message names its model, and an epoch uses the versions
+    that are current when it starts.  Charging is a
     replay of the ledger with the scored paid requests in it
     (``ledger.request_lifecycle``), which readers of ``out`` run."""
     y_params = params["y"]
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        rows = score_batch(batch, series, params, predict_fn, y_params, epoch, price)
+        chosen = predict_fn.ship() if isinstance(predict_fn, ModelRegistry) else predict_fn
+        rows = score_batch(batch, series, params, chosen, y_params, epoch, price)
         rows.write.mode("overwrite").parquet(os.path.join(out, f"epoch={epoch}"))
 
-    q = (request_stream(spark, messages).writeStream.foreachBatch(sink)
+    q = (request_stream(spark, messages, fmt=fmt).writeStream.foreachBatch(sink)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
@@ -110,3 +124,8 @@ def moving_average_model(x: np.ndarray) -> np.ndarray:
     m = x[:, :, 0].mean(axis=1)
     return np.repeat(m[:, None], 24, axis=1)
 
+
+
+def last_value_model(x: np.ndarray) -> np.ndarray:
+    """Example ``predict_fn``: the window's last (scaled) trips, repeated."""
+    return np.repeat(x[:, -1:, 0], 24, axis=1)
