@@ -12,10 +12,15 @@ balanced Feistel network over pairs of residues (``ROUNDS`` rounds, keyed
 SHA-256 as round function) permutes a square that holds the set; indices that
 land outside walk on until they are inside.  So each format is permuted onto
 itself: equal values get equal pseudonyms in every document, different values
-different ones, lengths and separators stay.  A card keeps its first digit
-and gets a valid check digit, a ``+`` number keeps its first digit.  E-mail
-addresses have no numeric format: they become ``u<12 hex digits>`` of the
-keyed hash, at ``redacted.invalid``.
+different ones, lengths and separators stay.  The format of a date is its
+order, its separator and the lengths of its day and month as written
+(``5.12.2001`` and ``05.12.2001`` are of two formats); a ``d/m/yyyy`` date,
+known by a day over 12, gets one over 12 again, so no two written dates meet.
+A card keeps its first digit and gets a valid check digit, a ``+`` number
+keeps its first digit.  Only the lengths of IP addresses change: an address is
+its four octets, however they are padded.  E-mail addresses have no numeric
+format: they become ``u<12 hex digits>`` of the keyed hash, at
+``redacted.invalid``.
 
 Everything is SQL functions: rows are rewritten where they stand, without a
 shuffle, and rows without a digit or ``@`` skip the work.
@@ -46,8 +51,8 @@ PHONE = (r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)"
 CARD = r"(?<!\d)(?:\d{4}([ -])\d{4}\2\d{4}\2\d{1,7}|\d{4}([ -])\d{6}\3\d{5}|\d{13,19})(?!\d)"
 PATTERN = "|".join((EMAIL, IP, DAY, SSN, PHONE, CARD))
 
-FIRST_DAY = datetime.date(1900, 1, 1)
-DAYS = (datetime.date(2099, 12, 31) - FIRST_DAY).days + 1
+FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
+YEARS = LAST_DAY.year - FIRST_DAY.year + 1
 SSNS = 898 * 99 * 9999  # areas 001-899 without 666, groups 01-99, serials 0001-9999
 
 
@@ -55,8 +60,11 @@ def _side(size: int) -> int:
     return math.isqrt(size - 1) + 1
 
 
-def _permute(index: Column, size: Column, side: Column, tweak: Column, key: str) -> Column:
-    """Keyed permutation of 0 .. size-1 (side * side >= size)."""
+def _permute(index: Column, size: Column, side: Column, tweak: Column, key: str, inside=None) -> Column:
+    """Keyed permutation of the numbers in 0 .. size-1 (side * side >= size)
+    for which ``inside`` holds (a function of a column; all, if None)."""
+    member = (lambda x: x < size) if inside is None else (lambda x: (x < size) & inside(x))
+
     def once(x: Column) -> Column:
         def turn(s: Column, r: Column) -> Column:
             digest = F.sha2(F.concat_ws("|", F.lit(key), tweak, r, s["b"]), 256)
@@ -67,7 +75,7 @@ def _permute(index: Column, size: Column, side: Column, tweak: Column, key: str)
         return F.aggregate(F.array(*[F.lit(r) for r in range(ROUNDS)]), halves, turn, lambda s: s["a"] * side + s["b"])
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), once(index),
-                       lambda x, _: F.when(x < size, x).otherwise(once(x)))
+                       lambda x, _: F.when(member(x), x).otherwise(once(x)))
 
 
 def _digits(m: Column) -> Column:
@@ -107,7 +115,7 @@ def _kind(m: Column) -> Column:
     part = F.split(m, r"[./]")
     area = F.substring(m, 1, 3).cast("int")
     month_first = F.try_to_date(m, "M/d/yyyy")
-    real = lambda day: day.between(F.lit(FIRST_DAY), F.lit(datetime.date(2099, 12, 31)))
+    real = lambda day: day.between(F.lit(FIRST_DAY), F.lit(LAST_DAY))
     return (F.when(m.contains("@"), "email")
             .when(m.rlike(r"^(\d{1,3}\.){3}\d{1,3}$"),
                   F.when(F.forall(octets, lambda o: o.cast("int") <= 255), "ip"))
@@ -122,29 +130,56 @@ def _kind(m: Column) -> Column:
             .when(_luhn_sum(_digits(m), 0) % 10 == 0, "card"))
 
 
-def _located(m: Column) -> Column:
-    """struct(text, kind, kept, index, size, side) of a candidate."""
+def _date(m: Column, kind: Column) -> tuple[Column, Column, Column, Column]:
+    """(year, month, day, least day) of a date candidate, the first three as written."""
+    part = F.split(m, "[./-]")
+    year = F.get(part, F.when(kind == "iso", 0).otherwise(2))
+    month = F.get(part, F.when(kind == "mdy", 0).otherwise(1))
+    day = F.get(part, F.when(kind == "iso", 2).when(kind == "mdy", 1).otherwise(0))
+    return year, month, day, F.when(kind == "dmy/", 13).otherwise(1)
+
+
+def _calendar_day(x: Column, days: Column, least: Column, months: Column) -> tuple[Column, Column, Column]:
+    """(year, month, day) number ``x`` of a date format: years of ``months`` of ``days``."""
+    div = lambda a, b: F.call_function("div", a, b)
+    return div(x, months * days) + FIRST_DAY.year, F.pmod(div(x, days), months) + 1, F.pmod(x, days) + least
+
+
+def _exists(year: Column, month: Column, day: Column) -> Column:
+    leap = (F.pmod(year, F.lit(4)) == 0) & (year != 1900)
+    return day <= F.when(month.isin(4, 6, 9, 11), 30).when(month == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
+
+
+def _located(s: Column) -> Column:
+    """struct(text, kind, width, index, size, side, days, least, months) of a
+    candidate and its kind; the last three for dates only."""
+    m, kind = s["text"], s["kind"]
     digits = _digits(m)
-    kind = _kind(m)
     plus = m.startswith("+")
     body = F.when(kind == "card", digits.substr(F.lit(2), F.length(digits) - 2)).when(plus, F.substring(digits, 2, 20)).otherwise(digits)
     octets = F.split(m, r"\.")
     area = F.substring(m, 1, 3).cast("long")
     area = area - F.when(area > 666, 2).otherwise(1)
-    day = F.coalesce(*[F.when(kind == k, F.try_to_date(m, f)) for k, f in
-                       (("iso", "yyyy-MM-dd"), ("mdy", "M/d/yyyy"), ("dmy/", "d/M/yyyy"), ("dmy.", "d.M.yyyy"))])
-    index = (F.when(kind == "ip", F.aggregate(octets, F.lit(0).cast("long"), lambda s, o: s * 256 + o.cast("long")))
-             .when(day.isNotNull(), F.datediff(day, F.lit(FIRST_DAY)).cast("long"))
+    dated = kind.isin("iso", "mdy", "dmy/", "dmy.")
+    year, month, day, least = _date(m, kind)
+    months = F.when(F.length(month) == 1, 9).otherwise(12).cast("long")
+    days = (F.when(F.length(day) == 1, 9).otherwise(31) - least + 1).cast("long")
+    index = (F.when(kind == "ip", F.aggregate(octets, F.lit(0).cast("long"), lambda t, o: t * 256 + o.cast("long")))
+             .when(dated, ((year.try_cast("long") - FIRST_DAY.year) * months + month.try_cast("long") - 1) * days
+                   + day.try_cast("long") - least)
              .when(kind == "ssn", (area * 99 + F.substring(m, 5, 2).cast("long") - 1) * 9999 + F.substring(m, 8, 4).cast("long") - 1)
              .when(kind.isin("phone", "card"), body.cast("long")))
     width = F.length(body)
 
-    def by_kind(f):
-        return (F.when(kind == "ip", F.lit(f(2 ** 32)).cast("long")).when(day.isNotNull(), F.lit(f(DAYS)).cast("long"))
+    def by_kind(f, of_date):
+        return (F.when(kind == "ip", F.lit(f(2 ** 32)).cast("long")).when(dated, of_date)
                 .when(kind == "ssn", F.lit(f(SSNS)).cast("long")).otherwise(_power_of_ten(width, f)))
 
+    dates = YEARS * months * days
+    only = lambda c: F.when(dated, c.cast("long"))
     return F.struct(m.alias("text"), kind.alias("kind"), width.alias("width"), index.alias("index"),
-                    by_kind(lambda n: n).alias("size"), by_kind(_side).alias("side"))
+                    by_kind(lambda n: n, dates).alias("size"), by_kind(_side, F.ceil(F.sqrt(dates.cast("double")))).alias("side"),
+                    only(days).alias("days"), only(least).alias("least"), only(months).alias("months"))
 
 
 def _written(s: Column, key: str) -> Column:
@@ -152,7 +187,11 @@ def _written(s: Column, key: str) -> Column:
     m, kind, x = s["text"], s["kind"], s["index"]
     digits = _digits(m)
     body = F.lpad(x.cast("string"), s["width"], "0")
-    day = F.date_add(F.lit(FIRST_DAY), x.cast("int"))
+    _, old_month, old_day, _ = _date(m, kind)
+    year, month, day = _calendar_day(x, s["days"], s["least"], s["months"])
+    year = year.cast("string")
+    month = F.lpad(month.cast("string"), F.length(old_month), "0")
+    day = F.lpad(day.cast("string"), F.length(old_day), "0")
     whole = F.concat(F.substring(digits, 1, 1), body)
     check = F.pmod(-_luhn_sum(whole, 1), F.lit(10)).cast("string")
     octet = lambda k: F.pmod(F.shiftright(x, k), F.lit(256)).cast("string")
@@ -161,18 +200,14 @@ def _written(s: Column, key: str) -> Column:
     group = F.pmod(F.call_function("div", x, F.lit(9999).cast("long")), F.lit(99)) + 1
     ssn = F.concat_ws("-", F.lpad(area.cast("string"), 3, "0"), F.lpad(group.cast("string"), 2, "0"),
                       F.lpad((F.pmod(x, F.lit(9999)) + 1).cast("string"), 4, "0"))
-    short = F.when(m.rlike(r"^0|[./]0\d[./]"), "MMdd").otherwise("Md")
-
-    def dated(a: str, b: str, mark: str) -> Column:
-        return F.when(short == "MMdd", F.date_format(day, f"{a * 2}{mark}{b * 2}{mark}yyyy")).otherwise(
-            F.date_format(day, f"{a}{mark}{b}{mark}yyyy"))
-
     return (F.when(kind.isNull(), m)
             .when(kind == "email", F.concat(F.lit("u"), F.substring(F.sha2(F.concat(F.lit(key + "|email|"), F.lower(m)), 256), 1, 12),
                                             F.lit("@redacted.invalid")))
             .when(kind == "ip", F.concat_ws(".", octet(24), octet(16), octet(8), octet(0)))
-            .when(kind == "iso", F.date_format(day, "yyyy-MM-dd"))
-            .when(kind == "mdy", dated("M", "d", "/")).when(kind == "dmy/", dated("d", "M", "/")).when(kind == "dmy.", dated("d", "M", "."))
+            .when(kind == "iso", F.concat_ws("-", year, month, day))
+            .when(kind == "mdy", F.concat_ws("/", month, day, year))
+            .when(kind == "dmy/", F.concat_ws("/", day, month, year))
+            .when(kind == "dmy.", F.concat_ws(".", day, month, year))
             .when(kind == "ssn", ssn)
             .when(kind == "card", _fill(m, F.concat(whole, check)))
             .when(m.startswith("+"), _fill(m, whole))
@@ -189,9 +224,11 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     kept = [c for c in docs.columns if c not in made]
     d = docs.select(*[F.col(f"`{c}`") for c in kept], found.alias("__found"))
     tweak = lambda s: F.concat_ws("|", s["kind"], s["size"])
-    placed = F.transform(F.transform("__found", _located), lambda s: F.struct(
-        s["text"].alias("text"), s["kind"].alias("kind"), s["width"].alias("width"),
-        F.when(s["index"].isNotNull(), _permute(s["index"], s["size"], s["side"], tweak(s), key)).alias("index")))
+    known = F.transform("__found", lambda m: F.struct(m.alias("text"), _kind(m).alias("kind")))
+    real = lambda s: lambda x: s["days"].isNull() | _exists(*_calendar_day(x, s["days"], s["least"], s["months"]))
+    placed = F.transform(F.transform(known, _located), lambda s: F.struct(
+        *[s[c].alias(c) for c in ("text", "kind", "width", "days", "least", "months")],
+        F.when(s["index"].isNotNull(), _permute(s["index"], s["size"], s["side"], tweak(s), key, real(s))).alias("index")))
     d = d.withColumn("__found", F.when(F.size("__found") > 0, placed))
     new = F.transform("__found", lambda s: _written(s, key))
     gaps = F.split(t, PATTERN, -1)
