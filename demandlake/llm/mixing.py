@@ -24,8 +24,16 @@
 All of it is SQL functions; there is no per-source or per-domain group, so a
 source with a third of all rows is spread like any other.
 
-Defined results: null and empty texts have 0 tokens, the prior as posterior,
-and do not move the totals; rows with a null domain are not learned from; a
+The fit ends when the totals meet the targets, when a round no longer closes
+the gap, or after ``ROUNDS`` rounds; the totals it reached are returned beside
+the targets, so a mixture that nonnegative rates cannot meet is seen.  Columns
+and plans grow with the number of domains, which is taken to be small (some
+hundreds at most).
+
+Defined results: null, empty and blank texts have 0 tokens, the posterior of a
+text without any word, and do not move the totals; a very long text is one row
+like any other; repeated rows count once each and get equal rates; rows with a
+null key share one draw u, rows with a null domain are not learned from; a
 domain without labelled rows takes no part (targets are renormalised over the
 others; a learned domain without a target has target 0); without any
 labelled row every rate is 1; ties in the vocabulary go to the smaller word;
@@ -58,7 +66,8 @@ class DomainModel:
 
 
 def _words(text: Column) -> Column:
-    return F.split(F.lower(F.coalesce(text, F.lit(""))), " ")
+    """Words of a text: what white space separates, empty pieces left out."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\t-\r ]+"), "")
 
 
 def fit_domains(labelled: DataFrame, text: str = "text", domain: str = "domain", key: str = "doc_id",
@@ -73,7 +82,7 @@ def fit_domains(labelled: DataFrame, text: str = "text", domain: str = "domain",
     domains = sorted(counts)
     rows = drawn.select(F.col(domain).cast("string").alias("d"), F.array_distinct(_words(F.col(text))).alias("w"))
     shown = {r["d"]: r["n"] for r in rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect()}
-    seen = (rows.select("d", F.explode("w").alias("word")).where("word <> ''").groupBy("word")
+    seen = (rows.select("d", F.explode("w").alias("word")).groupBy("word")
             .agg(*[F.count(F.when(F.col("d") == d, 1)).alias(f"n{i}") for i, d in enumerate(map(str, domains))]))
     share = [(F.col(f"n{i}") + 0.5) / (shown.get(str(d), 0) + 1.0) for i, d in enumerate(domains)]
     spread = (F.greatest(*share) - F.least(*share)) if len(share) > 1 else share[0]
@@ -88,10 +97,9 @@ def fit_domains(labelled: DataFrame, text: str = "text", domain: str = "domain",
 def posteriors(docs: DataFrame, model: DomainModel, text: str = "text") -> DataFrame:
     """``docs`` plus ``n_tokens`` and ``p0 .. p<D-1>`` (model.domains order)."""
     words = _words(F.col(f"`{text}`"))
-    empty = F.coalesce(F.col(f"`{text}`"), F.lit("")) == ""
     kept = [c for c in docs.columns if c != "n_tokens" and not re.fullmatch(r"p\d+", c)]
     d = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("__words", words)
-    d = d.withColumn("n_tokens", F.when(empty, 0).otherwise(F.size("__words")).cast("long"))
+    d = d.withColumn("n_tokens", F.size("__words").cast("long"))
     k = len(model.domains)
     if model.words:
         vocab = F.array(*[F.lit(w) for w in model.words])
@@ -152,31 +160,38 @@ def fit_rates(members: DataFrame, model: DomainModel, targets: dict[str, float],
 
 
 def _plan(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], text: str, key: str, domain: str,
-          least: float, growth: bool) -> tuple[DomainModel, DataFrame, Column, Column]:
-    """(model, staged members, rate, copies)."""
+          least: float, growth: bool) -> tuple[DomainModel, DataFrame, Column, Column, dict]:
+    """(model, staged members, rate, copies, report of the fit)."""
     model = fit_domains(labelled, text, domain, key)
     members = stage(posteriors(docs.select(key, text), model, text).drop(text), "mixing-members")
-    rate, _ = fit_rates(members, model, targets, least, growth)
+    rate, report = fit_rates(members, model, targets, least, growth)
     u = F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return model, members, rate, F.floor(rate + u).cast("int")
+    return model, members, rate, F.floor(rate + u).cast("int"), report
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], text: str = "text", key: str = "doc_id",
         domain: str = "domain", least: float = 0.0, growth: bool = False) -> DataFrame:
     """A row per row of ``docs``: its key, ``n_tokens``, ``domains`` (map of
-    posteriors), ``rate`` and ``copies``."""
-    model, members, rate, copies = _plan(docs, labelled, targets, text, key, domain, least, growth)
-    k = len(model.domains)
-    domains = F.map_from_arrays(F.array(*[F.lit(d) for d in model.domains]), F.array(*[F.col(f"p{i}") for i in range(k)])) if k \
-        else F.lit(None).cast("map<string,double>")
-    return members.select(key, "n_tokens", domains.alias("domains"), rate.alias("rate"), copies.alias("copies"))
+    posteriors), ``rate``, ``copies``, and the same for every row ``targets``
+    and ``reached``: what the expected domain totals should be and are, as
+    maps (null where there was nothing to fit)."""
+    model, members, rate, copies, report = _plan(docs, labelled, targets, text, key, domain, least, growth)
+
+    def by_domain(values: list) -> Column:
+        if not values:
+            return F.lit(None).cast("map<string,double>")
+        return F.map_from_arrays(F.array(*[F.lit(d) for d in model.domains]), F.array(*values))
+
+    totals = {name: by_domain([F.lit(v) for v in report[made]]) for name, made in (("targets", "targets"), ("reached", "totals"))}
+    return members.select(key, "n_tokens", by_domain([F.col(f"p{i}") for i in range(len(model.domains))]).alias("domains"),
+                          rate.alias("rate"), copies.alias("copies"), *[c.alias(name) for name, c in totals.items()])
 
 
 def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], text: str = "text", key: str = "doc_id",
              domain: str = "domain", least: float = 0.0, growth: bool = False) -> DataFrame:
     """``docs`` with every row repeated as often as the mixture asks.  The
     posterior is evaluated again in place, so the texts are not shuffled."""
-    model, _, _, copies = _plan(docs, labelled, targets, text, key, domain, least, growth)
+    model, _, _, copies, _ = _plan(docs, labelled, targets, text, key, domain, least, growth)
     hidden = [c for c in docs.columns if c == "n_tokens" or re.fullmatch(r"p\d+", c)]
     bare = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{text}`").alias(text),
                        F.col(f"`{key}`").alias(key)) if hidden else docs

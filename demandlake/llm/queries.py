@@ -60,7 +60,8 @@ def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op2_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = mixing.mix(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), MIX_TARGETS)
-    return out.select("doc_id", "n_tokens", F.to_json("domains").alias("domains"), "rate", "copies")
+    return out.select("doc_id", "n_tokens", F.to_json("domains").alias("domains"), "rate", "copies",
+                      F.to_json("targets").alias("targets"), F.to_json("reached").alias("reached"))
 
 
 def op3_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:

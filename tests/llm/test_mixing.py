@@ -86,6 +86,23 @@ def test_empty_and_unlabelled(spark):
     assert {round(r.rate, 6) for r in one.collect()} == {1.0}
 
 
+def test_words_end_at_any_white_space_and_totals_are_shown(spark):
+    rows = [(i, t, d, "x") for i, (t, d) in enumerate([("apple\npear\tplum", "a"), (" apple  pear\r\n", "a"), ("steel\niron", "b"),
+                                                       ("\n \t", None), ("steel " * 50000, "b"), ("steel " * 50000, "b")])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = mixing.fit_domains(docs)
+    assert set(model.words) == {"apple", "pear", "plum", "steel", "iron"}
+    out = mixing.mix(docs, docs, TARGETS).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in out] == [3, 2, 2, 0, 50000, 50000]
+    assert out[4].rate == out[5].rate
+    shares = np.array([[r.domains[d] for d in ("a", "b")] for r in out])
+    reached = (np.array([r.rate * r.n_tokens for r in out])) @ shares / sum(r.n_tokens for r in out)
+    np.testing.assert_allclose([out[0].reached["a"], out[0].reached["b"]], reached, atol=1e-9)
+    assert out[0].targets == TARGETS
+    unfit = mixing.mix(docs, docs.where(F.lit(False)), TARGETS).first()
+    assert unfit.targets is None and unfit.reached is None
+
+
 def test_plan_is_native(spark):
     docs = corpus(spark)
     assert "Python" not in mixing.mix(docs, docs, TARGETS)._jdf.queryExecution().toString()
