@@ -39,5 +39,6 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def crc_remainder(col: str, divisor: int):
-    """crc32 of the id written as text, modulo ``divisor``."""
-    return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(divisor))
+    """crc32 of the id written as text, modulo ``divisor``; a null id counts as
+    an empty text (remainder 0)."""
+    return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(divisor))

@@ -10,8 +10,11 @@ pairs goes through one tanh layer.  Gated attention weighs the passages,
 and the weighted sum of the encodings is scored by a logistic unit.  All
 weights are learned together from document labels (Adam, fixed seed).
 
-The model is fitted on the driver on a bounded sample: about ``sample``
-labelled documents, at most ``BAG`` evenly spaced passages of each.  Scoring
+The model is fitted on the driver on a bounded sample of labelled rows: about
+``sample`` documents, fewer where these would hold more than ``sample_bytes``
+of text in all (both expected numbers, drawn by a hash of the id).  Of a drawn
+document every passage is learned from.  Passages stay half-precision numbers,
+536 bytes for 64 words, and are normalised batch by batch.  Scoring
 encodes every passage of every whole text in ``mapInArrow``, without a
 shuffle; the model (some 100 KB) travels with the function.
 
@@ -35,7 +38,7 @@ from pyspark.sql import types as T
 
 PASSAGE_WORDS = 64
 SAMPLE = 6000   # labelled documents the fit sees (expected number)
-BAG = 64        # passages of one document the fit sees
+SAMPLE_BYTES = 48 << 20  # and their text (expected sum)
 PAIRS = 256     # places of hashed byte pairs
 SHARES = 12
 HIDDEN, ATTENTION = 24, 16
@@ -153,14 +156,26 @@ def _gradient(m: AttentionModel, x, owner, y):
             "c": f["z"].T @ ds, "d": np.array([ds.sum()])}
 
 
+def _moments(x: np.ndarray, rows: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, standard deviation) of the columns, a block of rows at a time."""
+    total = np.zeros(x.shape[1])
+    for i in range(0, len(x), rows):
+        total += x[i:i + rows].sum(0, dtype=np.float64)
+    mean = total / len(x)
+    square = np.zeros(x.shape[1])
+    for i in range(0, len(x), rows):
+        square += ((x[i:i + rows] - mean) ** 2).sum(0)
+    return mean, np.sqrt(square / len(x))
+
+
 def train(x: np.ndarray, owner: np.ndarray, y: np.ndarray, seed: int = 7) -> AttentionModel:
     """Fit on passages ``x`` of bags ``owner`` (sorted) with labels ``y``."""
     share = float(y.mean()) if len(y) else 0.5
     if not len(y) or share in (0.0, 1.0):
         return AttentionModel(np.zeros(1), np.ones(1), {}, share)
     rng = np.random.default_rng(seed)
-    mean, scale = x.mean(0), x.std(0) + 0.02
-    x = ((x - mean) / scale).astype(np.float32)
+    mean, deviation = _moments(x)
+    mean, scale = mean.astype(np.float32), (deviation + 0.02).astype(np.float32)
     d = x.shape[1]
     m = AttentionModel(mean, scale, {
         "E": rng.normal(0, 1 / np.sqrt(d), (d, HIDDEN)), "e": np.zeros(HIDDEN),
@@ -179,7 +194,7 @@ def train(x: np.ndarray, owner: np.ndarray, y: np.ndarray, seed: int = 7) -> Att
             rows = np.concatenate([np.arange(begin[b], begin[b + 1]) for b in own])
             bag = np.repeat(np.arange(len(own)), begin[own + 1] - begin[own])
             step += 1
-            for k, g in _gradient(m, x[rows], bag, y[own]).items():
+            for k, g in _gradient(m, (x[rows].astype(np.float32) - mean) / scale, bag, y[own]).items():
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
                 m.weights[k] -= rate * (first[k] / (1 - 0.9 ** step) / (np.sqrt(second[k] / (1 - 0.999 ** step)) + 1e-8)
@@ -199,11 +214,12 @@ def _slices(batches: Iterable[pa.RecordBatch], at: int, bytes_at_once: int = 1 <
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality",
-        sample: int = SAMPLE) -> AttentionModel:
+        sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> AttentionModel:
     """Learn from ``labels`` (key, label 0/1) of ``docs`` (key, text)."""
     marks = labels.where(F.col(label).isNotNull()).groupBy(key).agg(F.avg(label).alias("__y"))
-    n = marks.count()
-    share = min(1.0, sample / max(1, n))
+    sizes = docs.select(key, F.octet_length(text).alias("__b")).join(marks.select(key), key).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("__b").cast("double")).alias("b")).first()
+    share = min(1.0, sample / max(1, sizes["n"]), sample_bytes / max(1.0, sizes["b"] or 0.0))
     draw = F.pmod(F.xxhash64(F.lit(5), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = docs.select(key, text).join(marks.where(draw < share), key).select(F.col(key), F.col(text), "__y")
 
@@ -213,8 +229,6 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
             out = []
             for b in range(len(texts)):
                 own = x[owner == b] if len(texts) < 2 else x[np.searchsorted(owner, b):np.searchsorted(owner, b + 1)]
-                if len(own) > BAG:
-                    own = own[np.linspace(0, len(own) - 1, BAG).astype(int)]
                 out.append(own.astype("<f2").tobytes())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary()), part.column(2)], [key, "x", "y"])
 
@@ -223,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
                                                T.StructField("y", T.DoubleType())])).collect()
     rows.sort(key=lambda r: (r[key], bytes(r["x"])))
     bags = [np.frombuffer(bytes(r["x"]), "<f2").reshape(-1, SHARES + PAIRS) for r in rows]
-    x = np.concatenate(bags).astype(np.float32) if bags else np.zeros((0, SHARES + PAIRS), np.float32)
+    x = np.concatenate(bags) if bags else np.zeros((0, SHARES + PAIRS), "<f2")
     return train(x, np.repeat(np.arange(len(bags)), [len(b) for b in bags]), np.array([r["y"] for r in rows]))
 
 

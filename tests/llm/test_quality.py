@@ -68,3 +68,32 @@ def test_defined_cases(spark):
     both = spark.createDataFrame([(1, 0), (3, 1), (3, 1), (2, 0)], "doc_id long, quality int")
     scores = quality.score(docs, quality.fit(docs, both)).collect()
     assert len(scores) == 5 and all(0 <= r.score <= 1 for r in scores)
+
+
+def test_fit_learns_from_every_passage_of_long_documents(spark):
+    """Good and bad differ in one passage, in the last tenth of 200."""
+    def text(i, mark):
+        plain = "some plain words of no weight at all "
+        return plain * 1500 + ("ZZ || 99 " * 60 if mark else "") + plain * (80 + i)
+
+    docs = spark.createDataFrame([(i, text(i, i % 2 == 0)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    scores = {r.doc_id: r.score for r in quality.score(docs, quality.fit(docs, labels)).collect()}
+    good, bad = [scores[i] for i in range(1, 60, 2)], [scores[i] for i in range(0, 60, 2)]
+    assert min(good) > max(bad)
+
+
+def test_sample_is_bounded_by_documents_and_by_text(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda x, owner, y: seen.append(len(y)))
+    docs = spark.createDataFrame([(i, "word " * 200) for i in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, quality int")
+    for bounds in ({}, {"sample": 500}, {"sample_bytes": 250_000}):
+        quality.fit(docs, labels, **bounds)
+    assert seen[0] == 2000 and 400 < seen[1] < 600 and 180 < seen[2] < 320
+
+
+def test_null_id_is_held_out_or_not(spark):
+    from demandlake.llm.common import crc_remainder
+    ids = spark.createDataFrame([(None,), (7,)], "doc_id long")
+    assert [r[0] for r in ids.select(crc_remainder("doc_id", 5)).collect()] == [0, zlib.crc32(b"7") % 5]
