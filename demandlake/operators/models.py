@@ -1,8 +1,8 @@
 """Forecasters and the cost model on Spark ML.
 
-* H4: one linear regression per horizon step on the flattened 72 x 24
-  window (the reference's multi-output linear model); the vector column is
-  built once and cached for the 24 fits.
+* H4: multi-output least squares on windows that are gathered already, from
+  any source.  For windows of a series ``lagged`` fits and forecasts without
+  gathering them.
 * H5/H6: cost preprocessing (one-hot zone with unknown -> zeros, mean
   imputer, standard scaler) and a gradient-boosted tree regressor in one
   ``Pipeline``; saved with ``PipelineModel.write``.
@@ -58,15 +58,14 @@ def fit_linear(train: DataFrame, x_col: str = "x", y_col: str = "y") -> tuple[np
     are constant.  Returns (coef [n_x, n_y], intercept [n_y]).
     """
     from pyspark.ml.stat import Correlation, Summarizer
-    data = train.select(array_to_vector(F.concat(F.flatten(F.col(x_col)), F.col(y_col))).alias("v")).cache()
+    data = train.select(array_to_vector(F.concat(F.flatten(F.col(x_col)), F.col(y_col))).alias("v"))
+    ny = train.agg(F.max(F.size(y_col))).first()[0]
     st = data.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s")).first()["s"]
     corr = np.nan_to_num(Correlation.corr(data, "v").first()[0].toArray())
-    data.unpersist()
     n = float(st["count"])
     mean = st["mean"].toArray()
     std = np.sqrt(st["variance"].toArray())       # sample variance
     centred = corr * np.outer(std, std) * (n - 1)  # sum of centred cross products
-    ny = len(train.select(y_col).first()[0])
     nx = len(mean) - ny
     xx, xy = centred[:nx, :nx], centred[:nx, nx:]
     coef = np.linalg.pinv(xx, rcond=1e-10, hermitian=True) @ xy

@@ -11,6 +11,15 @@ from demandlake.operators.features import SEQ_FEATURES
 from demandlake.plans import daily
 
 
+TARGET, ROW = "target", "row_no"
+
+
+def model_rows(features: DataFrame, params: dict) -> DataFrame:
+    """Features imputed and scaled for a model, beside the raw target and row number."""
+    raw = features.withColumns({TARGET: F.col("trips_count").cast("double"), ROW: F.col("time_idx")})
+    return scaling.transform(scaling.impute(raw, params, SEQ_FEATURES), params, SEQ_FEATURES)
+
+
 def feature_windows(spark: SparkSession, sf_dir: str, features: DataFrame | None = None) -> DataFrame:
     f = features if features is not None else daily.stable_features(spark, sf_dir)
     return sequences.windows(f)

@@ -6,13 +6,14 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandlake import catalog
 from demandlake.catalog import COST, DISTANCE, PICKUP, ZONE
 from demandlake.functions import text
-from demandlake.operators import metrics, models, scaling, sequences, serving
+from demandlake.operators import lagged, metrics, models, scaling, serving
 from demandlake.operators.features import SEQ_FEATURES
 from demandlake.operators.hourly import hourly_cost
 from demandlake.plans import daily, experiment, requests
@@ -28,28 +29,30 @@ COST_NUMERIC = ("trips_count", "hour", "temp", "prcp", "wspd", "day_of_week", "m
                 "is_pre_holiday", "is_post_holiday")
 
 
-def window_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows with their scaled, imputed 72 x 24 inputs."""
+def _linear(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(scaled and imputed features with the raw target, coefficients, intercept)."""
     f = daily.stable_features(spark, sf_dir)
-    params = scaling.to_dict(experiment.scaler(spark, sf_dir, features=f))
-    scaled = scaling.transform(scaling.impute(f, params, SEQ_FEATURES), params, SEQ_FEATURES)
-    x = sequences.input_arrays(scaled, SEQ_FEATURES).select("location_id", "origin", "x")
-    win = sequences.windows(f, baselines=False).select("seq_no", "location_id", "origin", "split", "y")
-    return win.join(x, ["location_id", "origin"])
+    scaled = experiment.model_rows(f, scaling.to_dict(experiment.scaler(spark, sf_dir, features=f)))
+    return scaled, *lagged.fit(scaled, SEQ_FEATURES, experiment.TARGET, idx=experiment.ROW)
 
 
 def linear_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = window_inputs(spark, sf_dir)
-    coef, intercept = models.fit_linear(w.where(F.col("split") == "train"))
-    test = w.where(F.col("split") == "test")
-    pred = models.predict_linear(test, coef, intercept)
-    long = (test.select("seq_no", "y").join(pred, "seq_no")
-            .select("seq_no", F.posexplode(F.arrays_zip("y", "forecast")).alias("step", "yp"))
-            .select("seq_no", "step", F.col("yp.y").alias("y"), F.col("yp.forecast").alias("p"),
-                    F.lit("LinearReg").alias("model")))
+    """The linear forecaster (H4), fitted on the training windows and measured
+    on the test windows."""
+    rows, coef, intercept = _linear(spark, sf_dir)
+    pred = lagged.predict(rows, SEQ_FEATURES, experiment.TARGET, coef, intercept, idx=experiment.ROW)
+    long = (pred.select(F.posexplode(F.arrays_zip("y", "forecast")).alias("step", "yp"))
+            .select("step", F.col("yp.y").alias("y"), F.col("yp.forecast").alias("p"), F.lit("LinearReg").alias("model")))
     return metrics.evaluate(long)
 
 
+def linear_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per step: training windows, and what least squares must bring to zero,
+    the products of the residuals with every input and with 1."""
+    rows, coef, intercept = _linear(spark, sf_dir)
+    return lagged.residual_products(rows, SEQ_FEATURES, experiment.TARGET, coef, intercept, idx=experiment.ROW)
+
+
 def cost_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly cost per zone from the trip feed (events: value = cost, the
     user id's last digit + 1 = distance), cleaned as the cost variant is

@@ -325,6 +325,11 @@ TARGETS = f"""
     FROM ({WINDOWS}) w CROSS JOIN range(24) AS t(step)
     JOIN ({SERIES}) s ON s.location_id = w.location_id AND s.idx = w.origin + t.step
 """
+# least squares leave no product with any input: zeros, on the training windows
+ORACLE["linear_residual_products"] = q.select(f"""
+    SELECT t.step, max(z.cut1) AS n_windows, 0.0 AS largest_product, 0.0 AS mean_residual
+    FROM ({ZONES}) z CROSS JOIN range(24) AS t(step) GROUP BY t.step
+""", {"step": "i", "n_windows": "i", "largest_product": "d4", "mean_residual": "d4"})
 ORACLE["sequence_windows"] = q.select(WINDOWS, {
     "seq_no": "i", "location_id": "s", "zone_idx": "i", "origin": "i", "origin_date": "day",
     "origin_hour": "i", "split": "s"})

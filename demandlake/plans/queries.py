@@ -616,6 +616,13 @@ def q_linear_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(modeling.linear_metrics(spark, sf_dir))
 
 
+@register("linear_residual_products")
+def q_linear_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normal equations of the linear forecaster (H4), checked on the training
+    windows: shares of 0 to four digits for every step."""
+    return report(modeling.linear_residuals(spark, sf_dir), digits=4)
+
+
 @register("cost_model_metrics")
 def q_cost_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(modeling.cost_metrics(spark, sf_dir))

@@ -16,10 +16,10 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from demandlake.operators import models, scaling, sequences
+from demandlake.operators import lagged, scaling
 from demandlake.operators.features import SEQ_FEATURES
+from demandlake.plans import experiment
 
 RETRAIN_FRACTIONS = (0.8, 1.0)
 
@@ -31,11 +31,8 @@ def refit(spark: SparkSession, features: DataFrame, model_dir: str,
     fresh = scaling.fit_scaler(scaling.long_form(w, SEQ_FEATURES))
     params = scaling.merge_scaler(previous, fresh) if previous is not None else fresh
     p = scaling.to_dict(params)
-    scaled = scaling.transform(scaling.impute(features, p, SEQ_FEATURES), p, SEQ_FEATURES)
-    x = sequences.input_arrays(scaled, SEQ_FEATURES).select("location_id", "origin", "x")
-    win = sequences.windows(features, fractions=RETRAIN_FRACTIONS, baselines=False) \
-        .where(F.col("split") == "train").select("location_id", "origin", "y")
-    coef, intercept = models.fit_linear(win.join(x, ["location_id", "origin"]))
+    coef, intercept = lagged.fit(experiment.model_rows(features, p), SEQ_FEATURES, experiment.TARGET, RETRAIN_FRACTIONS,
+                                 idx=experiment.ROW)
     path = os.path.join(model_dir, f"v={uuid.uuid4().hex[:12]}")
     params.write.mode("overwrite").parquet(os.path.join(path, "scaler"))
     rows = [(int(i), [float(v) for v in coef[:, i]], float(intercept[i])) for i in range(coef.shape[1])]
