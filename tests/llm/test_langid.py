@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 
 from demandlake.llm import langid
@@ -57,3 +59,39 @@ def test_clusters_separate():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     c, r = langid.cluster(x.astype(np.float32), 3)
     assert sorted(np.argmax(c, 1).tolist()) == [0, 1, 2] and (r < 0.2).all()
+
+
+def plain_vector(text, idf):
+    """{place: weight} of length one, gram by gram."""
+    kept = "".join(chr(c) if c >= 128 or chr(c).isalpha() else " " for c in text.lower().encode("utf-8", "replace"))
+    data = (" " + " ".join(w for w in kept.split(" ") if w) + " ").encode("latin-1")
+    counts = {}
+    for n, mark in ((2, 0), (3, 1 << 24), (4, 0)):
+        for i in range(len(data) - n + 1):
+            place = ((int.from_bytes(data[i:i + n], "big") | mark) * 2654435761 % 2 ** 32) >> 19
+            counts[place] = counts.get(place, 0) + 1
+    v = {p: (1 + math.log(c)) * float(idf[p]) for p, c in counts.items()}
+    norm = math.sqrt(sum(x * x for x in v.values()))
+    return {p: x / norm for p, x in v.items()}
+
+
+def test_predictions_against_every_centroid_in_plain_python(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs)
+    whole = docs.drop("lang")
+    long = spark.createDataFrame([(-1, "ein sehr langer satz und noch einer " * 20000), (-2, None), (-3, "12 345")], whole.schema)
+    asked = whole.unionByName(long)
+    got = {r.doc_id: r for r in langid.predict(asked, model).collect()}
+    assert len(got) == asked.count() and got[-2].nearest == got[-3].nearest == "und" and got[-1].nearest == "de"
+    for r in asked.where("text is not null and doc_id <> -3").collect():
+        v = plain_vector(r.text, model.idf)
+        at, weight = list(v), np.array(list(v.values()))
+        cosine = [float(weight @ c[at].astype(float)) for c in model.centroids]
+        best, found = max(cosine), got[r.doc_id]
+        assert abs(found.score - best) < 1e-5
+        # single-precision sums: any centroid this near the best may be taken
+        near = [i for i, c in enumerate(cosine) if c > best - 1e-5]
+        assert found.nearest in {model.languages[i] for i in near}
+        if len(near) == 1 and abs(1 - best - model.radius[near[0]]) > 1e-5:
+            assert found.rejected == (1 - best > model.radius[near[0]])
+            assert found.language == ("und" if found.rejected else found.nearest)
