@@ -25,6 +25,7 @@ from demandlake.sources import weather as wx
 
 ZONE = "location_id"
 PAST = 72
+BLOCK = 256
 CEIL_SLACK = 1e-9
 
 
@@ -91,13 +92,17 @@ def _clean(c: str) -> Column:
     return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
 
 
-def window_matrices(series: DataFrame, params=None, feature_cols: Sequence[str] = SEQ_FEATURES, past: int = PAST,
-                    zone: str = ZONE, upto_target: bool = False) -> DataFrame:
-    """(zone, asof_idx, n_padded, x): the input matrix that ends in each row
-    of the series.  The last ``past`` rows as of the row, imputed with the
-    zone mean (G9), scaled with the training scaler (G7) and padded in front
-    with the zone's mean row (G10).  One matrix per zone and hour, however
-    many requests ask for it.
+def window_matrices(series: DataFrame, wanted: DataFrame, params=None, feature_cols: Sequence[str] = SEQ_FEATURES,
+                    past: int = PAST, zone: str = ZONE, upto_target: bool = False, block: int = BLOCK) -> DataFrame:
+    """(zone, asof_idx, n_padded, x): the input matrix that ends in each
+    ``wanted`` row (zone, asof_idx) of the series, repeats once.  The last
+    ``past`` rows as of the row, imputed with the zone mean (G9), scaled with
+    the training scaler (G7) and padded in front with the zone's mean row
+    (G10).
+
+    The series is gathered into blocks of ``block`` rows with the ``past`` - 1
+    rows before them, so a row travels once and a little, and a matrix is cut
+    out of its block for the wanted rows only.
 
     ``upto_target``: means over the rows up to the row only (no look-ahead);
     the default takes all rows of the zone, as the reference does.
@@ -108,41 +113,51 @@ def window_matrices(series: DataFrame, params=None, feature_cols: Sequence[str]
         return (x - F.lit(p[c][0])) / F.lit(p[c][1]) if c in p else x
 
     by_row = Window.partitionBy(zone).orderBy("_idx")
-    so_far = by_row.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    scope = so_far if upto_target else Window.partitionBy(zone)
+    scope = by_row.rowsBetween(Window.unboundedPreceding, Window.currentRow) if upto_target else Window.partitionBy(zone)
     series = series.select(zone, F.col("time_idx").alias("_idx"), *[_clean(c).alias(c) for c in feature_cols])
     rows = series.select("*", *[F.avg(c).over(scope).alias(f"_mean_{c}") for c in feature_cols])
-    rows = rows.select(
-        zone, "_idx",
-        F.array(*[F.col(c) for c in feature_cols]).alias("_raw"),
-        F.array(*[scaled(c, F.coalesce(F.col(c), F.col(f"_mean_{c}"))) for c in feature_cols]).alias("_row"),
-        F.array(*[F.col(f"_mean_{c}") for c in feature_cols]).alias("_mean"),
-        F.array(*[scaled(c, F.col(f"_mean_{c}")) for c in feature_cols]).alias("_pad"))
-    last = by_row.rowsBetween(-(past - 1), Window.currentRow)
+    mean = F.array(*[F.col(f"_mean_{c}") for c in feature_cols])
+    if upto_target:
+        # the means move with the row: raw rows and means travel, a matrix is imputed when it is cut
+        values = [F.array(*[F.col(c) for c in feature_cols]).alias("row"), mean.alias("mean")]
+    else:
+        values = [F.array(*[scaled(c, F.coalesce(F.col(c), F.col(f"_mean_{c}"))) for c in feature_cols]).alias("row")]
+    pad = F.array(*[scaled(c, F.col(f"_mean_{c}")) for c in feature_cols])
+    holders = F.sequence(F.floor(F.col("_idx") / block), F.floor((F.col("_idx") + past - 1) / block))
+    blocks = (rows.select(zone, pad.alias("_pad"), F.struct("_idx", *values).alias("_entry"), F.explode(holders).alias("_block"))
+              .groupBy(zone, "_block").agg(F.first("_pad").alias("_pad"), F.sort_array(F.collect_list("_entry")).alias("_held")))
+    asked = wanted.select(zone, "asof_idx").distinct().withColumn("_block", F.floor(F.col("asof_idx") / block))
+    first = F.greatest(F.col("asof_idx") - (past - 1), F.lit(0))
+    cut = F.slice("_held", (first - F.col("_held")[0]["_idx"] + 1).cast("int"), (F.col("asof_idx") - first + 1).cast("int"))
+    found = asked.join(blocks, [zone, "_block"]).select(zone, "asof_idx", "_pad", cut.alias("_cut"))
+    seen = F.col("_cut")["row"]
     if upto_target:
-        # the means move with the row, so the raw rows are imputed per matrix
-        seen = F.transform(F.collect_list("_raw").over(last), lambda r: F.zip_with(r, F.col("_mean"), lambda v, m: F.coalesce(v, m)))
+        own = F.element_at("_cut", -1)["mean"]
+        seen, front = F.transform(seen, lambda r: F.zip_with(r, own, lambda v, m: F.coalesce(v, m))), own
         if p:
-            centre = F.array(*[F.struct(F.lit(p[c][0]).alias("m"), F.lit(p[c][1]).alias("s")) for c in feature_cols])
-            seen = F.transform(seen, lambda r: F.zip_with(r, centre, lambda v, t: (v - t["m"]) / t["s"]))
+            centre = F.array(*[F.struct(F.lit(p[c][0] if c in p else 0.0).alias("m"), F.lit(p[c][1] if c in p else 1.0).alias("s"))
+                               for c in feature_cols])
+
+            def centred(r: Column) -> Column:
+                return F.zip_with(r, centre, lambda v, t: (v - t["m"]) / t["s"])
+            seen, front = F.transform(seen, centred), centred(own)
     else:
-        seen = F.collect_list("_row").over(last)
-    rows = rows.select(zone, F.col("_idx").alias("asof_idx"), "_pad", seen.alias("_seen"))
-    missing = F.lit(past) - F.size("_seen")
-    return rows.select(zone, "asof_idx", missing.alias("n_padded"), F.concat(F.array_repeat("_pad", missing), "_seen").alias("x"))
+        front = F.col("_pad")
+    missing = F.lit(past) - F.size("_cut")
+    return found.select(zone, "asof_idx", missing.alias("n_padded"), F.concat(F.array_repeat(front, missing), seen).alias("x"))
 
 
 def serving_arrays(series: DataFrame, requests: DataFrame, params=None, feature_cols: Sequence[str] = SEQ_FEATURES,
                    past: int = PAST, request_id: str = "request_id", zone: str = ZONE, resolved: DataFrame | None = None,
                    upto_target: bool = False) -> DataFrame:
     """The input matrix of each request that has one (J3): (request id, zone,
-    asof_idx, n_padded, x).  The matrices are built on the series, and a
-    request reaches its own by one equi-join on (zone, asof_idx).
+    asof_idx, n_padded, x).  Each (zone, asof_idx) that is asked for is built
+    once, and a request reaches its own by one equi-join on them.
     ``resolved``: the requests already resolved, if the caller has them."""
     if resolved is None:
         resolved = resolve_requests(series, requests, zone=zone)
     ok = resolved.where(F.col("status") == "ok").select(request_id, zone, "asof_idx")
-    return ok.join(window_matrices(series, params, feature_cols, past, zone, upto_target), [zone, "asof_idx"]).select(
+    return ok.join(window_matrices(series, ok, params, feature_cols, past, zone, upto_target), [zone, "asof_idx"]).select(
         request_id, zone, "asof_idx", "n_padded", "x")
 
 

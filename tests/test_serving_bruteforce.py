@@ -38,3 +38,26 @@ def test_serving_windows_match_pandas(spark):
         np.testing.assert_allclose(mine[list(SEQ_FEATURES)].to_numpy(), x, rtol=1e-12, atol=1e-12)
         checked += 1
     assert checked > 50
+
+
+def test_matrices_are_cut_from_blocks_for_wanted_rows_only(spark):
+    """Blocks shorter than a matrix, at their edges, with gaps, padding and rows asked for twice."""
+    rng = np.random.default_rng(3)
+    rows = [(z, i, None if rng.random() < 0.2 else float(rng.integers(0, 50)), float(i)) for z, n in (("a", 40), ("b", 7)) for i in range(n)]
+    series = spark.createDataFrame(rows, "location_id string, time_idx long, u double, v double")
+    asked = [("a", 0), ("a", 4), ("a", 5), ("a", 39), ("a", 39), ("b", 6), ("c", 1)]
+    wanted = spark.createDataFrame(asked, "location_id string, asof_idx long")
+    params = {"u": (10.0, 4.0)}
+    whole = pd.DataFrame(rows, columns=["z", "i", "u", "v"])
+    for upto in (False, True):
+        got = serving.window_matrices(series, wanted, params, ["u", "v"], past=12, upto_target=upto, block=5).collect()
+        assert sorted((r["location_id"], r["asof_idx"]) for r in got) == sorted(set(asked) - {("c", 1)})
+        for r in got:
+            zone = whole[(whole["z"] == r["location_id"]) & ((whole["i"] <= r["asof_idx"]) | (not upto))]
+            mean = zone[["u", "v"]].mean()
+            held = zone[(zone["i"] <= r["asof_idx"]) & (zone["i"] > r["asof_idx"] - 12)][["u", "v"]].fillna(mean)
+            front = pd.DataFrame([mean] * (12 - len(held)), columns=["u", "v"])
+            want = pd.concat([x for x in (front, held) if len(x)])
+            want["u"] = (want["u"] - 10.0) / 4.0
+            assert r["n_padded"] == len(front)
+            np.testing.assert_allclose(np.array(r["x"], dtype=float), want.to_numpy(dtype=float), rtol=1e-12, atol=1e-12, equal_nan=True)
