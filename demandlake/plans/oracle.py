@@ -779,6 +779,33 @@ ORACLE["request_lifecycle"] = q.select(f"""
       "balance_after_cents": "i"})
 
 
+_AT = "TIMESTAMP '2030-01-01 00:00:00' + INTERVAL 1 HOUR * (n - 1)"
+ORACLE["request_transitions"] = q.select(f"""
+    WITH rep AS ({_replay_sql(_lifecycle_ops(_RESULTS))}),
+    res AS (SELECT *, CASE WHEN prediction_id % 49 = 0 THEN 3 WHEN prediction_id % 7 = 0 THEN 2 ELSE 1 END AS tries
+            FROM ({_RESULTS}) x),
+    turns AS (SELECT res.*, n FROM res CROSS JOIN range(1, 4) AS t(n) WHERE n <= tries),
+    steps AS (
+      SELECT prediction_id, 'pending' AS status, ts, 0 AS attempt, NULL AS reason, 0 AS pos FROM res
+      UNION ALL
+      SELECT prediction_id, 'processing', {_AT}, n, NULL, 1 FROM turns
+      UNION ALL
+      SELECT prediction_id, 'pending', {_AT} + INTERVAL 1 HOUR, n, 'timeout', 2 FROM turns WHERE n < tries
+      UNION ALL
+      SELECT prediction_id, CASE WHEN scored THEN 'completed' ELSE 'failed' END, {_AT} + INTERVAL 5 MINUTE, n,
+             CASE WHEN NOT scored THEN 'not_scored' END, 2
+      FROM turns WHERE n = tries
+      UNION ALL
+      SELECT res.prediction_id, 'failed', TIMESTAMP '2030-01-01 03:00:00', tries, 'charge_rejected', 3
+      FROM res LEFT JOIN rep ON rep.op_id = -res.prediction_id - 1
+      WHERE scored AND cost <> 0 AND NOT coalesce(rep.accepted, FALSE)
+    )
+    SELECT prediction_id, row_number() OVER (PARTITION BY prediction_id ORDER BY attempt, pos) AS step,
+           status, ts, attempt, reason
+    FROM steps
+""", {"prediction_id": "i", "step": "i", "status": "s", "ts": "ts", "attempt": "i", "reason": "s"})
+
+
 _TPRICE = ("CASE {t} WHEN 'bronze' THEN 0 WHEN 'silver' THEN 10000 WHEN 'gold' THEN 20000 "
            "WHEN 'diamond' THEN 50000 END")
 _TIER_OPS = f"""

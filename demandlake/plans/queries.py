@@ -427,19 +427,18 @@ def q_ledger_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_request_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchase requests processed by the serving path, paid by tier price
     and charged after completion through the ledger (J6)."""
-    series = serving.series_ts(daily.stable_features(spark, sf_dir))
-    req = requests_plan.driver_requests(spark, sf_dir)
-    st = serving.resolve_requests(series, req)
-    u = accounts.users(catalog.load(spark, sf_dir, "customer"))
-    results = st.join(u.select("user_id", "tier"), "user_id", "left").select(
-        F.col("request_id").alias("prediction_id"), "user_id", F.col("target_ts").alias("ts"),
-        F.when(F.col("request_id") % 4 != 0, ledger.request_price(F.coalesce(F.col("tier"), F.lit("bronze"))))
-        .otherwise(F.lit(0.0)).alias("cost"), (F.col("status") == "ok").alias("scored"))
+    results = requests_plan.processed_requests(spark, sf_dir)
     ops = accounts.movements(catalog.load(spark, sf_dir, "orders"), with_tiers=False)
     out = ledger.request_lifecycle(results, ops)
     return report(out.select("prediction_id", "user_id", "cost", "status", "charged", "balance_after_cents"))
 
 
+@register("request_transitions")
+def q_request_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every status a request goes through, lost workers and rejected charges included."""
+    return report(requests_plan.request_transitions(spark, sf_dir))
+
+
 @register("tier_replay")
 def q_tier_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = accounts.movements(catalog.load(spark, sf_dir, "orders"), with_tiers=True)
