@@ -20,7 +20,7 @@ from demandlake.operators.ledger import (  # noqa: F401
     affordability, daily_quota, expire_tiers, history, monthly_active, owner_lookup, owner_lookups, quota, register_users,
     replay_ledger, request_lifecycle, request_price, retention, running_balance, tier_price,
 )
-from demandlake.operators import lagged, lifecycle  # noqa: F401
+from demandlake.operators import lagged, lifecycle, trees  # noqa: F401
 from demandlake.operators.metrics import (  # noqa: F401
     best, error_matrix_wide, evaluate, evaluate_pooled, mae_by, model_table,
 )

@@ -7,13 +7,14 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandlake import catalog
 from demandlake.catalog import COST, DISTANCE, PICKUP, ZONE
 from demandlake.functions import text
-from demandlake.operators import lagged, metrics, models, scaling, serving
+from demandlake.operators import lagged, metrics, models, scaling, serving, trees
 from demandlake.operators.features import SEQ_FEATURES
 from demandlake.operators.hourly import hourly_cost
 from demandlake.plans import daily, experiment, requests
@@ -67,17 +68,48 @@ def cost_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.split_random(rows, ["location_id", "date", "hour"])
 
 
+_COST_MODELS: dict[tuple, tuple[str, tuple]] = {}
+
+
+def cost_model(spark: SparkSession, sf_dir: str) -> PipelineModel:
+    """The cost model of the training rows (H6): fitted and saved into the
+    shared folder once for an input version of a session, loaded after that."""
+    events = daily.events_spec(sf_dir).path
+    key = (spark.sparkContext.applicationId, events)
+    version = daily.input_version(spark, events)
+    path, seen = _COST_MODELS.get(key, (None, None))
+    if seen != version:
+        path = stage_path(spark, f"cost-model-{uuid.uuid4().hex[:12]}")
+        train = cost_training(spark, sf_dir).where(F.col("split") == "train")
+        models.fit_cost(train, COST_NUMERIC).write().overwrite().save(path)
+        _COST_MODELS[key] = (path, version)
+    return PipelineModel.load(path)
+
+
+def _cost_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cost_training(spark, sf_dir).where(F.col("split") == "test")
+
+
 def cost_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = cost_training(spark, sf_dir)
-    model = models.fit_cost(data.where(F.col("split") == "train"), COST_NUMERIC)
-    test = models.predict_cost(model, data.where(F.col("split") == "test"), COST_NUMERIC)
+    test = models.predict_cost(cost_model(spark, sf_dir), _cost_test(spark, sf_dir), COST_NUMERIC)
     return models.regression_metrics(test, "avg_cost_per_mile", "prediction")
 
 
+def cost_tree_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per zone and hour of day: test rows, and those for which the node table
+    of the cost model gives the prediction of the model (to 1e-9)."""
+    test = models.predict_cost(cost_model(spark, sf_dir), _cost_test(spark, sf_dir), COST_NUMERIC)
+    nodes = trees.node_table(cost_model(spark, sf_dir).stages[-1])
+    keys = ["location_id", "date", "hour"]
+    found = test.join(trees.predict(test, nodes, keys).withColumnRenamed("prediction", "_walked"), keys, "left")
+    agrees = F.coalesce(F.abs(F.col("_walked") - F.col("prediction")) <= 1e-9, F.lit(False))
+    return found.groupBy("location_id", F.col("hour").cast("int").alias("hour")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(agrees).alias("n_agree"))
+
+
 def pricer(spark: SparkSession, sf_dir: str):
-    """A function that prices forecast hours with a cost model fitted on the
-    training rows (J5, H6)."""
-    model = models.fit_cost(cost_training(spark, sf_dir).where(F.col("split") == "train"), COST_NUMERIC)
+    """A function that prices forecast hours with the cost model."""
+    model = cost_model(spark, sf_dir)
     weather = daily.weather_table(spark, sf_dir)
     return lambda forecasts: models.price_forecast(forecasts, model, weather, COST_NUMERIC)
 

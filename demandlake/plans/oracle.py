@@ -907,7 +907,7 @@ ORACLE["stream_request_scoring"] = q.select(f"""
 """, {"prediction_id": "i", "user_id": "i", "ts": "ts", "cost": "d", "status": "s", "result": "s", "n_prices": "i",
       "charged": "i", "balance_after_cents": "i"})
 
-ORACLE["cost_training_rows"] = q.select("""
+_COST_ROWS = """
     SELECT location_id, date, hour, trips_count, avg_cost_per_mile,
            CASE WHEN u < 0.2 THEN 'test' WHEN u < 0.2 + (1 - 0.2) * 0.25 THEN 'val' ELSE 'train' END AS split
     FROM (
@@ -921,7 +921,13 @@ ORACLE["cost_training_rows"] = q.select("""
                 AND event_type IS NOT NULL) t
         GROUP BY ALL) h
     ) x
-""", {"location_id": "s", "date": "day", "hour": "i", "trips_count": "i", "avg_cost_per_mile": "d9", "split": "s"})
+"""
+ORACLE["cost_training_rows"] = q.select(_COST_ROWS, {"location_id": "s", "date": "day", "hour": "i", "trips_count": "i", "avg_cost_per_mile": "d9", "split": "s"})
+
+# a node table that walks every row to another value than the model shows as a smaller n_agree
+ORACLE["cost_tree_agreement"] = q.select(f"""
+    SELECT location_id, hour, count(*) AS n, count(*) AS n_agree FROM ({_COST_ROWS}) r WHERE split = 'test' GROUP BY ALL
+""", {"location_id": "s", "hour": "i", "n": "i", "n_agree": "i"})
 
 _MODEL = "CASE request_id % 5 WHEN 0 THEN 'last_value' WHEN 1 THEN 'withdrawn' ELSE 'moving_average' END"
 _LAST_VALUES = _FORECASTS.replace("WHERE status = 'ok'", "WHERE status = 'ok' AND r.pos = 71")

@@ -622,6 +622,12 @@ def q_linear_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(modeling.linear_residuals(spark, sf_dir), digits=4)
 
 
+@register("cost_tree_agreement")
+def q_cost_tree_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cost model's node table against the cost model, on every test row (H6)."""
+    return report(modeling.cost_tree_agreement(spark, sf_dir))
+
+
 @register("cost_model_metrics")
 def q_cost_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(modeling.cost_metrics(spark, sf_dir))

@@ -38,3 +38,24 @@ def test_score_sequences_calls_model_per_batch(spark):
     out = {r["request_id"]: r["forecast"] for r in models.score_sequences(
         df, lambda a: np.repeat(a[:, :, 0].mean(axis=1)[:, None], 24, axis=1)).collect()}
     assert out[3] == [3.0] * 24
+
+
+def test_node_table_walks_every_row_to_the_models_prediction(spark):
+    """Numbers, a zone as 0/1 columns, an unknown zone and missing values;
+    leaves at different depths; equal rows each keep their own prediction."""
+    from demandlake.operators import trees
+    rng = np.random.default_rng(11)
+    rows = [(i, "abc"[i % 3], int(rng.integers(0, 24)), None if i % 17 == 0 else float(rng.normal()), 0.0) for i in range(400)]
+    rows = [(i, z, h, x, {"a": 1.0, "b": 5.0, "c": 2.0}[z] * (h > 11) + (x or 0.0)) for i, z, h, x, _ in rows]
+    df = spark.createDataFrame(rows, "row long, location_id string, hour int, temp double, cost double")
+    model = models.fit_cost(df, ["hour", "temp"], label="cost")
+    odd = spark.createDataFrame([(1000, "z", 3, None, None), (1001, "b", 3, 1e300, None), (1002, "b", 3, 1e300, None)], df.schema)
+    scored = models.predict_cost(model, df.unionByName(odd), ["hour", "temp"])
+    nodes = trees.node_table(model.stages[-1])
+    assert nodes.where("feature is null and value is null").count() == 0
+    assert nodes.where("feature < 3").count() > 0                       # the zone is split on
+    got = {r["row"]: r["prediction"] for r in trees.predict(scored, nodes, ["row"]).collect()}
+    want = {r["row"]: r["prediction"] for r in scored.select("row", "prediction").collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
+    assert trees.predict(scored.limit(0), nodes, ["row"]).count() == 0
