@@ -89,21 +89,23 @@ LEDGER_DELAY = "800 days"  # movements come up to a year after their own year's
 
 def ledger_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger stream over deposits, withdrawals and tier purchases.  Each
-    file, one a micro-batch, holds the movements of a year, without a third of
-    them that come a year late, with the late ones of the year before, and
-    with a fifth of the year before delivered again.  A last file closes the
-    books: one tick far behind the end."""
+    micro-batch holds the movements of a year (as many files as the cluster
+    runs tasks at once), without a third of them that come a year late, with
+    the late ones of the year before, and with a fifth of the year before
+    delivered again.  A last file closes the books: one tick far behind the
+    end."""
     base = _scratch(spark, "ledger")
     ops = accounts.movements(catalog.load(spark, sf_dir, "orders"), with_tiers=True).select(
         "user_id", "op_id", F.col("ts").cast("timestamp").alias("ts"), "kind", "amount_cents", "level")
     first, last = ops.agg(F.min(F.year("ts")), F.max(F.year("ts"))).first()
     inbox, late, again = os.path.join(base, "in"), F.pmod("op_id", F.lit(3)) == 0, F.pmod("op_id", F.lit(5)) == 0
+    files = max(1, spark.sparkContext.defaultParallelism)
     for year in range(first, last + 2) if first else ():
         own, before = F.year("ts") == year, F.year("ts") == year - 1
-        ops.where(own & ~late | before & (late | again)).coalesce(1).write.mode("append").parquet(inbox)
+        ops.where(own & ~late | before & (late | again)).repartition(files, "op_id").write.mode("append").parquet(inbox)
     tick = [(None, None, dt.datetime((last or 1970) + 9, 1, 1), "tick", 0, None)]
     spark.createDataFrame(tick, ops.schema).coalesce(1).write.mode("append").parquet(inbox)
-    raw = spark.readStream.schema(ops.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    raw = spark.readStream.schema(ops.schema).option("maxFilesPerTrigger", files).parquet(inbox)
     with stream_partitions(spark):
         return balances.run_ledger(spark, raw, os.path.join(base, "out"), os.path.join(base, "ckpt"), LEDGER_DELAY)
 

@@ -240,3 +240,26 @@ def test_ledger_state_over_several_batches(spark):
     names = ["user_id", "op_id", "accepted", "reason", "balance_cents", "tier", "tier_end"]
     want = ledger.replay_ledger(ops).select(*names).collect()
     assert sorted(map(tuple, out.select(*names).collect()), key=str) == sorted(map(tuple, want), key=str)
+
+
+def test_ledger_state_keys_do_not_grow_with_the_users(spark):
+    """Users share state keys, so the calls of the processor are bounded; what
+    is decided stays that of every user alone."""
+    from demandlake.operators import ledger
+    from demandlake.streaming import balances
+    base = tempfile.mkdtemp(prefix="dl-ledger-")
+    schema = "user_id long, op_id long, ts timestamp, kind string, amount_cents long, level string"
+    t, far = dt.datetime(2024, 1, 1), 2 ** 60
+    rows = [(far + u, far + 3 * u + i, t + dt.timedelta(hours=(u * 7 + i * 11) % 48), kind, amount, None)
+            for u in range(200) for i, (kind, amount) in enumerate([("deposit", 500), ("withdraw", 300), ("withdraw", 400)])]
+    batches = [rows[::2] + [(far, None, t, "deposit", 9, None)], rows[1::2] + rows[::10] + [(None, far, t, "deposit", 9, None)],
+               [(None, None, t + dt.timedelta(days=60), "tick", 0, None)]]
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(_inbox(base))
+    for part in batches:
+        _write(spark, os.path.join(base, "in"), part, schema)
+        out = balances.run_ledger(spark, raw, os.path.join(base, "out"), os.path.join(base, "ck"), "3 days", buckets=4)
+    keys = spark.read.format("statestore").option("stateVarName", "accounts").load(os.path.join(base, "ck"))
+    assert 0 < keys.count() <= 4
+    names = ["user_id", "op_id", "accepted", "reason", "balance_cents"]
+    want = ledger.replay_ledger(spark.createDataFrame(rows, schema)).select(*names).collect()
+    assert sorted(map(tuple, out.select(*names).collect())) == sorted(map(tuple, want))
