@@ -39,7 +39,7 @@ from demandlake.operators.sequences import (  # noqa: F401
     day_block, input_arrays, targets_long, windows, zone_index, zone_stats,
 )
 from demandlake.operators.serving import (  # noqa: F401
-    asof_grid, cost_features, forecast_hours, post_process, resolve_requests, serving_arrays, serving_windows, window_matrices,
+    asof_grid, cost_features, forecast_hours, post_process, request_forecasts, resolve_requests, serving_arrays, serving_windows, window_matrices,
 )
 from demandlake.plans.refit import refit  # noqa: F401
 from demandlake.sources.feeds import (  # noqa: F401

@@ -14,6 +14,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -129,31 +131,35 @@ def regression_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
 # --- H7 ------------------------------------------------------------------
 
 def score_sequences(df: DataFrame, predict_fn: Callable[[np.ndarray], np.ndarray],
-                    id_col: str = "request_id", x_col: str = "x", horizon: int = 24,
+                    id_col: str | Sequence[str] = "request_id", x_col: str = "x", horizon: int = 24,
                     n_features: int = 24, dtype: str = "float64") -> DataFrame:
-    """Score input windows with a user model (H7).
+    """Score input windows with a user model (H7): (ids, forecast).
 
     ``predict_fn`` maps an array (n, 72, 24) of ``dtype`` to (n, horizon).  It is
     pickled once with the task closure and called once per Arrow batch.
     """
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+
     def run(batches):
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             x = np.stack(pdf["_xf"].to_numpy()).astype(dtype).reshape(len(pdf), -1, n_features)
             y = np.asarray(predict_fn(x), dtype="float64").reshape(len(pdf), horizon)
-            yield pd.DataFrame({id_col: pdf[id_col], "forecast": list(y)})
-    schema = T.StructType([df.schema[id_col], T.StructField("forecast", T.ArrayType(T.DoubleType()))])
+            yield pd.DataFrame({**{c: pdf[c] for c in ids}, "forecast": list(y)})
+    schema = T.StructType([*[df.schema[c] for c in ids], T.StructField("forecast", T.ArrayType(T.DoubleType()))])
     # flattened in the JVM: one array per row reaches Arrow, reshaped per batch
-    return df.select(id_col, F.flatten(x_col).alias("_xf")).mapInPandas(run, schema)
+    return df.select(*ids, F.flatten(x_col).alias("_xf")).mapInPandas(run, schema)
 
 
-def score_by_name(df: DataFrame, shipped: Shipped, id_col: str = "request_id", x_col: str = "x", model_col: str = "model",
+def score_by_name(df: DataFrame, shipped: Shipped, id_col: str | Sequence[str] = "request_id", x_col: str = "x", model_col: str = "model",
                   horizon: int = 24, n_features: int = 24, dtype: str = "float64") -> DataFrame:
     """Score input windows with the model each row names (H7), in one pass:
-    (id, forecast, model_status).  The rows of an Arrow batch go to each named
+    (ids, forecast, model_status).  The rows of an Arrow batch go to each named
     model together; a name that is null or not in the registry gives no
     forecast and the status ``unknown_model``."""
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+
     def run(batches):
         for pdf in batches:
             forecast, status = [None] * len(pdf), ["unknown_model"] * len(pdf)
@@ -164,10 +170,10 @@ def score_by_name(df: DataFrame, shipped: Shipped, id_col: str = "request_id", x
                     y = np.asarray(predict(x), dtype="float64").reshape(len(at), horizon)
                     for i, row in zip(at, y):
                         forecast[i], status[i] = row, "ok"
-            yield pd.DataFrame({id_col: pdf[id_col], "forecast": forecast, "model_status": status})
-    schema = T.StructType([df.schema[id_col], T.StructField("forecast", T.ArrayType(T.DoubleType())),
+            yield pd.DataFrame({**{c: pdf[c] for c in ids}, "forecast": forecast, "model_status": status})
+    schema = T.StructType([*[df.schema[c] for c in ids], T.StructField("forecast", T.ArrayType(T.DoubleType())),
                            T.StructField("model_status", T.StringType())])
-    return df.select(id_col, model_col, F.flatten(x_col).alias("_xf")).mapInPandas(run, schema)
+    return df.select(*dict.fromkeys([*ids, model_col]), F.flatten(x_col).alias("_xf")).mapInPandas(run, schema)
 
 
 # --- a cost model as a table -------------------------------------------------

@@ -13,7 +13,9 @@ hot.  A target after the last row is clamped to the last row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -153,7 +155,8 @@ def serving_arrays(series: DataFrame, requests: DataFrame, params=None, feature_
     """The input matrix of each request that has one (J3): (request id, zone,
     asof_idx, n_padded, x).  Each (zone, asof_idx) that is asked for is built
     once, and a request reaches its own by one equi-join on them.
-    ``resolved``: the requests already resolved, if the caller has them."""
+    ``resolved``: the requests already resolved, if the caller has them.
+    Matrices are large: jobs that want forecasts only take ``request_forecasts``."""
     if resolved is None:
         resolved = resolve_requests(series, requests, zone=zone)
     ok = resolved.where(F.col("status") == "ok").select(request_id, zone, "asof_idx")
@@ -161,6 +164,27 @@ def serving_arrays(series: DataFrame, requests: DataFrame, params=None, feature_
         request_id, zone, "asof_idx", "n_padded", "x")
 
 
+def request_forecasts(series: DataFrame, resolved: DataFrame, score: Callable[[DataFrame, list[str]], DataFrame], params=None,
+                      by: Sequence[str] = (), feature_cols: Sequence[str] = SEQ_FEATURES, past: int = PAST,
+                      request_id: str = "request_id", zone: str = ZONE) -> DataFrame:
+    """The forecast of each resolved request that has an input matrix:
+    (request id, what ``score`` adds).  ``score`` maps input matrices (keys, x)
+    and the names of the keys to (keys, forecast, ...).
+
+    A forecast depends on the matrix and the columns ``by`` of the request (the
+    model it names) alone, so each (zone, asof_idx, *by) that is asked for is
+    cut and scored once, and its forecast, not its matrix, travels to the
+    requests: what moves with their number is a few bytes each."""
+    keys = [zone, "asof_idx", *by]
+    ok = resolved.where(F.col("status") == "ok").select(request_id, *keys)
+    asked = ok.where(F.col(zone).isNotNull() & F.col("asof_idx").isNotNull()).select(*keys).distinct()
+    arrays = asked.join(window_matrices(series, asked, params, feature_cols, past, zone), [zone, "asof_idx"])
+    scored = score(arrays, keys)
+    found = scored.withColumnsRenamed({c: f"_{c}" for c in keys})
+    same = [F.col(c) == F.col(f"_{c}") if c not in by else F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+    return ok.join(found, reduce(and_, same)).select(request_id, *[c for c in scored.columns if c not in keys])
+
+
 def serving_windows(series: DataFrame, requests: DataFrame, params=None,
                     feature_cols: Sequence[str] = SEQ_FEATURES, past: int = PAST,
                     request_id: str = "request_id", zone: str = ZONE, upto_target: bool = False) -> DataFrame:
@@ -186,7 +210,7 @@ def post_process(df: DataFrame, pred: str, y_params: tuple[float, float],
 
 
 def cost_features(df: DataFrame, weather: DataFrame, names: str = "all_nine",
-                  date_col: str = "date", hour_col: str = "hour", carry: Sequence[str] = (),
+                  date_col: str = "date", hour_col: str = "hour", carry: Sequence[str | Column] = (),
                   weather_fill: str = "zero") -> DataFrame:
     """The 16 cost-model columns for (location_id, date, hour, trips_count)
     rows (J4): calendar, calendar adjacency (D8) and the serving weather

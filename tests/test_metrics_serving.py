@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from demandlake.operators import metrics, serving
+from demandlake.operators import metrics, models, serving
 
 EPS = np.finfo(np.float64).eps
 
@@ -96,3 +96,27 @@ def test_forecast_hours_and_text(spark):
     assert "00:00" in lines[1]
     fh = serving.forecast_hours(df.withColumnRenamed("d", "forecast")).collect()
     assert [(r["date"], r["hour"]) for r in fh] == [(dt.date(2024, 1, 31), 23), (dt.date(2024, 2, 1), 0)]
+
+
+def _asked_series(spark):
+    rows = [("A", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), i, float(i % 7)) for i in range(100)]
+    series = spark.createDataFrame(rows, "location_id string, ts timestamp_ntz, time_idx int, trips_count double")
+    asked = [(i, "A", dt.datetime(2024, 1, 1 + i % 4, 5), ["m", "gone", None][i % 3]) for i in range(60)] + [(60, "B", dt.datetime(2024, 1, 1), "m")]
+    return series, spark.createDataFrame(asked, "request_id long, location_id string, target_ts timestamp_ntz, model string")
+
+
+def test_windows_are_scored_once_whatever_asks_for_them(spark):
+    series, req = _asked_series(spark)
+    scored = spark.sparkContext.accumulator(0)
+
+    def last(x):
+        scored.add(len(x))
+        return np.repeat(x[:, -1:, 0], 24, axis=1)
+    resolved = serving.resolve_requests(series, req)
+    out = serving.request_forecasts(series, resolved, lambda x, keys: models.score_sequences(x, last, keys, n_features=1),
+                                    by=("model",), feature_cols=["trips_count"]).collect()
+    assert scored.value == 12                                    # four hours, three names; not 60 requests
+    assert {r["request_id"]: r["forecast"][0] for r in out} == {i: float((24 * (i % 4) + 5) % 7) for i in range(60)}
+    arrays = serving.serving_arrays(series, req, feature_cols=["trips_count"], resolved=resolved)
+    each = models.score_sequences(arrays, lambda x: np.repeat(x[:, -1:, 0], 24, axis=1), n_features=1).collect()
+    assert sorted((r["request_id"], r["forecast"]) for r in out) == sorted((r["request_id"], r["forecast"]) for r in each)
