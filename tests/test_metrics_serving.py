@@ -120,3 +120,21 @@ def test_windows_are_scored_once_whatever_asks_for_them(spark):
     arrays = serving.serving_arrays(series, req, feature_cols=["trips_count"], resolved=resolved)
     each = models.score_sequences(arrays, lambda x: np.repeat(x[:, -1:, 0], 24, axis=1), n_features=1).collect()
     assert sorted((r["request_id"], r["forecast"]) for r in out) == sorted((r["request_id"], r["forecast"]) for r in each)
+
+
+def test_equal_forecasts_are_priced_once(spark, monkeypatch):
+    seen = []
+
+    def priced(model, rows, numeric):
+        seen.append(rows.count())
+        return rows.withColumn("prediction", F.col("trips_count") + F.col("hour"))
+    monkeypatch.setattr(models, "predict_cost", priced)
+    at = dt.datetime(2024, 1, 1, 22)
+    rows = [(i, "A", at, [float(i % 2)] * 24, [0.0, 5.0, 5.0][i % 3]) for i in range(30)]
+    fc = spark.createDataFrame([*rows, rows[1]], "request_id long, location_id string, target_ts timestamp_ntz, forecast array<double>, cost double")
+    weather = spark.createDataFrame([], "date date, hour int, temp double, prcp double, wspd double")
+    got = {r["request_id"]: r["trip_costs"] for r in models.price_forecast(fc, None, weather, ()).collect()}
+    assert seen == [48]                                          # two forecasts of 24 hours; not 21 rows of 24
+    hours = [float((22 + k) % 24) for k in range(24)]
+    want = {i: [h + i % 2 for h in hours] for i in range(30) if i % 3}
+    assert got == want | {1: [c for c in want[1] for _ in range(2)]}     # a row given twice is priced twice, as before
