@@ -4,6 +4,7 @@ forecast -> post-process -> status rows, idempotent per message."""
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 
 from demandlake.functions import text
 from demandlake.operators import models, serving
+from demandlake.session import stage_path
 from demandlake.sources import queue
 from demandlake.sources.registry import ModelRegistry, Shipped
 
@@ -67,13 +69,16 @@ def score_batch(batch: DataFrame, series: DataFrame, params: dict, predict_fn: C
         F.col("prediction_id").alias("request_id"), "user_id", F.col("district").alias("location_id"),
         "model", F.coalesce("cost", F.lit(0.0)).alias("cost"),
         text.analogue_ts(F.col("month"), F.col("day"), F.col("hour")).alias("target_ts"))
-    resolved = serving.resolve_requests(series, req)
-    arrays = serving.serving_arrays(series, req, params, resolved=resolved)
+    # the messages are read and resolved once, the joins below read what was written
+    stage = stage_path(batch.sparkSession, f"resolved-{uuid.uuid4().hex[:12]}")
+    found = serving.resolve_requests(series, req)
+    found.write.parquet(stage)
+    resolved = batch.sparkSession.read.schema(found.schema).parquet(stage)
     if isinstance(predict_fn, Shipped):
-        named = arrays.join(req.select("request_id", "model"), "request_id")
-        scored = models.score_by_name(named, predict_fn).drop("model_status")
+        scored = serving.request_forecasts(series, resolved, lambda x, keys: models.score_by_name(x, predict_fn, keys),
+                                           params, by=("model",)).drop("model_status")
     else:
-        scored = models.score_sequences(arrays, predict_fn, id_col="request_id", horizon=24)
+        scored = serving.request_forecasts(series, resolved, lambda x, keys: models.score_sequences(x, predict_fn, keys, horizon=24), params)
     done = serving.post_process(scored, "forecast", y_params, rounding="ceil")
     rows = resolved.select("request_id", "user_id", "location_id", "target_ts", "cost", "status").join(done, "request_id", "left")
     if price is not None:
