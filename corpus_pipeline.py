@@ -30,6 +30,7 @@ from demandlake.llm.common import stage, table
 from demandlake.llm.queries import MIX_TARGETS, MODEL_FILE, PSEUDONYM_KEY, labelled_domains
 
 ACCEPT = 0.3
+TOKEN_MEMORY, TOKEN_BATCH = 75_000, 1 << 18  # a Python worker outlives the stage, and what it holds with it
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +63,7 @@ def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode_decode(docs, MODEL_FILE)
+    return pieces.encode_decode(docs, MODEL_FILE, memory=TOKEN_MEMORY, together=TOKEN_BATCH)
 
 
 STAGES = [

@@ -46,7 +46,8 @@ BATCH = 1 << 20      # characters of texts encoded together
 class MergeVocabulary:
     """The vocabulary of a merge-type model: pieces, scores, byte pieces."""
 
-    def __init__(self, model_file: str):
+    def __init__(self, model_file: str, memory: int | None = None):
+        self.memory = MEMORY if memory is None else memory
         self.model = m = sentencepiece.SentencePieceProcessor(model_file=model_file)
         size = m.get_piece_size()
         self.begin, self.end, self.unknown = m.bos_id(), m.eos_id(), m.unk_id()
@@ -130,9 +131,9 @@ class MergeVocabulary:
         merged = self.merge([c for c in wanted if c not in found])
         self.fresh |= merged
         found |= merged
-        if len(self.known) + len(found) > len(self.whole) + MEMORY:
+        if len(self.known) + len(found) > len(self.whole) + self.memory:
             self.older, self.known = self.known, dict(self.whole)
-        if len(found) <= MEMORY:
+        if len(found) <= self.memory:
             self.known.update((c, p) for c, p in found.items() if len(c) <= SHORT)
         found |= {c: b"".join([found[p] for p in parts]) for c, parts in long.items()}
         return found
@@ -198,14 +199,14 @@ def _decode_bytewise(data: bytes) -> str:
     return "".join(out)
 
 
-_LOADED: dict[str, MergeVocabulary] = {}
+_LOADED: dict[tuple[str, int | None], MergeVocabulary] = {}
 
 
-def vocabulary(model_file: str) -> MergeVocabulary:
+def vocabulary(model_file: str, memory: int | None = None) -> MergeVocabulary:
     """One vocabulary (with its memory of parts) per Python worker."""
-    if model_file not in _LOADED:
-        _LOADED[model_file] = MergeVocabulary(model_file)
-    return _LOADED[model_file]
+    if (model_file, memory) not in _LOADED:
+        _LOADED[model_file, memory] = MergeVocabulary(model_file, memory)
+    return _LOADED[model_file, memory]
 
 
 def check_texts(vocab: MergeVocabulary, texts: list[str], packed: list[bytes], decoded: list[str]) -> None:
@@ -233,11 +234,12 @@ def check_parts(vocab: MergeVocabulary) -> None:
         raise ValueError("ids of a merged part differ from the library's")
 
 
-def _parts(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbouring texts of about BATCH characters (or one text)."""
+def _parts(sizes: list[int], together: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts of about ``together`` characters (or one text)."""
+    together = BATCH if together is None else together
     a = held = 0
     for i, size in enumerate(sizes):
-        if i > a and held + size > BATCH:
+        if i > a and held + size > together:
             yield a, i
             a, held = i, 0
         held += size
@@ -245,13 +247,16 @@ def _parts(sizes: list[int]) -> Iterator[tuple[int, int]]:
         yield a, len(sizes)
 
 
-def encode_decode(docs: DataFrame, model_file: str, text: str = "text", check: str = "parts") -> DataFrame:
+def encode_decode(docs: DataFrame, model_file: str, text: str = "text", check: str = "parts", memory: int | None = None,
+                  together: int | None = None) -> DataFrame:
     """``docs`` without its text, plus ``n_tokens`` long, ``ids_u32le`` binary
     (begin id, ids, end id as little-endian unsigned 32-bit integers) and
     ``decoded`` string.  In every Arrow batch the library checks the work:
     ``check="parts"`` gives it each part once, when it is first merged, and
     the first text of the batch whole; ``check="texts"`` every text whole,
-    encoded and decoded.  A difference fails the job."""
+    encoded and decoded.  A difference fails the job.  ``memory`` parts are
+    remembered per worker and generation, ``together`` characters encoded at
+    once: workers stay, and what they hold is missing to the jobs that follow."""
     made = ("n_tokens", "ids_u32le", "decoded")
     kept = [c for c in docs.columns if c != text and c not in made]
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
@@ -259,10 +264,10 @@ def encode_decode(docs: DataFrame, model_file: str, text: str = "text", check: s
                            T.StructField("ids_u32le", T.BinaryType()), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(model_file)
+        vocab = vocabulary(model_file, memory)
         for batch in batches:
             whole = batch.column(len(kept)).to_pylist()
-            for a, b in _parts([len(t) for t in whole]):
+            for a, b in _parts([len(t) for t in whole], together):
                 texts = whole[a:b]
                 packed = vocab.encode(texts)
                 decoded = vocab.decode(packed)

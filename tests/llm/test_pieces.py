@@ -96,3 +96,14 @@ def test_query_against_the_library(spark):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
+
+
+def test_a_small_memory_gives_the_same_ids_and_is_kept():
+    import public_tokenizers
+    texts = [" ".join(f"wörd{i * 7 + k}x" for k in range(40)) for i in range(60)]
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    small, large = pieces.MergeVocabulary(model, 500), pieces.MergeVocabulary(model)
+    for a, b in pieces._parts([len(t) for t in texts], 2000):
+        assert b - a <= 8
+        assert small.encode(texts[a:b]) == large.encode(texts[a:b])
+        assert max(len(small.known), len(small.older)) <= len(small.whole) + 500
