@@ -173,7 +173,8 @@ def _located(s: Column) -> Column:
 
     def by_kind(f, of_date):
         return (F.when(kind == "ip", F.lit(f(2 ** 32)).cast("long")).when(dated, of_date)
-                .when(kind == "ssn", F.lit(f(SSNS)).cast("long")).otherwise(_power_of_ten(width, f)))
+                .when(kind == "ssn", F.lit(f(SSNS)).cast("long"))
+                .when(kind.isin("phone", "card"), _power_of_ten(width, f)))  # others can have more digits than a long
 
     dates = YEARS * months * days
     only = lambda c: F.when(dated, c.cast("long"))

@@ -60,3 +60,15 @@ def test_near_duplicates_go_by_row(spark):
     out = dict(P.STAGES)["near_duplicates"](spark, docs, SF).collect()
     assert sorted(((r.doc_id or 0), (r.text or "-")[:6]) for r in out) == [
         (5, "alpha0"), (5, "beta0 "), (9, "-"), (9, "-"), (10, "-"), (11, "!!"), (12, "unlike")]
+
+
+def test_numbers_longer_than_a_long_pass_the_stages(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    texts = [f"number {i} is {'1234567890' * 3}"[:13 + len(str(i)) + i] + " here" for i in range(31)] + ["write a1234567890123456789012@example.com"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], schema)
+    for name, stage in P.STAGES[2:]:
+        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), schema) if name != "tokens" else stage(spark, docs, SF)
+        assert {r.doc_id for r in docs.collect()} == set(range(32)), name
+        if name == "pii":
+            out = {r.doc_id: r.text for r in docs.collect()}
+            assert out[19] == texts[19] and out[21] == texts[21] and "@redacted.invalid" in out[31]
