@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -84,6 +85,35 @@ def test_written_dates_permute_within_their_form(spark):
     assert again.where("n_pseudonyms <> 1").count() == 0
 
 
+def test_candidates_with_more_digits_than_a_long(spark):
+    """No card, no phone number, or digits in an address: none of these has a size to permute in."""
+    mail = "a1234567890123456789012@example.com"
+    texts = ["x 1234567890123456789 y", "+123 4567 8901 2345 6789 0123 z", f"write {mail}, {mail}", "x 1234567890123456785 y"]
+    assert luhn("1234567890123456789") % 10 and luhn("1234567890123456785") % 10 == 0
+    r = run(spark, texts)
+    assert [(x.text, x.n_pseudonyms) for x in r[:2]] == [(t, 0) for t in texts[:2]]
+    assert re.fullmatch(r"write (u[0-9a-f]{12}@redacted\.invalid), \1", r[2].text)
+    card = re.fullmatch(r"x (1\d{18}) y", r[3].text)[1]
+    assert luhn(card) % 10 == 0 and r[3].text != texts[3] and list(r[3].found_kinds) == ["card"]
+
+
+def test_address_of_many_labels(spark):
+    texts = ["to a@" + "b." * 200_000 + "com now", "to a@" + "b.c1" * 100_000 + " now", "to a@" + "1." * 200_000]
+    r = run(spark, texts)
+    assert re.fullmatch(r"to u[0-9a-f]{12}@redacted\.invalid now", r[0].text)
+    assert [(x.text, x.n_pseudonyms) for x in r[1:]] == [(t, 0) for t in texts[1:]]
+
+
+def test_addresses_end_where_the_plain_pattern_ends_them(spark):
+    plain = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+    draw = random.Random(5)
+    texts = ["".join(draw.choices("ab1-.@ ", (3, 3, 2, 1, 4, 1, 0.3), k=draw.randint(4, 40))) for _ in range(20_000)]
+    texts = ["a@" + t if i % 2 else t for i, t in enumerate(texts)]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    both = d.select("text", *[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(n) for p, n in ((plain, "a"), (P.EMAIL, "b"))])
+    assert both.where("a <> b").count() == 0 and both.where("size(a) > 0").count() > 2000
+
+
 def test_long_text_repeats_and_empty_table(spark):
     text = ("word " * 20000) + "4556737586899855" + (" word" * 20000)
     r = run(spark, [text, text])
